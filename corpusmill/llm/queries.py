@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusmill.llm import content_sort, mixing, packing, token_table
+from corpusmill.llm import content_sort, golay_simhash, langid, mixing, packing, secret_novelty, token_table
 from corpusmill.workspace import Workspace
 
 
@@ -28,11 +28,24 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=1, capacity=4096)
 
 
+def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return golay_simhash.fingerprint_components(_table(spark, sf_dir, "documents"))
+
+
+def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_novelty.scan_secrets(_table(spark, sf_dir, "documents"))
+
+
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, path = _table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json")
+    return langid.predict_languages(docs, path, langid.fit(docs, path))
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_taken(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_table, op2_exact_dedup, op4_packing, op9_mixing)}
+QUERIES = {f.__name__: f for f in (op1_token_table, op2_exact_dedup, op4_packing, op6_simhash, op7_secrets, op8_language_id, op9_mixing)}
 
 ORACLE = {
     "op2_exact_dedup": r"""
