@@ -4,9 +4,8 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from corpusmill.llm import content_sort, golay_simhash, langid, mixing, packing, secret_novelty, token_table
+from corpusmill.llm import content_sort, golay_simhash, html_regions, langid, mixing, nn_descent, packing, secret_novelty, token_table
 from corpusmill.workspace import Workspace
 
 
@@ -24,10 +23,18 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return content_sort.duplicate_groups(_table(spark, sf_dir, "documents"))
 
 
+def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_regions.extract_main_text(_table(spark, sf_dir, "pages"))
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=1, capacity=4096)
 
 
+def op5_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nn_descent.nearest_neighbours(_table(spark, sf_dir, "embeddings"))
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return golay_simhash.fingerprint_components(_table(spark, sf_dir, "documents"))
 
@@ -45,7 +52,7 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_taken(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_table, op2_exact_dedup, op4_packing, op6_simhash, op7_secrets, op8_language_id, op9_mixing)}
+QUERIES = {f.__name__: f for f in (op1_token_table, op2_exact_dedup, op3_html_text, op4_packing, op5_neighbours, op6_simhash, op7_secrets, op8_language_id, op9_mixing)}
 
 ORACLE = {
     "op2_exact_dedup": r"""
