@@ -96,5 +96,6 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     met = rows.join(takes, rows["__id"].eqNullSafe(takes["__id"]) & (rows["__h"] == takes["__h"]) & (rows["__nth"] == takes["__nth"])).select("__row", "__size", F.explode("takes").alias("__take"))
     whole = (F.col("__take.lo") == 0) & (F.col("__take.hi") == F.col("__size"))
     # The words from lo to hi with the white space between them.
-    cut = F.regexp_extract(F.col("__row")[text_col], F.concat(F.lit(r"(?s)^[\x20\x09-\x0D]*+(?:[^\x20\x09-\x0D]++[\x20\x09-\x0D]*+){"), F.col("__take.lo").cast("string"), F.lit(r"}((?:[^\x20\x09-\x0D]++[\x20\x09-\x0D]*+){"), (F.col("__take.hi") - F.col("__take.lo")).cast("string"), F.lit(r"})")), F.lit(1))
+    words = F.regexp_extract_all(F.col("__row")[text_col], F.lit(r"[^\x20\x09-\x0D]++[\x20\x09-\x0D]*+"), F.lit(0))
+    cut = F.array_join(F.slice(words, (F.col("__take.lo") + 1).cast("int"), (F.col("__take.hi") - F.col("__take.lo")).cast("int")), "")
     return met.select(*[F.when(whole, F.col("__row")[c]).otherwise(cut).alias(c) if c == text_col else F.col("__row")[c].alias(c) for c in names])
