@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict = {}
-ORACLE: dict[str, str] = {}
+from corpusmill.plans import chunk_queries, corpus_queries  # noqa: F401
+from corpusmill.plans.registry import ORACLE, QUERIES
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").groupBy("lang").count()
+    """Which chunks answer each benchmark text, best first."""
+    return QUERIES["c5_fixed_windows"](spark, sf_dir)
