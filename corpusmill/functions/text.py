@@ -34,7 +34,8 @@ def fenced_json(c: Column) -> Column:
 
 
 def clamp(c: Column, low: float, high: float) -> Column:
-    return F.greatest(F.lit(low), F.least(F.lit(high), c))
+    """Null stays null."""
+    return F.when(c.isNotNull(), F.greatest(F.lit(low), F.least(F.lit(high), c)))
 
 
 def human_size(c: Column) -> Column:
