@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusmill.plans import chunk_queries, corpus_queries, graph_queries, operations_queries, retrieval_queries  # noqa: F401
+from corpusmill.plans import chunk_queries, corpus_queries, graph_queries, operations_queries, retrieval_queries, stream_queries  # noqa: F401
 from corpusmill.plans.registry import ORACLE, QUERIES
 
 
