@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from corpusmill.functions.text import terms
 
@@ -19,7 +20,7 @@ def top_k(scored: DataFrame, k: int, by: str = "query_id", score: str = "score",
     return scored.withColumn("rank", F.row_number().over(Window.partitionBy(by).orderBy(F.col(score).desc(), tie))).filter(F.col("rank") <= k)
 
 
-def _scores(ids: list, matrix: np.ndarray, k: int):
+def _scores(ids: pa.Array, matrix: np.ndarray, k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         qn = np.linalg.norm(matrix, axis=1)
         unit = np.divide(matrix, qn[:, None], out=np.zeros_like(matrix), where=qn[:, None] > 0)
@@ -36,7 +37,7 @@ def _scores(ids: list, matrix: np.ndarray, k: int):
             m = min(k, len(vectors))
             least = -np.partition(-s, m - 1, axis=1)[:, m - 1] if m else np.zeros(len(s))
             q, c = np.nonzero(s >= least[:, None])
-            yield pa.RecordBatch.from_arrays([pa.array(np.array(ids)[q]), batch.column(0).take(pa.array(c)), pa.array(s[q, c])], names=["query_id", "chunk_id", "score"])
+            yield pa.RecordBatch.from_arrays([ids.take(pa.array(q)), batch.column(0).take(pa.array(c)), pa.array(s[q, c])], names=["query_id", "chunk_id", "score"])
 
     return run
 
@@ -51,7 +52,7 @@ def exact_top_k(chunks: DataFrame, queries: DataFrame, k: int, min_score: float
     def flush() -> None:
         nonlocal out
         if block:
-            ids, matrix = [r[0] for r in block], np.array([r[1] for r in block], "f8")
+            ids, matrix = pa.array([r[0] for r in block], to_arrow_type(queries.schema["query_id"].dataType)), np.array([r[1] for r in block], "f8")
             part = chunks.select(F.col(chunk_id), F.col(vec).cast("array<double>")).mapInArrow(_scores(ids, matrix, k), f"query_id {q_type}, chunk_id {id_type}, score double")
             out = part if out is None else out.unionByName(part)
             block.clear()
