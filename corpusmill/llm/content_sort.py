@@ -1,7 +1,8 @@
 """Operator 2: exact deduplication by a distributed content sort.
 
-Sampled splitters range-partition the normalised text (with the id as second key, so that one huge group of equals is spread
-over many partitions), each partition is sorted externally, and neighbours are compared in full. A group that crosses
+Sampled splitters range-partition the normalised bytes: by their first characters, then their SHA-256, then the id, so that
+splitters stay short however long the texts are and one huge group of equals is spread over many partitions. Each partition is
+sorted externally in the same order, which places equals adjacent, and neighbours are compared in full. A group that crosses
 partition borders is joined up from the first and last run of each partition: two texts a partition, whatever the data.
 
 Defined cases: null text counts as empty; of equal texts the smallest id stays, null ids last; of rows with the same id and
@@ -10,7 +11,6 @@ text one stays; an empty table gives an empty result; other columns, whatever th
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,12 +31,18 @@ def normalised(text):
     return F.regexp_replace(F.coalesce(text, F.lit("")), WHITE, " ")
 
 
+HEAD = 24
+
+
 def _sorted_by_content(df: DataFrame, id_col: str, text_col: str, carry: bool, partitions: int | None) -> DataFrame:
+    """id, norm, sha and, if asked, the row itself."""
     cols = [F.col(id_col).cast("long").alias("id"), normalised(F.col(text_col)).alias("norm")]
     if carry:
         cols.append(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"))
-    keys = ["norm", F.col("id").asc_nulls_last()]
-    return df.select(*cols).repartitionByRange(partitions or shuffle_partitions(df.sparkSession), *keys).sortWithinPartitions(*keys)
+    keyed = df.select(*cols).withColumns({"head": F.substring("norm", 1, HEAD), "sha": F.unhex(F.sha2("norm", 256))})
+    keys = ["head", "sha", F.col("id").asc_nulls_last()]
+    dealt = keyed.repartitionByRange(partitions or shuffle_partitions(df.sparkSession), *keys).sortWithinPartitions(*keys)
+    return dealt.select("id", "norm", "sha", *(["row"] if carry else []))
 
 
 def _run_starts(norm: pa.Array, last: pa.Scalar | None) -> np.ndarray:
@@ -64,7 +70,7 @@ def _annotate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids = run["ids"]
         n, edge = len(ids), run["first"] + 2 * last
         text = run["text"].as_py()
-        sha = hashlib.sha256(text.encode()).hexdigest()
+        sha = run["sha"].as_py().hex()
         for column, values in zip(out, (ids, [ids[0]] * n, [True] + [False] * (n - 1), [n] * n, [sha] * n, [part] * n, [edge] * n, [text if edge else None] + [None] * (n - 1))):
             column.extend(values)
 
@@ -83,7 +89,7 @@ def _annotate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for a, b in zip(starts, [*starts[1:], len(ids)]):
             first = not run
             flush(False)
-            run = {"text": norm[a], "ids": ids[a:b], "first": first}
+            run = {"text": norm[a], "sha": batch.column(2)[a], "ids": ids[a:b], "first": first}
         if out[0]:
             yield batch_out()
     flush(True)
@@ -129,7 +135,7 @@ def _heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = norm[len(norm) - 1]
         if not len(starts):
             continue
-        rows, norms = batch.column(2).take(starts), norm.take(starts)
+        rows, norms = batch.column(3).take(starts), norm.take(starts)
         if held is not None:
             rows, norms = pa.concat_arrays([held[0], rows]), pa.concat_arrays([held[1], norms])
         if len(rows) > 1:
