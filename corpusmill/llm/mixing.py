@@ -57,7 +57,7 @@ def schedule(targets: DataFrame, slots: int, block: int) -> DataFrame:
     return ranked.unionByName(missed)
 
 
-def mix_rows(docs: DataFrame, block: int = 1024, chunk_rows: int = 4096, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+def mix_rows(docs: DataFrame, block: int = 1024, chunk_rows: int = 512, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """A row per document with its target and what the mix takes of it: doc_id, h, nth (of rows equal in doc_id and h), size, source_size, target, taken, and takes, an array of (epoch, from word, to word)."""
     spark = docs.sparkSession
     ws = Workspace(spark, "mixing")
