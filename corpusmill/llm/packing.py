@@ -94,13 +94,13 @@ def _best_exchange(target: list[tuple[int, int]], donor: list[tuple[int, int]],
     return best
 
 
-def local_search(lengths: list[int], bins: list[list[int]], capacity: int, tries: int = 8) -> list[list[int]]:
-    """Empties sequences into the gaps of others while that raises the sum of squared fills. Stops at the lower bound, or when ``tries`` emptiest sequences in turn resist."""
+def local_search(lengths: list[int], bins: list[list[int]], capacity: int, tries: int = 8, passes: int = 64) -> list[list[int]]:
+    """Empties sequences into the gaps of others while that raises the sum of squared fills. Stops at the lower bound, when the ``tries`` emptiest sequences resist, or after ``passes`` passes that emptied none."""
     least = -(-sum(lengths) // capacity)
     held = [sorted((lengths[i], i) for i in b) for b in bins]
     fill = [sum(n for n, _ in b) for b in held]
-    count, stuck = len(bins), set()
-    while count > least and len(stuck) < tries:
+    count, stuck, idle = len(bins), set(), 0
+    while count > least and len(stuck) < tries and idle < passes:
         open_bins = sorted((f, k) for k, f in enumerate(fill) if 0 < f < capacity)
         donor = next((k for _, k in open_bins if k not in stuck), None)
         if donor is None:
@@ -122,11 +122,14 @@ def local_search(lengths: list[int], bins: list[list[int]], capacity: int, tries
                 fill[k] += gain
                 fill[donor] -= gain
                 moved = True
-        if not held[donor]:
-            count -= 1
+        idle += 1
+        if moved:
             stuck.clear()
-        elif not moved:
+        else:
             stuck.add(donor)
+        if not held[donor]:
+            count -= 1
+            idle = 0
     return [[i for _, i in reversed(b)] for b in held if b]
 
 
