@@ -37,7 +37,7 @@ def name_key(name: Column) -> Column:
 def merged_entities(mentions: DataFrame, order: str) -> DataFrame:
     """mentions: config_id, name, type, confidence, chunk, and ``order``. One node per config and normalised name: first name, type and confidence, mention count, set of chunks (distinct before they are gathered)."""
     keyed = mentions.withColumn("key", name_key(F.col("name")))
-    first = keyed.groupBy("config_id", "key").agg(F.min_by(F.struct("name", "type", "confidence"), F.col(order)).alias("f"), F.count("*").alias("mention_count"))
+    first = keyed.groupBy("config_id", "key").agg(F.min_by(F.struct("name", "type", "confidence"), F.struct(order, "name", "type", "confidence")).alias("f"), F.count("*").alias("mention_count"))
     chunks = keyed.select("config_id", "key", "chunk").distinct().groupBy("config_id", "key").agg(F.array_sort(F.collect_list("chunk")).alias("source_chunks"))
     return first.join(chunks, ["config_id", "key"]).select("config_id", "key", "f.*", "mention_count", "source_chunks")
 
@@ -50,7 +50,7 @@ def merged_properties(mentions: DataFrame, key: str, order: str, properties: str
 
 def merged_edges(relations: DataFrame, order: str, *keys: str) -> DataFrame:
     """One edge per key: weight = occurrences, first confidence, number of distinct chunks."""
-    return relations.groupBy(*keys).agg(F.count("*").cast("double").alias("weight"), F.min_by("confidence", order).alias("confidence"), F.countDistinct("chunk").alias("chunks"))
+    return relations.groupBy(*keys).agg(F.count("*").cast("double").alias("weight"), F.min_by("confidence", F.struct(order, "confidence")).alias("confidence"), F.countDistinct("chunk").alias("chunks"))
 
 
 def with_stubs(entities: DataFrame, relations: DataFrame) -> DataFrame:

@@ -48,7 +48,7 @@ def evaluation_summary(runs: DataFrame, config: str, scores: str, created: str)
     """Per config and metric: runs that have it, mean (4 places), five histogram counts and the date range."""
     flat = runs.select(config, created, F.explode(scores).alias("metric", "score"))
     hist = [F.count_if(score_bucket(F.col("score")) == b).alias(f"b{i}") for i, b in enumerate(BUCKETS)]
-    return flat.groupBy(config, "metric").agg(F.count("*").alias("runs"), F.round(F.avg("score"), 4).alias("mean"), *hist, F.min(created).alias("first"), F.max(created).alias("last"))
+    return flat.groupBy(config, "metric").agg(F.count("*").alias("runs"), F.round(F.round(F.avg("score"), 9), 4).alias("mean"), *hist, F.min(created).alias("first"), F.max(created).alias("last"))
 
 
 def average_score(scores: Column) -> Column:

@@ -40,12 +40,12 @@ def mentions(t: Tables):
     return rows.select(F.lit("cfg").alias("config_id"), name.alias("name"), F.col("p_type").alias("type"), F.col("l_discount").alias("confidence"), F.col("l_orderkey").alias("chunk"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("ord"))
 
 
-@query("SELECT lower(trim(name)) AS key, arg_min(name, ord) AS name, arg_min(type, ord) AS type, count(*) AS mention_count, count(DISTINCT chunk) AS chunks FROM mentions GROUP BY 1", MENTIONS)
+@query("SELECT lower(trim(name)) AS key, arg_min(name, (ord, name, type)) AS name, arg_min(type, (ord, name, type)) AS type, count(*) AS mention_count, count(DISTINCT chunk) AS chunks FROM mentions GROUP BY 1", MENTIONS)
 def i3_merge_entities(t):
     return G.merged_entities(mentions(t), "ord").select("key", "name", "type", "mention_count", F.size("source_chunks").cast("long").alias("chunks"))
 
 
-@query("SELECT l_suppkey AS src, l_partkey AS dst, 'SUPPLIES' AS relation, count(*)::DOUBLE AS weight, arg_min(l_discount, l_orderkey * 10 + l_linenumber) AS confidence, count(DISTINCT l_orderkey) AS chunks FROM lineitem GROUP BY 1, 2")
+@query("SELECT l_suppkey AS src, l_partkey AS dst, 'SUPPLIES' AS relation, count(*)::DOUBLE AS weight, arg_min(l_discount, (l_orderkey * 10 + l_linenumber, l_discount)) AS confidence, count(DISTINCT l_orderkey) AS chunks FROM lineitem GROUP BY 1, 2")
 def i4_merge_edges(t):
     r = t("lineitem").select(F.col("l_suppkey").alias("src"), F.col("l_partkey").alias("dst"), F.lit("SUPPLIES").alias("relation"), F.col("l_discount").alias("confidence"), F.col("l_orderkey").alias("chunk"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("ord"))
     return G.merged_edges(r, "ord", "src", "dst", "relation")

@@ -61,7 +61,7 @@ def runs(t: Tables):
     return d.select(F.col("source").alias("config_id"), "doc_id", (F.expr(START) + F.make_dt_interval(mins=F.col("doc_id").cast("int"))).alias("created_at"), scores.alias("scores"))
 
 
-@query("SELECT config_id, metric, count(*) AS runs, round(avg(s), 4) AS mean, count(*) FILTER (s < 0.2) AS b0, count(*) FILTER (s >= 0.2 AND s < 0.4) AS b1, count(*) FILTER (s >= 0.4 AND s < 0.6) AS b2, count(*) FILTER (s >= 0.6 AND s < 0.8) AS b3, count(*) FILTER (s >= 0.8) AS b4, min(created_at) AS first, max(created_at) AS last FROM (SELECT config_id, created_at, 'quality' AS metric, quality AS s FROM runs UNION ALL SELECT config_id, created_at, 'safety', safety FROM runs WHERE safety IS NOT NULL UNION ALL SELECT config_id, created_at, 'length', length FROM runs) GROUP BY 1, 2", RUNS)
+@query("SELECT config_id, metric, count(*) AS runs, round(round(avg(s), 9), 4) AS mean, count(*) FILTER (s < 0.2) AS b0, count(*) FILTER (s >= 0.2 AND s < 0.4) AS b1, count(*) FILTER (s >= 0.4 AND s < 0.6) AS b2, count(*) FILTER (s >= 0.6 AND s < 0.8) AS b3, count(*) FILTER (s >= 0.8) AS b4, min(created_at) AS first, max(created_at) AS last FROM (SELECT config_id, created_at, 'quality' AS metric, quality AS s FROM runs UNION ALL SELECT config_id, created_at, 'safety', safety FROM runs WHERE safety IS NOT NULL UNION ALL SELECT config_id, created_at, 'length', length FROM runs) GROUP BY 1, 2", RUNS)
 def k6_evaluation_summary(t):
     return K.evaluation_summary(runs(t), "config_id", "scores", "created_at")
 

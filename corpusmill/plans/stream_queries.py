@@ -110,7 +110,7 @@ def n4_stream_ingest(t):
 
 @query("SELECT count(DISTINCT md5(text)) AS documents FROM documents")
 def n5_stream_dedup(t):
-    docs = _stream(t, "documents").select(F.md5("text").alias("content_hash"), F.timestamp_seconds("doc_id").alias("ts"))
+    docs = _stream(t, "documents").select(F.md5("text").alias("content_hash"), F.timestamp_seconds(F.col("doc_id") + 86400).alias("ts"))
     return _streamed(t, "dedup", N.deduplicated(docs, "content_hash", "ts", "3650 days")).agg(F.countDistinct("content_hash").alias("documents"))
 
 
