@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusmill.llm.tokenize import encoder
+from corpusmill.llm.tokenize import encoder, slices
 from corpusmill.workspace import Workspace
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -31,7 +31,7 @@ PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 def _cut(path: str, end_id: int, capacity: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, end, step = encoder(path), array("I", [end_id]).tobytes(), 4 * capacity
-        for batch in batches:
+        for batch in slices(batches):
             rows: list[tuple] = []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 ids = enc.encode(text) + end

@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from corpusmill.llm.tokenize import encoder
+from corpusmill.llm.tokenize import encoder, slices
 from corpusmill.workspace import shuffle_partitions
 
 TOKEN_SCHEMA = "doc_id long, n_tokens long, part int, part_start long, ids array<int>"
@@ -42,7 +42,7 @@ def encode_partition(path: str, end_id: int | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, part, before = encoder(path), TaskContext.get().partitionId(), 0
         end = b"" if end_id is None else array("I", [end_id]).tobytes()
-        for batch in batches:
+        for batch in slices(batches):
             coded = [enc.encode(t) + end for t in batch.column(1).to_pylist()]
             sizes = np.fromiter((len(c) >> 2 for c in coded), "i8", len(coded))
             ends = np.cumsum(sizes)
@@ -78,7 +78,7 @@ def with_starts(table: DataFrame, metadata: DataFrame) -> DataFrame:
 
 
 def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in slices(batches):
         lists = batch.column(1)
         at, raw = lists.offsets.to_numpy().astype("i8"), memoryview(np.ascontiguousarray(lists.values.to_numpy(), "<u4")).cast("B")
         crc = np.fromiter((zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(at[:-1], at[1:])), "i8", len(lists))

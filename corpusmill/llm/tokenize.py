@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import re
 from array import array
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 
 #: ASCII white space. The tokenizer drops it and no token crosses it.
 SPACE = re.compile(r"[\x20\x09-\x0D]+")
@@ -61,6 +63,13 @@ class WordEncoder:
         return b"".join([self._plain(w) if SPECIAL not in w and PLAIN.fullmatch(w) else np.array(self.tokenizer.encode(w, add_special_tokens=False).ids, "<u4").tobytes() for w in SPACE.split(text) if w])
 
 
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
+    """The same rows in smaller batches, which bounds what a Python worker holds beside the batch it was sent."""
+    for batch in batches:
+        for at in range(0, len(batch), rows):
+            yield batch.slice(at, rows)
+
+
 _encoders: dict[str, WordEncoder] = {}
 
 
