@@ -368,6 +368,26 @@ def test_op10_passages(spark):
     assert compact_windows.repeated_passages(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("pad", [0, 60])
+@pytest.mark.parametrize("length", [80, 90, 96, 120, 200])
+def test_op10_insertions_and_deletions(length, pad):
+    rng = random.Random(length)
+    vocabulary, held = [b"w%d" % i for i in range(20_000)], 0
+    for extra in range(8, 16):
+        for insert in (True, False):
+            base, at = rng.sample(vocabulary, length), length // 2
+            other = base[:at] + (rng.sample(vocabulary, extra) + base[at:] if insert else base[at + extra :])
+            p, q = (compact_windows.shingle_hashes(x) for x in (base, other))
+            both = len(set(p.tolist()) & set(q.tolist()))
+            if both < 0.8 * (len(p) + len(q) - both):
+                continue
+            held += 1
+            a, b = (compact_windows.shingle_hashes(rng.sample(vocabulary, pad) + x + rng.sample(vocabulary, pad)) for x in (base, other))
+            got = compact_windows.matched_passages(a, b, 47, 0.8)
+            assert any(a1 <= pad and a2 >= pad + len(p) and b1 <= pad and b2 >= pad + len(q) for a1, a2, b1, b2 in got), (extra, insert)
+    assert held
+
+
 def test_pipeline_stages(spark, docs, sf):
     import corpus_pipeline
 
