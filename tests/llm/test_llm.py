@@ -388,6 +388,41 @@ def test_op10_insertions_and_deletions(length, pad):
     assert held
 
 
+def test_op10_links_of_members_unlike_their_leader(spark):
+    rng = random.Random(12)
+    vocabulary = ["v%d" % i for i in range(30_000)]
+    texts, near, repeats = [], set(), []
+    # Each of a chain is near the next and unlike the one after it; an end leads, the middle leads, the other end.
+    for n, order in enumerate([(0, 1, 2), (1, 0, 2), (2, 1, 0)] * 12):
+        words = rng.sample(vocabulary, 150)
+        edits = [words]
+        for part in (range(3, 75, 24), range(85, 150, 24)):
+            edits.append([f"{w}x{len(edits)}" if i in part else w for i, w in enumerate(edits[-1])])
+        texts += [(10 * n + place, " ".join(w)) for w, place in zip(edits, order)]
+        near |= {tuple(sorted((10 * n + order[i], 10 * n + order[i + 1]))) for i in (0, 1)}
+    # Words 1-55, 1-60 and 6-60 of a passage: the second repeats 55 words of the third.
+    for n in range(100, 140):
+        words = rng.sample(vocabulary, 60)
+        cuts = [rng.sample(vocabulary, 30) + words[a:b] + rng.sample(vocabulary, 30) for a, b in ((0, 55), (0, 60), (5, 60))]
+        texts += [(10 * n + i, " ".join(w)) for i, w in enumerate(cuts)]
+        repeats.append((10 * n + 1, 10 * n + 2))
+    got = {}
+    for r in compact_windows.passage_links(spark.createDataFrame(texts, "doc long, text string")).collect():
+        got.setdefault((r["a"], r["b"]), []).append((r["a_start"], r["a_end"]))
+    print(len(near - set(got)), "of", len(near), "near,", sum(not any(a <= 35 and 90 <= b for a, b in got.get(pair, [])) for pair in repeats), "of", len(repeats), "exact missed")
+    assert near <= set(got)
+    assert all(any(a <= 35 and 90 <= b for a, b in got.get(pair, [])) for pair in repeats)
+
+
+def test_op10_hot_signatures_are_dealt(spark):
+    rows = [(s, d, d, d + 50) for s in (1, 2) for d in range(30)]
+    members = spark.createDataFrame(rows, "sig long, doc long, l long, r long")
+    asked = spark.createDataFrame([(0, 5, 0, 50, 5, 55), (1, 5, 2, 50, 5, 55)], "a long, b long, al long, ar long, bl long, br long")
+    got = compact_windows.unexplained_pairs(members.filter("doc % 5 = 0"), members, asked, pairs_a_task=7).collect()
+    want = {(a, b, a, a + 50, b, b + 50) for a in range(30) for b in range(a + 1, 30) if a % 5 == 0 or b % 5 == 0} - {(0, 5, 0, 50, 5, 55)}
+    assert len(got) == len(want) and {tuple(r)[:6] for r in got} == want
+
+
 def test_pipeline_stages(spark, docs, sf):
     import corpus_pipeline
 
