@@ -1,7 +1,8 @@
 """Operator 7: secrets by fixed patterns and by dictionary-primed compression novelty.
 
 Base spans come from three patterns. The method adds spans of kind ``novel``: strings near a sensitive word whose marginal
-compressed size, with the surrounding code and an identifier dictionary to copy from, stays close to their length. Words,
+compressed size, with the surrounding code and an identifier dictionary to copy from, stays close to their length. Those with
+fewer than three digits must also be spelled unlike words, by the pairs of letters in the dictionary's identifiers. Words,
 identifiers, paths and anything repeated nearby compress; keys and random tokens don't.
 
 Defined cases: a null or empty text has no spans; spans are code points, end exclusive, of the whole match; repeated rows
@@ -11,8 +12,11 @@ are scanned each for itself; an empty table gives an empty result; other columns
 from __future__ import annotations
 
 import hashlib
+import math
 import re
+from collections import Counter
 from collections.abc import Iterator
+from functools import cache
 
 import pyarrow as pa
 import zstandard
@@ -71,7 +75,29 @@ def _mixed(s: str) -> bool:
     return sum(c.isdigit() for c in s) >= 3 and any(c.isalpha() for c in s)
 
 
-def spans(text: str | None, least: float = 0.8, reach: int = 48) -> list[tuple[str, int, int]]:
+@cache
+def _steps() -> dict[str, float]:
+    """Bits by which each pair of small letters is likelier in the identifiers than in a random key of 62 characters."""
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    words = [w for w in IDENTIFIERS.lower().split() if w.isalpha() and len(w) < 20]
+    pairs = Counter(x + y for w in words for x, y in zip(w, w[1:]))
+    first = Counter(w[i] for w in words for i in range(len(w) - 1))
+    return {x + y: math.log2((pairs[x + y] + 0.5) / (first[x] + 13) * 62) for x in letters for y in letters}
+
+
+def spelled(s: str) -> float:
+    """Mean bits a step by which a string is likelier spelled from words than drawn at random: over one for words, identifiers and paths."""
+    bits, steps = 0.0, _steps()
+    for x, y in zip(s, s[1:]):
+        if x.isalpha() and y.isalpha():
+            # A capital inside a word begins another one; capitals go on as capitals.
+            bits += -3.0 if x.islower() and y.isupper() else steps[x.lower() + y.lower()]
+        elif x.isalnum() and y.isalnum():
+            bits -= 3.0 if x.isdigit() != y.isdigit() else 0.0
+    return bits / (len(s) - 1)
+
+
+def spans(text: str | None, least: float = 0.8, reach: int = 48, most: float = 1.0) -> list[tuple[str, int, int]]:
     """(kind, start, end), by start, then in the order of KINDS."""
     if not text:
         return []
@@ -90,7 +116,7 @@ def spans(text: str | None, least: float = 0.8, reach: int = 48) -> list[tuple[s
                 if m.start() >= stop:
                     break
                 seen = m.end()
-                if _mixed(m[0]) and not any(a < m.end() and m.start() < b for _, a, b in base) and novelty(text, m.start(), m.end()) >= least:
+                if (_mixed(m[0]) or any(c.isalpha() for c in m[0]) and spelled(m[0]) < most) and not any(a < m.end() and m.start() < b for _, a, b in base) and novelty(text, m.start(), m.end()) >= least:
                     found.append(("novel", m.start(), m.end()))
     return sorted(found, key=lambda x: (x[1], KINDS.index(x[0]), x[2]))
 

@@ -264,6 +264,18 @@ def test_op7_secrets(spark, docs, empty):
     assert secret_novelty.scan_secrets(docs).count() == docs.count() and secret_novelty.scan_secrets(empty).count() == 0
 
 
+def test_op7_keys_of_few_digits():
+    rng = random.Random(6)
+    small = "abcdefghijklmnopqrstuvwxyz"
+    for letters, least in ((small + small.upper() + "0123456789", 0.98), (small + small.upper(), 0.98), (small, 0.85)):
+        keys = ["".join(rng.choices(letters, k=n)) for n in (16, 20, 24, 32) for _ in range(100)]
+        keys = [k for k in keys if sum(c.isdigit() for c in k) < 3]
+        found = [any(k == "novel" and t[a:b] == key for k, a, b in secret_novelty.spans(t)) for key in keys if (t := f"client_secret_value {key}\nreturn")]
+        assert sum(found) >= least * len(found)
+    for name in "connection_pool_manager getAuthenticatedUserByTokenId /usr/local/lib/python/site-packages AbstractSingletonProxyFactoryBean src/components/widgets/table.tsx quick-brown-fox-jumps telecommunications wonderful-landscape-photography ================".split():
+        assert secret_novelty.spans(f"client_secret_value {name}\nreturn") == []
+
+
 def test_op8_language(spark, docs, empty, rows):
     got = langid.predict_languages(docs, PATH, langid.fit(docs, PATH)).collect()
     assert len(got) == len(rows)
