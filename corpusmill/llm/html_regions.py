@@ -42,7 +42,13 @@ SPACE = re.compile(r"\s+")
 NAME_PARTS = re.compile(r"[A-Za-z]+")
 
 
+def _named(attrs: list[tuple[str, str | None]]) -> bool:
+    """Class or id names tell boilerplate; a wrapper may bear such a name too."""
+    return any(value and name in ("class", "id") and any(w in MARKS for part in value.split() for w in NAME_PARTS.findall(re.sub(r"(?<=[a-z])(?=[A-Z])", " ", part).lower())) for name, value in attrs)
+
+
 def _marked(attrs: list[tuple[str, str | None]]) -> bool:
+    """Hidden, or of a role that is never content."""
     for name, value in attrs:
         if name in ("hidden", "aria-hidden") and (value or "true").lower() != "false":
             return True
@@ -50,8 +56,6 @@ def _marked(attrs: list[tuple[str, str | None]]) -> bool:
             continue
         if name == "role" and value.lower().strip() in ROLES:
             return True
-        if name in ("class", "id") and any(w in MARKS for part in value.split() for w in NAME_PARTS.findall(re.sub(r"(?<=[a-z])(?=[A-Z])", " ", part).lower())):
-            return True
         if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
             return True
     return False
@@ -60,8 +64,12 @@ def _marked(attrs: list[tuple[str, str | None]]) -> bool:
 class Lines(HTMLParser):
     """Lines of a page: text, number of tags, open containers, and the region they lie in."""
 
-    def __init__(self):
+    def __init__(self, spared: frozenset[int] = frozenset()):
         super().__init__(convert_charrefs=True)
+        self.spared = spared
+        self.named: dict[int, int] = {}  # characters in containers left out for their names alone
+        self.whole = 0
+        self.heads: set[int] = set()  # those of them that hold an article or the headline
         self.open: list[tuple[str, int, bool]] = []  # name, number, whether its text is left out
         self.lines: list[tuple[str, int, tuple[int, ...], int]] = []
         self.text: list[str] = []
@@ -86,6 +94,8 @@ class Lines(HTMLParser):
             self.cut()
         if tag in VOID:
             return
+        if (tag in REGIONS or tag == "h1") and all(not out or n in self.named for _, n, out in self.open):
+            self.heads.update(n for _, n, _ in self.open if n in self.named)
         if tag in REGIONS or tag in ("footer", "body"):
             # An article never lies in a menu or page header: one that was left open ends here.
             at = next((i for i, (name, _, _) in enumerate(self.open) if name in ("nav", "header", "head", "menu")), None)
@@ -93,11 +103,15 @@ class Lines(HTMLParser):
                 self.close_to(at)
         if tag in NESTED:
             inside = any(name in REGIONS for name, _, _ in self.open)
-            out = tag in SILENT or tag in ASIDE or tag == "header" and not inside or tag not in ("body", "html", "main") and not (tag == "header" and inside) and _marked(attrs)
+            plain = tag not in ("body", "html", "main") and not (tag == "header" and inside)
+            out = tag in SILENT or tag in ASIDE or tag == "header" and not inside or plain and _marked(attrs)
             self.made += 1
+            if not out and plain and tag != "article" and _named(attrs):
+                self.named[self.made] = 0
+                out = self.made not in self.spared
             self.open.append((tag, self.made, out))
             self.silent += out
-        elif _marked(attrs):
+        elif _marked(attrs) or _named(attrs):
             # A marked paragraph or span: followed like a container until its end tag or the next block.
             self.made += 1
             self.open.append((tag, self.made, True))
@@ -126,6 +140,12 @@ class Lines(HTMLParser):
             self.cut()
 
     def handle_data(self, data):
+        if all(not out or n in self.named for _, n, out in self.open):
+            size = len("".join(data.split()))
+            self.whole += size
+            for _, n, _ in self.open:
+                if n in self.named:
+                    self.named[n] += size
         if not self.silent:
             self.text.append(data)
 
@@ -159,6 +179,13 @@ def main_text(html: str | None) -> str:
     page.feed(html)
     page.close()
     page.cut()
+    # A named container that holds most of the text, an article or the headline is a wrapper, not boilerplate.
+    wrappers = page.heads | {n for n, size in page.named.items() if 2 * size > page.whole}
+    if wrappers:
+        page = Lines(frozenset(wrappers))
+        page.feed(html)
+        page.close()
+        page.cut()
     if not page.lines:
         return ""
     size = np.array([len(t) for t, *_ in page.lines])

@@ -118,6 +118,15 @@ def test_op3_main_text(spark):
     assert html_regions.extract_main_text(pages.limit(0)).count() == 0
 
 
+def test_op3_marked_wrappers():
+    body = "This is a sentence of the story. " * 20
+    story = f"<div class='article-header'><h1>Head</h1></div><p>{body}</p><div class='share-buttons'>Share</div>"
+    want = f"Head {body.strip()}"
+    for page in ("<article class='post has-sidebar'>%s</article>", "<article class='comments-open'>%s</article>", "<div id='page' class='header-fixed'><article>%s</article></div>", "<div id='page' class='header-fixed'>%s</div>"):
+        html = "<body>" + page % story + "<div class='sidebar'>More of it</div></body>"
+        assert html_regions.main_text(html) == want, page
+
+
 def packed_right(out, rows, capacity=4096):
     coded = {i: ids_of(t) + [1] for i, t, *_ in rows}
     seqs = collections.defaultdict(list)
