@@ -36,20 +36,23 @@ def fixed_windows(df: DataFrame, id_col: str, text: str, size: int = 1000, overl
     """Windows of ``size`` characters every size - overlap; short ones are dropped unless they touch the end."""
     step = size - overlap if size > overlap else size
     n = F.length(text)
-    rows = df.filter(n > 0).withColumn("start_char", F.explode(F.sequence(F.lit(0), n - 1, F.lit(step))))
-    rows = rows.withColumns({"content": strip(F.expr(f"substring({text}, start_char + 1, {size})")), "end_char": F.least(F.col("start_char") + size, n)})
-    kept = rows.filter((F.length("content") >= min_size) | (F.col("end_char") == n))
-    return kept.withColumn("chunk_index", F.row_number().over(Window.partitionBy(id_col).orderBy("start_char")) - 1)
+    windows = F.transform(F.sequence(F.lit(0), n - 1, F.lit(step)), lambda at: F.struct(at.alias("start_char"), F.least(at + size, n).alias("end_char"), strip(F.substring(F.col(text), at + 1, F.lit(size))).alias("content")))
+    kept = F.filter(windows, lambda w: (F.length(w["content"]) >= min_size) | (w["end_char"] == n))
+    return df.filter(n > 0).select("*", F.posexplode(kept).alias("chunk_index", "__w")).select("*", "__w.*").drop("__w")
 
 
 def paragraphs(df: DataFrame, id_col: str, text: str, min_size: int = 50) -> DataFrame:
     """Blocks between blank lines, with their true offsets."""
-    rows = df.select("*", F.posexplode(F.split(text, "\n\n")).alias("at", "part"))
-    before = Window.partitionBy(id_col).orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumn("offset", F.coalesce(F.sum(F.length("part") + 2).over(before), F.lit(0))).withColumn("content", strip(F.col("part")))
-    rows = rows.filter((F.length("content") > 0) & (F.length("content") >= min_size))
-    rows = rows.withColumn("start_char", F.col("offset") + F.length("part") - F.length(F.regexp_replace("part", r"(?U)^\s+", ""))).withColumn("end_char", F.col("start_char") + F.length("content"))
-    return rows.withColumn("chunk_index", F.row_number().over(Window.partitionBy(id_col).orderBy("at")) - 1).drop("at", "part", "offset")
+    parts = F.split(text, "\n\n")
+    # Running offsets inside the row: each part starts two characters after the one before.
+    ends = F.aggregate(parts, F.array(F.lit(0)), lambda done, p: F.concat(done, F.array(F.element_at(done, -1) + F.length(p) + 2)))
+
+    def block(p: Column, at: Column) -> Column:
+        start = at + F.length(p) - F.length(F.regexp_replace(p, r"(?U)^\s+", ""))
+        return F.struct(strip(p).alias("content"), start.alias("start_char"), (start + F.length(strip(p))).alias("end_char"))
+
+    kept = F.filter(F.zip_with(parts, F.slice(ends, F.lit(1), F.size(parts)), block), lambda w: (F.length(w["content"]) > 0) & (F.length(w["content"]) >= min_size))
+    return df.filter(F.col(text).isNotNull()).select("*", F.posexplode(kept).alias("chunk_index", "__w")).select("*", "__w.*").drop("__w")
 
 
 def overlapped(splits: DataFrame, id_col: str, order_col: str, split_col: str, overlap: int, min_size: int = 0) -> DataFrame:
@@ -79,13 +82,19 @@ def text_stats(text: str) -> dict[str, Column]:
 # Greedy strategies ------------------------------------------------------------------------------------------------
 
 
-def greedy_runs(lengths: list[int], joint: int, limit: int, strict_first: bool = True) -> list[tuple[int, int]]:
-    """Runs [a, b) of pieces, each as long as fits: the sum of lengths plus ``joint`` between pieces is at most ``limit``, a run has a piece at least."""
+def greedy_runs(lengths: list[int], joint: int, limit: int, first_limit: int | None = None, skip_empty: bool = False) -> list[tuple[int, int]]:
+    """Runs [a, b) of pieces, each as long as fits: the sum of lengths plus ``joint`` between pieces is at most ``limit`` (``first_limit`` in the first), a run has a piece at least. With ``skip_empty`` a run begins at a piece that is not empty."""
     ends = np.cumsum(np.asarray(lengths, "i8") + joint)
+    begins = np.flatnonzero(np.asarray(lengths, "i8") > 0)
     runs, a = [], 0
     while a < len(lengths):
-        base = int(ends[a - 1]) if a else 0
-        b = max(a + 1, int(np.searchsorted(ends, base + limit + joint, "right")))
+        if skip_empty:
+            at = int(np.searchsorted(begins, a))
+            if at == len(begins):
+                break
+            a = int(begins[at])
+        base, most = int(ends[a - 1]) if a else 0, limit if runs or first_limit is None else first_limit
+        b = max(a + 1, int(np.searchsorted(ends, base + most + joint, "right")))
         runs.append((a, b))
         a = b
     return runs
@@ -148,7 +157,7 @@ def semantic_chunks(text: str, size: int, overlap: int, short: int = 20) -> list
 
 
 def late_spans(text: str, size: int) -> list[tuple[str, int, int, int]]:
-    """(content, start, end, nth). Joined spaces aren't counted against ``size``; spans beyond it are cut at words."""
+    """(content, start, end, nth). Joined spaces aren't counted against ``size``; spans beyond it are cut at words, the first part of such a span a character earlier."""
     spans: list[str] = []
     held = ""
     for part in (p for p in SPAN_END.split(text) if p.strip()):
@@ -160,7 +169,7 @@ def late_spans(text: str, size: int) -> list[tuple[str, int, int, int]]:
         held = part if len(part) <= size else ""
         if not held:
             tokens = part.split()
-            spans += [" ".join(tokens[a:b]) for a, b in greedy_runs([len(t) for t in tokens], 1, size - 1)]
+            spans += [" ".join(tokens[a:b]) for a, b in greedy_runs([len(t) for t in tokens], 1, size, size - 1)]
     spans += [held] if held else []
     placed = located(text, [s.strip() for s in spans if s.strip()])
     numbers = [i for i, s in enumerate(spans) if s.strip()]
@@ -177,7 +186,7 @@ def raptor_leaves(text: str, size: int) -> list[tuple[str, int, int]]:
             parts = [text[i : i + size] for i in range(0, len(text), size)]
         else:
             pieces = text.split(cut)
-            parts = [p for a, b in greedy_runs([len(p) for p in pieces], len(cut), size) if (p := cut.join(pieces[a:b]))]
+            parts = [cut.join(pieces[a:b]) for a, b in greedy_runs([len(p) for p in pieces], len(cut), size, skip_empty=True)]
     return [(s.strip(), a, b) for s, a, b in located(text, parts)]
 
 
@@ -219,19 +228,28 @@ def raptor(df: DataFrame, id_col: str, text: str, size: int = 1000, min_size: in
     return rows.filter(F.length("content") >= min_size)
 
 
-def raptor_parents(chunks: DataFrame, id_col: str, cluster_size: int = 5, cut: int = 8000, summarise: Callable[[Column], Column] = lambda c: F.substring(c, 1, 500)) -> DataFrame:
-    """One level up by order: every ``cluster_size`` chunks of a document become a parent, named by the hash of its children's hashes."""
-    grouped = chunks.groupBy(id_col, F.floor(F.col("chunk_index") / cluster_size).cast("int").alias("parent_index")).agg(F.array_sort(F.collect_list(F.struct("chunk_index", "content"))).alias("c"), F.max("tree_level").alias("level"))
+def raptor_parents(chunks: DataFrame, id_col: str, cluster_size: int = 5, cut: int = 8000, summarise: Callable[[Column], Column] = lambda c: F.substring(c, 1, 500), vec_col: str | None = None) -> DataFrame:
+    """One level up: clusters of a document's chunks become parents, named by the hash of their children's hashes. Without vectors every ``cluster_size`` chunks are one; with them, documents of more chunks than that are clustered by k-means, clusters numbered as they first occur."""
+    part = F.floor(F.col("chunk_index") / cluster_size).cast("int")
+    if vec_col:
+        found = cluster_chunks(chunks, id_col, vec_col, cluster_size)
+        first = found.groupBy(id_col, "cluster").agg(F.min("chunk_index").alias("first"), F.count("*").alias("rows"))
+        whole = Window.partitionBy(id_col)
+        first = first.select(id_col, "cluster", (F.row_number().over(whole.orderBy("first")) - 1).alias("nth"), (F.sum("rows").over(whole) > cluster_size).alias("many"))
+        chunks = chunks.join(found.join(first, [id_col, "cluster"]).select(id_col, "chunk_index", "nth", "many"), [id_col, "chunk_index"])
+        part = F.when(F.col("many"), F.col("nth")).otherwise(part)
+    grouped = chunks.groupBy(id_col, part.alias("parent_index")).agg(F.array_sort(F.collect_list(F.struct("chunk_index", "content"))).alias("c"), F.max("tree_level").alias("level"))
     contents = F.transform("c", lambda x: x["content"])
     return grouped.select(id_col, F.col("parent_index").alias("chunk_index"), (F.col("level") + 1).alias("tree_level"), F.md5(F.array_join(F.transform(contents, F.md5), "|")).alias("parent_id"), F.size("c").alias("children"), summarise(F.substring(F.array_join(contents, "\n\n---\n\n"), 1, cut)).alias("content"))
 
 
-def raptor_tree(leaves: DataFrame, id_col: str, levels: int = 3, **options) -> DataFrame:
-    """Leaves and up to ``levels`` levels of parents; a document stops where one chunk is left."""
+def raptor_tree(leaves: DataFrame, id_col: str, levels: int = 3, embed: Callable[[DataFrame], DataFrame] | None = None, **options) -> DataFrame:
+    """Leaves and up to ``levels`` levels of parents; a document stops where one chunk is left. ``embed`` adds the column ``vec`` to a level, by which it is clustered."""
     out = level = leaves.select(id_col, "chunk_index", "tree_level", F.lit(None).cast("string").alias("parent_id"), F.lit(0).alias("children"), "content")
     for _ in range(levels):
         many = Window.partitionBy(id_col)
-        level = raptor_parents(level.withColumn("n", F.count("*").over(many)).filter("n > 1"), id_col, **options)
+        below = level.withColumn("n", F.count("*").over(many)).filter("n > 1")
+        level = raptor_parents(embed(below), id_col, vec_col="vec", **options) if embed else raptor_parents(below, id_col, **options)
         out = out.unionByName(level)
     return out
 

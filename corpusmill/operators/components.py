@@ -35,6 +35,8 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
         if got == sign:
             break
         sign = got
+    else:
+        raise RuntimeError(f"components still change after {max_rounds} rounds")
     stars = now.select(F.col("u").alias("node"), F.col("v").alias("component"))
     roots = now.select(F.col("v").alias("node")).distinct().select("node", F.col("node").alias("component"))
     alone = loops.filter("u = v").select(F.col("u").alias("node")).join(stars.unionByName(roots).select("node"), "node", "left_anti").select("node", F.col("node").alias("component"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusmill.functions.text import clamp
+from corpusmill.functions.text import clamp, strip
 
 NOTHING = "No relevant context found."
 
@@ -59,18 +59,42 @@ def plan_steps(reply: Column, default: str = "Answer the question") -> Column:
     return F.when(F.size(steps) == 0, F.array(F.lit(default))).otherwise(steps)
 
 
-def labelled(reply: Column, label: str) -> Column:
-    """The rest of the line after 'LABEL:', any case; null where there is none."""
-    got = F.trim(F.regexp_extract(reply, rf"(?i)\b{label}:[ \t]*([^\n]*)", 1))
-    return F.when(got != "", got)
+def _first(reply: Column, pattern: str) -> Column:
+    """The first group of the pattern's first match; null without one."""
+    got = F.regexp_extract_all(reply, F.lit(pattern), F.lit(1))
+    return F.try_element_at(got, F.lit(1))
 
 
-def grade_fields(reply: Column, relevant_from: float = 0.6) -> dict[str, Column]:
-    """grade, score in [0, 1], needs_correction; what a reply leaves out follows from its score."""
-    raw = labelled(reply, "SCORE").try_cast("double")
-    score = F.coalesce(clamp(raw, 0.0, 1.0), F.lit(0.5))
-    said = F.lower(labelled(reply, "NEEDS_CORRECTION"))
-    return {"grade": F.coalesce(F.lower(labelled(reply, "GRADE")), F.when(score >= relevant_from, "relevant").otherwise("irrelevant")), "score": score, "needs_correction": F.coalesce(said.isin("yes", "true"), score < relevant_from)}
+def _score(reply: Column, default: float) -> Column:
+    """A number after SCORE: in capitals, in [0, 1]; the default where there is none or it isn't one."""
+    return F.coalesce(clamp(_first(reply, r"SCORE:\s*([\d.]+)").try_cast("double"), 0.0, 1.0), F.lit(default))
+
+
+def grade_fields(reply: Column) -> dict[str, Column]:
+    """grade, score in [0, 1], reasoning, needs_correction. Grade and yes or no are read in any case, the other labels in capitals; a reply without a grade is relevant, without a score 0.7, and what it doesn't say of correction follows from its grade."""
+    grade = F.coalesce(F.lower(_first(reply, r"(?i)GRADE:\s*(highly_relevant|relevant|partially_relevant|irrelevant)")), F.lit("relevant"))
+    said = F.lower(_first(reply, r"(?i)NEEDS_CORRECTION:\s*(yes|no)"))
+    reasoning = strip(F.coalesce(_first(reply, r"(?s)REASONING:\s*(.+?)(?=NEEDS_CORRECTION:|\z)"), F.lit("")))
+    return {"grade": grade, "score": _score(reply, 0.7), "reasoning": reasoning, "needs_correction": F.coalesce(said == "yes", grade.isin("irrelevant", "partially_relevant"))}
+
+
+def critique_fields(reply: Column) -> dict[str, Column]:
+    """relevance, support, utility, score, critique, needs_refinement of a self-critique: medium, partially supported, partially useful and 0.6 where a reply doesn't say; refinement follows from support and utility where it doesn't."""
+    relevance = F.coalesce(F.lower(_first(reply, r"(?i)RELEVANCE:\s*(high|medium|low)")), F.lit("medium"))
+    support = F.coalesce(F.lower(_first(reply, r"(?i)SUPPORT:\s*(supported|partially_supported|unsupported)")), F.lit("partially_supported"))
+    utility = F.coalesce(F.lower(_first(reply, r"(?i)UTILITY:\s*(useful|partially_useful|not_useful)")), F.lit("partially_useful"))
+    critique = strip(F.coalesce(_first(reply, r"(?s)CRITIQUE:\s*(.+?)(?:NEEDS_REFINEMENT:|\z)"), F.lit("")))
+    said = F.lower(_first(reply, r"(?i)NEEDS_REFINEMENT:\s*(yes|no)"))
+    return {"relevance": relevance, "support": support, "utility": utility, "score": _score(reply, 0.6), "critique": critique, "needs_refinement": F.coalesce(said == "yes", (support != "supported") | (utility == "not_useful"))}
+
+
+def step_fields(reply: Column) -> dict[str, Column]:
+    """thought, action, answer of a reasoning step, labels in any case, and the tool and input of the action: name[input] or name(input), else a search for the whole of it."""
+    part = lambda label, ends: strip(F.coalesce(_first(reply, rf"(?is){label}:\s*(.+?)(?={ends}\z)"), F.lit("")))
+    action = part("Action", "Observation:|Thought:|Answer:|")
+    tool = F.regexp_extract(action, r"^(\w+)\s*[\[(](.+?)[\])]", 1)
+    given = strip(F.regexp_extract(action, r"^(\w+)\s*[\[(](.+?)[\])]", 2))
+    return {"thought": part("Thought", "Action:|Answer:|"), "action": action, "answer": part("Answer", ""), "tool": F.when(tool != "", F.lower(tool)).otherwise("search"), "tool_input": F.when(tool != "", given).otherwise(action)}
 
 
 def acceptable(supported: Column, utility: Column, refinements: Column, most: int = 2) -> Column:

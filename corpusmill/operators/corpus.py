@@ -5,17 +5,21 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Extension to processor type.
-PROCESSORS = {
-    **dict.fromkeys((".txt", ".md", ".markdown", ".rst", ".log", ".csv", ".json", ".xml", ".yaml", ".yml"), "text"),
-    ".pdf": "pdf",
-    **dict.fromkeys((".docx", ".doc"), "docx"),
-    **dict.fromkeys((".png", ".jpg", ".jpeg", ".gif", ".bmp", ".tiff", ".webp"), "image"),
-    **dict.fromkeys((".xlsx", ".xls"), "excel"),
-    **dict.fromkeys((".html", ".htm"), "html"),
+# The file types of a scan, and of the processors that take them.
+#: Extensions that a scan lists, by type.
+EXTENSIONS = {
+    "text": (".txt", ".md", ".rst", ".log"),
+    "pdf": (".pdf",),
+    "docx": (".docx", ".doc"),
+    "image": (".png", ".jpg", ".jpeg", ".gif", ".bmp", ".tiff", ".webp"),
+    "excel": (".xlsx", ".xls", ".csv"),
+    "html": (".html", ".htm"),
 }
-#: Extensions a registered processor takes; the scan lists more than these.
-PROCESSABLE = (".txt", ".md", ".markdown", ".rst", ".pdf", ".png", ".jpg", ".jpeg", ".gif", ".bmp", ".tiff", ".webp", ".docx")
+#: Extensions that a registered processor takes; the scan lists others too.
+PROCESSABLE = (".txt", ".md", ".markdown", ".rst", ".text", ".pdf", ".docx", ".png", ".jpg", ".jpeg", ".gif", ".bmp", ".tiff", ".webp")
+# End of fixed values.
+
+PROCESSORS = {ext: kind for kind, extensions in EXTENSIONS.items() for ext in extensions}
 
 
 def extension(path: Column) -> Column:
@@ -36,9 +40,9 @@ def scan_audit(files: DataFrame, path: str = "path") -> DataFrame:
 
 def folder_inventory(files: DataFrame, base: str, path: str = "path", max_depth: int = 5) -> DataFrame:
     """Each folder below ``base`` with its own file count, the types of all files below it, and whether any is multimodal. Hidden entries and files at the root are left out."""
-    rel = F.regexp_replace(F.col(path), "^" + base.rstrip("/") + "/", "")
-    parts = F.split(rel, "/")
-    rows = files.select(parts.alias("parts"), processor_type(F.col(path)).alias("type")).filter((F.size("parts") > 1) & ~F.exists("parts", lambda p: p.startswith(".")))
+    root = base.rstrip("/") + "/"
+    parts = F.split(F.substring(F.col(path), len(root) + 1, 1 << 30), "/")
+    rows = files.filter(F.col(path).startswith(root)).select(parts.alias("parts"), processor_type(F.col(path)).alias("type")).filter((F.size("parts") > 1) & ~F.exists("parts", lambda p: p.startswith(".")))
     depth = F.size("parts") - 1
     rows = rows.select("type", depth.alias("depth"), F.explode(F.transform(F.sequence(F.lit(1), F.least(depth, F.lit(max_depth))), lambda i: F.struct(i.alias("level"), F.array_join(F.slice("parts", F.lit(1), i), "/").alias("folder")))).alias("f"))
     return rows.groupBy(F.col("f.folder").alias("folder")).agg(F.count_if(F.col("f.level") == F.col("depth")).alias("file_count"), F.array_sort(F.collect_set("type")).alias("types"), F.bool_or(F.coalesce(F.col("type").isin("image", "pdf"), F.lit(False))).alias("has_multimodal"))
@@ -60,6 +64,23 @@ def new_only(incoming: DataFrame, stored: DataFrame, *keys: str) -> DataFrame:
     return incoming.join(stored.select(*keys).distinct(), list(keys), "left_anti")
 
 
+def insert_new(stored: DataFrame, incoming: DataFrame, *keys: str) -> DataFrame:
+    """The store with the incoming rows whose key it doesn't have; of those that repeat a key the first by their other columns."""
+    rest = [c for c in incoming.columns if c not in keys]
+    one = incoming.groupBy(*keys).agg(F.min(F.struct(*rest)).alias("row")).select(*keys, "row.*") if rest else incoming.distinct()
+    return stored.unionByName(new_only(one, stored, *keys).select(*stored.columns))
+
+
+def full_refresh(config: str, files: DataFrame, *children: tuple[DataFrame, str], keep_history: bool = True, history: DataFrame | None = None) -> list[DataFrame]:
+    """What stays when a configuration is loaded anew: its files go, so do rows of the tables in ``children`` (table, key to files) and, unless kept, its history."""
+    gone = files.filter(F.col("config_id") == config)
+    left = [files.filter(~F.col("config_id").eqNullSafe(F.lit(config)))]
+    left += [table.join(gone.select(key).distinct(), key, "left_anti") for table, key in children]
+    if history is not None:
+        left.append(history if keep_history else history.filter(~F.col("config_id").eqNullSafe(F.lit(config))))
+    return left
+
+
 def latest_per(df: DataFrame, key: str, *order: str) -> DataFrame:
     """The newest row of each key, ties to the largest of the later columns."""
     rest = [c for c in df.columns if c != key]
@@ -93,4 +114,4 @@ def page(df: DataFrame, skip: int, limit: int, *order: Column) -> DataFrame:
 def folder_of(path: Column, base: str) -> Column:
     """Parent folder relative to ``base``: '.' for files in it, the whole parent outside it."""
     parent, root = F.regexp_replace(path, "/[^/]*$", ""), base.rstrip("/")
-    return F.when(parent == root, ".").when(parent.startswith(root + "/"), F.regexp_replace(parent, f"^{root}/", "")).otherwise(parent)
+    return F.when(parent == root, ".").when(parent.startswith(root + "/"), F.substring(parent, len(root) + 2, 1 << 30)).otherwise(parent)

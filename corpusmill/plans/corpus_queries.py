@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from corpusmill.operators import corpus as C
 from corpusmill.plans.registry import CHUNKS, FILES, JOBS, chunks, files, jobs, query
 
-KIND = "CASE WHEN ext IN ('txt','md','rst','log','csv') THEN 'text' WHEN ext = 'pdf' THEN 'pdf' WHEN ext = 'html' THEN 'html' END"
+KIND = "CASE WHEN ext IN ('txt','md','rst','log') THEN 'text' WHEN ext IN ('csv','xls','xlsx') THEN 'excel' WHEN ext = 'pdf' THEN 'pdf' WHEN ext = 'html' THEN 'html' END"
 EXT = "files2 AS (SELECT *, regexp_extract(path, '\\.([a-z]+)$', 1) AS ext FROM files)"
 IDEM = "idem AS (SELECT *, sha256(config_id || ':' || md5(CAST(user_id AS VARCHAR))) AS idem FROM jobs)"
 
@@ -22,7 +22,7 @@ def a2_processor_type(t):
     return files(t).select("path", C.processor_type(F.col("path")).alias("processor"))
 
 
-@query(f"SELECT status, ext, count(*) AS n FROM (SELECT CASE WHEN {KIND} IS NULL THEN 'skipped' WHEN ext IN ('log','csv','html') THEN 'unprocessable' ELSE 'ok' END AS status, ext FROM files2) GROUP BY 1, 2", FILES, EXT)
+@query(f"SELECT status, ext, count(*) AS n FROM (SELECT CASE WHEN {KIND} IS NULL THEN 'skipped' WHEN ext NOT IN ('txt','md','rst','pdf','docx','png','jpg') THEN 'unprocessable' ELSE 'ok' END AS status, ext FROM files2) GROUP BY 1, 2", FILES, EXT)
 def a3_scan_audit(t):
     return C.scan_audit(files(t)).groupBy("status", F.expr("substring(regexp_extract(path, '(\\\\.[a-z]+)$', 1), 2)").alias("ext")).agg(F.count("*").alias("n"))
 
@@ -50,11 +50,19 @@ def a12_unique_keys(t):
     return C.duplicate_keys(files(t).select("config_id", F.concat(F.lit("/data/"), "folder").alias("file_path")), "config_id", "file_path")
 
 
-@query("SELECT config_id, count(DISTINCT doc_id) AS documents, count(*) AS chunks FROM chunks JOIN (SELECT doc_id, config_id FROM files) USING (doc_id) WHERE config_id <> 'cfg1' GROUP BY 1", CHUNKS, FILES)
+@query("SELECT * FROM (SELECT config_id, 'chunks' AS part, count(*) AS n FROM chunks JOIN (SELECT doc_id, config_id FROM files) USING (doc_id) GROUP BY 1 UNION ALL SELECT config_id, 'files', count(*) FROM files GROUP BY 1 UNION ALL SELECT 'cfg' || (o_custkey % 10), 'jobs', count(*) FROM orders GROUP BY 1) WHERE config_id <> 'cfg1'", CHUNKS, FILES)
 def a13_refresh_delete(t):
-    gone = files(t).filter("config_id = 'cfg1'").select("doc_id")
-    left = chunks(t).join(gone, "doc_id", "left_anti")
-    return left.join(files(t).select("doc_id", "config_id"), "doc_id").groupBy("config_id").agg(F.countDistinct("doc_id").alias("documents"), F.count("*").alias("chunks"))
+    f, c, j = C.full_refresh("cfg1", files(t), (chunks(t), "doc_id"), keep_history=False, history=jobs(t))
+    parts = [("files", f), ("chunks", c.join(files(t).select("doc_id", "config_id"), "doc_id")), ("jobs", j)]
+    counts = [d.groupBy("config_id").agg(F.count("*").alias("n")).select("config_id", F.lit(name).alias("part"), "n") for name, d in parts]
+    return counts[0].unionByName(counts[1]).unionByName(counts[2])
+
+
+@query("SELECT doc_id, lang, source FROM (SELECT doc_id, lang, source FROM documents WHERE doc_id % 3 <> 0 UNION SELECT doc_id, lang, source FROM documents WHERE doc_id % 3 = 0)")
+def a12_store_insert(t):
+    d = t("documents").select("doc_id", "lang", "source")
+    some = d.filter("doc_id % 3 <> 0")
+    return C.insert_new(some, d.unionByName(d.filter("doc_id % 2 = 0")), "doc_id")
 
 
 @query("SELECT job_id, config_id, status, total FROM (SELECT *, (SELECT count(*) FROM jobs WHERE config_id = 'cfg3') AS total FROM jobs WHERE config_id = 'cfg3' ORDER BY created_at DESC, job_id LIMIT 20 OFFSET 40)", JOBS)

@@ -284,11 +284,46 @@ def m5_listed_replies(t):
     return t("benchmark").select("item_id", F.array_join(X.listed_queries(q), "|").alias("queries"), F.array_join(X.plan_steps(p), "|").alias("plan"))
 
 
-@query("SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'relevant' WHEN 1 THEN 'partially_relevant' ELSE 'irrelevant' END AS grade, CASE doc_id % 3 WHEN 0 THEN 0.9 WHEN 1 THEN 1.0 ELSE 0.5 END::DOUBLE AS score, CASE doc_id % 3 WHEN 0 THEN false WHEN 1 THEN true ELSE true END AS needs_correction FROM labels")
+# Replies as SQL text of each row, and the rules of each parser stated on them.
+REPLY = "replies AS (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'Score: 0.9' || chr(10) || 'REASONING: fine' || chr(10) || 'so NEEDS_CORRECTION: NO' WHEN 1 THEN 'grade: Partially_Relevant' || chr(10) || 'SCORE: 3' WHEN 2 THEN 'I can''t say' ELSE 'GRADE: irrelevant SCORE: 0.25 REASONING: off' || chr(10) || 'topic' END AS r FROM labels)"
+SCORED = "least(1.0, greatest(0.0, coalesce(try_cast(nullif(regexp_extract(r, 'SCORE:\\s*([\\d.]+)', 1), '') AS DOUBLE), {})))::DOUBLE AS score"
+
+
+def replies(t):
+    m = F.col("doc_id") % 4
+    r = F.when(m == 0, F.lit("Score: 0.9\nREASONING: fine\nso NEEDS_CORRECTION: NO")).when(m == 1, F.lit("grade: Partially_Relevant\nSCORE: 3")).when(m == 2, F.lit("I can't say")).otherwise(F.lit("GRADE: irrelevant SCORE: 0.25 REASONING: off\ntopic"))
+    return t("labels").select("doc_id", r.alias("r"))
+
+
+@query(f"""SELECT doc_id, grade, score, reasoning, coalesce(said = 'yes', grade IN ('irrelevant', 'partially_relevant')) AS needs_correction FROM (SELECT doc_id, {SCORED.format(0.7)},
+    coalesce(nullif(lower(regexp_extract(r, 'GRADE:\\s*(highly_relevant|relevant|partially_relevant|irrelevant)', 1, 'i')), ''), 'relevant') AS grade,
+    trim(CASE WHEN contains(r, 'REASONING:') THEN string_split(string_split(r, 'REASONING:')[2], 'NEEDS_CORRECTION:')[1] ELSE '' END, chr(10) || ' ') AS reasoning,
+    nullif(lower(regexp_extract(r, 'NEEDS_CORRECTION:\\s*(yes|no)', 1, 'i')), '') AS said FROM replies)""", REPLY)
 def m6_labelled_replies(t):
+    return replies(t).select("doc_id", *[c.alias(n) for n, c in X.grade_fields(F.col("r")).items()])
+
+
+CRITIQUE = "critiques AS (SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'RELEVANCE: High' || chr(10) || 'support: supported' || chr(10) || 'UTILITY: useful' || chr(10) || 'SCORE: 0.8' || chr(10) || 'CRITIQUE: good ' || chr(10) || 'NEEDS_REFINEMENT: yes' WHEN 1 THEN 'SUPPORT: supported UTILITY: not_useful CRITIQUE: vague' ELSE 'nothing' END AS r FROM labels)"
+
+
+@query(f"""SELECT doc_id, relevance, support, utility, score, critique, coalesce(said = 'yes', support <> 'supported' OR utility = 'not_useful') AS needs_refinement FROM (SELECT doc_id, {SCORED.format(0.6)},
+    coalesce(nullif(lower(regexp_extract(r, 'RELEVANCE:\\s*(high|medium|low)', 1, 'i')), ''), 'medium') AS relevance,
+    coalesce(nullif(lower(regexp_extract(r, 'SUPPORT:\\s*(supported|partially_supported|unsupported)', 1, 'i')), ''), 'partially_supported') AS support,
+    coalesce(nullif(lower(regexp_extract(r, 'UTILITY:\\s*(useful|partially_useful|not_useful)', 1, 'i')), ''), 'partially_useful') AS utility,
+    trim(CASE WHEN contains(r, 'CRITIQUE:') THEN string_split(string_split(r, 'CRITIQUE:')[2], 'NEEDS_REFINEMENT:')[1] ELSE '' END, chr(10) || ' ') AS critique,
+    nullif(lower(regexp_extract(r, 'NEEDS_REFINEMENT:\\s*(yes|no)', 1, 'i')), '') AS said FROM critiques)""", CRITIQUE)
+def m6_critique_replies(t):
     m = F.col("doc_id") % 3
-    reply = F.when(m == 0, F.lit("Score: 0.9\nreasoning: fine")).when(m == 1, F.lit("GRADE: Partially_Relevant\nSCORE: 3\nNEEDS_CORRECTION: yes")).otherwise(F.lit("I can't say"))
-    return t("labels").select("doc_id", reply.alias("r")).select("doc_id", *[c.alias(n) for n, c in X.grade_fields(F.col("r")).items()])
+    r = F.when(m == 0, F.lit("RELEVANCE: High\nsupport: supported\nUTILITY: useful\nSCORE: 0.8\nCRITIQUE: good \nNEEDS_REFINEMENT: yes")).when(m == 1, F.lit("SUPPORT: supported UTILITY: not_useful CRITIQUE: vague")).otherwise(F.lit("nothing"))
+    return t("labels").select("doc_id", r.alias("r")).select("doc_id", *[c.alias(n) for n, c in X.critique_fields(F.col("r")).items()])
+
+
+@query("""SELECT doc_id, CASE doc_id % 3 WHEN 2 THEN '' ELSE 'look ' || doc_id END AS thought, CASE doc_id % 3 WHEN 0 THEN 'Search[term ' || doc_id || ']' WHEN 1 THEN 'find it' ELSE '' END AS action, CASE doc_id % 3 WHEN 2 THEN 'done' || chr(10) || 'now' ELSE '' END AS answer,
+    'search' AS tool, CASE doc_id % 3 WHEN 0 THEN 'term ' || doc_id WHEN 1 THEN 'find it' ELSE '' END AS tool_input FROM labels""")
+def m6_step_replies(t):
+    m, i = F.col("doc_id") % 3, F.col("doc_id").cast("string")
+    r = F.when(m == 0, F.concat(F.lit("Thought: look "), i, F.lit("\nAction: Search[term "), i, F.lit("]\nObservation: x"))).when(m == 1, F.concat(F.lit("thought: look "), i, F.lit("\nACTION: find it"))).otherwise(F.lit("Answer: done\nnow"))
+    return t("labels").select("doc_id", r.alias("r")).select("doc_id", *[c.alias(n) for n, c in X.step_fields(F.col("r")).items()])
 
 
 @query("SELECT doc_id, (quality = 1 AND doc_id % 3 <> 2) OR doc_id % 4 >= 2 AS accepted FROM labels")

@@ -41,6 +41,67 @@ def test_recursive_splits_keep_all_letters_and_fit(text, size):
     assert all(len(p) <= size for p in parts)
 
 
+def plain_hard_split(text, most):
+    """Words gathered one by one; each counts one more, but the first of a later part."""
+    parts, now, n = [], [], 0
+    for w in text.split():
+        if now and n + len(w) + 1 > most:
+            parts.append(" ".join(now))
+            now, n = [w], len(w)
+        else:
+            now.append(w)
+            n += len(w) + 1
+    return parts + ([" ".join(now)] if now else [])
+
+
+@settings(deadline=None)
+@given(st.lists(st.text(alphabet="ab", min_size=1, max_size=9), min_size=1, max_size=30), st.integers(3, 25))
+def test_late_spans_cut_long_spans_at_words(words, size):
+    text = " ".join(words)
+    got = [s for s, *_ in C.late_spans(text, size)]
+    assert got == (plain_hard_split(text, size) if len(text) > size else [text])
+
+
+def test_late_spans_of_one_example():
+    assert [s for s, *_ in C.late_spans("aaa bbb ccc ddd", 7)] == ["aaa", "bbb ccc", "ddd"]
+
+
+def plain_leaves(text, size):
+    """Pieces joined one by one; a part begins at a piece that is not empty."""
+    if len(text) <= size:
+        return [text] if text.strip() else []
+    cut = next((s for s in ("\n\n", "\n", ". ", " ") if s in text), None)
+    if cut is None:
+        return [text[i : i + size] for i in range(0, len(text), size)]
+    parts, now = [], ""
+    for piece in text.split(cut):
+        wider = f"{now}{cut}{piece}" if now else piece
+        if len(wider) > size:
+            parts += [now] if now else []
+            wider = piece
+        now = wider
+    return parts + ([now] if now else [])
+
+
+@settings(deadline=None, max_examples=300)
+@given(st.text(alphabet="ab. \n", max_size=120), st.integers(1, 30))
+def test_raptor_leaves_against_a_plain_loop(text, size):
+    assert [c for c, *_ in C.raptor_leaves(text, size)] == [p.strip() for p in plain_leaves(text, size)]
+
+
+def test_raptor_levels_by_vectors(spark):
+    rows = [(1, i, 0, f"chunk {i}", [float(i % 2 * 10), float(i)]) for i in range(12)] + [(2, i, 0, f"few {i}", [0.0, 0.0]) for i in range(3)]
+    chunks = spark.createDataFrame(rows, "doc_id long, chunk_index int, tree_level int, content string, vec array<double>")
+    got = {(r["doc_id"], r["chunk_index"]): r for r in C.raptor_parents(chunks, "doc_id", vec_col="vec").collect()}
+    own = C.kmeans_clusters(np.array([r[4] for r in rows[:12]]), 2).tolist()
+    order = list(dict.fromkeys(own))
+    for nth, c in enumerate(order):
+        assert got[(1, nth)]["content"] == "\n\n---\n\n".join(f"chunk {i}" for i in range(12) if own[i] == c)
+    assert got[(2, 0)]["children"] == 3 and len(got) == len(order) + 1
+    tree = C.raptor_tree(chunks.drop("vec"), "doc_id", embed=lambda d: d.withColumn("vec", F.array(F.length("content").cast("double"), F.col("chunk_index").cast("double"))))
+    assert {(r["doc_id"], r["tree_level"]) for r in tree.collect()} >= {(1, 0), (1, 1), (2, 0), (2, 1)}
+
+
 @settings(deadline=None)
 @given(st.lists(st.sampled_from(["One two three four five six.", "Is it?", "No!", "Längere Sätze gehen auch."]), min_size=1, max_size=12))
 def test_semantic_chunks_cover_sentences(sentences):
