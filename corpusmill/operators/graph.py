@@ -92,7 +92,7 @@ def induced_edges(edges: DataFrame, nodes: DataFrame, by: str = "seed") -> DataF
 
 
 def shortest_paths(edges: DataFrame, pairs: DataFrame, max_depth: int = 5) -> DataFrame:
-    """pairs: pair, a, b. Node path of fewest steps, ties to the smallest path; [a] for a = b, null beyond ``max_depth``. Of the paths to a node at its first level only the smallest is carried on."""
+    """pairs: pair, a, b. Node path of fewest steps, ties to the smallest path; empty for a = b, null beyond ``max_depth``. Of the paths to a node at its first level only the smallest is carried on."""
     ws = Workspace(edges.sparkSession, "paths")
     links = undirected(edges.select("src", "dst")).distinct()
     front = ws.keep(pairs.select("pair", "b", F.col("a").alias("node"), F.array("a").alias("path")), "front0")
@@ -104,7 +104,7 @@ def shortest_paths(edges: DataFrame, pairs: DataFrame, max_depth: int = 5) -> Da
         seen, hits = seen.unionByName(front.select("pair", "node")), hits.unionByName(front.filter("node = b").select("pair", "path"))
         if front.isEmpty():
             break
-    return pairs.select("pair").join(hits, "pair", "left")
+    return pairs.select("pair").join(hits, "pair", "left").withColumn("path", F.when(F.size("path") == 1, F.slice("path", 1, 0)).otherwise(F.col("path")))
 
 
 def cascade_delete(nodes: DataFrame, edges: DataFrame, gone: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -132,13 +132,14 @@ def inner_relations(relations: DataFrame, members: DataFrame, loops: bool = True
 
 
 def label_communities(edges: DataFrame, rounds: int = 10) -> DataFrame:
-    """(node, label) by weighted label propagation: a node takes the label with most weight around it, ties to the smallest; nodes of alternating parity move in turn, so labels settle. Each round is a partial sum and a partial maximum."""
+    """(node, label) by weighted label propagation: a node takes the label with most weight around it, ties to the smallest; nodes of alternating parity (of a hash) move in turn, so labels settle. ``rounds`` bounds the effort; labels of any round are communities. Each round is a partial sum and a partial maximum."""
     ws = Workspace(edges.sparkSession, "labels")
     links = ws.keep(undirected(edges.groupBy("src", "dst").agg(F.sum("weight").alias("w"))), "links")
     labels = ws.keep(links.select(F.col("u").alias("node")).distinct().select("node", F.col("node").alias("label")), "labels0")
     for i in range(rounds):
         heard = links.join(labels, links["v"] == labels["node"]).groupBy("u", "label").agg(F.sum("w").alias("w"))
-        best = heard.groupBy("u").agg(F.max_by("label", F.struct("w", (-F.xxhash64("label")).alias("t"))).alias("new"))
+        most = heard.groupBy("u").agg(F.max("w").alias("w"))
+        best = heard.join(most, ["u", "w"]).groupBy("u").agg(F.min("label").alias("new"))
         turn = F.pmod(F.xxhash64("node"), F.lit(2)) == i % 2
         new = ws.keep(labels.join(best, labels["node"] == best["u"]).select("node", F.when(turn, F.col("new")).otherwise(F.col("label")).alias("label"), (turn & (F.col("new") != F.col("label"))).alias("moved")), f"labels{i + 1}")
         moved = new.filter("moved").count()
@@ -148,13 +149,13 @@ def label_communities(edges: DataFrame, rounds: int = 10) -> DataFrame:
     return labels
 
 
-def modularity(edges: DataFrame, labels: DataFrame) -> DataFrame:
-    """One row: q. Weight inside communities less what chance would put there."""
+def modularity(edges: DataFrame, labels: DataFrame, resolution: float = 1.0) -> DataFrame:
+    """One row: q. Weight inside communities less ``resolution`` times what chance would put there."""
     a, b = labels.select(F.col("node").alias("src"), F.col("label").alias("la")), labels.select(F.col("node").alias("dst"), F.col("label").alias("lb"))
     rows = edges.join(a, "src").join(b, "dst")
     total = rows.agg(F.sum("weight").alias("m"), F.sum(F.when(F.col("la") == F.col("lb"), F.col("weight")).otherwise(0.0)).alias("inside"))
     degree = rows.select("weight", F.explode(F.array("la", "lb")).alias("label")).groupBy("label").agg(F.sum("weight").alias("d")).agg(F.sum(F.col("d") * F.col("d")).alias("dd"))
-    return total.crossJoin(degree).select((F.col("inside") / F.col("m") - F.col("dd") / (4 * F.col("m") * F.col("m"))).alias("q"))
+    return total.crossJoin(degree).select((F.col("inside") / F.col("m") - resolution * F.col("dd") / (4 * F.col("m") * F.col("m"))).alias("q"))
 
 
 def digests(members: DataFrame, relations: DataFrame) -> DataFrame:

@@ -11,8 +11,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from corpusmill.functions.text import terms
+from corpusmill.workspace import Workspace
 
-BLOCK_QUERIES = 4096
+#: Vectors of a block: of queries, and of chunks that meet them.
+BLOCK_QUERIES, BLOCK_CHUNKS = 2048, 4096
 
 
 def top_k(scored: DataFrame, k: int, by: str = "query_id", score: str = "score", tie: str = "chunk_id") -> DataFrame:
@@ -20,61 +22,63 @@ def top_k(scored: DataFrame, k: int, by: str = "query_id", score: str = "score",
     return scored.withColumn("rank", F.row_number().over(Window.partitionBy(by).orderBy(F.col(score).desc(), tie))).filter(F.col("rank") <= k)
 
 
-def _scores(ids: pa.Array, matrix: np.ndarray, k: int):
+def _blocks(rows: int, id_type: pa.DataType):
+    """Batches of (id, vector) as rows of unit vectors of one length: ids, n, their bytes. Null vectors have length 0."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, len(whole), rows):
+                batch = whole.slice(at, rows)
+                vectors = batch.column(1).to_numpy(zero_copy_only=False)
+                sizes = np.array([0 if v is None else len(v) for v in vectors])
+                for n in np.unique(sizes):
+                    own = np.flatnonzero(sizes == n)
+                    x = np.stack([np.asarray(vectors[i], "f8") for i in own]) if n else np.zeros((len(own), 0))
+                    norm = np.linalg.norm(x, axis=1)
+                    x = np.divide(x, norm[:, None], out=np.zeros_like(x), where=norm[:, None] > 0)
+                    ids = pa.array([batch.column(0).take(pa.array(own)).to_pylist()], pa.list_(id_type))
+                    yield pa.RecordBatch.from_arrays([ids, pa.array([n], pa.int32()), pa.array([x.tobytes()], pa.binary())], names=["ids", "n", "x"])
+
+    return run
+
+
+def _best_of_blocks(k: int, q_type: pa.DataType, c_type: pa.DataType):
+    """Pairs of blocks (chunks, queries): each query's k best of the block, all that tie with the last too, so that ties are settled by id over all blocks. Vectors of another length than the query's score 0."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        qn = np.linalg.norm(matrix, axis=1)
-        unit = np.divide(matrix, qn[:, None], out=np.zeros_like(matrix), where=qn[:, None] > 0)
         for batch in batches:
-            vectors = batch.column(1).to_numpy(zero_copy_only=False)
-            fit = np.array([v is not None and len(v) == matrix.shape[1] for v in vectors], bool)
-            x = np.zeros((len(vectors), matrix.shape[1]))
-            if fit.any():
-                x[fit] = np.stack(vectors[fit])
-            n = np.linalg.norm(x, axis=1)
-            x = np.divide(x, n[:, None], out=np.zeros_like(x), where=n[:, None] > 0)
-            s = unit @ x.T
-            # All that tie with the k-th stay, so that ties are settled by id over all batches.
-            m = min(k, len(vectors))
-            least = -np.partition(-s, m - 1, axis=1)[:, m - 1] if m else np.zeros(len(s))
-            q, c = np.nonzero(s >= least[:, None])
-            yield pa.RecordBatch.from_arrays([ids.take(pa.array(q)), batch.column(0).take(pa.array(c)), pa.array(s[q, c])], names=["query_id", "chunk_id", "score"])
+            for ids, n, x, qids, qn, q in zip(*(batch.column(i).to_pylist() for i in range(6))):
+                s = np.zeros((len(qids), len(ids)))
+                if n == qn and n:
+                    s = np.frombuffer(q).reshape(-1, n) @ np.frombuffer(x).reshape(-1, n).T
+                m = min(k, len(ids))
+                least = -np.partition(-s, m - 1, axis=1)[:, m - 1]
+                r, c = np.nonzero(s >= least[:, None])
+                yield pa.RecordBatch.from_arrays([pa.array(qids, q_type).take(pa.array(r)), pa.array(ids, c_type).take(pa.array(c)), pa.array(s[r, c])], names=["query_id", "chunk_id", "score"])
 
     return run
 
 
 def exact_top_k(chunks: DataFrame, queries: DataFrame, k: int, min_score: float | None = None, chunk_id: str = "chunk_id", vec: str = "embedding") -> DataFrame:
-    """Cosine top-k of every query over all chunks, in blocks of queries whose matrix goes to the tasks; each batch sends on its best k only. The threshold applies after the cut."""
-    id_type = chunks.schema[chunk_id].dataType.simpleString()
-    q_type = queries.schema["query_id"].dataType.simpleString()
-    rows = queries.select("query_id", F.col("q").cast("array<double>")).orderBy("query_id").toLocalIterator()
-    out, block = None, []
-
-    def flush() -> None:
-        nonlocal out
-        if block:
-            ids, matrix = pa.array([r[0] for r in block], to_arrow_type(queries.schema["query_id"].dataType)), np.array([r[1] for r in block], "f8")
-            part = chunks.select(F.col(chunk_id), F.col(vec).cast("array<double>")).mapInArrow(_scores(ids, matrix, k), f"query_id {q_type}, chunk_id {id_type}, score double")
-            out = part if out is None else out.unionByName(part)
-            block.clear()
-
-    for r in rows:
-        block.append(r)
-        if len(block) == BLOCK_QUERIES:
-            flush()
-    flush()
-    if out is None:
-        return chunks.sparkSession.createDataFrame([], f"query_id {q_type}, chunk_id {id_type}, score double, rank int")
-    best = top_k(out, k)
+    """Cosine top-k of every query over all chunks. Both sides become tables of blocks, whose pairs are matrix products; each sends on its best k a query only. The threshold applies after the cut."""
+    ws = Workspace(chunks.sparkSession, "top-k")
+    c_type, q_type = chunks.schema[chunk_id].dataType, queries.schema["query_id"].dataType
+    block = lambda rows, name, kind, size: ws.keep(rows.mapInArrow(_blocks(size, to_arrow_type(kind)), f"ids array<{kind.simpleString()}>, n int, x binary"), name)
+    left = block(chunks.select(F.col(chunk_id), F.col(vec).cast("array<double>")), "chunks", c_type, BLOCK_CHUNKS)
+    right = block(queries.select("query_id", F.col("q").cast("array<double>")), "queries", q_type, BLOCK_QUERIES)
+    pairs = left.crossJoin(right.select(F.col("ids").alias("qids"), F.col("n").alias("qn"), F.col("x").alias("q")))
+    best = top_k(pairs.mapInArrow(_best_of_blocks(k, to_arrow_type(q_type), to_arrow_type(c_type)), f"query_id {q_type.simpleString()}, chunk_id {c_type.simpleString()}, score double"), k)
     return best if min_score is None else best.filter(F.col("score") >= min_score)
 
 
 # Keyword retrieval ------------------------------------------------------------------------------------------------
 
 
-def postings(chunks: DataFrame, chunk_id: str = "chunk_id", content: str = "content") -> DataFrame:
-    """chunk_id, term, tf, dl (terms of the chunk)."""
-    t = chunks.select(F.col(chunk_id).alias("chunk_id"), terms(F.col(content)).alias("t")).withColumn("dl", F.size("t"))
-    return t.select("chunk_id", "dl", F.explode("t").alias("term")).groupBy("chunk_id", "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
+def postings(chunks: DataFrame, wanted: DataFrame | None = None, chunk_id: str = "chunk_id", content: str = "content") -> DataFrame:
+    """chunk_id, term, tf, dl (terms of the chunk). With ``wanted`` (term) only those terms, taken out before anything is counted or shuffled."""
+    t = chunks.select(F.col(chunk_id).alias("chunk_id"), terms(F.col(content)).alias("t")).select("chunk_id", F.size("t").alias("dl"), F.explode("t").alias("term"))
+    t = t if wanted is None else t.join(wanted, "term", "left_semi")
+    return t.groupBy("chunk_id", "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
 
 
 def query_terms(queries: DataFrame, text: str = "query") -> DataFrame:
@@ -84,13 +88,13 @@ def query_terms(queries: DataFrame, text: str = "query") -> DataFrame:
 
 def bm25(chunks: DataFrame, wanted: DataFrame, k1: float = 1.2, b: float = 0.75, content: str = "content") -> DataFrame:
     """query_id, chunk_id, score over chunks with any wanted term. Only postings of wanted terms are joined; hot terms are split by the engine as a skewed join."""
-    sizes = chunks.select(F.size(terms(F.col(content))).alias("dl"))
-    totals = sizes.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
-    found = postings(chunks, content=content).join(wanted.select("term").distinct(), "term", "left_semi")
+    ws = Workspace(chunks.sparkSession, "bm25")
+    totals = chunks.select(F.size(terms(F.col(content))).alias("dl")).agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl")).first()
+    found = ws.keep(postings(chunks, wanted.select("term").distinct(), content=content), "postings")
     df = found.groupBy("term").agg(F.count("*").alias("df"))
-    idf = df.crossJoin(F.broadcast(totals)).select("term", "avgdl", F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
+    idf = df.select("term", F.log(1 + (totals["n"] - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
     met = found.join(idf, "term").join(wanted, "term")
-    part = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
+    part = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.lit(totals["avgdl"] or 1.0)))
     return met.groupBy("query_id", "chunk_id").agg(F.sum(part).alias("score"))
 
 
@@ -203,16 +207,27 @@ def method_of(name: Column) -> Column:
     return F.coalesce(F.try_element_at(lookup, F.lower(name)), F.lit("vector"))
 
 
-def ann_top_k(chunks: DataFrame, queries: DataFrame, k: int, cells: int = 32, probe: int = 8, seed: int = 5, sample: int = 20_000) -> DataFrame:
-    """Approximate cosine top-k: centroids fitted on a bounded sample, each chunk in its nearest cell, each query in its ``probe`` nearest; candidates meet on the cell and are scored exactly. Every chunk is indexed."""
+def ann_top_k(chunks: DataFrame, queries: DataFrame, k: int, recall: float = 0.95, seed: int = 5, sample: int = 20_000, asked: int = 200) -> DataFrame:
+    """Approximate cosine top-k: as many centroids as the square root of the rows, fitted on a bounded sample; each chunk in its nearest cell, each query in its nearest few; candidates meet on the cell, salted where a cell is large, and are scored exactly. Every chunk is indexed. How many cells a query looks into is tried on ``asked`` rows of the sample: the fewest that give ``recall`` there."""
+    spark = chunks.sparkSession
     unit = lambda x: x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
     n = chunks.count()
-    some = chunks.select("embedding").filter(F.pmod(F.xxhash64("chunk_id", F.lit(seed)), F.lit(1 << 20)) < F.lit(int((1 << 20) * min(1.0, sample / max(1, n))))).limit(2 * sample).collect()
+    some = chunks.select("embedding").filter("embedding is not null").filter(F.pmod(F.xxhash64("chunk_id", F.lit(seed)), F.lit(1 << 20)) < F.lit(int((1 << 20) * min(1.0, sample / max(1, n))))).limit(2 * sample).collect()
     x = unit(np.array([r[0] for r in some], "f8"))
-    centre = x[np.random.default_rng(seed).choice(len(x), min(cells, len(x)), replace=False)]
+    cells = max(1, min(len(x), int(n**0.5)))
+    rng = np.random.default_rng(seed)
+    centre = x[rng.choice(len(x), cells, replace=False)]
     for _ in range(8):
         own = (x @ centre.T).argmax(1)
-        centre = unit(np.stack([x[own == c].mean(0) if (own == c).any() else centre[c] for c in range(len(centre))]))
+        sums = np.zeros_like(centre)
+        np.add.at(sums, own, x)
+        centre = np.where((np.bincount(own, minlength=cells) > 0)[:, None], unit(sums), centre)
+    own = (x @ centre.T).argmax(1)
+    q = x[rng.choice(len(x), min(asked, len(x)), replace=False)]
+    place = np.argsort(np.argsort(-(q @ centre.T), axis=1), axis=1)  # the how-many-eth cell each one is for a query
+    near = np.argsort(-(q @ x.T), axis=1)[:, : k + 1]
+    needed = np.sort(place[np.arange(len(q))[:, None], own[near]].ravel())
+    probe = int(needed[min(len(needed) - 1, int(np.ceil(recall * len(needed))))]) + 1
 
     def cell(count: int):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -227,6 +242,9 @@ def ann_top_k(chunks: DataFrame, queries: DataFrame, k: int, cells: int = 32, pr
     from corpusmill.functions.vectors import cosine
 
     c_type, q_type = chunks.schema["chunk_id"].dataType.simpleString(), queries.schema["query_id"].dataType.simpleString()
-    c = chunks.select("chunk_id", F.col("embedding").cast("array<double>").alias("v")).mapInArrow(cell(1), f"chunk_id {c_type}, v array<double>, cell int")
-    q = queries.select("query_id", F.col("q").cast("array<double>").alias("q")).mapInArrow(cell(probe), f"query_id {q_type}, q array<double>, cell int")
-    return top_k(c.join(q, "cell").select("query_id", "chunk_id", cosine(F.col("v"), F.col("q")).alias("score")), k)
+    # A cell of many copies is dealt to several tasks.
+    salts = max(1, int(n**0.5) // 1000)
+    c = chunks.filter("embedding is not null").select("chunk_id", F.col("embedding").cast("array<double>").alias("v")).mapInArrow(cell(1), f"chunk_id {c_type}, v array<double>, cell int").withColumn("salt", F.pmod(F.xxhash64("chunk_id"), F.lit(salts)))
+    asked_rows = queries.select("query_id", F.col("q").cast("array<double>").alias("q")).mapInArrow(cell(probe), f"query_id {q_type}, q array<double>, cell int")
+    asked_rows = asked_rows.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
+    return top_k(c.join(asked_rows, ["cell", "salt"]).select("query_id", "chunk_id", cosine(F.col("v"), F.col("q")).alias("score")), k)

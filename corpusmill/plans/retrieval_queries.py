@@ -11,6 +11,7 @@ from corpusmill.operators import access as A
 from corpusmill.operators import embedding as E
 from corpusmill.operators import retrieval as R
 from corpusmill.plans.registry import CHUNKS, Tables, chunks, query
+from corpusmill.workspace import Workspace
 
 UTC0 = "TIMESTAMP '2024-01-01 00:00:00'"
 
@@ -20,11 +21,11 @@ def vectors(t: Tables):
 
 
 def vector_queries(t: Tables):
-    return t("embeddings").filter("vec_id < 5").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
+    return t("embeddings").filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
 
 
 def text_queries(t: Tables):
-    return t("benchmark").filter("item_id < 10").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+    return t("benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
 
 
 def hashing_model():
@@ -85,13 +86,14 @@ def e7_dimension_audit(t):
     return E.dimension_audit(rows, expected, "model", "embedding")
 
 
-SCORED = f"scored AS (SELECT q.vec_id AS query_id, c.vec_id AS chunk_id, c.label, list_cosine_similarity({V64.replace('embedding', 'q.embedding')}, {V64.replace('embedding', 'c.embedding')}) AS score FROM embeddings q CROSS JOIN embeddings c WHERE q.vec_id < 5)"
+SCORED = f"scored AS (SELECT q.vec_id AS query_id, c.vec_id AS chunk_id, c.label, list_cosine_similarity({V64.replace('embedding', 'q.embedding')}, {V64.replace('embedding', 'c.embedding')}) AS score FROM embeddings q CROSS JOIN embeddings c WHERE q.vec_id % 50 = 0)"
 
 
-@query("SELECT query_id, chunk_id, round(score, 6) AS score FROM scored", SCORED)
+@query(f"SELECT c.vec_id, r.vec_id AS reference, round(list_cosine_similarity({V64.replace('embedding', 'c.embedding')}, {V64.replace('embedding', 'r.embedding')}), 6) AS score FROM embeddings c JOIN (SELECT label, min(vec_id) AS vec_id FROM embeddings GROUP BY 1) m USING (label) JOIN embeddings r ON r.vec_id = m.vec_id")
 def f1_cosine(t):
-    q = vector_queries(t)
-    return vectors(t).crossJoin(F.broadcast(q)).select("query_id", "chunk_id", F.round(cosine(F.col("embedding"), F.col("q")), 6).alias("score"))
+    e = t("embeddings")
+    first = e.groupBy("label").agg(F.min_by(F.struct(F.col("vec_id").alias("reference"), F.col("embedding").alias("q")), "vec_id").alias("r")).select("label", "r.*")
+    return e.join(first, "label").select("vec_id", "reference", F.round(cosine(F.col("embedding"), F.col("q")), 6).alias("score"))
 
 
 @query("SELECT query_id, chunk_id, rank, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM scored) WHERE rank <= 10 AND score >= 0.1", SCORED)
@@ -129,7 +131,7 @@ def f6_result_stats(t):
 BREAK = "'[^a-z0-9äöüßéèáíóúñ]+'"
 POSTINGS = f"postings AS (SELECT chunk_id, term, count(*) AS tf, any_value(dl) AS dl FROM (SELECT chunk_id, unnest(w) AS term, len(w) AS dl FROM (SELECT chunk_id, list_filter(string_split_regex(lower(content), {BREAK}), lambda x: x <> '') AS w FROM chunks)) GROUP BY 1, 2)"
 SIZES = f"sizes AS (SELECT count(*) AS n, avg(len(list_filter(string_split_regex(lower(content), {BREAK}), lambda x: x <> ''))) AS avgdl FROM chunks)"
-WANTED = f"wanted AS (SELECT DISTINCT item_id AS query_id, unnest(list_filter(string_split_regex(lower(text), {BREAK}), lambda x: x <> '')) AS term FROM benchmark WHERE item_id < 10)"
+WANTED = f"wanted AS (SELECT DISTINCT item_id AS query_id, unnest(list_filter(string_split_regex(lower(text), {BREAK}), lambda x: x <> '')) AS term FROM benchmark)"
 BM25 = "bm25 AS (SELECT query_id, chunk_id, sum(ln(1 + (n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * dl / avgdl))) AS score FROM postings JOIN (SELECT term, count(*) AS df FROM postings GROUP BY 1) USING (term) JOIN wanted USING (term), sizes GROUP BY 1, 2)"
 TEXT = (CHUNKS, POSTINGS, SIZES, WANTED, BM25)
 
@@ -149,10 +151,10 @@ def g2_damped_scores(t):
     return bm25_scores(t).select("query_id", "chunk_id", F.round(R.damped(F.col("score")), 6).alias("score"))
 
 
-@query("SELECT DISTINCT query_id, w.term, v.term AS near FROM (SELECT * FROM wanted WHERE query_id < 3) w JOIN (SELECT DISTINCT term FROM postings) v ON levenshtein(translate(w.term, 'äöüßéèáíóúñ', 'AOUSEFGHIJK'), translate(v.term, 'äöüßéèáíóúñ', 'AOUSEFGHIJK')) <= 1", *TEXT)
+@query("SELECT DISTINCT query_id, w.term, v.term AS near FROM wanted w JOIN (SELECT DISTINCT term FROM postings) v ON levenshtein(translate(w.term, 'äöüßéèáíóúñ', 'AOUSEFGHIJK'), translate(v.term, 'äöüßéèáíóúñ', 'AOUSEFGHIJK')) <= 1", *TEXT)
 def g3_fuzzy_terms(t):
     vocabulary = chunks(t).select(F.explode(terms(F.col("content"))).alias("term")).distinct()
-    return R.fuzzy_terms(R.query_terms(text_queries(t)).filter("query_id < 3"), vocabulary).select("query_id", "term", "near")
+    return R.fuzzy_terms(R.query_terms(text_queries(t)), vocabulary).select("query_id", "term", "near")
 
 
 @query("SELECT query_id, chunk_id, round(s * 1.5::DOUBLE, 6) AS score FROM (SELECT query_id, chunk_id, score / max(score) OVER (PARTITION BY query_id) AS s FROM bm25) WHERE s >= 0.3", *TEXT)
@@ -163,9 +165,9 @@ def g4_threshold_boost(t):
 
 @query("""SELECT chunk_id, string_agg(snippet, '|' ORDER BY term_no, pos) AS highlights FROM (
     SELECT chunk_id, term_no, pos, CASE WHEN pos - 1 > 50 THEN '...' ELSE '' END || substr(content, greatest(pos - 50, 1), least(pos - 1 + length(term) + 50, length(content)) - greatest(pos - 51, 0)) || CASE WHEN pos - 1 + length(term) + 50 < length(content) THEN '...' ELSE '' END AS snippet, row_number() OVER (PARTITION BY chunk_id ORDER BY term_no, pos) AS r
-    FROM (SELECT chunk_id, content, term, term_no, unnest(range(1, greatest(length(content) - length(term) + 2, 2))) AS pos FROM chunks, (SELECT unnest(['tion', 'le la']) AS term, unnest([0, 1]) AS term_no) WHERE doc_id < 60 AND term_no = 0) WHERE substr(lower(content), pos, length(term)) = term) WHERE r <= 3 GROUP BY 1""", CHUNKS)
+    FROM (SELECT chunk_id, content, term, term_no, unnest(range(1, greatest(length(content) - length(term) + 2, 2))) AS pos FROM chunks, (SELECT unnest(['tion', 'le la']) AS term, unnest([0, 1]) AS term_no) WHERE term_no = 0) WHERE substr(lower(content), pos, length(term)) = term) WHERE r <= 3 GROUP BY 1""", CHUNKS)
 def g5_highlights(t):
-    rows = chunks(t).filter("doc_id < 60").select("chunk_id", R.highlights(F.col("content"), F.lit("Tion")).alias("h"))
+    rows = chunks(t).select("chunk_id", R.highlights(F.col("content"), F.lit("Tion")).alias("h"))
     return rows.filter(F.size("h") > 0).select("chunk_id", F.array_join("h", "|").alias("highlights"))
 
 
@@ -179,14 +181,14 @@ def g7_phrases(t):
     return R.phrases(t("benchmark").select(F.col("item_id").alias("chunk_id"), F.col("text").alias("content")), "th")
 
 
-# Ranked lists to fuse: the vector list under three ways of scoring, so that every list is a full order.
-LISTS = """lists AS (SELECT query_id, s AS source, o AS ordinal, chunk_id, row_number() OVER (PARTITION BY query_id, s ORDER BY sc DESC, chunk_id) AS rank, sc AS score FROM (
-    SELECT query_id, chunk_id, 'vector' AS s, 0 AS o, round(score, 9) AS sc FROM scored WHERE score > 0.15 UNION ALL SELECT query_id, chunk_id, 'keyword', 1, round(score * (1 + chunk_id % 5), 9) FROM scored WHERE chunk_id % 2 = 0 AND score > 0.1 UNION ALL SELECT query_id, chunk_id, 'graph', 2, round(score * (chunk_id % 3), 9) FROM scored WHERE chunk_id % 3 <> 1 AND score > 0.2))"""
+# Ranked lists to fuse: the 60 nearest of each query under three ways of scoring, so that every list is a full order.
+LISTS = """nearest AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS r FROM scored) WHERE r <= 60), lists AS (SELECT query_id, s AS source, o AS ordinal, chunk_id, row_number() OVER (PARTITION BY query_id, s ORDER BY sc DESC, chunk_id) AS rank, sc AS score FROM (
+    SELECT query_id, chunk_id, 'vector' AS s, 0 AS o, round(score, 9) AS sc FROM nearest WHERE score > 0.15 UNION ALL SELECT query_id, chunk_id, 'keyword', 1, round(score * (1 + chunk_id % 5), 9) FROM nearest WHERE chunk_id % 2 = 0 AND score > 0.1 UNION ALL SELECT query_id, chunk_id, 'graph', 2, round(score * (chunk_id % 3), 9) FROM nearest WHERE chunk_id % 3 <> 1 AND score > 0.2))"""
 FUSED = "SELECT query_id, chunk_id, round(f, 6) AS score FROM (SELECT query_id, chunk_id, {agg} AS f FROM lists {where} GROUP BY 1, 2)"
 
 
 def ranked_lists(t):
-    s = vectors(t).crossJoin(F.broadcast(vector_queries(t))).select("query_id", "chunk_id", cosine(F.col("embedding"), F.col("q")).alias("s"))
+    s = Workspace(t.spark, "lists").keep(R.exact_top_k(vectors(t), vector_queries(t), 60).select("query_id", "chunk_id", F.col("score").alias("s")), "nearest")
     one = lambda name, o, rows, score: rows.select("query_id", "chunk_id", F.lit(name).alias("source"), F.lit(o).alias("ordinal"), F.round(score, 9).alias("score"))
     u = one("vector", 0, s.filter("s > 0.15"), F.col("s")).unionByName(one("keyword", 1, s.filter("chunk_id % 2 = 0 and s > 0.1"), F.col("s") * (1 + F.col("chunk_id") % 5))).unionByName(one("graph", 2, s.filter("chunk_id % 3 <> 1 and s > 0.2"), F.col("s") * (F.col("chunk_id") % 3)))
     from pyspark.sql import Window
@@ -224,9 +226,9 @@ def h5_hybrid(t):
     return _out(R.hybrid(wide, "rrf", 10, 0.01))
 
 
-@query("SELECT q AS query_id, chunk_id, score FROM (SELECT q, chunk_id, round(f, 6) AS score, row_number() OVER (PARTITION BY q ORDER BY f DESC, seen, chunk_id) AS rank FROM (SELECT query_id // 3 AS q, chunk_id, sum(1.0::DOUBLE / (60 + rank)) AS f, min((query_id, rank)) AS seen FROM lists WHERE source = 'vector' GROUP BY 1, 2)) WHERE rank <= 15", SCORED, LISTS)
+@query("SELECT q AS query_id, chunk_id, score FROM (SELECT q, chunk_id, round(f, 6) AS score, row_number() OVER (PARTITION BY q ORDER BY f DESC, seen, chunk_id) AS rank FROM (SELECT query_id // 150 AS q, chunk_id, sum(1.0::DOUBLE / (60 + rank)) AS f, min((query_id, rank)) AS seen FROM lists WHERE source = 'vector' GROUP BY 1, 2)) WHERE rank <= 15", SCORED, LISTS)
 def h6_multi_query(t):
-    v = ranked_lists(t).filter("source = 'vector'").withColumn("ordinal", F.col("query_id")).withColumn("query_id", F.floor(F.col("query_id") / 3))
+    v = ranked_lists(t).filter("source = 'vector'").withColumn("ordinal", F.col("query_id")).withColumn("query_id", F.floor(F.col("query_id") / 150))
     return _out(R.rrf(v).filter("rank <= 15"))
 
 
@@ -242,7 +244,7 @@ def h8_first_context(t):
 
 @query("SELECT query_id, chunk_id, rank FROM top20 WHERE rank <= 10", SCORED, TOP20)
 def h9_sources(t):
-    return R.top_k(vectors(t).crossJoin(F.broadcast(vector_queries(t))).select("query_id", "chunk_id", cosine(F.col("embedding"), F.col("q")).alias("score")), 10).select("query_id", "chunk_id", "rank")
+    return R.exact_top_k(vectors(t), vector_queries(t), 10).select("query_id", "chunk_id", "rank")
 
 
 @query("SELECT query_id, round(s, 6) AS score, CASE WHEN s >= 0.8 THEN 'highly_relevant' WHEN s >= 0.6 THEN 'relevant' WHEN s >= 0.4 THEN 'partially_relevant' ELSE 'irrelevant' END AS grade, s < 0.6 AS needs_correction FROM (SELECT query_id, least(avg(score * 2), 1) AS s FROM top20 GROUP BY 1)", SCORED, TOP20)

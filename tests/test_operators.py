@@ -9,6 +9,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from corpusmill.operators import chunking as C
+from corpusmill.operators import graph as G
 from corpusmill.operators import retrieval as R
 from corpusmill.operators.components import connected_components
 from corpusmill.plans import QUERIES
@@ -127,6 +128,63 @@ def test_raptor_tree_and_clusters(spark):
     assert C.cluster_chunks(vec, "doc_id", "v").count() == 10
 
 
+def plain_components(pairs):
+    up = {}
+
+    def root(x):
+        while up.setdefault(x, x) != x:
+            x = up[x]
+        return x
+
+    for a, b in pairs:
+        a, b = root(a), root(b)
+        up[max(a, b)] = min(a, b)
+    return {x: root(x) for x in list(up)}
+
+
+def test_communities_of_the_whole_table(spark, sf):
+    li = spark.read.parquet(f"{sf}/lineitem.parquet").select("l_suppkey", "l_partkey").distinct().collect()
+    want = plain_components([(f"s{r[0]}", f"p{r[1]}") for r in li])
+    got = {r["key"]: r["community"] for r in QUERIES["i13_communities"](spark, sf).collect()}
+    assert {k: got[k] for k in want} == want and all(got[k] == k for k in set(got) - set(want))
+
+
+def test_label_communities_and_modularity(spark):
+    import xxhash
+
+    edges = [(a, b, 1.0) for g in (0, 10, 20) for a in range(g, g + 5) for b in range(a + 1, g + 5)] + [(4, 10, 1.0), (14, 20, 1.0)]
+    df = spark.createDataFrame(edges, "src long, dst long, weight double")
+    labels = {r["node"]: r["label"] for r in G.label_communities(df).collect()}
+    around = {}
+    for a, b, w in edges:
+        around.setdefault(a, []).append((b, w))
+        around.setdefault(b, []).append((a, w))
+    want = {n: n for n in around}
+    parity = {n: xxhash.xxh64_intdigest(int(n).to_bytes(8, "little"), 42) % 2 for n in around}
+    for i in range(10):
+        new = {}
+        for n, near in around.items():
+            heard = {}
+            for v, w in near:
+                heard[want[v]] = heard.get(want[v], 0) + w
+            most = max(heard.values())
+            new[n] = min(x for x, w in heard.items() if w == most) if parity[n] == i % 2 else want[n]
+        moved, want = new != want, new
+        if not moved and i:
+            break
+    assert labels == want
+    m = sum(w for *_, w in edges)
+    for gamma in (1.0, 0.5, 2.0):
+        inside = sum(w for a, b, w in edges if want[a] == want[b]) / m
+        degree = {}
+        for a, b, w in edges:
+            for x in (a, b):
+                degree[want[x]] = degree.get(want[x], 0) + w
+        q = inside - gamma * sum(d * d for d in degree.values()) / (4 * m * m)
+        got = G.modularity(df, spark.createDataFrame(list(want.items()), "node long, label long"), gamma).first()["q"]
+        assert abs(got - q) < 1e-12
+
+
 def test_unknown_strategy(spark):
     docs = spark.createDataFrame([(1, "some words " * 300)], "doc_id long, text string")
     assert C.chunk(docs, "nonsense", "doc_id", "text").count() == C.chunk(docs, "recursive", "doc_id", "text").count() > 1
@@ -152,7 +210,7 @@ def test_exact_top_k_edges(spark):
 def test_ann_recall(spark, sf):
     exact, near = QUERIES["f2_exact_top_k"](spark, sf).collect(), QUERIES["f3_ann_top_k"](spark, sf).collect()
     a, b = {(r["query_id"], r["chunk_id"]) for r in exact}, {(r["query_id"], r["chunk_id"]) for r in near}
-    assert len(a & b) >= 0.5 * len(a)
+    assert len(a & b) >= 0.9 * len(a)
 
 
 @settings(max_examples=5, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
