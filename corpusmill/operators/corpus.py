@@ -64,6 +64,14 @@ def new_only(incoming: DataFrame, stored: DataFrame, *keys: str) -> DataFrame:
     return incoming.join(stored.select(*keys).distinct(), list(keys), "left_anti")
 
 
+#: The public fields of a retrieved chunk, in order.
+PUBLIC = ("content", "score", "chunk_id", "document_id", "config_id", "source_type", "file_name", "file_path", "file_type", "chunk_index", "folder_path", "metadata")
+
+
+def public_record(results: DataFrame) -> DataFrame:
+    return results.select(*PUBLIC)
+
+
 def insert_new(stored: DataFrame, incoming: DataFrame, *keys: str) -> DataFrame:
     """The store with the incoming rows whose key it doesn't have; of those that repeat a key the first by their other columns."""
     rest = [c for c in incoming.columns if c not in keys]

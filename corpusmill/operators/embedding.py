@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -13,8 +14,8 @@ from pyspark.sql import types as T
 from corpusmill.functions.text import terms
 
 
-def embed(df: DataFrame, key: str, text: str, make: Callable[[], Callable[[list[str]], np.ndarray]], model: str, batch_size: int = 64, retries: int = 3) -> DataFrame:
-    """key, embedding, model, dimensions, error. ``make`` is called once a partition and returns the batch function; a batch that fails ``retries`` times becomes error rows, not a failed job."""
+def embed(df: DataFrame, key: str, text: str, make: Callable[[], Callable[[list[str]], np.ndarray]], model: str, batch_size: int = 64, retries: int = 3, backoff: float = 1.0) -> DataFrame:
+    """key, embedding, model, dimensions, error. ``make`` is called once a partition and returns the batch function; a batch is tried ``retries`` times, after ``backoff`` seconds, then twice as many; one that never works becomes error rows, not a failed job."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fn = make()
@@ -28,6 +29,8 @@ def embed(df: DataFrame, key: str, text: str, make: Callable[[], Callable[[list[
                         break
                     except Exception as e:
                         got, why = [None] * len(some), f"{type(e).__name__}: {e}"
+                        if turn + 1 < retries:
+                            time.sleep(backoff * 2**turn)
                 vectors += got
                 errors += [why] * len(some)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(vectors, pa.list_(pa.float32())), pa.array(errors, pa.string())], names=[key, "embedding", "error"])
@@ -79,6 +82,11 @@ def live_entries(cache: DataFrame, asof: Column, ttl_seconds: int, *key: str) ->
     return alive.groupBy(*key).agg(F.max_by(F.struct(*rest), "cached_at").alias("row")).select(*key, "row.*")
 
 
+def invalidated(cache: DataFrame, *configs: str) -> DataFrame:
+    """The cache without the entries of these configurations."""
+    return cache.filter(~F.coalesce(F.col("config_id").isin(*configs), F.lit(False)))
+
+
 def dimension_audit(vectors: DataFrame, expected: DataFrame, model: str, vec: str) -> DataFrame:
     """Rows by model and verdict: ok, empty or mismatch."""
     n = F.size(F.coalesce(vec, F.array()))

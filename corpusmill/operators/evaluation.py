@@ -48,9 +48,16 @@ def quality_verdict(reply: Column) -> dict[str, Column]:
 
 
 def recorded_verdict(answers: Column) -> dict[str, Column]:
-    """From nested recorded answers: quality level from 0 to a 1-5 scale, pass probability and grounding."""
+    """From nested recorded answers: quality level from 0 to a 1-5 scale, pass probability in [0, 1], whether it is one half at least, and grounding."""
     get = lambda path: F.get_json_object(answers, path).try_cast("double")
-    return {"quality": level_to_quality(get("$.quality.score")), "does_pass": F.coalesce(get("$.does_pass.noul") >= 0.5, F.lit(False)), "groundedness": F.coalesce(clamp(get("$.grounded.noul"), 0.0, 1.0), F.lit(0.0))}
+    return {"quality": level_to_quality(get("$.quality.score")), "does_pass": F.coalesce(get("$.does_pass.noul") >= 0.5, F.lit(False)), "pass_probability": F.coalesce(clamp(get("$.does_pass.noul"), 0.0, 1.0), F.lit(0.0)), "groundedness": F.coalesce(clamp(get("$.grounded.noul"), 0.0, 1.0), F.lit(0.0))}
+
+
+def recorded_cost(payload: Column, rate_in: float = DEFAULT_PRICE[0], rate_out: float = DEFAULT_PRICE[1], per_call: float = 0.002) -> Column:
+    """Dollars of a recorded call from its usage (input and output tokens); without usage what a call costs."""
+    get = lambda path: F.get_json_object(payload, path).try_cast("double")
+    tokens_in, tokens_out = get("$.usage.input_tokens"), get("$.usage.output_tokens")
+    return F.when(tokens_in.isNull() & tokens_out.isNull(), F.lit(per_call)).otherwise((F.coalesce(tokens_in, F.lit(0.0)) * rate_in + F.coalesce(tokens_out, F.lit(0.0)) * rate_out) / 1e6)
 
 
 def level_to_quality(level: Column) -> Column:
@@ -104,6 +111,12 @@ def within_budget(calls: DataFrame, cap: float, *order: str, block: int = 1 << 2
     return rows.withColumn("inside", inside).join(before, "block").filter(F.round(F.col("base") + F.col("inside"), 9) < cap).drop("block", "inside", "base")
 
 
+def budget_stop(calls: DataFrame, cap: float, *order: str, **options) -> DataFrame:
+    """One row: calls made, what they cost, and whether the cap stopped others."""
+    made = within_budget(calls, cap, *order, **options).agg(F.count("*").alias("made"), F.coalesce(F.sum("cost_usd"), F.lit(0.0)).alias("spent"))
+    return made.crossJoin(calls.agg(F.count("*").alias("asked"))).select("made", "spent", (F.col("made") < F.col("asked")).alias("stopped"))
+
+
 def head_to_head(summary: DataFrame, a: str, b: str) -> DataFrame:
     """Ratios of judge a to judge b; 0 where b has 0."""
     pick = lambda who, c: F.max(F.when(F.col("judge") == who, F.col(c)))
@@ -117,10 +130,17 @@ def guardrails(checks: DataFrame, thresholds: dict[str, float]) -> DataFrame:
     return checks.withColumns({"passed": bad | ~(F.col("flagged") & (F.col("confidence") >= limit)), "score": F.when(bad, 0.5).when(F.col("flagged"), 1 - F.col("confidence")).otherwise(1.0)})
 
 
-def blocking_reason(graded: DataFrame, order: tuple[str, ...] = ("toxicity", "pii", "injection")) -> DataFrame:
-    """id, allowed, reason: the first failed check in order."""
-    at = F.array_position(F.array(*map(F.lit, order)), F.col("check"))
-    return graded.groupBy("id").agg(F.bool_and("passed").alias("allowed"), F.min_by(F.when(~F.col("passed"), F.col("check")), F.when(~F.col("passed"), at)).alias("reason"))
+#: Checks that can block, in order, of a question and of an answer. Personal data in a question only warn.
+BLOCKING = {"input": ("injection",), "output": ("toxicity", "pii")}
+
+
+def blocking_reason(graded: DataFrame) -> DataFrame:
+    """graded: id, side (input or output), check, passed. id, side, allowed, reason (the first failed check of those that block), warnings (failed checks that don't)."""
+    order = F.create_map(*[F.lit(x) for side, checks in BLOCKING.items() for i, c in enumerate(checks) for x in (f"{side}:{c}", i)])
+    at = F.when(~F.col("passed"), F.try_element_at(order, F.concat_ws(":", "side", "check")))
+    rows = graded.withColumn("at", at)
+    warned = F.collect_set(F.when(~F.col("passed") & F.col("at").isNull(), F.col("check")))
+    return rows.groupBy("id", "side").agg((F.count("at") == 0).alias("allowed"), F.min_by(F.when(F.col("at").isNotNull(), F.col("check")), "at").alias("reason"), F.array_join(F.array_sort(warned), ",").alias("warnings"))
 
 
 PII = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}", "card": r"\b[0-9]{4}[ -]?[0-9]{4}[ -]?[0-9]{4}[ -]?[0-9]{4}\b", "phone": r"\+?[0-9]{1,3}[ .-]\(?[0-9]{2,4}\)?[ .-][0-9]{3,4}[ .-]?[0-9]{3,4}", "ssn": r"\b[0-9]{3}-[0-9]{2}-[0-9]{4}\b"}

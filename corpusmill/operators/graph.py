@@ -49,8 +49,10 @@ def merged_properties(mentions: DataFrame, key: str, order: str, properties: str
 
 
 def merged_edges(relations: DataFrame, order: str, *keys: str) -> DataFrame:
-    """One edge per key: weight = occurrences, first confidence, number of distinct chunks."""
-    return relations.groupBy(*keys).agg(F.count("*").cast("double").alias("weight"), F.min_by("confidence", F.struct(order, "confidence")).alias("confidence"), F.countDistinct("chunk").alias("chunks"))
+    """One edge per key: weight = occurrences, first confidence, the set of its chunks (distinct before they are gathered)."""
+    first = relations.groupBy(*keys).agg(F.count("*").cast("double").alias("weight"), F.min_by("confidence", F.struct(order, "confidence")).alias("confidence"))
+    chunks = relations.select(*keys, "chunk").distinct().groupBy(*keys).agg(F.array_sort(F.collect_list("chunk")).alias("chunks"))
+    return first.join(chunks, list(keys))
 
 
 def with_stubs(entities: DataFrame, relations: DataFrame) -> DataFrame:
@@ -68,6 +70,18 @@ def undirected(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFram
     return edges.select(F.col(src).alias("u"), F.col(dst).alias("v"), *rest).unionByName(edges.select(F.col(dst).alias("u"), F.col(src).alias("v"), *rest))
 
 
+def of_relations(edges: DataFrame, relations: tuple[str, ...] | None) -> DataFrame:
+    return edges if relations is None else edges.filter(F.col("relation").isin(*relations))
+
+
+def neighbour_edges(edges: DataFrame, seeds: DataFrame, depth: int, relations: tuple[str, ...] | None = None, by: str = "seed") -> DataFrame:
+    """Distinct edges met on the way to the nodes within ``depth`` steps: those with an end less than ``depth`` steps from the seed."""
+    some = of_relations(edges, relations)
+    near = neighbourhood(some, seeds, depth - 1, by=by).select(by, "node") if depth > 1 else seeds.select(by, "node").distinct()
+    ends = [some.join(near, some[end] == near["node"]).select(by, *edges.columns) for end in ("src", "dst")]
+    return ends[0].unionByName(ends[1]).distinct()
+
+
 def neighbourhood(edges: DataFrame, seeds: DataFrame, depth: int, per_level: int | None = None, by: str = "seed") -> DataFrame:
     """seeds: ``by``, node. Nodes within ``depth`` steps: by, node, level. Each level is one join of the new nodes with the edges, less those seen; ``per_level`` keeps the smallest new nodes of a seed."""
     ws = Workspace(edges.sparkSession, "neighbourhood")
@@ -167,6 +181,13 @@ def digests(members: DataFrame, relations: DataFrame) -> DataFrame:
     return m.join(r, "community", "left").select("community", F.concat(F.lit("Entities:\n"), "entities", F.lit("\n\nRelations:\n"), F.coalesce("relations", F.lit("(none)"))).alias("digest"))
 
 
+def global_context(summaries: DataFrame, most: int = 10, names: int = 5) -> DataFrame:
+    """summaries: config_id, community, level, entities (array), summary. One text per configuration: its ``most`` summaries from the highest level down, each with its first entities, numbered; ties in level by community."""
+    top = summaries.withColumn("i", F.row_number().over(Window.partitionBy("config_id").orderBy(F.col("level").desc(), "community"))).filter(F.col("i") <= most)
+    line = F.concat(F.lit("[Community "), F.col("i").cast("string"), F.lit("] (Entities: "), F.array_join(F.slice("entities", 1, names), ", "), F.lit(")\n"), "summary")
+    return top.groupBy("config_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", line.alias("line")))), lambda s: s["line"]), "\n\n").alias("context"))
+
+
 def chunk_scores(found: DataFrame, reached: DataFrame, nodes: DataFrame) -> DataFrame:
     """found: query_id, node, score (matched nodes); reached: query_id, node. Chunks of all nodes: score of the best matched node (0 for nodes reached only) and names of connected nodes."""
     rows = reached.join(found.select("query_id", "node", "score"), ["query_id", "node"], "left").join(nodes, reached["node"] == nodes["node_id"])

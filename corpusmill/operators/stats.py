@@ -17,9 +17,15 @@ def ratio(a: Column, b: Column) -> Column:
     return F.when(b == 0, F.lit(0.0)).otherwise(a / b)
 
 
-def ingestion_stats(jobs: DataFrame, chunks_per_job: DataFrame) -> DataFrame:
+def ingestion_stats(jobs: DataFrame, chunks_per_job: DataFrame, nodes: DataFrame | None = None, edges: DataFrame | None = None) -> DataFrame:
+    """jobs: job_id, total_files, processed_files, failed_files and, for seconds and graph counts, started_at, finished_at and config_id. Skipped files, embeddings (one a chunk), mean chunks a file, seconds (null while open) and the nodes and edges of the job's configuration."""
     rows = jobs.join(chunks_per_job, "job_id", "left").withColumn("chunks", F.coalesce("chunks", F.lit(0)))
-    return rows.withColumns({"skipped": F.col("total_files") - F.col("processed_files") - F.col("failed_files"), "avg_chunks_per_file": ratio(F.col("chunks"), F.col("processed_files"))})
+    if {"started_at", "finished_at"} <= set(jobs.columns):
+        rows = rows.withColumn("seconds", (F.unix_micros("finished_at") - F.unix_micros("started_at")) / 1e6)
+    for name, table in (("graph_nodes", nodes), ("graph_edges", edges)):
+        if table is not None:
+            rows = rows.join(table.groupBy("config_id").agg(F.count("*").alias(name)), "config_id", "left").withColumn(name, F.coalesce(name, F.lit(0)))
+    return rows.withColumns({"embeddings": F.col("chunks"), "skipped": F.col("total_files") - F.col("processed_files") - F.col("failed_files"), "avg_chunks_per_file": ratio(F.col("chunks"), F.col("processed_files"))})
 
 
 def progress(jobs: DataFrame) -> DataFrame:
@@ -27,8 +33,9 @@ def progress(jobs: DataFrame) -> DataFrame:
 
 
 def outcome_counts(results: DataFrame, job: str) -> DataFrame:
-    """results: job, status (ok, duplicate, failed), chunks, error. Duplicates count as processed."""
-    return results.groupBy(job).agg(F.count_if(F.col("status").isin("ok", "duplicate")).alias("processed"), F.count_if(F.col("status") == "failed").alias("failed"), F.sum("chunks").alias("chunks"), F.array_sort(F.collect_set(F.when(F.col("status") == "failed", F.col("error")))).alias("errors"))
+    """results: job, status (ok, duplicate, failed), chunks, error and any of embeddings, nodes, edges. Duplicates count as processed."""
+    more = [F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("embeddings", "nodes", "edges") if c in results.columns]
+    return results.groupBy(job).agg(*more, F.count_if(F.col("status").isin("ok", "duplicate")).alias("processed"), F.count_if(F.col("status") == "failed").alias("failed"), F.sum("chunks").alias("chunks"), F.array_sort(F.collect_set(F.when(F.col("status") == "failed", F.col("error")))).alias("errors"))
 
 
 def job_log(jobs: DataFrame) -> DataFrame:
@@ -40,6 +47,14 @@ def job_log(jobs: DataFrame) -> DataFrame:
     return part("errors", "ERROR").unionByName(part("warnings", "WARNING")).unionByName(start).unionByName(end)
 
 
+def log_page(log: DataFrame, level: str | None = None, skip: int = 0, limit: int = 50) -> DataFrame:
+    """Lines of a level, any case, newest stamp (as a string) first, with the number of all such lines; ties in order of job, level and message."""
+    rows = log if level is None else log.filter(F.upper("level") == level.upper())
+    total = rows.agg(F.count("*").alias("total"))
+    # One row meets a page.
+    return rows.orderBy(F.col("stamp").desc(), "job_id", "level", "message").offset(skip).limit(limit).crossJoin(F.broadcast(total))
+
+
 def score_bucket(score: Column) -> Column:
     return F.when(score < 0.2, BUCKETS[0]).when(score < 0.4, BUCKETS[1]).when(score < 0.6, BUCKETS[2]).when(score < 0.8, BUCKETS[3]).otherwise(BUCKETS[4])
 
@@ -64,6 +79,24 @@ def request_metrics(events: DataFrame, kind: str, value: str) -> DataFrame:
     return events.groupBy(kind).agg(F.count("*").alias("n"), F.sum(value).alias("total"), *q, *le)
 
 
+def quantile_metrics(events: DataFrame, kind: str, value: str, accuracy: int = 10_000) -> DataFrame:
+    """Counts, sum and quantiles per label from sketches, for labels of any size: a quantile's rank is within 1 / accuracy."""
+    q = [F.percentile_approx(value, p, accuracy).alias(f"p{int(100 * p)}") for p in (0.5, 0.95, 0.99)]
+    return events.groupBy(kind).agg(F.count("*").alias("n"), F.sum(value).alias("total"), *q)
+
+
+def counters(events: DataFrame, name: str, labels: dict[str, str], amount: Column | None = None) -> DataFrame:
+    """A counter by its labels (name of a label to its column): counter, labels, value; a missing label is unknown, without ``amount`` every event counts one."""
+    keys = [F.coalesce(F.col(c).cast("string"), F.lit("unknown")).alias(k) for k, c in labels.items()]
+    got = events.groupBy(*keys).agg((F.count("*") if amount is None else F.coalesce(F.sum(amount), F.lit(0))).cast("double").alias("value"))
+    return got.select(F.lit(name).alias("counter"), F.concat_ws(",", *[F.concat(F.lit(k + "="), F.col(k)) for k in labels]).alias("labels"), "value")
+
+
+def score_histogram(scores: DataFrame, metric: str, score: str) -> DataFrame:
+    """Scores of each metric in the five fixed buckets."""
+    return scores.groupBy(F.col(metric).alias("metric"), score_bucket(F.col(score)).alias("bucket")).agg(F.count("*").alias("n"))
+
+
 def audit_counts(log: DataFrame) -> DataFrame:
     return log.groupBy("user_id", "action", "resource").agg(F.count("*").alias("n"))
 
@@ -88,6 +121,12 @@ def lineage_rows(results: DataFrame, docs: DataFrame, queries: DataFrame) -> Dat
     return queries.select("query_id", F.substring("answer", 1, 500).alias("answer_preview")).join(nested, "query_id", "left")
 
 
+def lineage_list(lineage: DataFrame, config: str, skip: int = 0, limit: int = 20) -> DataFrame:
+    """Lineage of a configuration, newest first, without its chunks."""
+    rows = lineage.filter(F.col("config_id") == config).drop("chunks")
+    return rows.orderBy(F.col("created_at").desc(), "query_id").offset(skip).limit(limit)
+
+
 def attribution(lineage: DataFrame) -> DataFrame:
     """Which files fed which queries."""
     flat = lineage.select("query_id", F.explode("chunks").alias("c"))

@@ -94,9 +94,11 @@ def b6_regex_search(t):
     return t("part").filter((F.col("p_name").rlike("(?i)RE") | F.col("p_type").rlike("(?i)RE")) & (F.col("p_size") > 25)).select("p_partkey", "p_name")
 
 
-@query("SELECT chunk_id, doc_id AS document_id, folder AS folder_path, chunk_index, start_char, end_char FROM chunks", CHUNKS)
+@query("SELECT md5(content) AS content_md5, 0.5::DOUBLE AS score, chunk_id, doc_id AS document_id, config_id, 'vector' AS source_type, doc_id || '.' || ext AS file_name, path AS file_path, ext AS file_type, chunk_index, c.folder AS folder_path, lang AS metadata FROM chunks c JOIN (SELECT doc_id, config_id, path, regexp_extract(path, '\\.([a-z]+)$', 1) AS ext FROM files) USING (doc_id)", CHUNKS, FILES)
 def b7_public_fields(t):
-    return chunks(t).select("chunk_id", F.col("doc_id").alias("document_id"), F.col("folder").alias("folder_path"), "chunk_index", "start_char", "end_char")
+    f = files(t).select("doc_id", "config_id", F.col("path").alias("file_path"), F.element_at(F.split("path", "/"), -1).alias("file_name"), F.regexp_extract("path", r"\.([a-z]+)$", 1).alias("file_type"))
+    rows = chunks(t).join(f, "doc_id").withColumns({"score": F.lit(0.5), "source_type": F.lit("vector"), "metadata": F.create_map(F.lit("lang"), "lang"), "document_id": F.col("doc_id"), "folder_path": F.col("folder")})
+    return C.public_record(rows).withColumns({"content_md5": F.md5("content"), "metadata": F.col("metadata")["lang"]}).drop("content")
 
 
 @query("SELECT job_id, status FROM jobs WHERE user_id = 7", JOBS)

@@ -45,10 +45,17 @@ def i3_merge_entities(t):
     return G.merged_entities(mentions(t), "ord").select("key", "name", "type", "mention_count", F.size("source_chunks").cast("long").alias("chunks"))
 
 
-@query("SELECT l_suppkey AS src, l_partkey AS dst, 'SUPPLIES' AS relation, count(*)::DOUBLE AS weight, arg_min(l_discount, (l_orderkey * 10 + l_linenumber, l_discount)) AS confidence, count(DISTINCT l_orderkey) AS chunks FROM lineitem GROUP BY 1, 2")
+@query("SELECT l_suppkey AS src, l_partkey AS dst, 'SUPPLIES' AS relation, count(*)::DOUBLE AS weight, arg_min(l_discount, (l_orderkey * 10 + l_linenumber, l_discount)) AS confidence, array_to_string(list_sort(list(DISTINCT l_orderkey)), ',') AS chunks FROM lineitem GROUP BY 1, 2")
 def i4_merge_edges(t):
     r = t("lineitem").select(F.col("l_suppkey").alias("src"), F.col("l_partkey").alias("dst"), F.lit("SUPPLIES").alias("relation"), F.col("l_discount").alias("confidence"), F.col("l_orderkey").alias("chunk"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("ord"))
-    return G.merged_edges(r, "ord", "src", "dst", "relation")
+    return G.merged_edges(r, "ord", "src", "dst", "relation").withColumn("chunks", F.array_join(F.col("chunks").cast("array<string>"), ","))
+
+
+@query("SELECT key, 'mode=' || arg_max(l_linestatus, ord) || coalesce(',note=' || arg_max(n, CASE WHEN n IS NOT NULL THEN ord END), '') AS properties FROM (SELECT 'p' || l_partkey AS key, l_linestatus, CASE WHEN l_linenumber = 1 THEN l_returnflag END AS n, l_orderkey * 10 + l_linenumber AS ord FROM lineitem) GROUP BY 1")
+def i3_merge_properties(t):
+    li = t("lineitem").select(F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("key"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("ord"), F.map_filter(F.create_map(F.lit("mode"), F.col("l_linestatus"), F.lit("note"), F.when(F.col("l_linenumber") == 1, F.col("l_returnflag"))), lambda k, v: v.isNotNull()).alias("properties"))
+    p = F.col("properties")
+    return G.merged_properties(li, "key", "ord", "properties").select("key", F.concat(F.lit("mode="), p["mode"], F.coalesce(F.concat(F.lit(",note="), F.try_element_at(p, F.lit("note"))), F.lit(""))).alias("properties"))
 
 
 @query("""SELECT coalesce(e.key, r.key) AS key, CASE WHEN r.pos IS NOT NULL AND (e.pos IS NULL OR r.pos < e.pos) THEN 'unknown' ELSE e.type END AS node_type, coalesce(e.n, 0) + CASE WHEN r.pos IS NOT NULL AND (e.pos IS NULL OR r.pos < e.pos) THEN 1 ELSE 0 END AS mention_count
@@ -99,6 +106,19 @@ def i7_neighbourhood(t):
     return G.neighbourhood(edges(t), seed, 2).select("node", "level")
 
 
+@query("WITH near AS (SELECT 105 AS node UNION SELECT CASE WHEN src = 105 THEN dst ELSE src END FROM edges WHERE relation <> 'IN_REGION' AND 105 IN (src, dst)) SELECT DISTINCT src, dst, relation FROM edges WHERE relation <> 'IN_REGION' AND (src IN (SELECT node FROM near) OR dst IN (SELECT node FROM near))".replace("WITH near AS", "SELECT * FROM (WITH near AS") + ")", EDGES)
+def i7_neighbour_edges(t):
+    seed = t.spark.range(1).select(F.lit(0).alias("seed"), F.lit(105).cast("long").alias("node"))
+    return G.neighbour_edges(edges(t), seed, 2, ("LOCATED_IN", "SUPPLIES")).select("src", "dst", "relation")
+
+
+@query("""SELECT seed, node, level FROM (SELECT n_nationkey AS seed, 100 + n_nationkey AS node, 0 AS level FROM nation UNION ALL SELECT * FROM (SELECT n, s, 1 FROM (SELECT s_nationkey AS n, 10000 + s_suppkey AS s, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) AS r FROM supplier) WHERE r <= 10)
+    UNION ALL SELECT n, p, 2 FROM (SELECT n, p, row_number() OVER (PARTITION BY n ORDER BY p) AS r FROM (SELECT DISTINCT n, 1000000 + l_partkey AS p FROM lineitem JOIN (SELECT s_nationkey AS n, s_suppkey AS s, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) AS r FROM supplier) ON l_suppkey = s WHERE r <= 10)) WHERE r <= 10)""")
+def i6_limited_levels(t):
+    seeds = t("nation").select(F.col("n_nationkey").alias("seed"), (100 + F.col("n_nationkey")).cast("long").alias("node"))
+    return G.neighbourhood(G.of_relations(edges(t), ("LOCATED_IN", "SUPPLIES")), seeds, 2, per_level=10)
+
+
 @query("SELECT count(DISTINCT node) AS nodes, (SELECT count(*) FROM edges WHERE src IN (SELECT v FROM both_ways WHERE u IN (103, 107) UNION SELECT unnest([103, 107])) AND dst IN (SELECT v FROM both_ways WHERE u IN (103, 107) UNION SELECT unnest([103, 107]))) AS edges FROM (SELECT v AS node FROM both_ways WHERE u IN (103, 107) UNION ALL SELECT unnest([103, 107]))", EDGES, BOTH)
 def i8_entity_context(t):
     seeds = t.spark.createDataFrame([(0, 103), (0, 107)], "seed int, node long")
@@ -162,11 +182,12 @@ def i16_digests(t):
     return G.digests(members, rel)
 
 
-@query("SELECT string_agg('[Community ' || i || '] (Entities: ' || e || ')' || chr(10) || 'summary ' || lvl, chr(10) || chr(10) ORDER BY i) AS context FROM (SELECT lvl, row_number() OVER (ORDER BY lvl DESC) AS i, e FROM (SELECT n_regionkey AS lvl, array_to_string((list(n_name ORDER BY n_name))[1:5], ', ') AS e FROM nation GROUP BY 1)) WHERE i <= 10")
+@query("""SELECT config_id, string_agg('[Community ' || i || '] (Entities: ' || e || ')' || chr(10) || 'summary ' || lvl, chr(10) || chr(10) ORDER BY i) AS context FROM (SELECT config_id, lvl, row_number() OVER (PARTITION BY config_id ORDER BY lvl DESC) AS i, e FROM
+    (SELECT c_mktsegment AS config_id, c_nationkey AS lvl, array_to_string((list(c_name ORDER BY c_name))[1:5], ', ') AS e FROM customer GROUP BY 1, 2)) WHERE i <= 10 GROUP BY 1""")
 def i17_global_context(t):
     from pyspark.sql import Window
 
-    g = t("nation").groupBy(F.col("n_regionkey").alias("level")).agg(F.array_join(F.slice(F.array_sort(F.collect_list("n_name")), 1, 5), ", ").alias("e"))
-    top = g.withColumn("i", F.row_number().over(Window.orderBy(F.col("level").desc()))).filter("i <= 10")
-    line = F.concat(F.lit("[Community "), F.col("i").cast("string"), F.lit("] (Entities: "), "e", F.lit(")\nsummary "), F.col("level").cast("string"))
-    return top.select(F.struct("i", line.alias("line")).alias("s")).agg(F.array_join(F.transform(F.array_sort(F.collect_list("s")), lambda s: s["line"]), "\n\n").alias("context"))
+    # Of a community's members only the first few are ever gathered.
+    c = t("customer").withColumn("r", F.row_number().over(Window.partitionBy("c_mktsegment", "c_nationkey").orderBy("c_name"))).filter("r <= 5")
+    g = c.groupBy(F.col("c_mktsegment").alias("config_id"), F.col("c_nationkey").alias("level")).agg(F.array_sort(F.collect_list("c_name")).alias("entities"))
+    return G.global_context(g.withColumns({"community": F.col("level"), "summary": F.concat(F.lit("summary "), F.col("level").cast("string"))}))

@@ -17,10 +17,13 @@ def k1_files_by_type(t):
     return K.by_type(files(t).withColumn("kind", F.when(F.col("doc_id") % 8 != 7, F.regexp_extract("path", r"\.([a-z]+)$", 1))), "kind")
 
 
-@query("SELECT job_id, total_files - processed_files - failed_files AS skipped, round(CASE WHEN processed_files = 0 THEN 0 ELSE coalesce(c, 0)::DOUBLE / processed_files END, 6) AS avg_chunks_per_file FROM jobs LEFT JOIN (SELECT doc_id AS job_id, count(*) AS c FROM chunks GROUP BY 1) USING (job_id)", JOBS, CHUNKS)
+@query("SELECT job_id, total_files - processed_files - failed_files AS skipped, coalesce(c, 0) AS embeddings, round(CASE WHEN processed_files = 0 THEN 0 ELSE coalesce(c, 0)::DOUBLE / processed_files END, 6) AS avg_chunks_per_file, CASE WHEN status <> 'running' THEN 60.0 * (job_id % 100) END::DOUBLE AS seconds, coalesce(n, 0) AS graph_nodes, coalesce(e, 0) AS graph_edges FROM jobs LEFT JOIN (SELECT doc_id AS job_id, count(*) AS c FROM chunks GROUP BY 1) USING (job_id) LEFT JOIN (SELECT 'cfg' || (c_custkey % 7) AS config_id, count(*) AS n FROM customer GROUP BY 1) USING (config_id) LEFT JOIN (SELECT 'cfg' || (s_suppkey % 7) AS config_id, count(*) AS e FROM supplier GROUP BY 1) USING (config_id)", JOBS, CHUNKS)
 def k2_ingestion_stats(t):
     n = chunks(t).groupBy(F.col("doc_id").alias("job_id")).agg(F.count("*").alias("chunks"))
-    return K.ingestion_stats(jobs(t), n).select("job_id", "skipped", F.round("avg_chunks_per_file", 6).alias("avg_chunks_per_file"))
+    start = F.col("created_at").cast("timestamp")
+    j = jobs(t).withColumns({"started_at": start, "finished_at": F.when(F.col("status") != "running", start + F.make_dt_interval(mins=(F.col("job_id") % 100).cast("int")))})
+    of = lambda table, key: t(table).select(F.concat(F.lit("cfg"), (F.col(key) % 7).cast("string")).alias("config_id"))
+    return K.ingestion_stats(j, n, of("customer", "c_custkey"), of("supplier", "s_suppkey")).select("job_id", "skipped", "embeddings", F.round("avg_chunks_per_file", 6).alias("avg_chunks_per_file"), "seconds", "graph_nodes", "graph_edges")
 
 
 @query("SELECT job_id, CASE WHEN total_files = 0 THEN 0 ELSE round(100.0::DOUBLE * processed_files / total_files, 6) END AS progress FROM jobs", JOBS)
@@ -28,18 +31,30 @@ def k3_progress(t):
     return K.progress(jobs(t)).select("job_id", "progress")
 
 
-@query("SELECT l_orderkey AS job_id, count(*) FILTER (l_returnflag <> 'R') AS processed, count(*) FILTER (l_returnflag = 'R') AS failed, CAST(sum(l_linenumber) AS BIGINT) AS chunks, coalesce(string_agg(DISTINCT CASE WHEN l_returnflag = 'R' THEN l_linestatus END, ',' ORDER BY CASE WHEN l_returnflag = 'R' THEN l_linestatus END), '') AS errors FROM lineitem GROUP BY 1")
+@query("SELECT l_orderkey AS job_id, count(*) FILTER (l_returnflag <> 'R') AS processed, count(*) FILTER (l_returnflag = 'R') AS failed, CAST(sum(l_linenumber) AS BIGINT) AS chunks, CAST(sum(l_linenumber) AS BIGINT) AS embeddings, CAST(sum(l_linenumber * 2) AS BIGINT) AS nodes, CAST(sum(l_linenumber * 3) AS BIGINT) AS edges, coalesce(string_agg(DISTINCT CASE WHEN l_returnflag = 'R' THEN l_linestatus END, ',' ORDER BY CASE WHEN l_returnflag = 'R' THEN l_linestatus END), '') AS errors FROM lineitem GROUP BY 1")
 def k3_outcome_counts(t):
-    r = t("lineitem").select(F.col("l_orderkey").alias("job_id"), F.when(F.col("l_returnflag") == "R", "failed").when(F.col("l_returnflag") == "A", "duplicate").otherwise("ok").alias("status"), F.col("l_linenumber").alias("chunks"), F.col("l_linestatus").alias("error"))
+    r = t("lineitem").select(F.col("l_orderkey").alias("job_id"), F.when(F.col("l_returnflag") == "R", "failed").when(F.col("l_returnflag") == "A", "duplicate").otherwise("ok").alias("status"), F.col("l_linenumber").alias("chunks"), F.col("l_linenumber").alias("embeddings"), (F.col("l_linenumber") * 2).alias("nodes"), (F.col("l_linenumber") * 3).alias("edges"), F.col("l_linestatus").alias("error"))
     return K.outcome_counts(r, "job_id").withColumn("errors", F.array_join("errors", ","))
 
 
-@query("""SELECT job_id, level, strftime(stamp, '%Y-%m-%dT%H:%M:%S') AS stamp, message FROM (
+LOG = """log AS (SELECT job_id, level, strftime(stamp, '%Y-%m-%dT%H:%M:%S') AS stamp, message FROM (
     SELECT job_id, 'ERROR' AS level, created_at AS stamp, 'file ' || failed_files || ' failed' AS message FROM jobs WHERE failed_files > 0 UNION ALL SELECT job_id, 'WARNING', created_at, 'partly' FROM jobs WHERE status = 'failed'
-    UNION ALL SELECT job_id, 'INFO', created_at, 'started' FROM jobs UNION ALL SELECT job_id, CASE status WHEN 'failed' THEN 'ERROR' ELSE 'INFO' END, created_at + INTERVAL 1 HOUR, 'finished: ' || status FROM jobs WHERE status <> 'running') WHERE level IN ('ERROR', 'WARNING')""", JOBS)
-def k4_job_log(t):
+    UNION ALL SELECT job_id, 'INFO', created_at, 'started' FROM jobs UNION ALL SELECT job_id, CASE status WHEN 'failed' THEN 'ERROR' ELSE 'INFO' END, created_at + INTERVAL 1 HOUR, 'finished: ' || status FROM jobs WHERE status <> 'running'))"""
+
+
+def log(t: Tables):
     j = jobs(t).select("job_id", "status", "created_at", F.when(F.col("status") != "running", F.col("created_at") + F.expr("INTERVAL 1 HOUR")).alias("finished_at"), F.when(F.col("failed_files") > 0, F.array(F.concat(F.lit("file "), F.col("failed_files").cast("string"), F.lit(" failed")))).otherwise(F.array().cast("array<string>")).alias("errors"), F.when(F.col("status") == "failed", F.array(F.lit("partly"))).otherwise(F.array().cast("array<string>")).alias("warnings"))
-    return K.job_log(j).filter(F.upper("level").isin("ERROR", "WARNING"))
+    return K.job_log(j)
+
+
+@query("SELECT * FROM log", JOBS, LOG)
+def k4_job_log(t):
+    return log(t)
+
+
+@query("SELECT *, (SELECT count(*) FROM log WHERE level = 'ERROR') AS total FROM log WHERE level = 'ERROR' ORDER BY stamp DESC, job_id, level, message LIMIT 30 OFFSET 10", JOBS, LOG)
+def k4_log_page(t):
+    return K.log_page(log(t), "error", 10, 30)
 
 
 @query("SELECT f.config_id, documents, chunks, job_id FROM (SELECT config_id, count(*) AS documents FROM files GROUP BY 1) f JOIN (SELECT config_id, count(*) AS chunks FROM chunks JOIN (SELECT doc_id, config_id FROM files) USING (doc_id) GROUP BY 1) c USING (config_id) LEFT JOIN (SELECT config_id, arg_max(job_id, (created_at, job_id)) AS job_id FROM jobs GROUP BY 1) j USING (config_id)", FILES, CHUNKS, JOBS)
@@ -77,6 +92,21 @@ def k8_request_metrics(t):
     return m.withColumns({"total": F.round("total", 4)} | {c: F.round(c, 6) for c in ("p50", "p95", "p99")})
 
 
+@query("""SELECT 'llm_tokens' AS counter, 'provider=' || CASE user_id % 3 WHEN 0 THEN 'unknown' WHEN 1 THEN 'a' ELSE 'b' END || ',type=' || CASE WHEN event_id % 2 = 0 THEN 'prompt' ELSE 'completion' END AS labels, sum(event_id % 100)::DOUBLE AS value FROM events GROUP BY 2
+    UNION ALL SELECT 'errors', 'service=' || (user_id % 4) || ',error_type=' || event_type, count(*) FROM events WHERE event_type = 'error' GROUP BY 2 UNION ALL SELECT 'cache_hits', 'cache_type=' || event_type, count(*) FROM events GROUP BY 2""")
+def k8_counters(t):
+    m = F.col("user_id") % 3
+    e = t("events").select("event_type", (F.col("user_id") % 4).alias("service"), F.when(m == 1, "a").when(m == 2, "b").alias("provider"), F.when(F.col("event_id") % 2 == 0, "prompt").otherwise("completion").alias("side"), (F.col("event_id") % 100).alias("tokens"))
+    out = K.counters(e, "llm_tokens", {"provider": "provider", "type": "side"}, F.col("tokens"))
+    out = out.unionByName(K.counters(e.filter("event_type = 'error'"), "errors", {"service": "service", "error_type": "event_type"}))
+    return out.unionByName(K.counters(e, "cache_hits", {"cache_type": "event_type"}))
+
+
+@query("SELECT metric, CASE WHEN s < 0.2 THEN '0.0-0.2' WHEN s < 0.4 THEN '0.2-0.4' WHEN s < 0.6 THEN '0.4-0.6' WHEN s < 0.8 THEN '0.6-0.8' ELSE '0.8-1.0' END AS bucket, count(*) AS n FROM (SELECT 'quality' AS metric, quality AS s FROM runs UNION ALL SELECT 'safety', safety FROM runs WHERE safety IS NOT NULL UNION ALL SELECT 'length', length FROM runs) GROUP BY 1, 2", RUNS)
+def k8_score_histogram(t):
+    return K.score_histogram(runs(t).select(F.explode("scores").alias("metric", "score")), "metric", "score")
+
+
 @query("SELECT user_id, event_type AS action, CAST(json_extract_string(props, '$.k') AS VARCHAR) AS resource, count(*) AS n FROM events GROUP BY 1, 2, 3")
 def k9_audit_counts(t):
     return K.audit_counts(t("events").select("user_id", F.col("event_type").alias("action"), F.get_json_object("props", "$.k").alias("resource")))
@@ -115,6 +145,15 @@ def k13_lineage(t):
     return _lineage(t).select("query_id", F.length("answer_preview").alias("answer_chars"), F.greatest(F.size("chunks"), F.lit(0)).alias("n"), F.coalesce(F.aggregate("chunks", F.lit(0), lambda s, x: s + F.length(x["preview"])), F.lit(0)).alias("preview_chars")).withColumnRenamed("n", "chunks")
 
 
+@query("SELECT query_id, config_id, created_at, answer_chars FROM (SELECT doc_id AS query_id, 'cfg' || (doc_id % 4) AS config_id, TIMESTAMP '2024-01-01 00:00:00' + to_seconds(doc_id * 37 % 1000) AS created_at, 500 AS answer_chars FROM documents) WHERE config_id = 'cfg3' ORDER BY created_at DESC, query_id LIMIT 20 OFFSET 5")
+def k13_lineage_list(t):
+    d = t("documents")
+    q = d.select(F.col("doc_id").alias("query_id"), F.concat(F.lit("cfg"), (F.col("doc_id") % 4).cast("string")).alias("config_id"), (F.expr(START) + F.make_dt_interval(secs=F.col("doc_id") * 37 % 1000)).alias("created_at"), F.repeat(F.lit("answer "), 100).alias("answer"))
+    r = chunks(t).select(F.col("doc_id").alias("query_id"), "chunk_id", "doc_id", F.col("chunk_index").alias("rank"), F.lit(0.5).alias("score"), "content")
+    rows = K.lineage_rows(r, files(t).select("doc_id", F.col("path").alias("file_path")), q).join(q.select("query_id", "config_id", "created_at"), "query_id")
+    return K.lineage_list(rows, "cfg3", 5, 20).select("query_id", "config_id", "created_at", F.length("answer_preview").alias("answer_chars"))
+
+
 @query("SELECT path AS file_path, count(DISTINCT doc_id % 50) AS queries, count(*) AS chunks FROM chunks JOIN (SELECT doc_id, path FROM files) USING (doc_id) GROUP BY 1", CHUNKS, FILES)
 def k14_attribution(t):
     return K.attribution(_lineage(t))
@@ -160,10 +199,11 @@ def l4_score_maps(t):
     return t("labels").select("doc_id", q.alias("quality"), F.round(L.quality_to_unit(q), 6).alias("unit"))
 
 
-@query("SELECT doc_id, least(5, doc_id % 6 + 1)::DOUBLE AS quality, (doc_id % 10) / 10.0 >= 0.5 AS does_pass, CASE WHEN doc_id % 5 = 0 THEN 0.0 ELSE 0.9 END::DOUBLE AS groundedness FROM labels")
+@query("SELECT doc_id, least(5, doc_id % 6 + 1)::DOUBLE AS quality, (doc_id % 10) / 10.0 >= 0.5 AS does_pass, ((doc_id % 10) / 10.0)::DOUBLE AS pass_probability, round(CASE WHEN doc_id % 4 = 0 THEN 0.002 ELSE (doc_id * 0.15 + 7 * 0.60) / 1e6 END, 10)::DOUBLE AS cost_usd, CASE WHEN doc_id % 5 = 0 THEN 0.0 ELSE 0.9 END::DOUBLE AS groundedness FROM labels")
 def l5_recorded_verdict(t):
     a = F.to_json(F.struct(F.struct((F.col("doc_id") % 6).alias("score")).alias("quality"), F.struct(((F.col("doc_id") % 10) / 10).alias("noul")).alias("does_pass"), F.struct(F.when(F.col("doc_id") % 5 != 0, 0.9).alias("noul")).alias("grounded")))
-    return t("labels").select("doc_id", a.alias("a")).select("doc_id", *[c.alias(n) for n, c in L.recorded_verdict(F.col("a")).items()])
+    p = F.when(F.col("doc_id") % 4 != 0, F.to_json(F.struct(F.struct(F.col("doc_id").alias("input_tokens"), F.lit(7).alias("output_tokens")).alias("usage")))).otherwise(F.lit("{}"))
+    return t("labels").select("doc_id", a.alias("a"), p.alias("p")).select("doc_id", *[c.alias(n) for n, c in L.recorded_verdict(F.col("a")).items()], F.round(L.recorded_cost(F.col("p")), 10).alias("cost_usd"))
 
 
 @query("SELECT event_id, round(CASE WHEN event_id % 10 = 0 THEN 0.002 ELSE (user_id * CASE event_type WHEN 'view' THEN 0.15 WHEN 'click' THEN 2.5 WHEN 'signup' THEN 0.25 ELSE 0.15 END + event_id % 100 * CASE event_type WHEN 'view' THEN 0.60 WHEN 'click' THEN 10.0 WHEN 'signup' THEN 1.25 ELSE 0.60 END) / 1e6 END::DOUBLE, 10) AS cost_usd FROM events")
@@ -224,22 +264,27 @@ def l10_budget_cut(t):
     return L.within_budget(verdicts(t), 1.5, "ord", block=1 << 12).select("ord", "judge", "cost_usd")
 
 
+@query("SELECT made, round(spent, 6) AS spent, made < asked AS stopped FROM (SELECT count(*) FILTER (round(before, 9) < 1.5) AS made, sum(cost_usd) FILTER (round(before, 9) < 1.5) AS spent, count(*) AS asked FROM (SELECT *, coalesce(sum(cost_usd) OVER (ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM verdicts))", VERDICTS)
+def l10_budget_stop(t):
+    return L.budget_stop(verdicts(t), 1.5, "ord", block=1 << 12).withColumn("spent", F.round("spent", 6))
+
+
 @query("SELECT round(a.variance / b.variance, 4) AS variance_ratio, round(a.latency / b.latency, 4) AS latency_ratio, round(a.cost / b.cost, 4) AS cost_ratio FROM summary a, summary b WHERE a.judge = 'a' AND b.judge = 'b'", VERDICTS, REFS, SUMMARY)
 def l11_head_to_head(t):
     h = L.head_to_head(_summary(t), "a", "b")
     return h.select(*[F.round(c, 4).alias(c) for c in h.columns])
 
 
-CHECKS = "checks AS (SELECT doc_id AS id, c AS \"check\", CASE WHEN doc_id % 13 = 0 AND c = 'pii' THEN NULL ELSE (doc_id + o) % 3 = 0 END AS flagged, ((doc_id * 7 + o * 3) % 10) / 10.0::DOUBLE AS confidence, o, l FROM labels, (SELECT unnest(['toxicity', 'pii', 'injection']) AS c, unnest([1, 2, 3]) AS o, unnest([0.8, 0.7, 0.8])::DOUBLE AS l))"
+CHECKS = "checks AS (SELECT doc_id AS id, side, c AS \"check\", CASE WHEN doc_id % 13 = 0 AND c = 'pii' THEN NULL ELSE (doc_id + o) % 3 = 0 END AS flagged, ((doc_id * 7 + o * 3) % 10) / 10.0::DOUBLE AS confidence, l, b FROM labels, (SELECT unnest(['output', 'output', 'input', 'input']) AS side, unnest(['toxicity', 'pii', 'injection', 'pii']) AS c, unnest([1, 2, 3, 4]) AS o, unnest([0.8, 0.7, 0.8, 0.7])::DOUBLE AS l, unnest([1, 2, 1, NULL]) AS b))"
 
 
-@query("SELECT id, bool_and(passed) AS allowed, arg_min(CASE WHEN NOT passed THEN \"check\" END, CASE WHEN NOT passed THEN o END) AS reason, round(avg(score), 6) AS score FROM (SELECT *, flagged IS NULL OR NOT (flagged AND confidence >= l) AS passed, CASE WHEN flagged IS NULL THEN 0.5 WHEN flagged THEN 1 - confidence ELSE 1 END AS score FROM checks) GROUP BY 1", CHECKS)
+@query("SELECT id, side, count(*) FILTER (NOT passed AND b IS NOT NULL) = 0 AS allowed, arg_min(CASE WHEN NOT passed AND b IS NOT NULL THEN \"check\" END, CASE WHEN NOT passed THEN b END) AS reason, coalesce(string_agg(CASE WHEN NOT passed AND b IS NULL THEN \"check\" END, ','), '') AS warnings, round(avg(score), 6) AS score FROM (SELECT *, flagged IS NULL OR NOT (flagged AND confidence >= l) AS passed, CASE WHEN flagged IS NULL THEN 0.5 WHEN flagged THEN 1 - confidence ELSE 1 END AS score FROM checks) GROUP BY 1, 2", CHECKS)
 def l12_guardrails(t):
-    c = t("labels").select(F.col("doc_id").alias("id"), F.posexplode(F.array(F.lit("toxicity"), F.lit("pii"), F.lit("injection"))).alias("o", "check"))
+    c = t("labels").select(F.col("doc_id").alias("id"), F.posexplode(F.array(*[F.struct(F.lit(side).alias("side"), F.lit(c).alias("check")) for side, c in (("output", "toxicity"), ("output", "pii"), ("input", "injection"), ("input", "pii"))])).alias("o", "c"))
     o = F.col("o") + 1
-    c = c.select("id", "check", F.when((F.col("id") % 13 == 0) & (F.col("check") == "pii"), F.lit(None)).otherwise((F.col("id") + o) % 3 == 0).alias("flagged"), ((F.col("id") * 7 + o * 3) % 10 / 10).alias("confidence"))
+    c = c.select("id", "c.side", "c.check", F.when((F.col("id") % 13 == 0) & (F.col("c.check") == "pii"), F.lit(None)).otherwise((F.col("id") + o) % 3 == 0).alias("flagged"), ((F.col("id") * 7 + o * 3) % 10 / 10).alias("confidence"))
     g = L.guardrails(c, {"toxicity": 0.8, "pii": 0.7, "injection": 0.8})
-    return L.blocking_reason(g).join(g.groupBy("id").agg(F.round(F.avg("score"), 6).alias("score")), "id")
+    return L.blocking_reason(g).join(g.groupBy("id", "side").agg(F.round(F.avg("score"), 6).alias("score")), ["id", "side"])
 
 
 @query(r"SELECT lang, kind, count(*) AS n FROM (SELECT lang, 'email' AS kind FROM documents WHERE regexp_matches(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}') UNION ALL SELECT lang, 'card' FROM documents WHERE regexp_matches(text, '\b[0-9]{4}[ -]?[0-9]{4}[ -]?[0-9]{4}[ -]?[0-9]{4}\b') UNION ALL SELECT lang, 'phone' FROM documents WHERE regexp_matches(text, '\+?[0-9]{1,3}[ .-]\(?[0-9]{2,4}\)?[ .-][0-9]{3,4}[ .-]?[0-9]{3,4}') UNION ALL SELECT lang, 'ssn' FROM documents WHERE regexp_matches(text, '\b[0-9]{3}-[0-9]{2}-[0-9]{4}\b')) GROUP BY 1, 2")
@@ -258,6 +303,13 @@ def m1_contexts(t):
     return X.contexts(r.select("query_id", "rank", "content", F.col("folder").alias("source"), F.lit(0.5).alias("score")), t.spark.range(60).select(F.col("id").alias("query_id")))
 
 
+@query("SELECT doc_id AS query_id, style, CASE WHEN length(c) > 300 THEN substr(c, 1, 300) || '...' ELSE c END AS context FROM (SELECT doc_id, 'bullet' AS style, string_agg('• ' || content, chr(10) || chr(10) ORDER BY r) AS c FROM first3 GROUP BY 1 UNION ALL SELECT doc_id, 'plain', string_agg(content, chr(10) || chr(10) ORDER BY r) FROM first3 GROUP BY 1 UNION ALL SELECT doc_id, 'xml', string_agg('<source id=\"' || r || '\" score=\"0.500\">' || chr(10) || content || chr(10) || '</source>', chr(10) || chr(10) ORDER BY r) FROM first3 GROUP BY 1)", CHUNKS, "first3 AS (SELECT doc_id, content, row_number() OVER (PARTITION BY doc_id ORDER BY start_char) AS r FROM chunks QUALIFY r <= 3)")
+def m1_context_styles(t):
+    r = chunks(t).filter("chunk_index < 3").select(F.col("doc_id").alias("query_id"), (F.col("chunk_index") + 1).alias("rank"), "content", F.lit(None).cast("string").alias("source"), F.lit(0.5).alias("score"))
+    one = [X.contexts(r, r.select("query_id").distinct(), style, 300).select("query_id", F.lit(style).alias("style"), "context") for style in ("bullet", "plain", "xml")]
+    return one[0].unionByName(one[1]).unionByName(one[2])
+
+
 @query("SELECT conv_id, string_agg(upper(role[1]) || role[2:] || ': ' || text, chr(10) ORDER BY turn) AS history FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS r FROM conversations) WHERE r <= 4 GROUP BY 1")
 def m2_histories(t):
     return X.histories(t("conversations"), 2)

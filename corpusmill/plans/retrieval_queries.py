@@ -75,7 +75,7 @@ def e5_cache_through(t):
 def e6_live_cache(t):
     start = F.expr(UTC0)
     c = t("documents").select(F.concat(F.lit("cfg"), (F.col("doc_id") % 4).cast("string")).alias("config_id"), F.sha2(F.concat("lang", (F.col("doc_id") % 50).cast("string")), 256).alias("qkey"), (start + F.make_dt_interval(secs=F.col("doc_id"))).cast("timestamp").alias("cached_at"), "doc_id")
-    live = E.live_entries(c.filter("config_id <> 'cfg2'"), start + F.make_dt_interval(secs=F.lit(800)), 300, "config_id", "qkey")
+    live = E.live_entries(E.invalidated(c, "cfg2"), start + F.make_dt_interval(secs=F.lit(800)), 300, "config_id", "qkey")
     return live.select("config_id", "qkey", "cached_at")
 
 

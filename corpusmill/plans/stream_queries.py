@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from corpusmill.operators.chunking import fixed_windows
 from corpusmill.plans.registry import Tables, query
-from corpusmill.plans.operations_queries import VERDICTS, runs, verdicts
+from corpusmill.plans.operations_queries import REFS, SUMMARY, VERDICTS, _summary as summary, runs, verdicts
 from corpusmill.sources import files as S
 from corpusmill.streaming import keyed as N
 from corpusmill.workspace import Workspace
@@ -30,7 +30,7 @@ def a6_decode(t):
 @query("SELECT 'c' || item_id AS id, text AS question, CASE WHEN item_id % 3 = 0 THEN 0 ELSE 1 END AS chunks, CASE WHEN item_id % 2 = 0 THEN true END AS oracle_pass FROM benchmark")
 def a9_eval_cases(t):
     b = t("benchmark")
-    case = b.select(F.concat(F.lit("c"), F.col("item_id").cast("string")).alias("id"), F.col("text").alias("question"), F.when(F.col("item_id") % 3 == 1, F.array("text")).alias("retrieved_chunks"), F.when(F.col("item_id") % 3 == 2, F.array("text")).alias("contexts"), F.lit("a").alias("answer"), F.when(F.col("item_id") % 2 == 0, F.lit(True)).alias("oracle_pass"), "item_id")
+    case = b.select(F.concat(F.lit("c"), F.col("item_id").cast("string")).alias("id"), F.col("text").alias("question"), F.when(F.col("item_id") % 3 == 1, F.array("text")).alias("retrieved_chunks"), F.when(F.col("item_id") % 3 == 2, F.col("text")).alias("contexts"), F.lit("a").alias("answer"), F.when(F.col("item_id") % 2 == 0, F.lit(True)).alias("oracle_pass"), "item_id")
     path = Workspace(t.spark, "cases").path("json")
     # A file of its own for each group of cases, wrapped or bare.
     group = case.groupBy((F.col("item_id") % 4).alias("g")).agg(F.collect_list(F.struct(*[c for c in case.columns if c != "item_id"])).alias("cases"))
@@ -108,13 +108,28 @@ def n4_stream_ingest(t):
     return t.spark.read.parquet(stored).groupBy("content_hash").agg(F.count("*").alias("chunks"))
 
 
-@query("SELECT count(DISTINCT md5(text)) AS documents FROM documents")
+@query("SELECT DISTINCT md5(text) AS content_hash, length(text) AS chars FROM documents")
 def n5_stream_dedup(t):
-    docs = _stream(t, "documents").select(F.md5("text").alias("content_hash"), F.timestamp_seconds(F.col("doc_id") + 86400).alias("ts"))
-    return _streamed(t, "dedup", N.deduplicated(docs, "content_hash", "ts", "3650 days")).agg(F.countDistinct("content_hash").alias("documents"))
+    docs = _stream(t, "documents").select(F.md5("text").alias("content_hash"), F.length("text").alias("chars"), F.timestamp_seconds(F.col("doc_id") + 86400).alias("ts"))
+    return _streamed(t, "dedup", N.deduplicated(docs, "content_hash", "ts", "3650 days")).select("content_hash", "chars")
 
 
 @query("SELECT event_id FROM events WHERE NOT (user_id % 5 = 0 AND ts < TIMESTAMP '2024-01-10 00:00:00' + to_hours(user_id))")
 def n6_not_revoked(t):
     revoked = requests(t).filter("key % 5 = 0").select("key").distinct().withColumn("expires_at", F.expr("TIMESTAMP '2024-01-10 00:00:00'") + F.make_dt_interval(hours=F.col("key").cast("int")))
     return N.not_revoked(requests(t), revoked).select("event_id")
+
+
+@query("SELECT event_id FROM events WHERE NOT (user_id % 5 = 0 AND ts < TIMESTAMP '2024-01-10 00:00:00' + to_hours(user_id))")
+def n6_not_revoked_stream(t):
+    """The stream of events against the table of revoked keys."""
+    revoked = requests(t).filter("key % 5 = 0").select("key").distinct().withColumn("expires_at", F.expr("TIMESTAMP '2024-01-10 00:00:00'") + F.make_dt_interval(hours=F.col("key").cast("int")))
+    return _streamed(t, "revoked", N.not_revoked(request_stream(t), revoked).select("event_id"))
+
+
+@query("SELECT judge, model, round(agreement, 6) AS agreement, 'live' AS mode FROM summary", VERDICTS, REFS, SUMMARY)
+def a10_latest_summary(t):
+    path = Workspace(t.spark, "latest").path("json")
+    S.write_latest(summary(t), path, mode="live", repeats=5)
+    row = t.spark.read.schema("mode string, repeats int, summaries map<string, struct<model: string, agreement: double>>").json(path)
+    return row.select("mode", F.explode("summaries").alias("judge", "s")).select("judge", "s.model", F.round("s.agreement", 6).alias("agreement"), "mode")

@@ -35,16 +35,30 @@ def decoded(content: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(text, "^﻿", ""), "\r\n?", "\n")
 
 
-CASES = T.StructType([T.StructField("id", T.StringType()), T.StructField("question", T.StringType()), T.StructField("retrieved_chunks", T.ArrayType(T.StringType())), T.StructField("contexts", T.ArrayType(T.StringType())), T.StructField("answer", T.StringType()), T.StructField("oracle_pass", T.BooleanType()), T.StructField("oracle_quality", T.DoubleType())])
-
-
 def load_cases(spark: SparkSession, path: str) -> DataFrame:
-    """Evaluation cases from JSON files that hold {"cases": [...]} or a bare list; ``contexts`` stands in for ``retrieved_chunks``."""
-    wrapped = T.StructType([T.StructField("cases", T.ArrayType(CASES)), *CASES.fields])
+    """Evaluation cases from JSON files that hold {"cases": [...]} or a bare list. ``contexts`` stands in for ``retrieved_chunks`` where that is missing or empty; either may be a list or one string. No case at all is an error."""
+    text = T.StringType()
+    case = T.StructType([T.StructField(c, text) for c in ("id", "question", "retrieved_chunks", "contexts", "answer", "notes")] + [T.StructField("oracle_pass", T.BooleanType()), T.StructField("oracle_quality", T.DoubleType())])
+    wrapped = T.StructType([T.StructField("cases", T.ArrayType(case)), *case.fields])
     rows = spark.read.option("multiLine", True).schema(wrapped).json(path)
     listed = rows.filter("cases is not null").select(F.explode("cases").alias("c")).select("c.*")
-    bare = rows.filter("cases is null and id is not null").select(*[f.name for f in CASES])
-    return listed.unionByName(bare).withColumn("retrieved_chunks", F.coalesce("retrieved_chunks", "contexts", F.array().cast("array<string>"))).drop("contexts")
+    every = listed.unionByName(rows.filter("cases is null and id is not null").select(*case.names))
+    if every.isEmpty():
+        raise ValueError(f"no evaluation cases in {path}")
+
+    def several(c: str) -> Column:
+        many = F.from_json(F.col(c), "array<string>")
+        got = F.when(F.trim(c).startswith("["), many).when(F.col(c) != "", F.array(F.col(c)))
+        return F.when(F.size(got) > 0, got)
+
+    chunks = F.coalesce(several("retrieved_chunks"), several("contexts"), F.array().cast("array<string>"))
+    return every.withColumns({"retrieved_chunks": chunks, "notes": F.coalesce("notes", F.lit(""))}).drop("contexts")
+
+
+def write_latest(summary: DataFrame, path: str, **about) -> None:
+    """A summary of a comparison as one JSON record: what ``about`` says (mode, repeats, cap, ...) and each judge's row under its name."""
+    rows = summary.groupBy().agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("judge", F.struct(*[c for c in summary.columns if c != "judge"]))))).alias("summaries"))
+    rows.select(*[F.lit(v).alias(k) for k, v in sorted(about.items())], "summaries").coalesce(1).write.json(path)
 
 
 def write_verdicts(verdicts: DataFrame, path: str) -> None:
