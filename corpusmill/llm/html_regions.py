@@ -1,13 +1,18 @@
 """Operator 3: main text of web pages by text-to-tag ratios over streaming parser events.
 
-The standard library's parser feeds events to a builder that cuts the page into lines at block borders. Each line has a ratio of
-text to tags; the ratios are smoothed with a Gaussian and split by two-cluster thresholding. Lines above the threshold mark
-the content region: the article (or main) element that holds most of their text, else the innermost container that holds
-most of it. All lines of the region stay, short ones too; menus, page headers, footers, asides, notices, adverts, forms,
-scripts, styles and comments, told by element, role or class words, are never lines of it.
-
-Defined cases: null or empty html gives an empty text; unclosed and stray tags are tolerated; a page with no markup is one line
-and is kept; repeated rows are taken each for itself; an empty table gives an empty result; other columns are ignored.
+The standard library's parser feeds events to a builder that cuts the page into lines at block borders, menus, adverts and footers
+too. Each line has a ratio of text to tags; the ratios are smoothed with a Gaussian and split into two clusters by a threshold. Lines
+above it are the page's content, and what holds them is the content region: the articles most of whose text is content, else the
+main element, else the innermost container with most of the content, of which parts that are mostly not content are left out. Inside
+the region lines stay whole, short ones too, but for landmarks (menus, footers, asides, forms, dialogs) and containers whose class
+or id is a plain name of adverts, side bars, notices or reader comments.
+
+A container with such a name is not left out if it holds an article, the headline or most of the page's text. Names count on
+containers only, as whole words: headings, paragraphs and names like ``related-work`` or ``social-policy`` don't.
+
+Defined cases: null or empty html gives an empty text; unclosed and stray tags are tolerated; nesting of any depth and very long
+pages take linear time (but for the parser itself on comments that never end); a page with no markup is one line and is kept; articles that tie all stay; repeated rows and null ids are
+taken each for itself; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -30,21 +35,22 @@ NESTED = SILENT | ASIDE | REGIONS | frozenset("header div section ul ol dl table
 BREAKS = NESTED | frozenset("p h1 h2 h3 h4 h5 h6 li dt dd pre br hr address summary figcaption caption".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar tablist status".split())
-#: Words of class and id names that tell boilerplate.
+#: Class words and ids of containers that are no part of an article.
 MARKS = frozenset(
-    """ad ads adv advert adverts advertisement advertising advertorial sponsor sponsored sponsors promo promoted promotion banner cookie cookies
-    consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup paywall sidebar side aside rail widget
-    widgets related recommended recommendations recirculation teaser teasers share sharing social follow comment comments commentlist disqus
-    reply replies respond responses discussion menu nav navbar navigation topnav breadcrumb breadcrumbs footer header masthead login
-    toolbar pagination pager skip hidden""".split()
+    """ad ads adbox adslot advert adverts advertisement advertising adsbygoogle sponsor sponsored promo promotion banner cookie cookies
+    cookie-banner cookie-notice cookie-consent consent gdpr notice notices alert popup modal overlay newsletter newsletter-signup subscribe
+    subscription paywall sidebar side-bar rail widget widgets related related-posts related-articles recommended recommendations teaser
+    teasers share sharing share-buttons social social-links social-share follow comment comments comment-list commentlist comments-area
+    disqus disqus_thread replies respond menu nav navbar navigation breadcrumb breadcrumbs pagination pager footer masthead login toolbar
+    skip-link hidden site-header site-footer page-header page-footer""".split()
 )
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 SPACE = re.compile(r"\s+")
-NAME_PARTS = re.compile(r"[A-Za-z]+")
 
 
 def _named(attrs: list[tuple[str, str | None]]) -> bool:
     """Class or id names tell boilerplate; a wrapper may bear such a name too."""
-    return any(value and name in ("class", "id") and any(w in MARKS for part in value.split() for w in NAME_PARTS.findall(re.sub(r"(?<=[a-z])(?=[A-Z])", " ", part).lower())) for name, value in attrs)
+    return any(value and (name == "class" and any(w in MARKS for w in value.lower().split()) or name == "id" and value.lower().strip() in MARKS) for name, value in attrs)
 
 
 def _marked(attrs: list[tuple[str, str | None]]) -> bool:
@@ -62,77 +68,74 @@ def _marked(attrs: list[tuple[str, str | None]]) -> bool:
 
 
 class Lines(HTMLParser):
-    """Lines of a page: text, number of tags, open containers, and the region they lie in."""
+    """The lines of a page (text, number of tags before and in it, innermost container, whether it is a heading) and the tree of containers as parents, each after its parent."""
 
-    def __init__(self, spared: frozenset[int] = frozenset()):
+    def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.spared = spared
-        self.named: dict[int, int] = {}  # characters in containers left out for their names alone
-        self.whole = 0
-        self.heads: set[int] = set()  # those of them that hold an article or the headline
-        self.open: list[tuple[str, int, bool]] = []  # name, number, whether its text is left out
-        self.lines: list[tuple[str, int, tuple[int, ...], int]] = []
+        self.tag, self.parent = ["page"], [-1]
+        self.silent, self.out, self.named = [False], [False], [False]
+        self.heads: set[int] = set()  # containers in which a headline or article starts
+        self.open = [0]
+        self.count: dict[str, int] = {}  # open containers by name
+        self.hushed: str | None = None  # an open hidden paragraph, heading or span
+        self.lines: list[tuple[str, int, int, bool]] = []
         self.text: list[str] = []
-        self.tags = self.made = self.silent = 0
+        self.tags, self.heading = 0, False
 
     def cut(self) -> None:
         text = SPACE.sub(" ", "".join(self.text)).strip()
         if text:
-            region = next((n for name, n, _ in self.open if name in REGIONS), 0)
-            self.lines.append((text, self.tags, tuple(n for _, n, _ in self.open), region))
+            self.lines.append((text, self.tags, self.open[-1], self.heading))
             self.tags = 0
         self.text.clear()
 
-    def close_to(self, at: int) -> None:
-        for _, _, out in self.open[at:]:
-            self.silent -= out
-        del self.open[at:]
+    def shut(self) -> str:
+        name = self.tag[self.open.pop()]
+        self.count[name] -= 1
+        return name
+
+    def shut_to(self, *names: str) -> None:
+        while any(self.count.get(n) for n in names):
+            self.shut()
 
     def handle_starttag(self, tag, attrs):
         self.tags += 1
         if tag in BREAKS:
             self.cut()
+            self.hushed = None
+            self.heading = tag in HEADINGS
         if tag in VOID:
             return
-        if (tag in REGIONS or tag == "h1") and all(not out or n in self.named for _, n, out in self.open):
-            self.heads.update(n for _, n, _ in self.open if n in self.named)
         if tag in REGIONS or tag in ("footer", "body"):
-            # An article never lies in a menu or page header: one that was left open ends here.
-            at = next((i for i, (name, _, _) in enumerate(self.open) if name in ("nav", "header", "head", "menu")), None)
-            if at is not None:
-                self.close_to(at)
+            # An article never lies in a menu or the page's head: one that was left open ends here.
+            self.shut_to("nav", "head", "menu")
+            if tag != "body" and self.count.get("header") and not any(self.count.get(r) for r in REGIONS):
+                self.shut_to("header")
+        if tag in REGIONS or tag == "h1":
+            self.heads.add(self.open[-1])
         if tag in NESTED:
-            inside = any(name in REGIONS for name, _, _ in self.open)
-            plain = tag not in ("body", "html", "main") and not (tag == "header" and inside)
-            out = tag in SILENT or tag in ASIDE or tag == "header" and not inside or plain and _marked(attrs)
-            self.made += 1
-            if not out and plain and tag != "article" and _named(attrs):
-                self.named[self.made] = 0
-                out = self.made not in self.spared
-            self.open.append((tag, self.made, out))
-            self.silent += out
-        elif _marked(attrs) or _named(attrs):
-            # A marked paragraph or span: followed like a container until its end tag or the next block.
-            self.made += 1
-            self.open.append((tag, self.made, True))
-            self.silent += 1
-        if tag in BREAKS and tag not in NESTED:
-            # An open marked paragraph ends where another block starts.
-            at = next((i for i, (name, n, _) in enumerate(self.open) if name not in NESTED and n != self.made), None)
-            if at is not None and self.open[at][0] in BREAKS:
-                own = self.open[-1] if self.open[-1][1] == self.made and self.open[-1][0] == tag else None
-                self.close_to(at)
-                if own and own not in self.open:
-                    self.open.append(own)
-                    self.silent += own[2]
+            inside = any(self.count.get(r) for r in REGIONS)
+            plain = tag not in ("body", "html", "main")
+            self.tag.append(tag)
+            self.parent.append(self.open[-1])
+            self.silent.append(self.silent[self.open[-1]] or tag in SILENT)
+            self.out.append(tag in ASIDE or plain and _marked(attrs))
+            self.named.append(plain and (tag == "header" and not inside or _named(attrs)))
+            self.open.append(len(self.tag) - 1)
+            self.count[tag] = self.count.get(tag, 0) + 1
+        elif self.hushed is None and _marked(attrs):
+            self.hushed = tag
 
     def handle_endtag(self, tag):
         self.tags += 1
         if tag in BREAKS:
             self.cut()
-        at = next((i for i in range(len(self.open) - 1, -1, -1) if self.open[i][0] == tag), None)
-        if at is not None and tag not in ("body", "html"):
-            self.close_to(at)
+            self.heading = False
+        if tag == self.hushed:
+            self.hushed = None
+        if self.count.get(tag) and tag not in ("body", "html"):
+            while self.shut() != tag:
+                pass
 
     def handle_startendtag(self, tag, attrs):
         self.tags += 1
@@ -140,13 +143,7 @@ class Lines(HTMLParser):
             self.cut()
 
     def handle_data(self, data):
-        if all(not out or n in self.named for _, n, out in self.open):
-            size = len("".join(data.split()))
-            self.whole += size
-            for _, n, _ in self.open:
-                if n in self.named:
-                    self.named[n] += size
-        if not self.silent:
+        if not self.silent[self.open[-1]] and self.hushed is None:
             self.text.append(data)
 
 
@@ -172,6 +169,22 @@ def threshold(values: np.ndarray, rounds: int = 50) -> float:
     return (low + high) / 2
 
 
+def content_lines(sizes: np.ndarray, tags: np.ndarray) -> np.ndarray:
+    """Whether each line is content: its smoothed ratio of text to tags lies in the upper cluster."""
+    ratios = smoothed(np.log1p(sizes / np.maximum(1, tags)))
+    return ratios >= threshold(ratios)
+
+
+def _held(page: Lines, values: np.ndarray) -> list[int]:
+    """Sums of the lines' values in each container with all it holds."""
+    held = [0] * len(page.tag)
+    for (_, _, n, _), v in zip(page.lines, values.tolist()):
+        held[n] += v
+    for n in range(len(held) - 1, 0, -1):
+        held[page.parent[n]] += held[n]
+    return held
+
+
 def main_text(html: str | None) -> str:
     if not html:
         return ""
@@ -179,33 +192,64 @@ def main_text(html: str | None) -> str:
     page.feed(html)
     page.close()
     page.cut()
-    # A named container that holds most of the text, an article or the headline is a wrapper, not boilerplate.
-    wrappers = page.heads | {n for n, size in page.named.items() if 2 * size > page.whole}
-    if wrappers:
-        page = Lines(frozenset(wrappers))
-        page.feed(html)
-        page.close()
-        page.cut()
     if not page.lines:
         return ""
-    size = np.array([len(t) for t, *_ in page.lines])
-    ratios = smoothed(np.log1p(size / np.maximum(1, [n for _, n, *_ in page.lines])))
-    content = ratios >= threshold(ratios)
-    weight = np.where(content, size, 0)
-    region: dict[int, int] = {}
-    for (_, _, _, r), w in zip(page.lines, weight.tolist()):
-        if r:
-            region[r] = region.get(r, 0) + w
-    if region and (best := max(region, key=lambda r: (region[r], -r))) and 2 * region[best] >= 0.5 * weight.sum():
-        return " ".join(t for t, _, _, r in page.lines if r == best)
-    # No article: the innermost container with most of the content.
-    held: dict[int, int] = {}
-    for (_, _, path, _), w in zip(page.lines, weight.tolist()):
-        for n in path:
-            held[n] = held.get(n, 0) + w
-    whole = weight.sum()
-    inner = max((n for n, w in held.items() if w >= 0.8 * whole), default=0)
-    return " ".join(t for t, _, path, _ in page.lines if not inner or inner in path)
+    sizes = np.array([len(t) for t, *_ in page.lines])
+    weights = np.where(content_lines(sizes, np.array([n for _, n, *_ in page.lines])), sizes, 0)
+    text, mass = _held(page, sizes), _held(page, weights)
+    tag, parent, nodes = page.tag, page.parent, range(1, len(page.tag))
+    heads = bytearray(len(tag))
+    for n in page.heads:
+        heads[n] = 1
+    for n in reversed(nodes):
+        heads[parent[n]] |= heads[n]
+    # What is left out, and the outermost article or main element of each container.
+    out, region = [False] * len(tag), [0] * len(tag)
+    article = [0] * len(tag)
+    for n in nodes:
+        up = parent[n]
+        wrapper = heads[n] or tag[n] == "article" and not (article[up] and page.named[n]) or 2 * text[n] > text[0]
+        out[n] = out[up] or page.out[n] or page.named[n] and not wrapper
+        article[n] = article[up] or (n if tag[n] == "article" and not out[n] else 0)
+        region[n] = region[up] or (n if tag[n] == "main" and not out[n] else 0)
+    articles = {n for n in nodes if article[n] == n and 2 * mass[n] >= text[n] > 0}
+    if articles:
+        most = max(mass[n] for n in articles)
+        articles = {n for n in articles if 5 * mass[n] >= most}
+        if 4 * sum(mass[n] for n in articles) >= mass[0]:
+            return " ".join(t for t, _, n, _ in page.lines if article[n] in articles and not out[n])
+    mains = [n for n in nodes if region[n] == n]
+    best = max(mains, key=lambda n: (mass[n], -n), default=0)
+    if not best or 4 * mass[best] < mass[0]:
+        # The innermost container with most of the content that is not left out.
+        own = _held(page, np.where([out[n] for _, _, n, _ in page.lines], 0, weights))
+        best = 0
+        for n in nodes:
+            if parent[n] == best and 5 * own[n] >= 4 * own[0] > 0:
+                best = n
+    return " ".join(_parts(page, best, out, text, mass, weights))
+
+
+def _parts(page: Lines, best: int, out: list[bool], text: list[int], mass: list[int], weights: np.ndarray) -> Iterator[str]:
+    """Lines of the region: containers in it most of whose text is content, and lines of its own that are content, lie between such ones or are headings of what follows."""
+    unit = [0] * len(page.tag)  # the part of the region that a container belongs to; the region's own number for itself
+    unit[best] = best or -1
+    for n in range(1, len(page.tag)):
+        if n != best and unit[page.parent[n]]:
+            unit[n] = n if page.parent[n] == best else unit[page.parent[n]]
+    own = best or -1
+    lines = [(t, unit[n], heading, w) for (t, _, n, heading), w in zip(page.lines, weights.tolist()) if unit[n] and not out[n]]
+    sure = [w > 0 if u == own else 2 * mass[u] >= text[u] for _, u, _, w in lines]
+    ahead = [False] * (len(lines) + 1)
+    for k in range(len(lines) - 1, -1, -1):
+        ahead[k] = ahead[k + 1] or sure[k]
+    before, followed = False, [False] * (len(lines) + 1)
+    for k in range(len(lines) - 1, -1, -1):
+        followed[k] = sure[k] or lines[k][2] and followed[k + 1]
+    for k, (t, u, heading, _) in enumerate(lines):
+        if sure[k] or u == own and (before and ahead[k] or heading and followed[k + 1]):
+            yield t
+        before = before or sure[k]
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
