@@ -1,12 +1,16 @@
 """Operator 7: secrets by fixed patterns and by dictionary-primed compression novelty.
 
-Base spans come from three patterns. The method adds spans of kind ``novel``: strings near a sensitive word whose marginal
-compressed size, with the surrounding code and an identifier dictionary to copy from, stays close to their length. Those with
-fewer than three digits must also be spelled unlike words, by the pairs of letters in the dictionary's identifiers. Words,
-identifiers, paths and anything repeated nearby compress; keys and random tokens don't.
-
-Defined cases: a null or empty text has no spans; spans are code points, end exclusive, of the whole match; repeated rows
-are scanned each for itself; an empty table gives an empty result; other columns are ignored.
+Base spans come from three patterns. The method adds spans of kind ``novel``. Its candidates are all strings of 16 or more characters
+that keys are made of, beginning within ``reach`` characters after a sensitive word on its line. Of each the marginal
+compressed size is measured, with the surrounding code and an identifier dictionary to copy from; where it stays close to the
+candidate's length, nothing around or in the dictionary explains it. Short strings of unknown words hardly compress either, so
+that novel ones spelled like words, by the pairs of letters in the dictionary, are told apart.
+Words, identifiers, paths and anything repeated nearby are not reported; keys and random tokens are, also where a base span
+covers them, for the base span holds the name with the value.
+
+Defined cases: a null or empty text has no spans; spans are code points, end exclusive, of the whole match; a novel span that
+equals a base span is not told twice; spans that tie in start go by kind; a text of any length is scanned once; repeated rows and
+null ids are scanned each for itself; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -70,11 +74,6 @@ def novelty(text: str, start: int, end: int, around: int = 200) -> float:
     return (_size(near + own, primer) - _size(near, primer)) / len(own)
 
 
-def _mixed(s: str) -> bool:
-    """Letters and at least three digits, as keys have and words don't."""
-    return sum(c.isdigit() for c in s) >= 3 and any(c.isalpha() for c in s)
-
-
 @cache
 def _steps() -> dict[str, float]:
     """Bits by which each pair of small letters is likelier in the identifiers than in a random key of 62 characters."""
@@ -97,6 +96,20 @@ def spelled(s: str) -> float:
     return bits / (len(s) - 1)
 
 
+def candidates(text: str, reach: int) -> Iterator[tuple[int, int]]:
+    """Strings keys are made of, with a letter, that begin after a sensitive word, on its line and within ``reach``. One pass over the text."""
+    words = CONTEXT.finditer(text)
+    word, stop = next(words, None), -1
+    for m in CANDIDATE.finditer(text):
+        while word and word.end() <= m.start():
+            stop = word.end() + reach
+            line = text.find("\n", word.end(), stop)
+            stop = stop if line < 0 else line
+            word = next(words, None)
+        if m.start() < stop and any(c.isalpha() for c in m[0]):
+            yield m.start(), m.end()
+
+
 def spans(text: str | None, least: float = 0.8, reach: int = 48, most: float = 1.0) -> list[tuple[str, int, int]]:
     """(kind, start, end), by start, then in the order of KINDS."""
     if not text:
@@ -108,16 +121,10 @@ def spans(text: str | None, least: float = 0.8, reach: int = 48, most: float = 1
         found += [("access", m.start(), m.end()) for m in ACCESS.finditer(text)]
     found += [("hex", m.start(), m.end()) for m in HEX.finditer(text)]
     if any(w in low for w in CONTEXT_WORDS):
-        base, seen = list(found), 0
-        for word in CONTEXT.finditer(text):
-            line = text.find("\n", word.end())
-            stop = min(word.end() + reach, len(text) if line < 0 else line)
-            for m in CANDIDATE.finditer(text, max(seen, word.end())):
-                if m.start() >= stop:
-                    break
-                seen = m.end()
-                if (_mixed(m[0]) or any(c.isalpha() for c in m[0]) and spelled(m[0]) < most) and not any(a < m.end() and m.start() < b for _, a, b in base) and novelty(text, m.start(), m.end()) >= least:
-                    found.append(("novel", m.start(), m.end()))
+        base = {(x, y) for _, x, y in found}
+        for start, end in candidates(text, reach):
+            if (start, end) not in base and novelty(text, start, end) >= least and spelled(text[start:end]) < most:
+                found.append(("novel", start, end))
     return sorted(found, key=lambda x: (x[1], KINDS.index(x[0]), x[2]))
 
 
