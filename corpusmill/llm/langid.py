@@ -1,12 +1,14 @@
 """Operator 8: language identification by segmentation-marginalised unigrams.
 
-Each language has probabilities over the pieces of a fixed public vocabulary. A word's probability is the sum over all its
-segmentations into pieces (forward algorithm), a text's the product over its words. Probabilities are fitted by expectation
-maximisation on words counted in Spark from a bounded sample of labelled rows; only the model (languages x vocabulary) ever
-meets in the driver or is sent to the executors.
+Each language has probabilities over the pieces of a fixed public vocabulary, those of letters only, and all single bytes. A word's
+probability is the sum over all its segmentations into pieces (forward algorithm, rescaled as it goes on, so that words of any length
+keep theirs), a text's the product over its words. Probabilities are fitted by expectation maximisation on words counted in Spark from
+a bounded sample of labelled rows; only the model (languages x vocabulary, ``MOST_LANGUAGES`` at most) ever meets in the driver or is
+sent to the executors.
 
 Defined cases: a text that is null or has no letter is ``und`` with score 0; without labelled rows every text is; ties go to the
-smaller language name; repeated rows are scored each for itself; other columns are ignored.
+smaller language name; a very long text or word is scored whole; null ids are never held out; repeated rows are scored each for
+itself; more languages than the bound are an error; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,8 +28,10 @@ from corpusmill.llm.tokenize import byte_alphabet
 from corpusmill.workspace import Workspace
 
 WORD = re.compile(r"[^\W\d_]+")
-LONGEST_PIECE = 8
-WORD_BYTES = 32
+#: Languages a model may have: the model is a matrix of this many rows in the driver and in every worker.
+MOST_LANGUAGES = 1000
+#: Cells (words x bytes) of a batch of words.
+CELLS = 1 << 18
 END = "</w>"
 PRIME = np.uint64(0x9E3779B97F4A7C15)
 
@@ -37,7 +41,7 @@ def letters(word: str) -> str:
 
 
 class Vocabulary:
-    """Pieces up to LONGEST_PIECE bytes of a byte-level BPE file, found by hash: a piece's code is a polynomial of its bytes, with a mark for those that end a word."""
+    """Pieces of a byte-level BPE file, found by hash: a piece's code is a polynomial of its bytes, with a mark for those that end a word."""
 
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
@@ -46,7 +50,7 @@ class Vocabulary:
         pieces = set()
         for piece in vocab:
             stem, ends = (piece[: -len(END)], 1) if piece.endswith(END) else (piece, 0)
-            if 0 < len(stem) <= LONGEST_PIECE and all(c in byte_of for c in stem):
+            if stem and all(c in byte_of for c in stem):
                 raw = bytes(byte_of[c] for c in stem)
                 if raw.isalpha() or any(b > 127 for b in raw):
                     pieces.add((raw, ends))
@@ -59,13 +63,25 @@ class Vocabulary:
         self.slots = np.full(1 << 20, -1, "i4")
         self.slots[(codes >> np.uint64(44)).astype("i8")] = np.arange(len(codes), dtype="i4")
         self.code_of = codes
+        # Which hashes begin a longer piece; a wrong yes costs one more look.
+        self.begins = np.zeros(1 << 22, bool)
+        heads = np.array([self._hash(raw[:k]) for raw in {raw for raw, _ in self.pieces} for k in range(1, len(raw))], "u8")
+        self.begins[self._place(heads)] = True
 
     @staticmethod
-    def _code(raw: bytes, ends: int) -> int:
+    def _hash(raw: bytes) -> int:
         h = 0
         for b in raw:
             h = (h * 0x9E3779B97F4A7C15 + b + 1) & 0xFFFFFFFFFFFFFFFF
-        return ((h * 2 + ends) * 0xD6E8FEB86659FD93) & 0xFFFFFFFFFFFFFFFF
+        return h
+
+    @classmethod
+    def _code(cls, raw: bytes, ends: int) -> int:
+        return ((cls._hash(raw) * 2 + ends) * 0xD6E8FEB86659FD93) & 0xFFFFFFFFFFFFFFFF
+
+    @staticmethod
+    def _place(h: np.ndarray) -> np.ndarray:
+        return ((h * np.uint64(0xC2B2AE3D27D4EB4F)) >> np.uint64(42)).astype("i8")
 
     def __len__(self) -> int:
         return len(self.pieces)
@@ -80,21 +96,27 @@ class Vocabulary:
         return got
 
     def lattice(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Words of equal length n or less as piece numbers [word, start, length - 1], and their lengths."""
+        """Words as piece numbers [word, start, length - 1], -1 for none, and their lengths. The last axis goes to the longest piece found."""
         size = np.fromiter(map(len, words), "i8", len(words))
         n = int(size.max())
-        raw = np.zeros((len(words), n + LONGEST_PIECE), "u8")
+        raw = np.zeros((len(words), n), "u8")
         for i, w in enumerate(words):
             raw[i, : len(w)] = np.frombuffer(w, "u1")
-        grid = np.full((len(words), n, LONGEST_PIECE), -1, "i4")
-        h = np.zeros((len(words), n), "u8")
-        start = np.arange(n)
-        for k in range(1, LONGEST_PIECE + 1):
-            h = h * PRIME + raw[:, k - 1 : k - 1 + n] + np.uint64(1)
-            stop = start[None, :] + k
-            ends = (stop == size[:, None]).astype("u8")
-            got = self.lookup(((h * np.uint64(2) + ends) * np.uint64(0xD6E8FEB86659FD93)).ravel()).reshape(len(words), n)
-            grid[:, :, k - 1] = np.where(stop <= size[:, None], got, -1)
+        row, start = np.nonzero(np.arange(n)[None, :] < size[:, None])
+        h, k, found = np.zeros(len(row), "u8"), 0, []
+        while len(row):
+            h = h * PRIME + raw[row, start + k] + np.uint64(1)
+            k += 1
+            ends = start + k == size[row]
+            got = self.lookup((h * np.uint64(2) + ends.astype("u8")) * np.uint64(0xD6E8FEB86659FD93))
+            hit = got >= 0
+            found.append((row[hit], start[hit], got[hit]))
+            on = ~ends & self.begins[self._place(h)]
+            row, start, h = row[on], start[on], h[on]
+        longest = max((k for k, (r, *_) in enumerate(found, 1) if len(r)), default=1)
+        grid = np.full((len(words), n, longest), -1, "i4")
+        for k, (r, a, got) in enumerate(found[:longest]):
+            grid[r, a, k] = got
         return grid, size
 
 
@@ -107,42 +129,68 @@ def vocabulary(path: str) -> Vocabulary:
     return _vocabularies[path]
 
 
-def word_parts(word: str) -> list[bytes]:
-    """A lower-cased word's bytes, in parts of WORD_BYTES."""
-    raw = word.encode()
-    return [raw[i : i + WORD_BYTES] for i in range(0, len(raw), WORD_BYTES)]
-
-
-def forward(grid: np.ndarray, size: np.ndarray, prob: np.ndarray) -> np.ndarray:
-    """alpha[word, language, position]: probability of all segmentations of the first bytes. prob: [language, piece], with a last column of zeros for piece -1."""
-    words, n, _ = grid.shape
-    alpha = np.zeros((n + 1, words, prob.shape[0]))
+def forward(grid: np.ndarray, prob: np.ndarray, own: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Probabilities of all segmentations of the first bytes, alpha[position, word, language] times exp(scale[position, word, language]). prob: [language, piece], with a last column of zeros for piece -1. With ``own``, a language for each word, only that one."""
+    words, n, longest = grid.shape
+    wide = 1 if own is not None else prob.shape[0]
+    alpha, scale, now = np.zeros((n + 1, words, wide)), np.zeros((n + 1, words, wide)), np.zeros((words, wide))
     alpha[0] = 1
     by_piece = np.ascontiguousarray(prob.T)
     for stop in range(1, n + 1):
-        for k in range(1, min(LONGEST_PIECE, stop) + 1):
-            alpha[stop] += alpha[stop - k] * by_piece[grid[:, stop - k, k - 1]]
-    return alpha
-
-
-def backward(grid: np.ndarray, size: np.ndarray, by_piece: np.ndarray) -> np.ndarray:
-    words, n, _ = grid.shape
-    beta = np.zeros((n + 1, words, by_piece.shape[1]))
+        for k in range(1, min(longest, stop) + 1):
+            piece = grid[:, stop - k, k - 1]
+            alpha[stop] += alpha[stop - k] * (by_piece[piece] if own is None else prob[own, piece][:, None])
+        scale[stop] = now
+        if stop % 4 == 0:
+            # The rows still to be used are brought to one; the rest keep the scale they had.
+            low = max(0, stop - longest + 1)
+            most = alpha[low : stop + 1].max(0)
+            most[most == 0] = 1
+            alpha[low : stop + 1] /= most
+            now = now + np.log(most)
+            scale[low : stop + 1] = now
+    return alpha, scale
+
+
+def backward(grid: np.ndarray, size: np.ndarray, prob: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Like ``forward`` with ``own``, of the bytes from a position on: beta[position, word], scale[position, word]."""
+    words, n, longest = grid.shape
+    beta, scale, now = np.zeros((n + 1, words)), np.zeros((n + 1, words)), np.zeros(words)
     beta[size, np.arange(words)] = 1
     for start in range(n - 1, -1, -1):
-        for k in range(1, min(LONGEST_PIECE, n - start) + 1):
-            beta[start] += beta[start + k] * by_piece[grid[:, start, k - 1]]
-    return beta
-
-
-def log_likelihood(vocab: Vocabulary, prob: np.ndarray, parts: list[bytes]) -> np.ndarray:
-    """[part, language]; parts are taken in runs of like length."""
-    out = np.zeros((len(parts), prob.shape[0]))
-    order = sorted(range(len(parts)), key=lambda i: len(parts[i]))
-    for at in range(0, len(order), 4096):
-        some = order[at : at + 4096]
-        grid, size = vocab.lattice([parts[i] for i in some])
-        out[some] = np.log(forward(grid, size, prob)[size, np.arange(len(some))])
+        for k in range(1, min(longest, n - start) + 1):
+            # A word's own end is one whatever has been scaled before it.
+            beta[start] += beta[start + k] * prob[own, grid[:, start, k - 1]]
+        scale[start] = now
+        if start % 4 == 0:
+            high = min(n, start + longest - 1)
+            most = beta[start : high + 1].max(0)
+            most[(most == 0) | (size <= start)] = 1
+            beta[start : high + 1] /= most
+            now = now + np.log(most)
+            scale[start : high + 1] = now
+    return beta, scale
+
+
+def batches_of(words: list[bytes]) -> Iterator[list[int]]:
+    """Places of the words in batches of like length and bounded size."""
+    order, at = sorted(range(len(words)), key=lambda i: len(words[i])), 0
+    while at < len(order):
+        n = 1
+        while at + n < len(order) and n < 4096 and (n + 1) * len(words[order[at + n]]) <= CELLS:
+            n += 1
+        yield order[at : at + n]
+        at += n
+
+
+def log_likelihood(vocab: Vocabulary, prob: np.ndarray, words: list[bytes]) -> np.ndarray:
+    """[word, language]"""
+    out = np.zeros((len(words), prob.shape[0]))
+    for some in batches_of(words):
+        grid, size = vocab.lattice([words[i] for i in some])
+        alpha, scale = forward(grid, prob)
+        rows = np.arange(len(some))
+        out[some] = np.log(alpha[size, rows]) + scale[size, rows]
     return out
 
 
@@ -150,7 +198,7 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         counts: Counter = Counter()
         for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            counts.update((lang, p) for w in WORD.findall(text.lower()) for p in word_parts(letters(w)))
+            counts.update((lang, letters(w).encode()) for w in WORD.findall(text.lower()))
         if counts:
             keys = list(counts)
             yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys]), pa.array([k[1] for k in keys], pa.binary()), pa.array([counts[k] for k in keys], pa.int64())], names=["lang", "word", "n"])
@@ -159,22 +207,24 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _expected(path: str, langs: list[str], prob_of):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab, prob = vocabulary(path), prob_of.value
-        by_piece, total = np.ascontiguousarray(prob.T), np.zeros((len(langs), len(vocab) + 1))
+        total = np.zeros((len(langs), len(vocab) + 1))
         number = {x: i for i, x in enumerate(langs)}
         for batch in batches:
             words, n = batch.column(1).to_pylist(), batch.column(2).to_numpy()
             which = np.array([number[x] for x in batch.column(0).to_pylist()])
-            order = sorted(range(len(words)), key=lambda i: len(words[i]))
-            for at in range(0, len(order), 2048):
-                some = order[at : at + 2048]
+            for some in batches_of(words):
                 grid, size = vocab.lattice([words[i] for i in some])
                 own, rows = which[some], np.arange(len(some))
-                alpha, beta = forward(grid, size, prob)[:, rows, own], backward(grid, size, by_piece)[:, rows, own]
-                scale = n[some] / alpha[size, rows]
-                for k in range(1, LONGEST_PIECE + 1):
+                (alpha, up), (beta, down) = forward(grid, prob, own), backward(grid, size, prob, own)
+                alpha, up = alpha[:, :, 0], up[:, :, 0]
+                whole = np.log(alpha[size, rows]) + up[size, rows]
+                for k in range(1, grid.shape[2] + 1):
                     for start in range(grid.shape[1] - k + 1):
                         piece = grid[:, start, k - 1]
-                        np.add.at(total, (own, piece), alpha[start] * prob[own, piece] * beta[start + k] * scale)
+                        hit = np.flatnonzero(piece >= 0)
+                        if len(hit):
+                            share = alpha[start, hit] * prob[own[hit], piece[hit]] * beta[start + k, hit] * np.exp(up[start, hit] + down[start + k, hit] - whole[hit])
+                            np.add.at(total, (own[hit], piece[hit]), share * n[some][hit])
         lang, piece = np.nonzero(total[:, :-1])
         yield pa.RecordBatch.from_arrays([pa.array(lang.astype("i4")), pa.array(piece.astype("i4")), pa.array(total[lang, piece])], names=["lang", "piece", "n"])
 
@@ -191,6 +241,8 @@ def train(labelled: DataFrame, path: str, sample_rows: int = 10_000, rounds: int
         good = good.filter(F.pmod(F.xxhash64(F.lit(17), "key"), F.lit(1 << 30)) < F.lit(int((1 << 30) * sample_rows / rows)))
     words = ws.keep(good.select("lang", "text").mapInArrow(_count_words, "lang string, word binary, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")), "words")
     langs = sorted((r[0] for r in words.select("lang").distinct().collect()), key=lambda s: s.encode())
+    if len(langs) > MOST_LANGUAGES:
+        raise ValueError(f"{len(langs)} languages; a model holds {MOST_LANGUAGES} at most")
     vocab = vocabulary(path)
     prob = np.zeros((len(langs), len(vocab) + 1))
     if not langs:
@@ -224,13 +276,8 @@ def _predict(path: str, langs: list[str], prob_of, limit: int = 300_000):
                 found = [WORD.findall(t.lower()) if t and langs else [] for t in texts[at : at + 200]]
                 new = list({w for words in found for w in words if w not in number})
                 if new:
-                    parts = [word_parts(letters(w)) for w in new]
-                    flat = log_likelihood(vocab, prob, [p for ps in parts for p in ps])
-                    own = np.repeat(np.arange(len(new)), [len(ps) for ps in parts])
-                    sums = np.zeros((len(new), len(langs)))
-                    np.add.at(sums, own, flat)
                     number.update(zip(new, range(len(table), len(table) + len(new))))
-                    table = np.concatenate([table, sums])
+                    table = np.concatenate([table, log_likelihood(vocab, prob, [letters(w).encode() for w in new])])
                 for words in found:
                     total = table[[number[w] for w in words]].sum(0) if words else None
                     if total is None or not total.any():
