@@ -2,11 +2,12 @@
 
 Sampled splitters range-partition the normalised bytes: by their first characters, then their SHA-256, then the id, so that
 splitters stay short however long the texts are and one huge group of equals is spread over many partitions. Each partition is
-sorted externally in the same order, which places equals adjacent, and neighbours are compared in full. A group that crosses
-partition borders is joined up from the first and last run of each partition: two texts a partition, whatever the data.
+sorted externally by its whole normalised bytes, then the id, which places equals adjacent, and neighbours are compared in full. Only a text that
+holds the first or last splitting key of a partition can go on in another; those few runs, two a partition, are joined up by their SHA-256.
 
 Defined cases: null text counts as empty; of equal texts the smallest id stays, null ids last; of rows with the same id and
-text one stays; an empty table gives an empty result; other columns, whatever their names, are carried or ignored.
+text one stays; a very long text travels once and is compared by its bytes; an empty table gives an empty result; other columns,
+whatever their names, are carried or ignored.
 """
 
 from __future__ import annotations
@@ -36,13 +37,12 @@ HEAD = 24
 
 def _sorted_by_content(df: DataFrame, id_col: str, text_col: str, carry: bool, partitions: int | None) -> DataFrame:
     """id, norm, sha and, if asked, the row itself."""
-    cols = [F.col(id_col).cast("long").alias("id"), normalised(F.col(text_col)).alias("norm")]
+    cols = [F.col(f"`{id_col}`").cast("long").alias("id"), normalised(F.col(f"`{text_col}`")).alias("norm")]
     if carry:
         cols.append(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"))
     keyed = df.select(*cols).withColumns({"head": F.substring("norm", 1, HEAD), "sha": F.unhex(F.sha2("norm", 256))})
-    keys = ["head", "sha", F.col("id").asc_nulls_last()]
-    dealt = keyed.repartitionByRange(partitions or shuffle_partitions(df.sparkSession), *keys).sortWithinPartitions(*keys)
-    return dealt.select("id", "norm", "sha", *(["row"] if carry else []))
+    dealt = keyed.repartitionByRange(partitions or shuffle_partitions(df.sparkSession), "head", "sha", F.col("id").asc_nulls_last())
+    return dealt.sortWithinPartitions("norm", F.col("id").asc_nulls_last()).select("id", "norm", "sha", *(["row"] if carry else []))
 
 
 def _run_starts(norm: pa.Array, last: pa.Scalar | None) -> np.ndarray:
@@ -55,27 +55,24 @@ def _run_starts(norm: pa.Array, last: pa.Scalar | None) -> np.ndarray:
     return starts
 
 
-RUNS = "doc_id long, local_keep long, local_first boolean, local_size long, text_sha256 string, part int, edge int, edge_text string"
+RUNS = "doc_id long, local_keep long, local_first boolean, local_size long, sha binary, part int, head string"
 
 
 def _annotate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row for each row, sent when its run has ended; of a run's rows only the ids are held. edge: 1 first run of the partition, 2 last, 3 both."""
+    """A row for each row, sent when its run has ended; of a run's rows only the ids are held. The first has the text's first characters too."""
     part = TaskContext.get().partitionId()
-    out: list[list] = [[] for _ in range(8)]
+    out: list[list] = [[] for _ in range(7)]
     run: dict = {}
 
-    def flush(last: bool) -> None:
-        if not run:
-            return
+    def flush() -> None:
         ids = run["ids"]
-        n, edge = len(ids), run["first"] + 2 * last
-        text = run["text"].as_py()
-        sha = run["sha"].as_py().hex()
-        for column, values in zip(out, (ids, [ids[0]] * n, [True] + [False] * (n - 1), [n] * n, [sha] * n, [part] * n, [edge] * n, [text if edge else None] + [None] * (n - 1))):
+        n = len(ids)
+        head = [run["text"].as_py()[:HEAD]] + [None] * (n - 1)
+        for column, values in zip(out, (ids, [ids[0]] * n, [True] + [False] * (n - 1), [n] * n, [run["sha"].as_py()] * n, [part] * n, head)):
             column.extend(values)
 
     def batch_out() -> pa.RecordBatch:
-        kinds = (pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.string())
+        kinds = (pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.binary(), pa.int32(), pa.string())
         made = pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(out, kinds)], names=[c.split()[0] for c in RUNS.split(", ")])
         for column in out:
             column.clear()
@@ -87,69 +84,59 @@ def _annotate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if run:
             run["ids"].extend(ids[: starts[0] if starts else len(ids)])
         for a, b in zip(starts, [*starts[1:], len(ids)]):
-            first = not run
-            flush(False)
-            run = {"text": norm[a], "sha": batch.column(2)[a], "ids": ids[a:b], "first": first}
+            if run:
+                flush()
+            run = {"text": norm[a], "sha": batch.column(2)[a], "ids": ids[a:b]}
         if out[0]:
             yield batch_out()
-    flush(True)
-    if out[0]:
+    if run:
+        flush()
         yield batch_out()
 
 
-def _joined_edges(edges: DataFrame) -> DataFrame:
-    """edges: part, edge, edge_text, id, size for the first and last run of each partition. Gives part, edge, keep, group_size and whether the run only goes on from an earlier partition. Two rows a partition at most, so one task."""
-    w = Window.orderBy("part", "edge")
-    chained = edges.select("part", "edge", "id", "size", F.when(F.col("edge_text").eqNullSafe(F.lag("edge_text").over(w)), 0).otherwise(1).alias("fresh")).withColumn("chain", F.sum("fresh").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    whole = Window.partitionBy("chain").orderBy("part", "edge").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    return chained.select("part", "edge", F.first("id").over(whole).alias("keep"), F.sum("size").over(whole).alias("total"), (F.col("fresh") == 0).alias("goes_on"))
+def _joined_edges(runs: DataFrame) -> DataFrame:
+    """runs: part, head, sha, id, size, one a text and partition. Gives part, sha, keep, total and whether the run stays, for texts that lie in several partitions: such a text has the least or greatest key of each."""
+    ends = runs.groupBy("part").agg(F.min(F.struct("head", "sha")).alias("low"), F.max(F.struct("head", "sha")).alias("high"))
+    ends = ends.select("part", F.explode(F.array_distinct(F.array(F.col("low.sha"), F.col("high.sha")))).alias("sha"))
+    edges = runs.select("part", "sha", "id", "size").join(F.broadcast(ends), ["part", "sha"])
+    every = Window.partitionBy("sha")
+    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "part")).over(every)
+    return edges.withColumns({"total": F.sum("size").over(every), "first": first}).select("part", "sha", F.col("first.id").alias("keep"), "total", (F.col("first.part") == F.col("part")).alias("stays"))
 
 
 def duplicate_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", partitions: int | None = None) -> DataFrame:
     """One row per row: doc_id, keep_id, group_size, kept, text_sha256 (of the normalised text)."""
     ws = Workspace(df.sparkSession, "content-sort")
     runs = ws.keep(_sorted_by_content(df, id_col, text_col, False, partitions).mapInArrow(_annotate, RUNS), "runs")
-    edges = _joined_edges(runs.filter("edge > 0 and local_first").select("part", "edge", "edge_text", F.col("local_keep").alias("id"), F.col("local_size").alias("size")))
-    return runs.drop("edge_text").join(F.broadcast(edges), ["part", "edge"], "left").select(
+    edges = _joined_edges(runs.filter("local_first").select("part", "head", "sha", F.col("local_keep").alias("id"), F.col("local_size").alias("size")))
+    # Two rows a partition at most.
+    return runs.drop("head").join(F.broadcast(edges), ["part", "sha"], "left").select(
         "doc_id",
         F.when(F.col("total").isNull(), F.col("local_keep")).otherwise(F.col("keep")).alias("keep_id"),
         F.coalesce("total", "local_size").alias("group_size"),
-        (F.col("local_first") & ~F.coalesce("goes_on", F.lit(False))).alias("kept"),
-        "text_sha256",
+        (F.col("local_first") & F.coalesce("stays", F.lit(True))).alias("kept"),
+        F.lower(F.hex("sha")).alias("text_sha256"),
     )
 
 
 def _heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The first row of each run with all its columns. One row is held back, as only the end tells which run is the last."""
-    part, last, held, first = TaskContext.get().partitionId(), None, None, True
-
-    def made(rows: pa.Array, norms: pa.Array, edges: list[int]) -> pa.RecordBatch:
-        texts = pa.array([t if e else None for t, e in zip(norms.to_pylist(), edges)], pa.string()) if any(edges) else pa.nulls(len(edges), pa.string())
-        return pa.RecordBatch.from_arrays([rows, pa.array([part] * len(edges), pa.int32()), pa.array(edges, pa.int32()), texts], names=["row", "part", "edge", "edge_text"])
-
+    """The first row of each run with all its columns."""
+    part, last = TaskContext.get().partitionId(), None
     for batch in batches:
         if not len(batch):
             continue
         norm = batch.column(1)
         starts = pa.array(np.flatnonzero(_run_starts(norm, last)))
         last = norm[len(norm) - 1]
-        if not len(starts):
-            continue
-        rows, norms = batch.column(3).take(starts), norm.take(starts)
-        if held is not None:
-            rows, norms = pa.concat_arrays([held[0], rows]), pa.concat_arrays([held[1], norms])
-        if len(rows) > 1:
-            yield made(rows.slice(0, len(rows) - 1), norms.slice(0, len(rows) - 1), [int(first)] + [0] * (len(rows) - 2))
-            first = False
-        held = rows.slice(len(rows) - 1), norms.slice(len(rows) - 1)
-    if held is not None:
-        yield made(held[0], held[1], [int(first) + 2])
+        if len(starts):
+            heads = pc.utf8_slice_codeunits(norm.take(starts), 0, HEAD)
+            yield pa.RecordBatch.from_arrays([batch.column(3).take(starts), batch.column(0).take(starts), pa.array([part] * len(starts), pa.int32()), heads, batch.column(2).take(starts)], names=["row", "id", "part", "head", "sha"])
 
 
 def drop_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", partitions: int | None = None) -> DataFrame:
     """The rows that stay, with the columns of ``df``."""
     ws = Workspace(df.sparkSession, "content-sort")
-    schema = T.StructType([T.StructField("row", df.schema, False), T.StructField("part", T.IntegerType()), T.StructField("edge", T.IntegerType()), T.StructField("edge_text", T.StringType())])
+    schema = T.StructType([T.StructField("row", df.schema, False), T.StructField("id", T.LongType()), T.StructField("part", T.IntegerType()), T.StructField("head", T.StringType()), T.StructField("sha", T.BinaryType())])
     heads = ws.keep(_sorted_by_content(df, id_col, text_col, True, partitions).mapInArrow(_heads, schema), "heads")
-    edges = _joined_edges(heads.filter("edge > 0").select("part", "edge", "edge_text", F.lit(None).cast("long").alias("id"), F.lit(1).alias("size"))).filter("goes_on").select("part", "edge")
-    return heads.drop("edge_text").join(F.broadcast(edges), ["part", "edge"], "left_anti").select("row.*")
+    more = _joined_edges(heads.select("part", "head", "sha", "id", F.lit(1).alias("size"))).filter("not stays").select("part", "sha")
+    return heads.join(F.broadcast(more), ["part", "sha"], "left_anti").select("row.*")
