@@ -9,7 +9,9 @@ Equal fingerprints are one node. Inside a key's rows only a spanning forest of t
 over ``block_rows`` are dealt again as pairs of blocks, each in a task of its own.
 
 Defined cases: a null, empty or blank text has fingerprint zero and links like any other; a text of fewer words than a shingle is
-one shingle; repeated rows and ids keep a row each; an empty table gives an empty result; other columns are ignored.
+one shingle; a very long text is hashed in parts; null ids come after all others; repeated rows and ids keep a row each; of a
+component with ties in id one row stays, by its text and then its other columns; an empty table gives an empty result; other columns
+are ignored.
 """
 
 from __future__ import annotations
@@ -232,10 +234,12 @@ def fingerprint_components(docs: DataFrame, **options) -> DataFrame:
     return near_duplicate_components(docs, **options).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, **options) -> DataFrame:
     """The document with the smallest id of each component, with the columns of ``docs``."""
-    groups = near_duplicate_components(docs, id_col, text_col, **options)
-    stay = groups.filter("doc_id <=> component_id").select(F.col("doc_id").alias("__id"), F.col("h").alias("__h"), "component_id").withColumn("__nth", F.row_number().over(Window.partitionBy("component_id").orderBy("__h"))).filter("__nth = 1").select("__id", "__h")
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"), F.col(id_col).cast("long").alias("__id"), F.xxhash64(text_col).alias("__h"))
-    rows = rows.withColumn("__nth", F.row_number().over(Window.partitionBy("__id", "__h").orderBy(F.lit(0)))).filter("__nth = 1")
-    return rows.join(stay, rows["__id"].eqNullSafe(stay["__id"]) & (rows["__h"] == stay["__h"]), "left_semi").select("__row.*")
+    groups = near_duplicate_components(docs, id_col, text_col, shingle, **options)
+    stay = groups.filter("doc_id <=> component_id").groupBy("component_id").agg(F.min(F.struct("h", "doc_id")).alias("least")).select(F.col("least.h").alias("__h"), F.xxhash64(F.col("least.doc_id").isNull(), "least.doc_id").alias("__id"))
+    names = [F.col(f"`{c}`") for c in docs.columns]
+    key = F.col(f"`{id_col}`").cast("long")
+    rows = docs.select(F.struct(*names).alias("__row"), F.xxhash64(f"`{text_col}`").alias("__h"), F.xxhash64(key.isNull(), key).alias("__id"), F.xxhash64(*[c.cast("string") for c in names]).alias("__all"))
+    rows = rows.join(stay, ["__h", "__id"], "left_semi")
+    return rows.withColumn("__nth", F.row_number().over(Window.partitionBy("__h", "__id").orderBy("__all"))).filter("__nth = 1").select("__row.*")
