@@ -1,6 +1,10 @@
 """A training corpus from raw documents: language, exact copies, near copies, source mix, packing.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last keep the columns of ``docs``.
+
+Defined cases, for all stages: a null or empty text has no language and goes in the first stage, as do texts without letters; null ids
+and null sources are values of their own; very long texts are taken whole; ties and repeated rows are settled by the smallest id, then
+by the other columns; extra columns are carried, whatever their names; an empty table stays empty, and packs into no rows.
 """
 
 from __future__ import annotations
@@ -25,12 +29,13 @@ def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return golay_simhash.drop_near_duplicates(docs)
+    """Of documents alike in five-word shingles one stays. Fingerprints within four bits are of texts of a similarity well over 0.8."""
+    return golay_simhash.drop_near_duplicates(docs, shingle=5)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A row for each time the mix takes a document; a document cut by a block border brings the words taken."""
-    return mixing.mixed_documents(docs).withColumn("n_chars", F.length("text").cast("long"))
+    """A row for each time the mix takes a document; a document cut by the end of its source's mix brings the words taken. Packing deals pieces anew, so the mix needs no order here."""
+    return mixing.mixed_documents(docs, ordered=False).withColumn("n_chars", F.length("text").cast("long"))
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
