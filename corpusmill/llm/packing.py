@@ -1,19 +1,25 @@
-"""Operator 4: best-fit packing of token pieces into sequences, improved by swap-based local search.
+"""Operator 4: packing of token pieces into sequences by swap-based local search.
 
-Pieces are dealt by hash into shards of bounded size. Each shard starts from best fit in decreasing order and then raises the
-sum of squared fills: pieces of the emptiest sequences move into the gaps of fuller ones, one for one, two for one, one for
-two, or as they are, until sequences fall empty or no exchange helps. What a shard leaves badly filled is dealt again into
-fewer shards, level by level, down to one shard of bounded size; only lengths and keys travel, never texts.
+Pieces are dealt in turn into shards of bounded size. Each shard starts from its pieces as they come, a new sequence wherever the
+next one doesn't fit, and then raises the sum of squared fills: the emptiest sequence gives its pieces to the others, as they are,
+one for one, two for one or two for two, each time by the exchange that leaves the smallest gap, until it is empty and another is the emptiest.
+What a shard leaves open is dealt again into fewer shards, level by level, down to one shard; only lengths and keys travel, never
+texts.
 
-Defined cases: null or empty texts are one piece of the end id; longer documents are cut at the capacity; repeated ids are
-packed as separate rows; an empty table gives an empty result; other columns are ignored.
+The search ends at the lower bound (all tokens over the capacity), or when the ``tries`` emptiest sequences find no exchange, or after
+``sweeps`` sweeps in which none fell empty: limits of effort, which leave gaps but no piece out. Levels end when one settles less than a tenth
+of its pieces: documents of such lengths don't go together.
+
+Defined cases: null or empty texts are one piece of the end id; longer documents are cut at the capacity, so a very long text is many
+full pieces; repeated rows and null ids are packed as separate rows; pieces that tie in length are taken in order of their rows; an empty
+table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import zlib
 from array import array
-from bisect import bisect_right, insort
+from bisect import bisect_left, bisect_right, insort
 from collections.abc import Iterator
 
 import numpy as np
@@ -47,95 +53,104 @@ def token_pieces(docs: DataFrame, tokenizer: str, end_id: int = 1, capacity: int
     return docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(_cut(tokenizer, end_id, capacity), PIECES)
 
 
-def best_fit(lengths: list[int], capacity: int) -> list[list[int]]:
-    """Best fit over ``lengths``, which come in decreasing order. Gaps are kept as a bit set, so each piece finds the tightest one at once."""
+def next_fit(lengths: list[int], capacity: int) -> list[list[int]]:
+    """Pieces as they come, a new sequence where one doesn't fit; full ones by themselves."""
     bins: list[list[int]] = []
-    by_gap: dict[int, list[int]] = {}
-    gaps = 0
+    now, left = None, 0
     for i, n in enumerate(lengths):
-        wide = gaps >> n
-        if wide:
-            gap = n + (wide & -wide).bit_length() - 1
-            at = by_gap[gap].pop()
-            if not by_gap[gap]:
-                gaps ^= 1 << gap
-            bins[at].append(i)
-        else:
-            gap, at = capacity, len(bins)
+        if n >= capacity:
             bins.append([i])
-        left = gap - n
-        if left:
-            by_gap.setdefault(left, []).append(at)
-            gaps |= 1 << left
+        elif n <= left:
+            now.append(i)
+            left -= n
+        else:
+            now, left = [i], capacity - n
+            bins.append(now)
     return bins
 
 
-def _best_exchange(target: list[tuple[int, int]], donor: list[tuple[int, int]], gap: int) -> tuple[int, list, list]:
-    """The exchange that moves most tokens, at most ``gap``, from donor to target: (tokens, what leaves the target, what leaves the donor). Both lists are sorted (length, piece) pairs."""
-    best: tuple[int, list, list] = (0, [], [])
-
-    def under(most: int, below: int | None = None) -> tuple[int, int] | None:
-        at = bisect_right(donor, (most, 1 << 62), 0, len(donor) if below is None else below)
-        return donor[at - 1] if at else None
-
-    outs: list[list[tuple[int, int]]] = [[], *([x] for x in target), *([a, b] for i, a in enumerate(target) for b in target[i + 1 :] if len(target) <= 64)]
-    for out in outs:
-        size = sum(n for n, _ in out)
-        one = under(size + gap)
-        if one and one[0] - size > best[0]:
-            best = (one[0] - size, out, [one])
-        if len(out) == 1:
-            for i in range(1, len(donor)):
-                two = under(size + gap - donor[i][0], i)
-                if two and donor[i][0] + two[0] - size > best[0]:
-                    best = (donor[i][0] + two[0] - size, out, [donor[i], two])
-        if best[0] == gap:
-            break
+def _sums(pieces: list[tuple[int, int]]) -> list[int]:
+    """Distinct lengths and sums of two, sorted. Lengths of one sequence add up to its capacity, so that few of them are distinct."""
+    counts: dict[int, int] = {}
+    for n, _ in pieces:
+        counts[n] = counts.get(n, 0) + 1
+    one = sorted(counts)
+    return sorted({*one, *(x + y for i, x in enumerate(one) for y in one[i + (counts[x] < 2) :])})
+
+
+def _taken(pieces: list[tuple[int, int]], size: int) -> list[tuple[int, int]]:
+    """One or two pieces of that size together."""
+    at = bisect_left(pieces, (size, -1))
+    if at < len(pieces) and pieces[at][0] == size:
+        return [pieces[at]]
+    for i, (n, _) in enumerate(pieces):
+        j = bisect_left(pieces, (size - n, -1), i + 1)
+        if j < len(pieces) and pieces[j][0] == size - n:
+            return [pieces[i], pieces[j]]
+    raise ValueError(size)
+
+
+def _best_exchange(target_sums: list[int], sums: list[int], gap: int) -> tuple[int, int, int]:
+    """The exchange that moves most tokens into a gap: (tokens, length of none, one or two that leave the target, length of one or two that come)."""
+    best = (0, 0, 0)
+    for out in (0, *target_sums):
+        at = bisect_right(sums, out + gap)
+        if at and sums[at - 1] - out > best[0]:
+            best = (sums[at - 1] - out, out, sums[at - 1])
+            if best[0] == gap:
+                break
     return best
 
 
-def local_search(lengths: list[int], bins: list[list[int]], capacity: int, tries: int = 8, passes: int = 64) -> list[list[int]]:
-    """Empties sequences into the gaps of others while that raises the sum of squared fills. Stops at the lower bound, when the ``tries`` emptiest sequences resist, or after ``passes`` passes that emptied none."""
+def local_search(lengths: list[int], bins: list[list[int]], capacity: int, tries: int = 32, sweeps: int = 300) -> list[list[int]]:
+    """Empties sequences into the gaps of others; every exchange raises the sum of squared fills, for what gives is the emptiest of all."""
     least = -(-sum(lengths) // capacity)
     held = [sorted((lengths[i], i) for i in b) for b in bins]
     fill = [sum(n for n, _ in b) for b in held]
+    known: list[list[int] | None] = [None] * len(bins)  # the sums of each sequence, until it changes
     count, stuck, idle = len(bins), set(), 0
-    while count > least and len(stuck) < tries and idle < passes:
+    while count > least and len(stuck) < tries and idle < sweeps:
         open_bins = sorted((f, k) for k, f in enumerate(fill) if 0 < f < capacity)
         donor = next((k for _, k in open_bins if k not in stuck), None)
         if donor is None:
             break
-        moved = False
-        for _, k in reversed(open_bins):
-            if k == donor or not held[donor]:
+        moved, gives = False, held[donor]
+        sums = _sums(gives)
+        for _, k in open_bins:
+            if k == donor or fill[k] < fill[donor]:
                 continue
-            while held[donor] and fill[k] < capacity:
-                gain, out, into = _best_exchange(held[k], held[donor], capacity - fill[k])
-                if gain <= 0 or fill[k] + gain <= fill[donor]:
+            while gives and fill[k] < capacity:
+                known[k] = known[k] or _sums(held[k])
+                gain, out, into = _best_exchange(known[k], sums, capacity - fill[k])
+                if not gain:
                     break
-                for x in out:
+                known[k] = known[donor] = None
+                leaving = _taken(held[k], out) if out else []
+                for x in _taken(gives, into):
+                    gives.remove(x)
+                    insort(held[k], x)
+                for x in leaving:
                     held[k].remove(x)
-                    insort(held[donor], x)
-                for y in into:
-                    held[donor].remove(y)
-                    insort(held[k], y)
+                    insort(gives, x)
                 fill[k] += gain
                 fill[donor] -= gain
-                moved = True
+                moved, sums = True, _sums(gives)
+            if not gives:
+                break
         idle += 1
         if moved:
             stuck.clear()
         else:
             stuck.add(donor)
-        if not held[donor]:
+        if not gives:
             count -= 1
             idle = 0
     return [[i for _, i in reversed(b)] for b in held if b]
 
 
 def pack(lengths: list[int], capacity: int) -> list[list[int]]:
-    """Sequences as lists of positions in ``lengths`` (decreasing)."""
-    return local_search(lengths, best_fit(lengths, capacity), capacity)
+    """Sequences as lists of positions in ``lengths``."""
+    return local_search(lengths, next_fit(lengths, capacity), capacity)
 
 
 def _pack_shard(level: int, capacity: int, open_below: float):
@@ -144,7 +159,7 @@ def _pack_shard(level: int, capacity: int, open_below: float):
         if not kept:
             return
         rows = pa.Table.from_batches(kept)
-        rows = rows.sort_by([("length", "descending"), ("doc_id", "ascending"), ("piece", "ascending"), ("ids_crc32", "ascending")])
+        rows = rows.sort_by([("doc_id", "ascending"), ("piece", "ascending"), ("ids_crc32", "ascending")])
         lengths = rows.column("length").to_pylist()
         sequence, offset, again = np.zeros(len(lengths), "i8"), np.zeros(len(lengths), "i8"), np.zeros(len(lengths), bool)
         base = (level << 56) | (TaskContext.get().partitionId() << 32)
@@ -160,17 +175,16 @@ def _pack_shard(level: int, capacity: int, open_below: float):
 
 
 def pack_pieces(pieces: DataFrame, capacity: int = 4096, shard_rows: int = 20_000, open_below: float = 0.99) -> DataFrame:
-    """Adds ``sequence_id`` and ``offset`` to rows of doc_id, piece, start, length, ids_crc32. A shard holds about ``shard_rows`` rows."""
+    """Adds ``sequence_id`` and ``offset`` to rows of doc_id, piece, start, length, ids_crc32. A shard holds about ``shard_rows`` rows; sequences filled to less than ``open_below`` are packed again."""
     ws = Workspace(pieces.sparkSession, "packing")
     left = ws.keep(pieces, "pieces")
     rows, level, done = left.count(), 0, []
     while True:
         shards = max(1, -(-rows // shard_rows))
-        dealt = left.repartition(shards, "doc_id", "piece") if shards > 1 else left.coalesce(1)
+        dealt = left.repartition(shards) if shards > 1 else left.coalesce(1)
         packed = ws.keep(dealt.mapInArrow(_pack_shard(level, capacity, open_below), f"{PIECES}, sequence_id long, offset long, again boolean"), f"level{level}")
         open_rows = packed.filter("again").count() if shards > 1 else 0
-        # Where most sequences stay open, more rounds can't help: documents of such lengths don't go together.
-        last = open_rows == 0 or open_rows > rows // 2 and open_rows > shard_rows
+        last = open_rows == 0 or open_rows > 0.9 * rows
         done.append((packed if last else packed.filter("not again")).drop("again"))
         if last:
             break
