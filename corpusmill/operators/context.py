@@ -18,6 +18,9 @@ def contexts(results: DataFrame, queries: DataFrame, style: str = "numbered", ma
         "xml": lambda x: F.concat(F.lit('<source id="'), x["rank"].cast("string"), F.lit('" score="'), F.format_string("%.3f", x["score"]), F.lit('">\n'), x["content"], F.lit("\n</source>")),
         "plain": lambda x: x["content"],
     }
+    # Of a query's chunks only those that begin before the cut are gathered.
+    w = Window.partitionBy("query_id").orderBy("rank").rowsBetween(Window.unboundedPreceding, -1)
+    results = results.withColumn("__before", F.coalesce(F.sum(F.length("content")).over(w), F.lit(0))).filter(F.col("__before") <= max_length)
     g = results.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "content", "source", "score"))).alias("c")).select("query_id", F.array_join(F.transform("c", lines[style]), "\n\n").alias("t"))
     text = F.when(F.length("t") > max_length, F.concat(F.substring("t", 1, max_length), F.lit("..."))).otherwise(F.col("t"))
     return queries.select("query_id").join(g, "query_id", "left").select("query_id", F.coalesce(text, F.lit(NOTHING)).alias("context"))

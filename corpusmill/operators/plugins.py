@@ -74,9 +74,6 @@ def chunk_with(df: DataFrame, id_col: str, text: str, chunker: Callable[[str], I
                 yield key, i, c
 
     kind = df.schema[id_col].dataType.simpleString()
-    fn = F.udtf(Chunks, returnType=f"{id_col} {kind}, chunk_index int, content string")
-    spark = df.sparkSession
-    name = f"chunks_{abs(hash((id_col, text, id(chunker))))}"
-    spark.udtf.register(name, fn)
-    df.select(id_col, text).createOrReplaceTempView(f"{name}_rows")
-    return spark.sql(f"SELECT c.* FROM {name}_rows r, LATERAL {name}(r.`{id_col}`, r.`{text}`) c")
+    fn = F.udtf(Chunks, returnType=f"__id {kind}, chunk_index int, content string", useArrow=True)
+    rows = df.select(F.col(id_col).alias("__key"), F.col(text).alias("__text"))
+    return rows.lateralJoin(fn(F.col("__key").outer(), F.col("__text").outer())).select(F.col("__id").alias(id_col), "chunk_index", "content")

@@ -134,12 +134,12 @@ def k12_duplicate_names(t):
 
 
 def _lineage(t: Tables):
-    r = chunks(t).withColumn("query_id", F.col("doc_id") % 50).select("query_id", "chunk_id", "doc_id", F.col("chunk_index").alias("rank"), F.lit(0.5).alias("score"), "content")
-    q = t.spark.range(60).select(F.col("id").alias("query_id"), F.repeat(F.lit("answer "), 100).alias("answer"))
+    r = chunks(t).select((F.col("doc_id") + 3).alias("query_id"), "chunk_id", "doc_id", F.col("chunk_index").alias("rank"), F.lit(0.5).alias("score"), "content")
+    q = t("documents").select(F.col("doc_id").alias("query_id"), F.repeat(F.lit("answer "), 100).alias("answer"))
     return K.lineage_rows(r, files(t).select("doc_id", F.col("path").alias("file_path")), q)
 
 
-@query("SELECT q.query_id, length(substr(repeat('answer ', 100), 1, 500)) AS answer_chars, coalesce(n, 0) AS chunks, coalesce(p, 0) AS preview_chars FROM (SELECT unnest(range(60)) AS query_id) q LEFT JOIN (SELECT doc_id % 50 AS query_id, count(*) AS n, CAST(sum(length(substr(content, 1, 200))) AS BIGINT) AS p FROM chunks GROUP BY 1) USING (query_id)", CHUNKS)
+@query("SELECT q.query_id, length(substr(repeat('answer ', 100), 1, 500)) AS answer_chars, coalesce(n, 0) AS chunks, coalesce(p, 0) AS preview_chars FROM (SELECT doc_id AS query_id FROM documents) q LEFT JOIN (SELECT doc_id + 3 AS query_id, count(*) AS n, CAST(sum(length(substr(content, 1, 200))) AS BIGINT) AS p FROM chunks GROUP BY 1) USING (query_id)", CHUNKS)
 def k13_lineage(t):
     c = F.coalesce("chunks", F.array())
     return _lineage(t).select("query_id", F.length("answer_preview").alias("answer_chars"), F.greatest(F.size("chunks"), F.lit(0)).alias("n"), F.coalesce(F.aggregate("chunks", F.lit(0), lambda s, x: s + F.length(x["preview"])), F.lit(0)).alias("preview_chars")).withColumnRenamed("n", "chunks")
@@ -154,7 +154,7 @@ def k13_lineage_list(t):
     return K.lineage_list(rows, "cfg3", 5, 20).select("query_id", "config_id", "created_at", F.length("answer_preview").alias("answer_chars"))
 
 
-@query("SELECT path AS file_path, count(DISTINCT doc_id % 50) AS queries, count(*) AS chunks FROM chunks JOIN (SELECT doc_id, path FROM files) USING (doc_id) GROUP BY 1", CHUNKS, FILES)
+@query("SELECT path AS file_path, count(DISTINCT doc_id) AS queries, count(*) AS chunks FROM chunks JOIN (SELECT doc_id, path FROM files) USING (doc_id) WHERE doc_id + 3 IN (SELECT doc_id FROM documents) GROUP BY 1", CHUNKS, FILES)
 def k14_attribution(t):
     return K.attribution(_lineage(t))
 
@@ -295,12 +295,10 @@ def l13_pii_scan(t):
 # Contexts and conversations -----------------------------------------------------------------------------------------
 
 
-@query("SELECT q.query_id, coalesce(CASE WHEN length(c) > 4000 THEN substr(c, 1, 4000) || '...' ELSE c END, 'No relevant context found.') AS context FROM (SELECT unnest(range(60)) AS query_id) q LEFT JOIN (SELECT doc_id % 50 AS query_id, string_agg('[' || r || '] ' || content || chr(10) || chr(10) || '    Source: ' || folder, chr(10) || chr(10) ORDER BY r) AS c FROM (SELECT *, row_number() OVER (PARTITION BY doc_id % 50 ORDER BY doc_id, chunk_index) AS r FROM chunks) WHERE r <= 8 GROUP BY 1) USING (query_id)", CHUNKS)
+@query("SELECT q.query_id, coalesce(CASE WHEN length(c) > 4000 THEN substr(c, 1, 4000) || '...' ELSE c END, 'No relevant context found.') AS context FROM (SELECT doc_id AS query_id FROM documents) q LEFT JOIN (SELECT doc_id + 3 AS query_id, string_agg('[' || r || '] ' || content || chr(10) || chr(10) || '    Source: ' || folder, chr(10) || chr(10) ORDER BY r) AS c FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY chunk_index) AS r FROM chunks) WHERE r <= 8 GROUP BY 1) USING (query_id)", CHUNKS)
 def m1_contexts(t):
-    from pyspark.sql import Window
-
-    r = chunks(t).withColumn("query_id", F.col("doc_id") % 50).withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("doc_id", "chunk_index"))).filter("rank <= 8")
-    return X.contexts(r.select("query_id", "rank", "content", F.col("folder").alias("source"), F.lit(0.5).alias("score")), t.spark.range(60).select(F.col("id").alias("query_id")))
+    r = chunks(t).select((F.col("doc_id") + 3).alias("query_id"), (F.col("chunk_index") + 1).alias("rank"), "content", F.col("folder").alias("source"), F.lit(0.5).alias("score")).filter("rank <= 8")
+    return X.contexts(r, t("documents").select(F.col("doc_id").alias("query_id")))
 
 
 @query("SELECT doc_id AS query_id, style, CASE WHEN length(c) > 300 THEN substr(c, 1, 300) || '...' ELSE c END AS context FROM (SELECT doc_id, 'bullet' AS style, string_agg('• ' || content, chr(10) || chr(10) ORDER BY r) AS c FROM first3 GROUP BY 1 UNION ALL SELECT doc_id, 'plain', string_agg(content, chr(10) || chr(10) ORDER BY r) FROM first3 GROUP BY 1 UNION ALL SELECT doc_id, 'xml', string_agg('<source id=\"' || r || '\" score=\"0.500\">' || chr(10) || content || chr(10) || '</source>', chr(10) || chr(10) ORDER BY r) FROM first3 GROUP BY 1)", CHUNKS, "first3 AS (SELECT doc_id, content, row_number() OVER (PARTITION BY doc_id ORDER BY start_char) AS r FROM chunks QUALIFY r <= 3)")

@@ -284,12 +284,12 @@ def j1_allowed_folders(t):
 
 @query("SELECT role, doc_id FROM docs, roles WHERE list_contains(folders, '*') OR (folder IS NOT NULL AND list_contains(folders, folder))", ROLES, DOCS)
 def j2_pre_filter(t):
-    return docs(t).join(F.broadcast(roles(t)), A.before_retrieval(F.col("folder"), F.col("folders"))).select("role", "doc_id")
+    return A.visible(docs(t), roles(t)).select("role", "doc_id")
 
 
 @query("SELECT role, doc_id FROM docs, roles WHERE list_contains(folders, '*') OR folder IS NULL OR folder = '' OR list_contains(folders, folder)", ROLES, DOCS)
 def j3_post_filter(t):
-    return docs(t).join(F.broadcast(roles(t)), A.after_retrieval(F.col("folder"), F.col("folders"))).select("role", "doc_id")
+    return A.visible(docs(t), roles(t), blank_passes=True).select("role", "doc_id")
 
 
 @query("SELECT doc_id FROM docs WHERE len(tags) = 0 OR list_has_any(tags, ['de', 'fr'])", DOCS)
@@ -300,7 +300,7 @@ def j4_tags(t):
 @query("SELECT role, count(*) AS reachable FROM chunks JOIN (SELECT doc_id, folder AS f FROM docs) USING (doc_id), roles WHERE list_contains(folders, '*') OR (f IS NOT NULL AND list_contains(folders, f)) GROUP BY 1", CHUNKS, ROLES, DOCS)
 def j5_accessible_chunks(t):
     rows = chunks(t).drop("folder").join(docs(t).select("doc_id", "folder"), "doc_id")
-    return rows.join(F.broadcast(roles(t)), A.before_retrieval(F.col("folder"), F.col("folders"))).groupBy("role").agg(F.count("*").alias("reachable"))
+    return A.visible(rows, roles(t)).groupBy("role").agg(F.count("*").alias("reachable"))
 
 
 @query("SELECT role, coalesce(sum(n), 0) AS documents FROM roles LEFT JOIN (SELECT folder, count(*) AS n FROM docs GROUP BY 1) ON list_contains(folders, '*') OR folder IS NULL OR folder = '' OR list_contains(folders, folder) GROUP BY 1", ROLES, DOCS)

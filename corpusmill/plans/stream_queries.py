@@ -32,9 +32,9 @@ def a9_eval_cases(t):
     b = t("benchmark")
     case = b.select(F.concat(F.lit("c"), F.col("item_id").cast("string")).alias("id"), F.col("text").alias("question"), F.when(F.col("item_id") % 3 == 1, F.array("text")).alias("retrieved_chunks"), F.when(F.col("item_id") % 3 == 2, F.col("text")).alias("contexts"), F.lit("a").alias("answer"), F.when(F.col("item_id") % 2 == 0, F.lit(True)).alias("oracle_pass"), "item_id")
     path = Workspace(t.spark, "cases").path("json")
-    # A file of its own for each group of cases, wrapped or bare.
-    group = case.groupBy((F.col("item_id") % 4).alias("g")).agg(F.collect_list(F.struct(*[c for c in case.columns if c != "item_id"])).alias("cases"))
-    text = group.select(F.when(F.col("g") < 2, F.to_json(F.struct("cases"))).otherwise(F.to_json("cases")).alias("value"), "g")
+    # A file of its own for each few cases, wrapped or bare.
+    group = case.groupBy(F.floor(F.col("item_id") / 8).alias("g")).agg(F.collect_list(F.struct(*[c for c in case.columns if c != "item_id"])).alias("cases"))
+    text = group.select(F.when(F.col("g") % 2 == 0, F.to_json(F.struct("cases"))).otherwise(F.to_json("cases")).alias("value"), "g")
     text.write.partitionBy("g").text(path)
     return S.load_cases(t.spark, path).select("id", "question", F.size("retrieved_chunks").alias("chunks"), "oracle_pass")
 

@@ -136,17 +136,20 @@ def run_to_end(stream: DataFrame, path: str, checkpoint: str, mode: str = "appen
 
 
 def ingest_stream(files: DataFrame, chunk: Callable[[DataFrame], DataFrame], stored_path: str, checkpoint: str, key: str = "content_hash") -> None:
-    """Each micro-batch of files, less what is stored already, goes through ``chunk`` and is appended; a batch that runs again finds its own rows stored and adds none."""
+    """Each micro-batch of files, less those whose key an earlier one has stored, goes through ``chunk``. Rows and keys of a batch are written as its own epoch, the keys to a table beside the rows, so that a batch that runs again replaces what it had written and no batch reads the stored rows."""
+    keys_path = stored_path.rstrip("/") + "-keys"
 
     def each(batch: DataFrame, epoch: int) -> None:
         spark = batch.sparkSession
         fresh = batch.dropDuplicates([key])
-        try:
-            stored = spark.read.parquet(stored_path)
-            fresh = fresh.join(stored.select(key).distinct(), key, "left_anti")
-        except Exception as e:
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-        chunk(fresh).write.mode("append").parquet(stored_path)
+        if epoch:
+            try:
+                known = spark.read.parquet(keys_path).filter(F.col("epoch") < epoch)
+                fresh = fresh.join(known.select(key), key, "left_anti")
+            except Exception as e:
+                if "PATH_NOT_FOUND" not in str(e):
+                    raise
+        chunk(fresh).write.mode("overwrite").parquet(f"{stored_path}/epoch={epoch}")
+        fresh.select(key).write.mode("overwrite").parquet(f"{keys_path}/epoch={epoch}")
 
     files.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
