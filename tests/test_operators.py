@@ -42,6 +42,93 @@ def test_recursive_splits_keep_all_letters_and_fit(text, size):
     assert all(len(p) <= size for p in parts)
 
 
+def plain_recursive(text, separators, size):
+    """Split by the first separator the text has; a piece of ``size`` or more is split by those after it, runs of smaller ones are joined one by one."""
+    cut = next((s for s in separators if s == "" or s in text), separators[-1])
+    later = separators[separators.index(cut) + 1 :] if cut and cut in text else ()
+    out, room = [], 0
+    for piece in text.split(cut) if cut else text:
+        if len(piece) >= size:
+            out += plain_recursive(piece, later, size) if later else [piece]
+            room = 0
+        elif room and len(out[-1]) + len(piece) <= size:
+            out[-1] += piece
+        else:
+            out.append(piece)
+            room = 1
+    return out
+
+
+@settings(deadline=None, max_examples=300)
+@given(st.text(alphabet="ab \n", max_size=200), st.integers(2, 30))
+def test_recursive_splits_against_a_plain_loop(text, size):
+    assert C.recursive_splits(text, ("\n\n", "\n", " ", ""), size) == plain_recursive(text, ("\n\n", "\n", " ", ""), size)
+
+
+def plain_semantic(sentences, size, overlap, short=20):
+    """Sentences of a text, joined by one space each; the short join the next; a chunk opens with the last ones of the chunk before that fit the overlap."""
+    joined = []
+    for s in sentences:
+        if joined and len(joined[-1]) < short:
+            joined[-1] += " " + s
+        else:
+            joined.append(s)
+    chunks, now = [], []
+    for s in joined:
+        if now and len(" ".join([*now, s])) > size:
+            chunks.append(now)
+            kept, room = [], overlap
+            for x in reversed(now):
+                if overlap <= 0 or len(x) > room:
+                    break
+                kept.insert(0, x)
+                room -= len(x) + 1
+            now = [*kept, s]
+        else:
+            now = [*now, s]
+    return [(" ".join(c), len(c)) for c in chunks + ([now] if now else [])]
+
+
+@settings(deadline=None, max_examples=200)
+@given(st.lists(st.sampled_from(["One two three four five six.", "Is it?", "No!", "Some sentences are a good deal longer than the others are here.", "Ok."]), min_size=1, max_size=25), st.integers(30, 120), st.integers(0, 60))
+def test_semantic_chunks_against_a_plain_loop(sentences, size, overlap):
+    assert [(c, n) for c, _, _, n in C.semantic_chunks(" ".join(sentences), size, overlap)] == plain_semantic(sentences, size, overlap)
+
+
+def events_of(spark, sf):
+    rows = spark.read.parquet(f"{sf}/events.parquet").select("user_id", "event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"), (F.col("event_type") != "error").alias("ok")).collect()
+    return sorted((str(r["user_id"]), r["us"] / 1e6, r["event_id"], r["ok"]) for r in rows)
+
+
+@pytest.mark.parametrize("name", ["n1_throttle_audit", "n1_throttle_audit_batch"])
+def test_throttle_audit_against_a_plain_loop(spark, sf, name):
+    want, left, seen = {}, {}, {}
+    for key, at, event, _ in events_of(spark, sf):
+        tokens = min(3.0, left.get(key, 3.0) + (at - seen.get(key, at)) * 0.0001)
+        want[event] = "allowed" if tokens >= 1 else "throttled"
+        left[key], seen[key] = tokens - (tokens >= 1), at
+    got = {r["event_id"]: r["verdict"] for r in QUERIES[name](spark, sf).collect()}
+    assert got == want and set(want.values()) == {"allowed", "throttled"}
+
+
+@pytest.mark.parametrize("name", ["n2_breaker_timeline", "n2_breaker_timeline_batch"])
+def test_breaker_timeline_against_a_plain_loop(spark, sf, name):
+    want, keys = {}, {}
+    for key, at, event, ok in events_of(spark, sf):
+        k = keys.setdefault(key, {"since": None, "failures": []})
+        if k["since"] is not None and at - k["since"] < 7200:
+            want[event] = "rejected"
+            continue
+        probe = k["since"] is not None
+        k["failures"] = [] if ok else [f for f in k["failures"] if at - f < 86400] + [at]
+        trips = not ok and (probe or len(k["failures"]) >= 2)
+        k["since"] = at if trips else None
+        k["failures"] = [] if trips else k["failures"]
+        want[event] = "open" if trips else "closed"
+    got = {r["event_id"]: r["verdict"] for r in QUERIES[name](spark, sf).collect()}
+    assert got == want
+
+
 def plain_hard_split(text, most):
     """Words gathered one by one; each counts one more, but the first of a later part."""
     parts, now, n = [], [], 0
