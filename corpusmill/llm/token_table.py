@@ -6,7 +6,7 @@ columns ``doc_id`` (delta encoded), ``n_tokens``, ``part``, ``part_start`` (ids
 and rows a page are bounded, and the column and offset indexes let a reader skip to the pages of the documents it asks for.
 
 Defined cases: a null or empty text has only the end id; an empty table gives empty files; rows with the same id are each
-encoded, in the order of their texts; null ids come first; other columns are ignored.
+encoded, in the order of their texts; null ids come first; a very long text is one row, encoded whole; other columns are ignored.
 """
 
 from __future__ import annotations

@@ -87,6 +87,29 @@ def test_op1_token_table(spark, docs, empty, rows, tmp_path):
     assert token_table.token_digest(spark, str(tmp_path / "e")).count() == 0
 
 
+def test_op1_file_layout(spark, tmp_path):
+    """Encodings, bounded row groups and pages, and both indexes, from the files' footers."""
+    import pyarrow.parquet as pq
+
+    out = str(tmp_path / "t")
+    token_table.write_token_table(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), out, PATH, partitions=2)
+    files = sorted((tmp_path / "t").glob("*.parquet"))
+    ranges = []
+    for f in files:
+        footer = pq.ParquetFile(f).metadata
+        ids = []
+        for g in range(footer.num_row_groups):
+            group = footer.row_group(g)
+            assert group.total_byte_size <= 64 << 20
+            columns = {group.column(c).path_in_schema.split(".")[0]: group.column(c) for c in range(group.num_columns)}
+            assert "DELTA_BINARY_PACKED" in columns["doc_id"].encodings and "DELTA_BINARY_PACKED" in columns["part_start"].encodings
+            assert {"RLE_DICTIONARY", "PLAIN_DICTIONARY"} & set(columns["ids"].encodings) and columns["ids"].compression == "ZSTD"
+            assert all(c.has_column_index and c.has_offset_index for c in columns.values())
+            ids += [columns["doc_id"].statistics.min, columns["doc_id"].statistics.max]
+        ranges.append((min(ids), max(ids)))
+    assert len(ranges) == 2 and sorted(ranges)[0][1] < sorted(ranges)[1][0]
+
+
 @pytest.mark.parametrize("partitions", [1, 7])
 def test_op2_content_sort(docs, empty, rows, partitions):
     groups = collections.defaultdict(list)
