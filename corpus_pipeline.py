@@ -29,8 +29,8 @@ def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents alike in five-word shingles one stays. Fingerprints within four bits are of texts of a similarity well over 0.8."""
-    return golay_simhash.drop_near_duplicates(docs, shingle=5)
+    """Of documents with a similarity of 0.8 or more in five-word shingles one stays."""
+    return golay_simhash.drop_similar(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
