@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusmill.llm import compact_windows, content_sort, golay_simhash, html_regions, langid, mixing, nn_descent, packing, secret_novelty, token_table
+from corpusmill.llm import compact_windows, content_sort, golay_simhash, html_regions, langid, mixing, nn_descent, packing, secret_novelty, sign_hashing, token_table
 from corpusmill.workspace import Workspace
 
 
@@ -56,7 +56,11 @@ def op10_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compact_windows.repeated_passages(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_table, op2_exact_dedup, op3_html_text, op4_packing, op5_neighbours, op6_simhash, op7_secrets, op8_language_id, op9_mixing, op10_passages)}
+def op11_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sign_hashing.near_vectors(_table(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {f.__name__: f for f in (op1_token_table, op2_exact_dedup, op3_html_text, op4_packing, op5_neighbours, op6_simhash, op7_secrets, op8_language_id, op9_mixing, op10_passages, op11_near_vectors)}
 
 ORACLE = {
     "op2_exact_dedup": r"""
