@@ -232,7 +232,7 @@ def _merged(threshold: int):
     return run
 
 
-def surviving_phrases(docs: DataFrame, threshold: int, longest: int, part_bits: int, slice_bytes: int = 8 << 20, held: int = 3_000_000) -> DataFrame:
+def surviving_phrases(docs: DataFrame, threshold: int, longest: int, part_bits: int, slice_bytes: int = 2 << 20, held: int = 1_500_000) -> DataFrame:
     """docs: lang, text. part, n, hashes: of every part the n-grams that can be as frequent as the threshold."""
     packed = docs.mapInArrow(_parts(part_bits, longest, slice_bytes, held), "part long, mass long, hashes binary, counts binary")
     whole = packed.withColumn("total", F.sum("mass").over(Window.partitionBy("part"))).select("part", "total", "hashes", "counts")
@@ -278,8 +278,8 @@ def _exact(bitmap, bits: int, longest: int, most: int):
                 at = (phrase_hashes(word_hash, own, size) >> np.uint64(64 - bits)).astype("i8")
                 hit = (there[at >> 3] >> (7 - (at & 7)).astype("u1")) & 1 > 0
                 own, count = own[hit], count[hit]
-                for i in range(0, len(own), 50_000):
-                    yield _rows(lang, [b" ".join([words[w] for w in o]) for o in own[i : i + 50_000].tolist()], size, count[i : i + 50_000])
+                for i in range(0, len(own), 20_000):
+                    yield _rows(lang, [b" ".join([words[w] for w in o]) for o in own[i : i + 20_000].tolist()], size, count[i : i + 20_000])
 
     def _rows(lang: str, phrases: list[bytes], size: int, count: np.ndarray) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array([lang] * len(phrases), pa.string()), pa.array(phrases, pa.binary()).cast(pa.string()), pa.array(np.full(len(phrases), size, "i4")), pa.array(count.astype("i8"))], names=["lang", "phrase", "size", "a"])
@@ -287,7 +287,7 @@ def _exact(bitmap, bits: int, longest: int, most: int):
     return run
 
 
-def frequent_phrases(docs: DataFrame, threshold: int = 10, longest: int = 3, part_bytes: int = 64 << 20, slice_bytes: int = 8 << 20, held: int = 3_000_000, bits: int = 27) -> DataFrame:
+def frequent_phrases(docs: DataFrame, threshold: int = 10, longest: int = 3, part_bytes: int = 64 << 20, slice_bytes: int = 2 << 20, held: int = 1_500_000, bits: int = 27) -> DataFrame:
     """docs: lang, text. lang, phrase, size, a: every phrase of up to ``longest`` words with at least ``threshold`` occurrences, and one row of size 0 a language with all its words."""
     spark = docs.sparkSession
     ws = Workspace(spark, "phrases")
