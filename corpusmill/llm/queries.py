@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusmill.llm import collocations, compact_windows, content_sort, golay_simhash, html_regions, langid, mixing, nn_descent, packing, secret_novelty, sign_hashing, token_table
+from corpusmill.llm import collocations, compact_windows, content_sort, golay_simhash, html_regions, langid, mixing, nn_descent, packing, secret_novelty, sign_hashing, token_alignment, token_table
 from corpusmill.workspace import Workspace
 
 
@@ -64,7 +64,11 @@ def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_table, op2_exact_dedup, op3_html_text, op4_packing, op5_neighbours, op6_simhash, op7_secrets, op8_language_id, op9_mixing, op10_passages, op11_near_vectors, op12_collocations)}
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_alignment.alignment_digest(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+QUERIES = {f.__name__: f for f in (op1_token_table, op2_exact_dedup, op3_html_text, op4_packing, op5_neighbours, op6_simhash, op7_secrets, op8_language_id, op9_mixing, op10_passages, op11_near_vectors, op12_collocations, op13_token_alignment)}
 
 ORACLE = {
     "op2_exact_dedup": r"""
