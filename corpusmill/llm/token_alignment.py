@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -43,14 +44,14 @@ BLANK = "▁"
 class _Units(dict):
     """unit -> ids as bytes; None if its tokens aren't its bytes. Emptied when full, which costs time only."""
 
-    def __init__(self, encode, sizes: list[bytes], limit: int = 300_000):
+    def __init__(self, encode, sizes: list[bytes], limit: int = 500_000):
         self.encode, self.tokens, self.limit = encode, sizes, limit
 
     def __missing__(self, unit: str) -> bytes | None:
         ids = self.encode(unit)
         if len(self) > self.limit:
             self.clear()
-        self[unit] = found = np.array(ids, "<u4").tobytes() if b"".join([self.tokens[i] for i in ids]) == unit.encode() else None
+        self[unit] = found = array("I", ids).tobytes() if b"".join([self.tokens[i] for i in ids]) == unit.encode() else None
         return found
 
 
@@ -106,15 +107,16 @@ def token_pair(byte_level: str, pieces: str) -> TokenPair:
     return _pairs[byte_level, pieces]
 
 
-def aligned(ends_a: np.ndarray, ends_b: np.ndarray) -> tuple[list[int], list[int], list[int], list[int]]:
+def aligned(ends_a: np.ndarray, ends_b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Of two increasing arrays with the same last end: tokens before each group's end, of a and of b, and the links' token numbers, of a and of b."""
     kind, size = ("<u4", 4) if not len(ends_a) or ends_a[-1] < 1 << 32 else ("<u8", 8)
     raw_a, raw_b, a, b = ends_a.astype(kind).tobytes(), ends_b.astype(kind).tobytes(), ends_a.tolist(), ends_b.tolist()
     n, m, i, j = len(a), len(b), 0, 0
-    group_a, group_b, link_a, link_b = [], [], [], []
+    # Links of irregular groups, and the last token of each; all other tokens are jumped, one to one.
+    link_a, link_b, last_a, last_b = [], [], [], []
     while i < n:
         if a[i] == b[j]:
-            # Ends agree at this shift for ``run`` tokens at least.
+            # Ends agree at this shift for ``run`` tokens at least, up to those before x and y.
             run, x, y, left = 1, i + 1, j + 1, min(n - i, m - j)
             more = True
             while more and 2 * run <= left:
@@ -126,25 +128,33 @@ def aligned(ends_a: np.ndarray, ends_b: np.ndarray) -> tuple[list[int], list[int
                 if run + step <= left and raw_a[x * size : (x + step) * size] == raw_b[y * size : (y + step) * size]:
                     run, x, y = run + step, x + step, y + step
                 step >>= 1
-            link_a.extend(range(i, x))
-            link_b.extend(range(j, y))
-            group_a.extend(range(i + 1, x + 1))
-            group_b.extend(range(j + 1, y + 1))
             i, j = x, y
         else:
+            p, q = a[i], b[j]
             while True:
                 link_a.append(i)
                 link_b.append(j)
-                p, q = a[i], b[j]
-                if p <= q:
+                if p < q:
                     i += 1
-                if q <= p:
+                    p = a[i]
+                elif q < p:
                     j += 1
-                if p == q:
+                    q = b[j]
+                else:
                     break
-            group_a.append(i)
-            group_b.append(j)
-    return group_a, group_b, link_a, link_b
+            last_a.append(i)
+            last_b.append(j)
+            i += 1
+            j += 1
+    irregular = [np.array(x, "i8") for x in (link_a, link_b)]
+    ends, links = [], []
+    for total, own, last in ((n, irregular[0], last_a), (m, irregular[1], last_b)):
+        jumped = np.ones(total, bool)
+        jumped[own] = False
+        links.append(np.concatenate([np.flatnonzero(jumped), own]))
+        jumped[last] = True
+        ends.append(np.flatnonzero(jumped) + 1)
+    return *ends, *links
 
 
 def _digits(n: int) -> np.ndarray:
@@ -183,7 +193,7 @@ class Aligner:
         a, b = found
         group_a, group_b, link_a, link_b = aligned(np.cumsum(self.pair.a_sizes[a]), np.cumsum(self.pair.b_sizes[b]))
         keys, times = np.unique(a[link_a].astype("u8") * np.uint64(self.pieces) + b[link_b], return_counts=True)
-        return a, b, np.array(group_a), np.array(group_b), keys, times
+        return a, b, group_a, group_b, keys, times
 
 
 def align_texts(docs: DataFrame, byte_level: str, pieces: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
