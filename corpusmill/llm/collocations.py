@@ -207,6 +207,11 @@ class Summary:
             keep = self.c > least
             self.h, self.c = self.h[keep], self.c[keep] - least
 
+    def possible(self, threshold: int) -> np.ndarray:
+        """Those whose count can have been the threshold: what is left of it and what all decrements took."""
+        self.settle()
+        return self.h[self.c + self.lost >= threshold]
+
 
 def _merged(threshold: int):
     """Rows of a part come together: (part, total, hashes, counts). One row a part: its survivors' hashes."""
@@ -215,8 +220,8 @@ def _merged(threshold: int):
         part, summary = None, None
 
         def done() -> pa.RecordBatch:
-            summary.settle()
-            return pa.RecordBatch.from_arrays([pa.array([part], pa.int64()), pa.array([len(summary.h)], pa.int64()), pa.array([summary.h.tobytes()], pa.binary())], names=["part", "n", "hashes"])
+            h = summary.possible(threshold)
+            return pa.RecordBatch.from_arrays([pa.array([part], pa.int64()), pa.array([len(h)], pa.int64()), pa.array([h.tobytes()], pa.binary())], names=["part", "n", "hashes"])
 
         for batch in batches:
             for p, total, h, c in zip(*(batch.column(i) for i in range(4))):
