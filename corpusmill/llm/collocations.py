@@ -237,7 +237,7 @@ def _merged(threshold: int):
     return run
 
 
-def surviving_phrases(docs: DataFrame, threshold: int, longest: int, part_bits: int, slice_bytes: int = 2 << 20, held: int = 1_500_000) -> DataFrame:
+def surviving_phrases(docs: DataFrame, threshold: int, longest: int, part_bits: int, slice_bytes: int = 1 << 20, held: int = 600_000) -> DataFrame:
     """docs: lang, text. part, n, hashes: of every part the n-grams that can be as frequent as the threshold."""
     packed = docs.mapInArrow(_parts(part_bits, longest, slice_bytes, held), "part long, mass long, hashes binary, counts binary")
     whole = packed.withColumn("total", F.sum("mass").over(Window.partitionBy("part"))).select("part", "total", "hashes", "counts")
@@ -292,7 +292,7 @@ def _exact(bitmap, bits: int, longest: int, most: int):
     return run
 
 
-def frequent_phrases(docs: DataFrame, threshold: int = 10, longest: int = 3, part_bytes: int = 64 << 20, slice_bytes: int = 2 << 20, held: int = 1_500_000, bits: int = 27) -> DataFrame:
+def frequent_phrases(docs: DataFrame, threshold: int = 10, longest: int = 3, part_bytes: int = 64 << 20, slice_bytes: int = 1 << 20, held: int = 600_000, bits: int = 27) -> DataFrame:
     """docs: lang, text. lang, phrase, size, a: every phrase of up to ``longest`` words with at least ``threshold`` occurrences, and one row of size 0 a language with all its words."""
     spark = docs.sparkSession
     ws = Workspace(spark, "phrases")
