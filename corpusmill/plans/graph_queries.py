@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from corpusmill.functions.vectors import cosine
+from corpusmill.operators import communities as M
 from corpusmill.operators import graph as G
 from corpusmill.operators.retrieval import exact_top_k
 from corpusmill.plans.registry import CHUNKS, Tables, query
@@ -82,8 +83,23 @@ def edges(t: Tables):
     return n.unionByName(s).unionByName(p)
 
 
+def sparse_rows(t: Tables):
+    return t("lineitem").select(F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("src"), F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("dst"))
+
+
 def sparse(t: Tables):
-    return t("lineitem").select(F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("src"), F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("dst")).distinct()
+    return sparse_rows(t).distinct()
+
+
+def supply_tree(t: Tables):
+    """Levels of communities of suppliers and parts, the nodes with names, and the relations."""
+    weights = supply_weights(t)
+    tree = M.community_levels(weights)
+    none = F.lit(None).cast("string")
+    nodes = t("supplier").select(F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("node"), F.col("s_name").alias("name"), F.lit("supplier").alias("type"), none.alias("description"))
+    nodes = nodes.unionByName(t("part").select(F.concat(F.lit("p"), F.col("p_partkey").cast("string")).alias("node"), F.concat("p_name", F.lit(" "), F.col("p_partkey").cast("string")).alias("name"), F.lit("part").alias("type"), F.col("p_type").alias("description")))
+    relations = weights.select(F.col("src").alias("source"), F.col("dst").alias("target"), F.lit("SUPPLIES").alias("type"), none.alias("description"))
+    return tree, nodes, relations
 
 
 @query(f"""SELECT query_id, chunk_id, round(max(score), 6) AS score FROM (
@@ -174,6 +190,35 @@ def i15_label_communities(t):
     return labels.groupBy("label").agg(F.count("*").alias("members")).crossJoin(G.modularity(e, labels))
 
 
+def supply_weights(t: Tables):
+    """Suppliers and parts, joined by how often a part comes from a supplier."""
+    return sparse_rows(t).groupBy("src", "dst").agg(F.count("*").cast("double").alias("weight"))
+
+
+@query()
+def i15_modularity_communities(t):
+    return M.members_by_level(M.community_levels(supply_weights(t))).withColumn("quality", F.round("quality", 6))
+
+
+@query()
+def i16_level_digests(t):
+    tree, nodes, relations = supply_tree(t)
+    return M.level_digests(tree, nodes, relations)
+
+
+@query()
+def i17_level_context(t):
+    """Per configuration its communities' first pages as summaries, from the highest level down."""
+    from pyspark.sql import Window
+
+    tree, nodes, relations = supply_tree(t)
+    pages = M.level_digests(tree, nodes, relations).filter("page = 0")
+    first = M.members_by_level(tree).join(nodes, "node").withColumn("r", F.row_number().over(Window.partitionBy("level", "community").orderBy("name"))).filter("r <= 5")
+    entities = first.groupBy("level", "community").agg(F.array_sort(F.collect_list("name")).alias("entities"))
+    rows = pages.join(entities, ["level", "community"]).select(F.concat(F.lit("level"), F.col("level").cast("string")).alias("config_id"), "level", "community", "entities", F.concat(F.col("members").cast("string"), F.lit(" members: "), F.substring("digest", 1, 60)).alias("summary"))
+    return G.global_context(rows)
+
+
 @query("""SELECT community, 'Entities:' || chr(10) || string_agg('- ' || n_name || ' (nation) - no. ' || n_nationkey, chr(10) ORDER BY n_name) || chr(10) || chr(10) || 'Relations:' || chr(10) || CASE WHEN community = 0 THEN '(none)' ELSE string_agg('- ' || n_name || ' --[IN_REGION]--> r' || community, chr(10) ORDER BY '- ' || n_name || ' --[IN_REGION]--> r' || community) END AS digest FROM (SELECT n_name, n_nationkey, n_regionkey AS community FROM nation) GROUP BY 1""")
 def i16_digests(t):
     n = t("nation").withColumn("community", F.col("n_regionkey"))
