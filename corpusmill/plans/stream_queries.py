@@ -9,7 +9,7 @@ from corpusmill.plans.registry import Tables, query
 from corpusmill.plans.operations_queries import REFS, SUMMARY, VERDICTS, _summary as summary, runs, verdicts
 from corpusmill.sources import files as S
 from corpusmill.streaming import keyed as N
-from corpusmill.workspace import Workspace
+from corpusmill.workspace import Workspace, shuffle_partitions
 
 
 @query()
@@ -67,6 +67,16 @@ def request_stream(t: Tables):
     return _stream(t, "events").select(F.col("user_id").alias("key"), "event_id", F.col("ts").cast("timestamp").alias("ts"), (F.col("event_type") != "error").alias("ok"))
 
 
+def _audited(t: Tables, name: str, machine):
+    """The events as a stream of several files, in no order of time, a fifth of them each micro-batch."""
+    ws = Workspace(t.spark, name)
+    files, out = ws.path("files"), ws.path("out")
+    n = max(5, shuffle_partitions(t.spark))
+    requests(t).repartition(n, F.xxhash64("event_id")).write.parquet(files)
+    N.audit_to_end(t.spark.readStream.schema(requests(t).schema).option("maxFilesPerTrigger", -(-n // 5)).parquet(files), machine, out, ws.path("checkpoint"), ws.path("closing"), "400 days")
+    return t.spark.read.parquet(out)
+
+
 def _streamed(t: Tables, name: str, stream, schema: str | None = None):
     ws = Workspace(t.spark, name)
     out = ws.path("out")
@@ -76,7 +86,7 @@ def _streamed(t: Tables, name: str, stream, schema: str | None = None):
 
 @query()
 def n1_throttle_audit(t):
-    return _streamed(t, "throttle", N.stream_audit(request_stream(t), N.TokenBucket(rps=0.0001, burst=3, ttl=1e9), "30 days"))
+    return _audited(t, "throttle", N.TokenBucket(rps=0.0001, burst=3, ttl=1e9))
 
 
 @query()
@@ -86,7 +96,7 @@ def n1_throttle_audit_batch(t):
 
 @query()
 def n2_breaker_timeline(t):
-    return _streamed(t, "breaker", N.stream_audit(request_stream(t), N.Breaker(most=2, window=86400.0, wait=7200.0), "30 days"))
+    return _audited(t, "breaker", N.Breaker(most=2, window=86400.0, wait=7200.0))
 
 
 @query()

@@ -1,18 +1,20 @@
 """Stateful audits of event streams, each with a batch twin that gives the same rows.
 
-A key's events are worked on in (time, id) order with a state of a few numbers, so a key of any size streams through; the batch
-twin sorts by key and time inside partitions and carries the state from row to row.
+A key's events are worked on in (time, id) order with a state of a few numbers. The batch twin sorts by key and time inside partitions and
+carries the state from row to row, so a key of any size streams through. The stream keeps events in a list of state until the watermark has passed them,
+whatever files and batches they came in, and then works them off in order; a key's memory is that of its events within the delay.
 """
 
 from __future__ import annotations
 
-from collections import deque
+import datetime as dt
+import json
 from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 OUT = "key string, event_id long, ts timestamp, verdict string"
 
@@ -84,26 +86,94 @@ def batch_audit(events: DataFrame, machine, partitions: int | None = None) -> Da
     return dealt.sortWithinPartitions("key", "ts", "event_id").mapInPandas(run, OUT)
 
 
+class _Audit(StatefulProcessor):
+    """Events of a key wait in a list; a timer at the earliest of them goes off when the watermark reaches it, and all that the watermark has passed go through the machine."""
+
+    def __init__(self, machine):
+        self.machine = machine
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", "us long, event_id long, ok boolean")
+        self.machine_state = handle.getValueState("machine", "state string")
+        self.due = handle.getValueState("due", "ms long")
+
+    def _wake(self, us: int | None) -> None:
+        """One timer a key: at the earliest event that waits."""
+        if self.due.exists():
+            self.handle.deleteTimer(self.due.get()[0])
+            self.due.clear()
+        if us is not None:
+            self.handle.registerTimer(us // 1000)
+            self.due.update((us // 1000,))
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        least = None
+        for pdf in rows if key[0] else ():
+            us = pdf["ts"].astype("datetime64[us]").astype("int64")
+            self.waiting.appendList(list(zip(us.tolist(), pdf["event_id"].tolist(), pdf["ok"].tolist())))
+            least = min(int(us.min()), least if least is not None else int(us.min()))
+        if least is not None and (not self.due.exists() or least // 1000 < self.due.get()[0]):
+            self._wake(least)
+        return iter(())
+
+    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        # A timer goes off in milliseconds; no event up to the watermark can still come.
+        passed = timerValues.getCurrentWatermarkInMs() * 1000 + 999
+        events = sorted(tuple(e) for e in self.waiting.get())
+        now, later = [e for e in events if e[0] <= passed], [e for e in events if e[0] > passed]
+        state = _thawed(json.loads(self.machine_state.get()[0])) if self.machine_state.exists() else self.machine.fresh()
+        verdicts = []
+        for us, _, ok in now:
+            state, verdict = self.machine.step(state, us / 1e6, ok)
+            verdicts.append(verdict)
+        self.machine_state.update((json.dumps(state),))
+        self.waiting.clear()
+        if later:
+            self.waiting.appendList(later)
+        self.due.clear()
+        if later:
+            self._wake(later[0][0])
+        if now:
+            yield pd.DataFrame({"key": [key[0]] * len(now), "event_id": [e[1] for e in now], "ts": pd.to_datetime([e[0] for e in now], unit="us"), "verdict": verdicts})
+
+    def close(self) -> None:
+        pass
+
+
+def _thawed(x):
+    return tuple(map(_thawed, x)) if isinstance(x, list) else x
+
+
+#: The time of the event without a key that ends a stream.
+CLOSING = dt.datetime(2250, 1, 1)
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
 def stream_audit(events: DataFrame, machine, late: str = "10 minutes") -> DataFrame:
-    """The same over a stream; rows later than the watermark are dropped, state of idle keys ends with it."""
-    bucket = isinstance(machine, TokenBucket)
-
-    def run(key: tuple, frames: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
-        if held.hasTimedOut:
-            held.remove()
-            return
-        state = tuple(held.get) if held.exists else machine.fresh()
-        state = state if bucket or not held.exists else (state[0], state[1], tuple(state[2]))
-        got = pd.concat(list(frames)).sort_values(["ts", "event_id"])
-        state, verdict = _verdicts(machine, state, got)
-        held.update(state if bucket else (state[0], state[1], list(state[2])))
-        if held.getCurrentWatermarkMs() > 0:
-            held.setTimeoutTimestamp(max(int(got["ts"].max().timestamp() * 1000) + 600_000, held.getCurrentWatermarkMs() + 1))
-        yield got[["key", "event_id", "ts"]].assign(verdict=verdict)
-
-    schema = "tokens double, last double" if bucket else "mode string, opened double, failures array<double>"
-    rows = events.select(F.col("key").cast("string"), "event_id", "ts", "ok").filter("key is not null").withWatermark("ts", late)
-    return rows.groupBy("key").applyInPandasWithState(run, OUT, schema, "append", GroupStateTimeout.EventTimeTimeout)
+    """The same over a stream, in whatever order files and micro-batches bring the events: each comes out once the watermark, ``late`` behind the latest event, has passed it. Events that come later than that are dropped. An event without a key advances the watermark and gives no row. Needs the RocksDB state store."""
+    key = F.col("key").cast("string")
+    rows = events.select(F.coalesce(F.concat(F.lit("="), key), F.lit("")).alias("key"), F.coalesce("event_id", F.lit(0)).cast("long").alias("event_id"), "ts", F.coalesce("ok", F.lit(False)).alias("ok")).withWatermark("ts", late)
+    # A condition on the time stays above the watermark, so that events without a key still move it.
+    kept = rows.filter((F.col("key") != "") | (F.col("ts") >= F.lit(CLOSING - dt.timedelta(days=2))))
+    out = kept.groupBy("key").transformWithStateInPandas(_Audit(machine), OUT, "append", "EventTime")
+    return out.select(F.substring("key", 2, 1 << 30).alias("key"), "event_id", "ts", "verdict")
+
+
+def audit_to_end(events: DataFrame, machine, out: str, checkpoint: str, closing: str, late: str = "10 minutes") -> None:
+    """Works off all that is there now, to the last event: when the source is used up a closing event, in the folder ``closing``, moves the watermark past all of them. Run again with the same folders it goes on with what is new, except what lies before the end that was declared."""
+    spark = events.sparkSession
+    schema = "key string, event_id long, ts timestamp, ok boolean"
+    spark.createDataFrame([], schema).write.mode("append").parquet(closing)
+    both = events.select(F.col("key").cast("string"), F.col("event_id").cast("long"), "ts", "ok").unionByName(spark.readStream.schema(schema).parquet(closing))
+    name, given = "spark.sql.streaming.stateStore.providerClass", spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    spark.conf.set(name, ROCKSDB)
+    try:
+        run_to_end(stream_audit(both, machine, late), out, checkpoint)
+        spark.createDataFrame([(None, None, CLOSING, None)], schema).write.mode("append").parquet(closing)
+        run_to_end(stream_audit(both, machine, late), out, checkpoint)
+    finally:
+        spark.conf.set(name, given)
 
 
 def failure_alarms(events: DataFrame, seconds: int = 30, least: int = 5) -> DataFrame:

@@ -335,6 +335,24 @@ def test_streams_equal_their_batch_twins(spark, sf, name):
     assert key(QUERIES[name](spark, sf)) == key(QUERIES[f"{name}_batch"](spark, sf))
 
 
+def test_shuffled_files_over_five_batches(spark, tmp_path):
+    from corpusmill.streaming.keyed import audit_to_end
+
+    rng, t0 = np.random.default_rng(8), dt.datetime(2024, 1, 1)
+    rows = [(f"k{i % 3}", i, t0 + dt.timedelta(seconds=float(i // 4 * 7)), bool(rng.random() < 0.5)) for i in range(160)]
+    schema = "key string, event_id long, ts timestamp, ok boolean"
+    events = spark.createDataFrame(rows, schema)
+    order = rng.permutation(len(rows))
+    for n, part in enumerate(np.array_split(order, 5)):
+        spark.createDataFrame([rows[i] for i in part] + [(None, 999, t0, True)], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    for name, machine in (("bucket", TokenBucket(0.05, 2)), ("breaker", Breaker(2, 30, 60))):
+        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+        audit_to_end(stream, machine, *(str(tmp_path / f"{name}-{x}") for x in ("out", "checkpoint", "closing")), late="1 day")
+        got = [tuple(r) for r in spark.read.parquet(str(tmp_path / f"{name}-out")).orderBy("event_id").collect()]
+        assert got == [tuple(r) for r in batch_audit(events, machine).orderBy("event_id").collect()] and len({r[3] for r in got}) > 1
+        assert len({f.name for f in (tmp_path / f"{name}-checkpoint" / "offsets").iterdir() if f.name.isdigit()}) >= 6
+
+
 def test_scan_folders(spark, tmp_path):
     for name in ("a.txt", "b.pdf", "c.xyz", "sub/d.md", "node_modules/e.md"):
         (tmp_path / name).parent.mkdir(exist_ok=True)
