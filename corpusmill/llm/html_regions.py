@@ -10,8 +10,9 @@ or id is a plain name of adverts, side bars, notices or reader comments.
 A container with such a name is not left out if it holds an article, the headline or most of the page's text. Names count on
 containers only, as whole words: headings, paragraphs and names like ``related-work`` or ``social-policy`` don't.
 
-Defined cases: null or empty html gives an empty text; unclosed and stray tags are tolerated; nesting of any depth and very long
-pages take linear time (but for the parser itself on comments that never end); a page with no markup is one line and is kept; articles that tie all stay; repeated rows and null ids are
+Defined cases: null or empty html gives an empty text; unclosed and stray tags are tolerated; marked
+sections of unknown kinds are comments; a tag or comment that never ends takes the rest of the page with it, as in browsers; nesting of any depth and very long
+pages take linear time; a page with no markup is one line and is kept; articles that tie all stay; repeated rows and null ids are
 taken each for itself; an empty table gives an empty result; other columns are ignored.
 """
 
@@ -67,6 +68,9 @@ def _marked(attrs: list[tuple[str, str | None]]) -> bool:
     return False
 
 
+UNENDED = re.compile("<[A-Za-z/!?]")
+
+
 class Lines(HTMLParser):
     """The lines of a page (text, number of tags before and in it, innermost container, whether it is a heading) and the tree of containers as parents, each after its parent."""
 
@@ -142,6 +146,19 @@ class Lines(HTMLParser):
         if tag in BREAKS:
             self.cut()
 
+    def parse_marked_section(self, i, report=1):
+        """One of an unknown kind, or of none, is a comment up to the next bracket, as in browsers."""
+        try:
+            return super().parse_marked_section(i, report)
+        except AssertionError:
+            return self.rawdata.find(">", i + 3) + 1 or -1
+
+    def close(self) -> None:
+        # What is left begins with a tag, comment or declaration that never ends; as in browsers, it takes the rest with it.
+        if UNENDED.match(self.rawdata):
+            self.rawdata = ""
+        super().close()
+
     def handle_data(self, data):
         if not self.silent[self.open[-1]] and self.hushed is None:
             self.text.append(data)
