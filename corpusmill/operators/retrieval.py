@@ -98,6 +98,45 @@ def bm25(chunks: DataFrame, wanted: DataFrame, k1: float = 1.2, b: float = 0.75,
     return met.groupBy("query_id", "chunk_id").agg(F.sum(part).alias("score"))
 
 
+def bm25_top_k(chunks: DataFrame, wanted: DataFrame, k: int, k1: float = 1.2, b: float = 0.75, content: str = "content", share: float = 0.5, places: int = 9) -> DataFrame:
+    """query_id, chunk_id, rank, score: what ``bm25`` and a cut after the k best (scores rounded to ``places``) give, without scoring most of the matches.
+
+    Each term has a greatest impact over all its postings. A query's terms are taken from the greatest down until what is left of them is at most ``share`` of the sum: these lead. Chunks are scored by the
+    leading terms first; the k-th best of these sums is a threshold that the k best must reach. A chunk without leading terms, or whose sum
+    and all that the other terms can add stay below it, is out. Only what is left meets the postings of the other terms, by chunk and term. Queries in which the rest could
+    reach the threshold alone take all their terms as leading ones.
+    """
+    ws = Workspace(chunks.sparkSession, "bm25-top-k")
+    totals = chunks.select(F.size(terms(F.col(content))).alias("dl")).agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl")).first()
+    found = ws.keep(postings(chunks, wanted.select("term").distinct(), content=content), "postings")
+    gain = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.lit(totals["avgdl"] or 1.0)))
+    df = found.groupBy("term").agg(F.count("*").alias("df"), F.max(gain).alias("most"))
+    idf = F.log(1 + (totals["n"] - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    impact = ws.keep(df.select("term", idf.alias("idf"), (idf * F.col("most")).alias("most")), "terms")
+    # The rest of a query: what its terms after this one, in order of impact, can add up to.
+    order = Window.partitionBy("query_id").orderBy(F.desc("most"), "term")
+    asked = wanted.join(impact, "term").withColumn("rest", F.coalesce(F.sum("most").over(order.rowsBetween(1, Window.unboundedFollowing)), F.lit(0.0)))
+    asked = asked.withColumn("all", F.sum("most").over(Window.partitionBy("query_id"))).withColumn("leads", F.col("rest") + F.col("most") > share * F.col("all"))
+    asked = ws.keep(asked.select("query_id", "term", "idf", "most", "leads"), "asked")
+
+    def sums(of: DataFrame) -> DataFrame:
+        return found.join(of.select("query_id", "term", "idf"), "term").groupBy("query_id", "chunk_id").agg(F.sum(F.col("idf") * gain).alias("score"))
+
+    rest = asked.groupBy("query_id").agg(F.sum(F.when(F.col("leads"), 0.0).otherwise(F.col("most"))).alias("rest"))
+    some = ws.keep(sums(asked.filter("leads")), "leading")
+    threshold = top_k(some, k).groupBy("query_id").agg(F.min("score").alias("least"), F.count("*").alias("n"))
+    # A margin for sums in another order.
+    bounds = ws.keep(rest.join(threshold, "query_id", "left").select("query_id", "rest", F.coalesce(F.when(F.col("n") >= k, F.col("least")), F.lit(0.0)).alias("least")).withColumn("sure", F.col("rest") < F.col("least") - 1e-6), "bounds")
+    left = some.join(bounds.filter("sure"), "query_id").filter(F.col("score") + F.col("rest") >= F.col("least") - 1e-6).select("query_id", "chunk_id", "score")
+    others = asked.filter("not leads").join(bounds.filter("sure").select("query_id"), "query_id", "left_semi")
+    # The chunks that are left meet the other terms' postings on chunk and term.
+    pairs = left.select("query_id", "chunk_id").join(others.select("query_id", "term", "idf"), "query_id")
+    more = pairs.join(found, ["chunk_id", "term"]).groupBy("query_id", "chunk_id").agg(F.sum(F.col("idf") * gain).alias("more"))
+    pruned = left.join(more, ["query_id", "chunk_id"], "left").select("query_id", "chunk_id", (F.col("score") + F.coalesce("more", F.lit(0.0))).alias("score"))
+    whole = sums(asked.join(bounds.filter("not sure").select("query_id"), "query_id", "left_semi"))
+    return top_k(pruned.unionByName(whole).withColumn("score", F.round("score", places)), k)
+
+
 def normalised_by_max(ranked: DataFrame) -> DataFrame:
     top = F.max("score").over(Window.partitionBy("query_id"))
     return ranked.withColumn("score", F.when(top > 0, F.col("score") / top).otherwise(F.lit(0.0)))
@@ -179,6 +218,31 @@ def hybrid(lists: DataFrame, method: str = "rrf", k: int = 10, min_score: float
     return (fused.filter(F.col("score") >= min_score) if min_score > 0 else fused).filter(F.col("rank") <= k)
 
 
+#: Chunks that each retriever hands on: fixed values.
+LIMITS = {"vector": 20, "keyword": 20, "graph": 10}
+
+
+def candidates(sources: dict[str, DataFrame | None], limits: dict[str, int] | None = None) -> DataFrame:
+    """One table of what several retrievers found for the same queries. sources: name -> query_id, chunk_id, score, in the order that settles ties; None for one that failed, which counts as empty. query_id, source, ordinal, chunk_id, rank, score: the best of each, at most its limit (20 where there is none)."""
+    limits, out = limits or LIMITS, None
+    for ordinal, (name, found) in enumerate(sources.items()):
+        if found is not None:
+            rows = top_k(found.select("query_id", "chunk_id", "score"), limits.get(name, 20)).select("query_id", F.lit(name).alias("source"), F.lit(ordinal).alias("ordinal"), "chunk_id", "rank", "score")
+            out = rows if out is None else out.unionByName(rows)
+    if out is None:
+        raise ValueError("no retriever gave a result")
+    return out
+
+
+def hybrid_retrieval(sources: dict[str, DataFrame | None], chunks: DataFrame, method: str = "rrf", k: int = 10, min_score: float = 0.0, limits: dict[str, int] | None = None, **options) -> DataFrame:
+    """The fused best ``k`` of each query with the columns of ``chunks``, which is joined once, and ``found_by``, a map of how many candidates each source gave the query. Chunks that are not in ``chunks`` are left out after the cut."""
+    ws = Workspace(chunks.sparkSession, "hybrid")
+    lists = ws.keep(candidates(sources, limits), "candidates")
+    best = hybrid(lists, method, k, min_score, **options)
+    counts = lists.groupBy("query_id", "source").agg(F.count("*").alias("n")).groupBy("query_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("source", "n")))).alias("found_by"))
+    return best.join(counts, "query_id").join(chunks, "chunk_id")
+
+
 def merge_best(lists: DataFrame, k: int) -> DataFrame:
     """Every chunk once, at its best score; the k best."""
     best = lists.groupBy("query_id", "chunk_id").agg(F.max("score").alias("score"))

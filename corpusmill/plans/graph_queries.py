@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 from corpusmill.functions.vectors import cosine
 from corpusmill.operators import communities as M
 from corpusmill.operators import graph as G
-from corpusmill.operators.retrieval import exact_top_k
-from corpusmill.plans.registry import CHUNKS, Tables, query
-from corpusmill.plans.retrieval_queries import V64, vector_queries
+from corpusmill.operators.retrieval import exact_top_k, hybrid_retrieval
+from corpusmill.plans.registry import CHUNKS, Tables, chunks, query
+from corpusmill.plans.retrieval_queries import TEXT, V64, keyword_top_k, vector_queries
 
 REPLIES = """replies AS (SELECT doc_id, CASE doc_id % 7 WHEN 0 THEN 'no json, sorry {' WHEN 1 THEN 'Here:' || chr(10) || '```json' || chr(10) || j || chr(10) || '```' ELSE 'Reply: ' || j END AS reply FROM (SELECT doc_id, '{"entities":[{"name":" ' || source || ' ","type":"folder","confidence":' || CASE doc_id % 3 WHEN 0 THEN '0.4' ELSE '0.9' END || '},{"name":"' || lang || '"}],"relations":[{"source":"' || source || '","target":"' || lang || '","type":"holds"}]}' AS j FROM documents))"""
 
@@ -108,12 +108,43 @@ def supply_tree(t: Tables):
     one AS (SELECT DISTINCT query_id, v AS node FROM matched JOIN links ON u = node), reached AS (SELECT query_id, node FROM matched UNION SELECT query_id, node FROM one UNION SELECT query_id, v FROM one JOIN links ON u = node)
     SELECT r.query_id, r.node % 50 AS chunk_id, coalesce(m.score, 0) AS score FROM reached r LEFT JOIN matched m USING (query_id, node)) GROUP BY 1, 2""")
 def i6_graph_retrieval(t):
+    return graph_scores(t, vector_queries(t), F.col("vec_id") % 50).select("query_id", "chunk_id", F.round("score", 6).alias("score"))
+
+
+def graph_scores(t: Tables, queries, chunk):
+    """Graph retrieval over a tree of vectors: the five nearest nodes, all within two steps of them, and their chunks."""
     e = t("embeddings")
-    matched = exact_top_k(e.select(F.col("vec_id").alias("chunk_id"), "embedding"), vector_queries(t), 5, 0.3).select("query_id", F.col("chunk_id").alias("node"), "score")
+    matched = exact_top_k(e.select(F.col("vec_id").alias("chunk_id"), "embedding"), queries, 5, 0.3).select("query_id", F.col("chunk_id").alias("node"), "score")
     tree = e.select(F.col("vec_id").alias("src"), F.floor(F.col("vec_id") / 2).alias("dst"))
     reached = G.neighbourhood(tree, matched, 2, by="query_id").select("query_id", "node")
-    nodes = e.select(F.col("vec_id").alias("node_id"), F.concat(F.lit("n"), F.col("vec_id").cast("string")).alias("name"), F.array(F.col("vec_id") % 50).alias("source_chunks"))
-    return G.chunk_scores(matched, reached, nodes).select("query_id", "chunk_id", F.round("score", 6).alias("score"))
+    nodes = e.select(F.col("vec_id").alias("node_id"), F.concat(F.lit("n"), F.col("vec_id").cast("string")).alias("name"), F.array(chunk).alias("source_chunks"))
+    return G.chunk_scores(matched, reached, nodes)
+
+
+NEAR = f"list_cosine_similarity({V64.replace('embedding', 'q.embedding')}, {V64.replace('embedding', 'c.embedding')})"
+# Each benchmark text asks with its words and with the vector of its number; document n's first chunk has vector n.
+THREE = f"""asked AS (SELECT item_id AS query_id, embedding FROM benchmark JOIN embeddings ON vec_id = item_id), near AS (SELECT q.query_id, c.vec_id AS node, {NEAR} AS score FROM asked q CROSS JOIN embeddings c),
+    by_vector AS (SELECT query_id, 'vector' AS source, 0 AS ordinal, node || ':0' AS chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, node || ':0') AS rank FROM near),
+    by_keyword AS (SELECT query_id, 'keyword' AS source, 1 AS ordinal, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, chunk_id) AS rank FROM bm25),
+    matched AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, node) AS r FROM near) WHERE r <= 5 AND score >= 0.3),
+    tree AS (SELECT vec_id AS u, vec_id // 2 AS v FROM embeddings UNION SELECT vec_id // 2, vec_id FROM embeddings),
+    one AS (SELECT DISTINCT query_id, v AS node FROM matched JOIN tree ON u = node), reached AS (SELECT query_id, node FROM matched UNION SELECT query_id, node FROM one UNION SELECT query_id, v FROM one JOIN tree ON u = node),
+    by_graph AS (SELECT query_id, 'graph' AS source, 2 AS ordinal, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM (SELECT r.query_id, r.node || ':0' AS chunk_id, round(coalesce(m.score, 0), 9) AS score FROM reached r JOIN embeddings ON vec_id = r.node LEFT JOIN matched m USING (query_id, node))),
+    lists AS (SELECT * FROM by_vector WHERE rank <= 20 UNION ALL SELECT * FROM by_keyword WHERE rank <= 20 UNION ALL SELECT * FROM by_graph WHERE rank <= 10),
+    fused AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY f DESC, seen, chunk_id) AS rank FROM (SELECT query_id, chunk_id, sum(1.0::DOUBLE / (60 + rank)) AS f, min((ordinal, rank)) AS seen FROM lists GROUP BY 1, 2))"""
+
+
+@query("SELECT f.query_id, f.rank, f.chunk_id, round(f, 6) AS score, (SELECT count(*) FROM lists l WHERE l.query_id = f.query_id AND source = 'keyword') AS by_keyword, (SELECT count(*) FROM lists l WHERE l.query_id = f.query_id AND source = 'graph') AS by_graph, length(content) AS chars FROM fused f JOIN chunks USING (chunk_id) WHERE rank <= 10 AND f >= 0.01", *TEXT, THREE)
+def h5_three_retrievers(t):
+    """Vector, keyword and graph retrieval of the same queries, fused over shared chunks."""
+    e = t("embeddings")
+    queries = t("benchmark").join(e, F.col("item_id") == F.col("vec_id")).select(F.col("item_id").alias("query_id"), F.col("embedding").alias("q"))
+    rounded = lambda df: df.withColumn("score", F.round("score", 9))
+    first = F.concat(F.col("vec_id").cast("string"), F.lit(":0"))
+    sources = {"vector": rounded(exact_top_k(e.select(first.alias("chunk_id"), "embedding"), queries, 40)), "keyword": rounded(keyword_top_k(t, 20)), "graph": rounded(graph_scores(t, queries, first))}
+    got = hybrid_retrieval(sources, chunks(t).select("chunk_id", "content"), "rrf", 10, 0.01)
+    n = lambda s: F.coalesce(F.try_element_at("found_by", F.lit(s)), F.lit(0)).cast("long")
+    return got.select("query_id", "rank", "chunk_id", F.round("score", 6).alias("score"), n("keyword").alias("by_keyword"), n("graph").alias("by_graph"), F.length("content").alias("chars"))
 
 
 @query("SELECT node, min(level) AS level FROM (SELECT 105 AS node, 0 AS level UNION ALL SELECT v, 1 FROM both_ways WHERE u = 105 UNION ALL SELECT b.v, 2 FROM both_ways a JOIN both_ways b ON a.v = b.u WHERE a.u = 105) GROUP BY 1", EDGES, BOTH)

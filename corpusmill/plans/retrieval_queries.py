@@ -140,10 +140,13 @@ def bm25_scores(t):
     return R.bm25(chunks(t), R.query_terms(text_queries(t)))
 
 
+def keyword_top_k(t, k):
+    return R.bm25_top_k(Workspace(t.spark, "chunks").keep(chunks(t).select("chunk_id", "content"), "chunks"), R.query_terms(text_queries(t)), k)
+
+
 @query("SELECT query_id, chunk_id, rank, round(score / max(score) OVER (PARTITION BY query_id), 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, chunk_id) AS rank FROM bm25) WHERE rank <= 10", *TEXT)
 def g1_bm25_top_k(t):
-    top = R.top_k(bm25_scores(t).withColumn("score", F.round("score", 9)), 10)
-    return R.normalised_by_max(top).select("query_id", "chunk_id", "rank", F.round("score", 6).alias("score"))
+    return R.normalised_by_max(keyword_top_k(t, 10)).select("query_id", "chunk_id", "rank", F.round("score", 6).alias("score"))
 
 
 @query("SELECT query_id, chunk_id, round(CASE WHEN score > 1 THEN least(score / 10, 1) ELSE score END, 6) AS score FROM bm25", *TEXT)
