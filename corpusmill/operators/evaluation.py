@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusmill.functions.text import clamp, fenced_json
+from corpusmill.operators.stats import exact_quantiles
 
 # Dollars per million input and output tokens, in the order in which names are tried.
 PRICES = (
@@ -96,10 +97,11 @@ def judge_summary(verdicts: DataFrame, refs: DataFrame) -> DataFrame:
     grid = judges.crossJoin(refs.select("case_id")).join(per_case, ["judge", "case_id"], "left")
     a = grid.groupBy("judge").agg(F.avg(F.coalesce("var", F.lit(0.0))).alias("variance"), F.avg(F.coalesce(F.col("p") * F.col("p") + (1 - F.col("p")) * (1 - F.col("p")), F.lit(0.0))).alias("repeatability"))
     b = verdicts.join(refs, "case_id").groupBy("judge").agg(
-        F.avg((F.col("does_pass") == F.col("reference")).cast("int")).alias("agreement"), F.percentile("latency_ms", 0.5).alias("p50"), F.percentile("latency_ms", 0.95).alias("p95"), F.avg("latency_ms").alias("latency"), F.sum("cost_usd").alias("cost"), F.avg("quality").alias("quality"), F.avg(F.col("does_pass").cast("int")).alias("pass_rate")
+        F.avg((F.col("does_pass") == F.col("reference")).cast("int")).alias("agreement"), F.avg("latency_ms").alias("latency"), F.sum("cost_usd").alias("cost"), F.avg("quality").alias("quality"), F.avg(F.col("does_pass").cast("int")).alias("pass_rate")
     )
     m = verdicts.groupBy("judge", "model").agg(F.count("*").alias("n"), F.min("ord").alias("ord")).groupBy("judge").agg(F.max_by("model", F.struct("n", (-F.col("ord")).alias("o"))).alias("model"))
-    return a.join(b, "judge").join(m, "judge").withColumn("signal", F.col("agreement") * F.col("repeatability"))
+    q = exact_quantiles(verdicts.join(refs, "case_id", "left_semi"), "judge", "latency_ms", {"p50": 0.5, "p95": 0.95})
+    return a.join(b, "judge").join(q, "judge").join(m, "judge").withColumn("signal", F.col("agreement") * F.col("repeatability"))
 
 
 def within_budget(calls: DataFrame, cap: float, *order: str, block: int = 1 << 20) -> DataFrame:

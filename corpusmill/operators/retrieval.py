@@ -76,7 +76,12 @@ def exact_top_k(chunks: DataFrame, queries: DataFrame, k: int, min_score: float
 
 def postings(chunks: DataFrame, wanted: DataFrame | None = None, chunk_id: str = "chunk_id", content: str = "content") -> DataFrame:
     """chunk_id, term, tf, dl (terms of the chunk). With ``wanted`` (term) only those terms, taken out before anything is counted or shuffled."""
-    t = chunks.select(F.col(chunk_id).alias("chunk_id"), terms(F.col(content)).alias("t")).select("chunk_id", F.size("t").alias("dl"), F.explode("t").alias("term"))
+    return counted_terms(chunks.select(F.col(chunk_id).alias("chunk_id"), terms(F.col(content)).alias("t")).withColumn("dl", F.size("t")), wanted)
+
+
+def counted_terms(split: DataFrame, wanted: DataFrame | None = None) -> DataFrame:
+    """split: chunk_id, t (the chunk's terms), dl."""
+    t = split.select("chunk_id", "dl", F.explode("t").alias("term"))
     t = t if wanted is None else t.join(wanted, "term", "left_semi")
     return t.groupBy("chunk_id", "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
 
@@ -98,43 +103,42 @@ def bm25(chunks: DataFrame, wanted: DataFrame, k1: float = 1.2, b: float = 0.75,
     return met.groupBy("query_id", "chunk_id").agg(F.sum(part).alias("score"))
 
 
-def bm25_top_k(chunks: DataFrame, wanted: DataFrame, k: int, k1: float = 1.2, b: float = 0.75, content: str = "content", share: float = 0.5, places: int = 9) -> DataFrame:
-    """query_id, chunk_id, rank, score: what ``bm25`` and a cut after the k best (scores rounded to ``places``) give, without scoring most of the matches.
+def bm25_top_k(chunks: DataFrame, wanted: DataFrame, k: int, k1: float = 1.2, b: float = 0.75, content: str = "content", rare: float = 0.01, tail: float = 0.5, places: int = 9) -> DataFrame:
+    """query_id, chunk_id, rank, score: what ``bm25`` and a cut after the k best (scores rounded to ``places``) give, without most of its matches.
 
-    Each term has a greatest impact over all its postings. A query's terms are taken from the greatest down until what is left of them is at most ``share`` of the sum: these lead. Chunks are scored by the
-    leading terms first; the k-th best of these sums is a threshold that the k best must reach. A chunk without leading terms, or whose sum
-    and all that the other terms can add stay below it, is out. Only what is left meets the postings of the other terms, by chunk and term. Queries in which the rest could
-    reach the threshold alone take all their terms as leading ones.
+    First the terms in at most ``rare`` of the chunks are scored: the k-th best of a query's sums is a threshold that its k best must reach. The query's most
+    frequent terms, as many as can add up to ``tail`` of the threshold at their greatest impact, then only complete: a chunk that has no
+    other term is out, as is one whose sum over the others and all that the frequent ones can add stay below the k-th best such sum. What is left meets the frequent terms'
+    postings on chunk and term. A query without a threshold has no such terms and is scored in full.
     """
     ws = Workspace(chunks.sparkSession, "bm25-top-k")
-    totals = chunks.select(F.size(terms(F.col(content))).alias("dl")).agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl")).first()
-    found = ws.keep(postings(chunks, wanted.select("term").distinct(), content=content), "postings")
-    gain = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.lit(totals["avgdl"] or 1.0)))
-    df = found.groupBy("term").agg(F.count("*").alias("df"), F.max(gain).alias("most"))
-    idf = F.log(1 + (totals["n"] - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    impact = ws.keep(df.select("term", idf.alias("idf"), (idf * F.col("most")).alias("most")), "terms")
-    # The rest of a query: what its terms after this one, in order of impact, can add up to.
-    order = Window.partitionBy("query_id").orderBy(F.desc("most"), "term")
-    asked = wanted.join(impact, "term").withColumn("rest", F.coalesce(F.sum("most").over(order.rowsBetween(1, Window.unboundedFollowing)), F.lit(0.0)))
-    asked = asked.withColumn("all", F.sum("most").over(Window.partitionBy("query_id"))).withColumn("leads", F.col("rest") + F.col("most") > share * F.col("all"))
-    asked = ws.keep(asked.select("query_id", "term", "idf", "most", "leads"), "asked")
+    split = ws.keep(chunks.select("chunk_id", terms(F.col(content)).alias("t")).withColumn("dl", F.size("t")), "terms")
+    totals = split.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl")).first()
+    n, avgdl = totals["n"], totals["avgdl"] or 1.0
+    found = ws.keep(counted_terms(split, wanted.select("term").distinct()).select("chunk_id", "term", (F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.lit(avgdl)))).alias("gain")), "postings")
+    df = found.groupBy("term").agg(F.count("*").alias("df"), F.max("gain").alias("most"))
+    idf = F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    asked = ws.keep(wanted.join(df, "term").select("query_id", "term", "df", idf.alias("idf"), (idf * F.col("most")).alias("most")), "asked")
 
     def sums(of: DataFrame) -> DataFrame:
-        return found.join(of.select("query_id", "term", "idf"), "term").groupBy("query_id", "chunk_id").agg(F.sum(F.col("idf") * gain).alias("score"))
+        return found.join(of.select("query_id", "term", "idf"), "term").groupBy("query_id", "chunk_id").agg(F.sum(F.col("idf") * F.col("gain")).alias("score"))
+
+    def kth(scores: DataFrame) -> DataFrame:
+        return top_k(scores, k).filter(F.col("rank") == k).select("query_id", F.col("score").alias("least"))
 
-    rest = asked.groupBy("query_id").agg(F.sum(F.when(F.col("leads"), 0.0).otherwise(F.col("most"))).alias("rest"))
-    some = ws.keep(sums(asked.filter("leads")), "leading")
-    threshold = top_k(some, k).groupBy("query_id").agg(F.min("score").alias("least"), F.count("*").alias("n"))
+    first = kth(sums(asked.filter(F.col("df") <= rare * n)))
+    order = Window.partitionBy("query_id").orderBy(F.desc("df"), "term")
+    parted = asked.join(first, "query_id", "left").withColumn("completes", F.coalesce(F.sum("most").over(order) <= tail * F.col("least"), F.lit(False)))
+    parted = ws.keep(parted.select("query_id", "term", "idf", "most", "completes"), "parted")
+    rest = parted.filter("completes").groupBy("query_id").agg(F.sum("most").alias("rest"))
+    some = ws.keep(sums(parted.filter("not completes")), "others")
     # A margin for sums in another order.
-    bounds = ws.keep(rest.join(threshold, "query_id", "left").select("query_id", "rest", F.coalesce(F.when(F.col("n") >= k, F.col("least")), F.lit(0.0)).alias("least")).withColumn("sure", F.col("rest") < F.col("least") - 1e-6), "bounds")
-    left = some.join(bounds.filter("sure"), "query_id").filter(F.col("score") + F.col("rest") >= F.col("least") - 1e-6).select("query_id", "chunk_id", "score")
-    others = asked.filter("not leads").join(bounds.filter("sure").select("query_id"), "query_id", "left_semi")
-    # The chunks that are left meet the other terms' postings on chunk and term.
-    pairs = left.select("query_id", "chunk_id").join(others.select("query_id", "term", "idf"), "query_id")
-    more = pairs.join(found, ["chunk_id", "term"]).groupBy("query_id", "chunk_id").agg(F.sum(F.col("idf") * gain).alias("more"))
-    pruned = left.join(more, ["query_id", "chunk_id"], "left").select("query_id", "chunk_id", (F.col("score") + F.coalesce("more", F.lit(0.0))).alias("score"))
-    whole = sums(asked.join(bounds.filter("not sure").select("query_id"), "query_id", "left_semi"))
-    return top_k(pruned.unionByName(whole).withColumn("score", F.round("score", places)), k)
+    bounds = rest.join(kth(some), "query_id").select("query_id", (F.col("least") - F.col("rest") - 1e-6).alias("bound"))
+    left = ws.keep(some.join(bounds, "query_id", "left").filter("bound is null or score >= bound").drop("bound"), "left")
+    pairs = left.select("query_id", "chunk_id").join(parted.filter("completes").select("query_id", "term", "idf"), "query_id")
+    more = pairs.join(found, ["chunk_id", "term"]).groupBy("query_id", "chunk_id").agg(F.sum(F.col("idf") * F.col("gain")).alias("more"))
+    scored = left.join(more, ["query_id", "chunk_id"], "left").select("query_id", "chunk_id", F.round(F.col("score") + F.coalesce("more", F.lit(0.0)), places).alias("score"))
+    return top_k(scored, k)
 
 
 def normalised_by_max(ranked: DataFrame) -> DataFrame:

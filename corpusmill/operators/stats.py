@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpusmill.workspace import Workspace
+
 BUCKETS = ("0.0-0.2", "0.2-0.4", "0.4-0.6", "0.6-0.8", "0.8-1.0")
 
 
@@ -75,8 +77,41 @@ def request_metrics(events: DataFrame, kind: str, value: str) -> DataFrame:
     """Counts, sum and exact quantiles per label, with a histogram over fixed bounds."""
     bounds = (1, 5, 10, 50, 100)
     le = [F.count_if(F.col(value) <= b).alias(f"le_{b}") for b in bounds]
-    q = [F.percentile(value, p).alias(f"p{int(100 * p)}") for p in (0.5, 0.95, 0.99)]
-    return events.groupBy(kind).agg(F.count("*").alias("n"), F.sum(value).alias("total"), *q, *le)
+    own = events.groupBy(kind).agg(F.count("*").alias("n"), F.sum(value).alias("total"), *le)
+    q = exact_quantiles(events, kind, value, {"p50": 0.5, "p95": 0.95, "p99": 0.99}).withColumnRenamed(kind, "q_label")
+    return own.join(q, F.col(kind).eqNullSafe(F.col("q_label"))).select(kind, "n", "total", "p50", "p95", "p99", *[f"le_{b}" for b in bounds])
+
+
+def exact_quantiles(rows: DataFrame, by: str, value: str, shares: dict[str, float], splitters: int = 256) -> DataFrame:
+    """``by`` and one column per share: exact quantiles with linear interpolation (null without values; NaN is above all). No task holds a label's values.
+
+    Sketched splitters of each label (a bounded number, from a mergeable sketch) cut its values into ranges; counts of the ranges tell in which one each
+    wanted rank lies; only the distinct values of those ranges, with their counts, are put in order. A value of any frequency is one row there, and ranges hold about
+    1 / ``splitters`` of a label's distinct values.
+    """
+    ws = Workspace(rows.sparkSession, "quantiles")
+    # Equal values become one row with a count before anything is ordered.
+    counts = ws.keep(rows.select(F.col(by).alias("label"), F.col(value).cast("double").alias("v")).filter("v is not null").groupBy("label", "v").agg(F.count("*").alias("n")), "counts")
+    cuts = counts.groupBy(F.col("label").alias("l")).agg(F.array_distinct(F.percentile_approx("v", [i / splitters for i in range(1, splitters)], 10 * splitters)).alias("cuts"), F.sum("n").alias("total"))
+    ranged = counts.join(cuts, F.col("label").eqNullSafe(F.col("l"))).select("label", "v", "n", "total", F.size(F.filter("cuts", lambda c: c <= F.col("v"))).alias("range"))
+    ranged = ws.keep(ranged, "ranges")
+    sums = ranged.groupBy("label", "total", "range").agg(F.sum("n").alias("n"))
+    before = sums.withColumn("before", F.sum("n").over(Window.partitionBy("label").orderBy("range")) - F.col("n"))
+    # The two ranks, from 0, that a share lies between.
+    at = lambda share: (F.col("total") - 1) * F.lit(share)
+    wanted = F.array(*[F.struct(F.lit(name).alias("name"), F.floor(at(p)).alias("low"), F.ceil(at(p)).alias("high"), (at(p) - F.floor(at(p))).alias("part")) for name, p in shares.items()])
+    holds = before.select("label", "range", "before", "n", F.explode(wanted).alias("q")).filter((F.col("q.high") >= F.col("before")) & (F.col("q.low") < F.col("before") + F.col("n")))
+    needed = holds.select(F.col("label").alias("l"), F.col("range").alias("r"), "before").distinct()
+    inside = ranged.join(needed, F.col("label").eqNullSafe(F.col("l")) & (F.col("range") == F.col("r"))).drop("l", "r")
+    last = F.col("before") + F.sum("n").over(Window.partitionBy("label", "range").orderBy("v"))
+    placed = inside.withColumn("last", last).withColumn("start", F.col("last") - F.col("n")).withColumn("q", F.explode(wanted))
+    is_in = lambda r: (F.col(f"q.{r}") >= F.col("start")) & (F.col(f"q.{r}") < F.col("last"))
+    ends = placed.filter(is_in("low") | is_in("high")).groupBy("label", "q.name").agg(F.max(F.when(is_in("low"), F.col("v"))).alias("low"), F.max(F.when(is_in("high"), F.col("v"))).alias("high"), F.first("q.part").alias("part"))
+    one = ends.withColumn("v", F.when(F.col("low") == F.col("high"), F.col("low")).otherwise(F.col("low") + (F.col("high") - F.col("low")) * F.col("part")))
+    columns = [F.max(F.when(F.col("name") == name, F.col("v"))).alias(name) for name in shares]
+    labels = rows.select(F.col(by).alias("label")).distinct()
+    got = one.groupBy(F.col("label").alias("l")).agg(*columns)
+    return labels.join(got, F.col("label").eqNullSafe(F.col("l")), "left").select(F.col("label").alias(by), *shares)
 
 
 def quantile_metrics(events: DataFrame, kind: str, value: str, accuracy: int = 10_000) -> DataFrame:

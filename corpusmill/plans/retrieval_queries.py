@@ -141,7 +141,7 @@ def bm25_scores(t):
 
 
 def keyword_top_k(t, k):
-    return R.bm25_top_k(Workspace(t.spark, "chunks").keep(chunks(t).select("chunk_id", "content"), "chunks"), R.query_terms(text_queries(t)), k)
+    return R.bm25_top_k(chunks(t), R.query_terms(text_queries(t)), k)
 
 
 @query("SELECT query_id, chunk_id, rank, round(score / max(score) OVER (PARTITION BY query_id), 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, chunk_id) AS rank FROM bm25) WHERE rank <= 10", *TEXT)

@@ -353,6 +353,41 @@ def test_shuffled_files_over_five_batches(spark, tmp_path):
         assert len({f.name for f in (tmp_path / f"{name}-checkpoint" / "offsets").iterdir() if f.name.isdigit()}) >= 6
 
 
+@pytest.mark.parametrize("splitters", [2, 7, 256])
+def test_exact_quantiles(spark, splitters):
+    from corpusmill.operators.stats import exact_quantiles
+
+    rng = np.random.default_rng(9)
+    of = {"hot": rng.normal(size=3000).round(3).tolist(), "same": [4.0] * 500, "skew": [1.0] * 900 + rng.exponential(size=100).tolist(), "one": [7.5], "two": [1.0, 2.0], None: [3.0, 1.0, 9.0]}
+    rows = [(k, v) for k, vs in of.items() for v in vs] + [("hot", None), ("none", None)]
+    shares = {"p0": 0.0, "p50": 0.5, "p95": 0.95, "p99": 0.99, "p100": 1.0}
+    got = {r["k"]: r for r in exact_quantiles(spark.createDataFrame(rows, "k string, v double"), "k", "v", shares, splitters).collect()}
+    assert set(got) == {*of, "none"} and got["none"]["p50"] is None
+    for k, vs in of.items():
+        assert [got[k][n] for n in shares] == pytest.approx(np.quantile(vs, list(shares.values())).tolist(), abs=1e-12)
+
+
+def test_keyword_top_k_equals_the_whole_product(spark):
+    rng = np.random.default_rng(10)
+    words = [f"w{i}" for i in range(300)]
+    weight = 1 / np.arange(1, 301)
+    text = lambda n: " ".join(rng.choice(words, n, p=weight / weight.sum()))
+    chunks = spark.createDataFrame([(i, text(int(rng.integers(1, 60)))) for i in range(800)], "chunk_id long, content string").cache()
+    queries = spark.createDataFrame([(i, text(int(rng.integers(1, 25)))) for i in range(40)] + [(90, ""), (91, "absent"), (92, "w0"), (93, "w299 w298")], "query_id long, query string").cache()
+    wanted = R.query_terms(queries)
+    want = R.top_k(R.bm25(chunks, wanted).withColumn("score", F.round("score", 9)), 5)
+    for options in ({}, {"rare": 0.1, "tail": 0.9}, {"rare": 1.0, "tail": 0.2}):
+        got = R.bm25_top_k(chunks, wanted, 5, **options)
+        assert sorted(map(tuple, got.select("query_id", "chunk_id", "rank", "score").collect())) == sorted(map(tuple, want.select("query_id", "chunk_id", "rank", "score").collect()))
+
+
+def test_hybrid_with_a_failing_source(spark):
+    found = spark.createDataFrame([(0, "a", 0.9), (0, "b", 0.8)], "query_id int, chunk_id string, score double")
+    chunks = spark.createDataFrame([("a", "x"), ("b", "y")], "chunk_id string, content string")
+    rows = R.hybrid_retrieval({"vector": found, "keyword": None, "graph": found.filter("score > 0.85")}, chunks).orderBy("rank").collect()
+    assert [(r["chunk_id"], r["content"], r["found_by"]) for r in rows] == [("a", "x", {"vector": 2, "graph": 1}), ("b", "y", {"vector": 2, "graph": 1})]
+
+
 def test_scan_folders(spark, tmp_path):
     for name in ("a.txt", "b.pdf", "c.xyz", "sub/d.md", "node_modules/e.md"):
         (tmp_path / name).parent.mkdir(exist_ok=True)
