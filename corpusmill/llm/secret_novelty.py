@@ -1,8 +1,9 @@
 """Operator 7: secrets by fixed patterns and by dictionary-primed compression novelty.
 
 Base spans come from three patterns. The method adds spans of kind ``novel``. Its candidates are all strings of 16 or more characters
-that keys are made of, beginning within ``reach`` characters after a sensitive word on its line. Of each the marginal
-compressed size is measured, with the surrounding code and an identifier dictionary to copy from; where it stays close to the
+that keys are made of, beginning within ``reach`` characters after a sensitive word, on its line or, where nothing but blanks, quotes
+and assignment signs lies between, on a later one; and the body of every key block between its BEGIN and END lines, which is one candidate
+from its first to its last line. Of each the marginal compressed size is measured, with the surrounding code and an identifier dictionary to copy from; where it stays close to the
 candidate's length, nothing around or in the dictionary explains it. Short strings of unknown words hardly compress either, so
 that novel ones spelled like words, by the pairs of letters in the dictionary, are told apart.
 Words, identifiers, paths and anything repeated nearby are not reported; keys and random tokens are, also where a base span
@@ -37,6 +38,12 @@ KINDS = ("assign", "access", "hex", "novel")
 CONTEXT = re.compile(r"(?:secret|token|passw|pwd|credential|auth|bearer|private|api_?key|access_?key|signing|encryption|client_?id|session|cookie|webhook|license_?key|conn(?:ection)?_?str)[\w-]*", re.ASCII | re.IGNORECASE)
 CONTEXT_WORDS = ("secret", "token", "passw", "pwd", "credential", "auth", "bearer", "private", "key", "signing", "encryption", "client", "session", "cookie", "webhook", "conn")
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=.~-]{16,}")
+#: What may lie between a sensitive name and its value on a later line, and the blocks of encoded private keys (line ends also written as \\n).
+GAP = re.compile(r"""["'\x60)\]]*[ \t\r\n]*(?:(?::=|=>|[:=])[ \t\r\n]*)?[\\|>("'\x60\[ \t\r\n-]*""")
+BLOCK = re.compile(r"-----BEGIN [A-Z ]*PRIVATE KEY(?: BLOCK)?-----")
+BODY = re.compile(r"(?:\s|\\[nr]|[\"'+,])*((?:[A-Za-z0-9+/=]{16,}(?:(?:\s|\\[nr]|[\"'+,])+[A-Za-z0-9+/=]{4,})*)?)")
+#: Key characters without the letter of a written line end.
+RUN = re.compile(r"(?:(?<!\\)[A-Za-z0-9+/_=.~-]|(?<=\\)[^nr\W])[A-Za-z0-9+/_=.~-]*|(?<=\\[nr])[A-Za-z0-9+/_=.~-]+")
 #: Identifier dictionary: what code around a secret is made of.
 IDENTIFIERS = " ".join(
     """abstract access account action address admin algorithm allow api app application args array async attribute auth authorization aws
@@ -66,14 +73,24 @@ def _size(data: bytes, primer: bytes) -> int:
     return len(made.compress(data))
 
 
-def novelty(text: str, start: int, end: int, around: int = 200) -> float:
-    """Marginal compressed bytes of text[start:end] for each of its own bytes, the identifiers and the code around it known."""
+def novelty(text: str, start: int, end: int, around: int = 200, piece: int = 64) -> float:
+    """Marginal compressed bytes of text[start:end] for each of its own bytes, the identifiers and the code around it known. Long strings are measured in pieces, each with what is before it known: letters of a long string that only differ in frequency would compress by entropy coding alone."""
+    if end - start > piece:
+        parts = -(-(end - start) // piece)
+        cuts = [start + (end - start) * i // parts for i in range(parts + 1)]
+        return sum(novelty(text, a, b, around) * (b - a) for a, b in zip(cuts, cuts[1:])) / (end - start)
     before, after = text[max(0, start - around) : start], text[end : end + around]
     primer = f"{IDENTIFIERS} {after} {before}".encode("utf-8", "surrogatepass")
     near, own = before[-32:].encode("utf-8", "surrogatepass"), text[start:end].encode("utf-8", "surrogatepass")
     return (_size(near + own, primer) - _size(near, primer)) / len(own)
 
 
+def mean_novelty(text: str, start: int, end: int) -> float:
+    """Novelty of the strings keys are made of in text[start:end]: all of a candidate, and of a block's body what lies between its line ends."""
+    runs = [(m.start(), m.end()) for m in RUN.finditer(text, start, end)]
+    return sum(novelty(text, a, b) * (b - a) for a, b in runs) / sum(b - a for a, b in runs)
+
+
 @cache
 def _steps() -> dict[str, float]:
     """Bits by which each pair of small letters is likelier in the identifiers than in a random key of 62 characters."""
@@ -97,17 +114,37 @@ def spelled(s: str) -> float:
 
 
 def candidates(text: str, reach: int) -> Iterator[tuple[int, int]]:
-    """Strings keys are made of, with a letter, that begin after a sensitive word, on its line and within ``reach``. One pass over the text."""
+    """Strings keys are made of, with a letter, that begin after a sensitive word within ``reach`` on its line, or past line ends where only ``GAP`` lies between; bodies of key blocks as one. One pass over the text."""
     words = CONTEXT.finditer(text)
-    word, stop = next(words, None), -1
+    word, stop, after = next(words, None), -1, -1
+    blocks = key_blocks(text)
+    block = next(blocks, None)
     for m in CANDIDATE.finditer(text):
         while word and word.end() <= m.start():
+            gap = GAP.match(text, word.end()).end()
             stop = word.end() + reach
             line = text.find("\n", word.end(), stop)
             stop = stop if line < 0 else line
+            after = gap
             word = next(words, None)
-        if m.start() < stop and any(c.isalpha() for c in m[0]):
+        while block and block[1] <= m.start():
+            yield block
+            block = next(blocks, None)
+        if block and m.end() > block[0]:
+            continue
+        if (m.start() < stop or m.start() == after) and any(c.isalpha() for c in m[0]):
             yield m.start(), m.end()
+    while block:
+        yield block
+        block = next(blocks, None)
+
+
+def key_blocks(text: str) -> Iterator[tuple[int, int]]:
+    """Bodies of BEGIN ... PRIVATE KEY blocks, without the lines of dashes and white space at the ends. A block ends at its END line, or where a line is no part of a body."""
+    for m in BLOCK.finditer(text):
+        body = BODY.match(text, m.end())
+        if body[1]:
+            yield body.start(1), body.end(1)
 
 
 def spans(text: str | None, least: float = 0.8, reach: int = 48, most: float = 1.0) -> list[tuple[str, int, int]]:
@@ -123,7 +160,7 @@ def spans(text: str | None, least: float = 0.8, reach: int = 48, most: float = 1
     if any(w in low for w in CONTEXT_WORDS):
         base = {(x, y) for _, x, y in found}
         for start, end in candidates(text, reach):
-            if (start, end) not in base and novelty(text, start, end) >= least and spelled(text[start:end]) < most:
+            if (start, end) not in base and mean_novelty(text, start, end) >= least and spelled(text[start:end]) < most:
                 found.append(("novel", start, end))
     return sorted(found, key=lambda x: (x[1], KINDS.index(x[0]), x[2]))
 
