@@ -314,6 +314,58 @@ def _row_keys(id_col: str, text_col: str) -> list[Column]:
     return [F.xxhash64(*parts).alias("h"), F.xxhash64(F.lit(1), *parts).alias("k")]
 
 
+def _banded(bands: int, rows: int):
+    """A key of ``rows`` min-hashes for each band; a set without shingles has none."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            nodes, cells, bands_of, keys = [], [], [], []
+            for node, cell, data in zip(batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2)):
+                own = np.frombuffer(data.as_buffer(), "u8")
+                if not len(own):
+                    continue
+                least = np.array([_mixed(own, f).min() for f in range(bands * rows)], "u8").reshape(bands, rows)
+                mixed = least[:, 0]
+                for r in range(1, rows):
+                    mixed = _mixed(mixed, r) ^ least[:, r]
+                nodes.append(np.full(bands, node)), cells.append(np.full(bands, cell)), bands_of.append(np.arange(bands, dtype="i4")), keys.append(mixed.view("i8"))
+            if nodes:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in (nodes, cells, bands_of, keys)], names=["node", "cell", "band", "key"])
+
+    return run
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """src, dst of the pairs (a, b) whose sets are alike."""
+    met = pairs.join(sets.select(F.col("node").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("set").alias("y")), "b").select("a", "b", "x", "y")
+    return met.mapInArrow(_alike(similarity), "src long, dst long")
+
+
+def _settled(ws: Workspace, sets: DataFrame, pairs: DataFrame, links: DataFrame, similarity: float, bands: int, rows: int) -> DataFrame:
+    """node, component over links and over those found among texts whose candidates reach each other but that links leave apart: those that share a band of min-hashes are verified too. Equal sets stand for each other."""
+    settled = ws.keep(connected_components(links), "settled")
+    cells = connected_components(pairs.select(F.col("a").alias("src"), F.col("b").alias("dst")))
+    named = cells.select("node", F.col("component").alias("cell")).join(settled.select("node", F.col("component").alias("settled")), "node", "left").withColumn("settled", F.coalesce("settled", "node"))
+    named = ws.keep(named, "cells")
+    apart = named.groupBy("cell").agg(F.min("settled").alias("low"), F.max("settled").alias("high")).filter("low <> high").select("cell")
+    one = sets.filter("node = leader").select("node", "set")
+    keys = one.join(named.join(apart, "cell", "left_semi").select("node", "cell"), "node").select("node", "cell", "set").mapInArrow(_banded(bands, rows), "node long, cell long, band int, key long")
+    keys = ws.keep(keys.join(named.select("node", "settled"), "node"), "bands")
+    # A band's groups with one class have nothing to tell.
+    mixed = keys.groupBy("cell", "band", "key").agg(F.min("settled").alias("low"), F.max("settled").alias("high")).filter("low <> high").select("cell", "band", "key")
+    keys = ws.keep(keys.join(mixed, ["cell", "band", "key"], "left_semi"), "mixed")
+    x, y = (keys.select("cell", "band", "key", F.col("node").alias(n), F.col("settled").alias(f"{n}_class")) for n in "ab")
+    more = x.join(y, ["cell", "band", "key"]).filter("a < b and a_class <> b_class").select("a", "b").distinct()
+    more = _verified(more, one, similarity)
+    ends = [named.select(F.col("node").alias(c), F.col("settled").alias(f"{c}_class")) for c in ("src", "dst")]
+    joined = more.join(ends[0], "src").join(ends[1], "dst").select(F.col("src_class").alias("src"), F.col("dst_class").alias("dst")).distinct()
+    joined = ws.keep(joined, "joined")
+    if joined.isEmpty():
+        return settled
+    classes = connected_components(joined).select(F.col("node").alias("settled"), "component")
+    return named.join(classes, "settled", "left").select("node", F.coalesce("component", "settled").alias("component"))
+
+
 #: Rows of keys that are sent to every worker, 16 bytes each; where there are more, both sides meet in a shuffle.
 FEW = 1_000_000
 
@@ -322,8 +374,8 @@ def _few(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= FEW else df
 
 
-def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, functions: int = 3, most: int = 4) -> DataFrame:
-    """h, k (keys of a row's id and text), doc_id, rows (of these keys), component and stays: whether it is the smallest id of its component. Components are of verified links between candidates; a text is verified against the first one of its own fingerprint and of those that link with it."""
+def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, functions: int = 3, most: int = 4, bands: int = 20, band_rows: int = 4) -> DataFrame:
+    """h, k (keys of a row's id and text), doc_id, rows (of these keys), component and stays: whether it is the smallest id of its component. Components are of verified links between candidates. Texts with equal shingles are linked by their digest; a text is verified against the first one of its own fingerprint and of those that link with it; where that leaves texts apart whose fingerprints reach each other, those that share a band of min-hashes are verified as well. Two texts at the similarity share none of the ``bands`` with a probability of (1 - similarity ** band_rows) ** bands, 3 in 100,000; unlike classes that do share one cost a pair each."""
     ws = Workspace(docs.sparkSession, "similar")
     h, k = _row_keys(id_col, text_col)
     made = docs.select(h, k, F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text")).mapInArrow(_word_fingerprints(functions), "h long, k long, doc_id long, fps array<long>")
@@ -342,9 +394,15 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     pairs = ws.keep(pairs.distinct(), "pairs")
     asked = ws.keep(nodes.join(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node", "left_semi").select("h", "k", "node"), "asked")
     rows = docs.select(h, k, F.col(f"`{text_col}`").alias("text")).join(_few(asked, asked.count()), ["h", "k"]).select("node", "text")
-    sets = ws.keep(rows.mapInArrow(_shingle_sets(shingle), "node long, set binary").dropDuplicates(["node"]), "sets")
-    met = pairs.join(sets.select(F.col("node").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("set").alias("y")), "b").select("a", "b", "x", "y")
-    parts = connected_components(ws.keep(met.mapInArrow(_alike(similarity), "src long, dst long"), "links"))
+    sets = rows.mapInArrow(_shingle_sets(shingle), "node long, set binary").dropDuplicates(["node"])
+    sets = ws.keep(sets.withColumn("digest", F.sha2("set", 256)), "sets")
+    leaders = sets.groupBy("digest").agg(F.min("node").alias("leader"))
+    sets = ws.keep(sets.join(leaders, "digest").select("node", "leader", "set"), "led")
+    same = sets.filter("node <> leader").select(F.col("leader").alias("src"), F.col("node").alias("dst"))
+    led = [sets.select(F.col("node").alias(c), F.col("leader").alias(f"{c}_leader")) for c in "ab"]
+    classes = ws.keep(pairs.join(led[0], "a").join(led[1], "b").select(F.least("a_leader", "b_leader").alias("a"), F.greatest("a_leader", "b_leader").alias("b")).distinct(), "classes")
+    links = ws.keep(same.unionByName(_verified(classes.filter("a <> b"), sets, similarity)), "links")
+    parts = ws.keep(_settled(ws, sets, pairs, links, similarity, bands, band_rows), "parts")
     ws.drop(sets, pairs)
     named = nodes.drop("fps").join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = named.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "node")).alias("least"))
