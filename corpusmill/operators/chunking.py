@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corpusmill.functions.text import strip, strip_lines, words
+from corpusmill.workspace import Workspace
 
 DEFAULTS = {
     "document": {},
@@ -228,6 +229,10 @@ def raptor(df: DataFrame, id_col: str, text: str, size: int = 1000, min_size: in
     return rows.filter(F.length("content") >= min_size)
 
 
+#: Fixed value: what lies between the contents of a parent's children.
+SEPARATOR = "\n\n---\n\n"
+
+
 def raptor_parents(chunks: DataFrame, id_col: str, cluster_size: int = 5, cut: int = 8000, summarise: Callable[[Column], Column] = lambda c: F.substring(c, 1, 500), vec_col: str | None = None) -> DataFrame:
     """One level up: clusters of a document's chunks become parents, named by the hash of their children's hashes. Without vectors every ``cluster_size`` chunks are one; with them, documents of more chunks than that are clustered by k-means, clusters numbered as they first occur."""
     part = F.floor(F.col("chunk_index") / cluster_size).cast("int")
@@ -238,49 +243,101 @@ def raptor_parents(chunks: DataFrame, id_col: str, cluster_size: int = 5, cut: i
         first = first.select(id_col, "cluster", (F.row_number().over(whole.orderBy("first")) - 1).alias("nth"), (F.sum("rows").over(whole) > cluster_size).alias("many"))
         chunks = chunks.join(found.join(first, [id_col, "cluster"]).select(id_col, "chunk_index", "nth", "many"), [id_col, "chunk_index"])
         part = F.when(F.col("many"), F.col("nth")).otherwise(part)
-    grouped = chunks.groupBy(id_col, part.alias("parent_index")).agg(F.array_sort(F.collect_list(F.struct("chunk_index", "content"))).alias("c"), F.max("tree_level").alias("level"))
-    contents = F.transform("c", lambda x: x["content"])
-    return grouped.select(id_col, F.col("parent_index").alias("chunk_index"), (F.col("level") + 1).alias("tree_level"), F.md5(F.array_join(F.transform(contents, F.md5), "|")).alias("parent_id"), F.size("c").alias("children"), summarise(F.substring(F.array_join(contents, "\n\n---\n\n"), 1, cut)).alias("content"))
+    # Of a parent's children all hashes are gathered, but only those contents that begin before the cut.
+    chunks = chunks.withColumn("parent_index", part)
+    start = F.sum(F.length("content") + F.lit(len(SEPARATOR))).over(Window.partitionBy(id_col, "parent_index").orderBy("chunk_index").rowsBetween(Window.unboundedPreceding, -1))
+    chunks = chunks.withColumn("shown", F.when(F.coalesce(start, F.lit(0)) < cut, F.col("content")))
+    grouped = chunks.groupBy(id_col, "parent_index").agg(F.array_sort(F.collect_list(F.struct("chunk_index", F.md5("content").alias("hash"), "shown"))).alias("c"), F.max("tree_level").alias("level"))
+    shown = F.array_join(F.filter(F.col("c.shown"), lambda x: x.isNotNull()), SEPARATOR)
+    return grouped.select(id_col, F.col("parent_index").alias("chunk_index"), (F.col("level") + 1).alias("tree_level"), F.md5(F.array_join(F.col("c.hash"), "|")).alias("parent_id"), F.size("c").alias("children"), summarise(F.substring(shown, 1, cut)).alias("content"))
 
 
 def raptor_tree(leaves: DataFrame, id_col: str, levels: int = 3, embed: Callable[[DataFrame], DataFrame] | None = None, **options) -> DataFrame:
     """Leaves and up to ``levels`` levels of parents; a document stops where one chunk is left. ``embed`` adds the column ``vec`` to a level, by which it is clustered."""
+    ws = Workspace(leaves.sparkSession, "tree")
     out = level = leaves.select(id_col, "chunk_index", "tree_level", F.lit(None).cast("string").alias("parent_id"), F.lit(0).alias("children"), "content")
     for _ in range(levels):
         many = Window.partitionBy(id_col)
         below = level.withColumn("n", F.count("*").over(many)).filter("n > 1")
-        level = raptor_parents(embed(below), id_col, vec_col="vec", **options) if embed else raptor_parents(below, id_col, **options)
+        level = raptor_parents(ws.keep(embed(below), "below"), id_col, vec_col="vec", **options) if embed else raptor_parents(below, id_col, **options)
+        level = ws.keep(level, "level")
         out = out.unionByName(level)
     return out
 
 
-def kmeans_clusters(vectors: np.ndarray, k: int, rounds: int = 20) -> np.ndarray:
-    """Cluster of each row, from the first k rows; ties go to the lowest cluster, an empty one keeps its centre."""
-    n = len(vectors)
-    if k >= n:
-        return np.arange(n)
-    centres, own = vectors[:k].astype("f8"), np.full(n, -1)
+def ranked_chunks(chunks: DataFrame, id_col: str, run: int = 1024) -> DataFrame:
+    """With the columns rank (from 0, by chunk_index) and n (chunks of the document), from counts of runs, so that no task sorts a whole document."""
+    chunks = chunks.withColumn("__run", F.floor(F.col("chunk_index") / run))
+    counts = chunks.groupBy(id_col, "__run").agg(F.count("*").alias("__rows"))
+    whole = Window.partitionBy(id_col)
+    before = F.sum("__rows").over(whole.orderBy("__run").rowsBetween(Window.unboundedPreceding, -1))
+    counts = counts.select(id_col, "__run", F.coalesce(before, F.lit(0)).alias("__before"), F.sum("__rows").over(whole).alias("n"))
+    nth = F.row_number().over(Window.partitionBy(id_col, "__run").orderBy("chunk_index")) - 1
+    return chunks.join(counts, [id_col, "__run"]).withColumn("rank", nth + F.col("__before")).drop("__run", "__before")
+
+
+def _nearest_centres(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        keys, ranks, clusters, distances = [], [], [], []
+        for i, (rank, x, cluster, c) in enumerate(zip(*(batch.column(j) for j in range(1, 5)))):
+            rank, x, cluster, c = (v.values.to_numpy(zero_copy_only=False) for v in (rank, x, cluster, c))
+            x, c = x.reshape(len(rank), -1), c.reshape(len(cluster), -1)
+            for r, v in zip(rank, x):
+                d = ((v - c) ** 2).sum(1)
+                at = d.argmin()
+                keys.append(i), ranks.append(r), clusters.append(cluster[at]), distances.append(d[at])
+        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(keys, pa.int64())), pa.array(ranks, pa.int64()), pa.array(clusters, pa.int64()), pa.array(distances, pa.float64())], names=[batch.schema.names[0], "rank", "cluster", "d"])
+
+
+def _assigned(points: DataFrame, centres: DataFrame, id_col: str, block: int) -> DataFrame:
+    """id, rank, cluster: the nearest centre of each point, ties to the lowest. Blocks of points meet blocks of centres; a document of many points is dealt over salts of eight blocks."""
+    p = points.groupBy(id_col, F.floor(F.col("rank") / block).alias("b")).agg(F.array_sort(F.collect_list(F.struct("rank", "x"))).alias("p"))
+    p = p.select(id_col, F.floor(F.col("b") / 8).alias("salt"), F.col("p.rank").alias("ranks"), F.flatten("p.x").alias("xs"))
+    c = centres.groupBy(id_col, F.floor(F.col("cluster") / block).alias("b"), "n").agg(F.array_sort(F.collect_list(F.struct("cluster", "x"))).alias("c"))
+    c = c.select(id_col, F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / (8 * block)))).alias("salt"), F.col("c.cluster").alias("clusters"), F.flatten("c.x").alias("cs"))
+    schema = T.StructType([points.schema[id_col], T.StructField("rank", T.LongType()), T.StructField("cluster", T.LongType()), T.StructField("d", T.DoubleType())])
+    near = p.join(c, [id_col, "salt"]).select(id_col, "ranks", "xs", "clusters", "cs").mapInArrow(_nearest_centres, schema)
+    return near.groupBy(id_col, "rank").agg(F.min(F.struct("d", "cluster")).alias("near")).select(id_col, "rank", F.col("near.cluster").alias("cluster"))
+
+
+def _means(points: DataFrame, id_col: str, block: int) -> DataFrame:
+    """id, cluster, mean: sums of at most ``block`` points, then of those sums, in order of rank, so that reruns agree."""
+
+    def total(c: str) -> Column:
+        vectors = F.transform(F.array_sort(c), lambda v: v["x"])
+        return F.aggregate(F.slice(vectors, 2, F.size(vectors)), vectors[0], lambda s, v: F.zip_with(s, v, lambda a, b: a + b))
+
+    some = points.groupBy(id_col, "cluster", F.floor(F.col("rank") / block).alias("b")).agg(F.collect_list(F.struct("rank", "x")).alias("v"))
+    some = some.select(id_col, "cluster", F.struct(F.col("b").alias("rank"), total("v").alias("x")).alias("s"), F.size("v").alias("rows"))
+    every = some.groupBy(id_col, "cluster").agg(F.collect_list("s").alias("v"), F.sum("rows").alias("rows"))
+    return every.select(id_col, "cluster", F.transform(total("v"), lambda a: a / F.col("rows")).alias("mean"))
+
+
+def cluster_chunks(chunks: DataFrame, id_col: str, vec_col: str, cluster_size: int = 5, rounds: int = 20, block: int = 256) -> DataFrame:
+    """id, chunk_index, cluster: k-means of the chunk vectors of every document at once, k a ``cluster_size``-th of its chunks. Centres start as the first k chunks; ties go to the lowest cluster, an empty one keeps its centre. Steps go on for documents whose chunks still move, ``rounds`` at most. Vectors of a document have one length and no nulls."""
+    ws = Workspace(chunks.sparkSession, "clusters")
+    points = ranked_chunks(chunks.select(id_col, "chunk_index", F.col(vec_col).cast("array<double>").alias("x")), id_col)
+    moving = points = ws.keep(points, "points")
+    k = F.greatest(F.lit(1), F.floor(F.col("n") / cluster_size))
+    centres = points.filter(F.col("rank") < k).select(id_col, F.col("rank").cast("long").alias("cluster"), "x", "n")
+    own, settled = None, []
     for _ in range(rounds):
-        new = ((vectors[:, None, :] - centres[None]) ** 2).sum(2).argmin(1)
-        if (new == own).all():
-            break
+        new = ws.keep(_assigned(moving, centres, id_col, block), "assigned")
+        if own is not None:
+            ids = ws.keep(new.join(own.withColumnRenamed("cluster", "was"), [id_col, "rank"]).filter("cluster <> was").select(id_col).distinct(), "moving")
+            settled.append(new.join(ids, id_col, "left_anti"))
+            if ids.isEmpty():
+                break
+            moving, new, centres = (d.join(ids, id_col, "left_semi") for d in (moving, new, centres))
         own = new
-        for c in range(k):
-            if (own == c).any():
-                centres[c] = vectors[own == c].mean(0)
-    return own
-
-
-def cluster_chunks(chunks: DataFrame, id_col: str, vec_col: str, cluster_size: int = 5) -> DataFrame:
-    """k-means of each document's chunk vectors; documents are independent groups of one document's chunks."""
-    schema = T.StructType([chunks.schema[id_col], T.StructField("chunk_index", T.IntegerType()), T.StructField("cluster", T.IntegerType())])
-
-    def run(pdf):
-        pdf = pdf.sort_values("chunk_index")
-        own = kmeans_clusters(np.stack(pdf[vec_col].to_numpy()).astype("f8"), max(1, len(pdf) // cluster_size))
-        return pdf[[id_col, "chunk_index"]].assign(cluster=own.astype("i4"))
-
-    return chunks.select(id_col, F.col("chunk_index").cast("int"), vec_col).groupBy(id_col).applyInPandas(run, schema)
+        means = _means(moving.join(own, [id_col, "rank"]), id_col, block)
+        centres = ws.keep(centres.join(means, [id_col, "cluster"], "left").select(id_col, "cluster", F.coalesce("mean", "x").alias("x"), "n"), "centres")
+    else:
+        settled.append(own)
+    found = settled[0]
+    for more in settled[1:]:
+        found = found.unionByName(more)
+    return points.join(found, [id_col, "rank"]).select(id_col, F.col("chunk_index").cast("int").alias("chunk_index"), F.col("cluster").cast("int").alias("cluster"))
 
 
 STRATEGIES: dict[str, Callable[..., DataFrame]] = {"document": whole_documents, "paragraph": paragraphs, "fixed": fixed_windows, "recursive": recursive, "semantic": semantic, "late": late, "raptor": raptor}

@@ -106,17 +106,34 @@ def induced_edges(edges: DataFrame, nodes: DataFrame, by: str = "seed") -> DataF
 
 
 def shortest_paths(edges: DataFrame, pairs: DataFrame, max_depth: int = 5) -> DataFrame:
-    """pairs: pair, a, b. Node path of fewest steps, ties to the smallest path; empty for a = b, null beyond ``max_depth``. Of the paths to a node at its first level only the smallest is carried on."""
+    """pairs: pair, a, b. Node path of fewest steps, ties to the smallest path; empty for a = b, null beyond ``max_depth``.
+
+    Both ends are searched. In each step every open pair widens the border whose nodes have fewer links; borders that meet end it, as
+    does a border with nothing new. Of the half paths to a node only the smallest is carried, so that where borders meet the smallest
+    whole path is one of the joined halves."""
     ws = Workspace(edges.sparkSession, "paths")
-    links = undirected(edges.select("src", "dst")).distinct()
-    front = ws.keep(pairs.select("pair", "b", F.col("a").alias("node"), F.array("a").alias("path")), "front0")
-    seen, hits = front.select("pair", "node"), front.filter("node = b").select("pair", "path")
+    links = ws.keep(undirected(edges.select("src", "dst")).distinct(), "links")
+    degrees = links.groupBy(F.col("u").alias("node")).agg(F.count("*").alias("degree"))
+    hits = pairs.filter("a = b").select("pair", F.array("a").alias("path"))
+    border = pairs.filter("a <> b").select("pair", F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("a").alias("node")), F.struct(F.lit(1).alias("side"), F.col("b").alias("node")))).alias("e"))
+    border = ws.keep(border.select("pair", "e.side", "e.node", F.array("e.node").alias("path")), "border0")
+    seen = border.select("pair", "side", "node")
     for i in range(1, max_depth + 1):
-        open_ = front.join(hits.select("pair"), "pair", "left_anti")
-        new = open_.join(links, open_["node"] == links["u"]).select("pair", "b", F.col("v").alias("node"), F.concat("path", F.array("v")).alias("path")).join(seen, ["pair", "node"], "left_anti")
-        front = ws.keep(new.groupBy("pair", "b", "node").agg(F.min("path").alias("path")), f"front{i}")
-        seen, hits = seen.unionByName(front.select("pair", "node")), hits.unionByName(front.filter("node = b").select("pair", "path"))
-        if front.isEmpty():
+        cost = border.join(degrees, "node", "left").groupBy("pair", "side").agg(F.coalesce(F.sum("degree"), F.lit(0)).alias("cost"))
+        turn = ws.keep(cost.groupBy("pair").agg(F.min(F.struct("cost", "side"))["side"].alias("turn"), F.count("*").alias("sides")).filter("sides = 2").select("pair", "turn"), f"turn{i}")
+        active = border.join(turn, "pair")
+        step = active.filter("side = turn").join(links, F.col("node") == links["u"])
+        longer = F.when(F.col("side") == 0, F.concat("path", F.array("v"))).otherwise(F.concat(F.array("v"), "path"))
+        new = step.select("pair", "side", F.col("v").alias("node"), longer.alias("path")).join(seen, ["pair", "side", "node"], "left_anti")
+        new = ws.keep(new.groupBy("pair", "side", "node").agg(F.min("path").alias("path")), f"new{i}")
+        still = active.filter("side <> turn").select("pair", "side", "node", "path")
+        met = new.join(still.select("pair", "node", F.col("path").alias("other")), ["pair", "node"])
+        ahead, behind = (F.when(F.col("side") == s, F.col("path")).otherwise(F.col("other")) for s in (0, 1))
+        met = ws.keep(met.groupBy("pair").agg(F.min(F.concat(ahead, F.slice(behind, 2, F.size(behind)))).alias("path")), f"met{i}")
+        hits = hits.unionByName(met)
+        border = ws.keep(still.unionByName(new).join(met.select("pair"), "pair", "left_anti"), f"border{i}")
+        seen = seen.unionByName(new.select("pair", "side", "node"))
+        if border.isEmpty():
             break
     return pairs.select("pair").join(hits, "pair", "left").withColumn("path", F.when(F.size("path") == 1, F.slice("path", 1, 0)).otherwise(F.col("path")))
 

@@ -177,10 +177,20 @@ def highlights(content: Column, query: Column, around: int = 50, most: int = 3)
     return F.slice(F.flatten(F.transform(F.filter(F.split(F.lower(query), r"\s+"), lambda x: x != ""), of)), 1, most)
 
 
-def suggestions(chunks: DataFrame, prefix: str, limit: int, content: str = "content") -> DataFrame:
-    """Words that start with the prefix, any case, in order of first appearance."""
-    found = chunks.select("chunk_id", F.posexplode(F.regexp_extract_all(F.col(content), F.lit(rf"(?i)\b({prefix}\w*)"), F.lit(1))).alias("pos", "word"))
-    return found.groupBy("word").agg(F.min(F.struct("chunk_id", "pos")).alias("first")).orderBy("first").limit(limit).select("word")
+def term_dictionary(chunks: DataFrame, content: str = "content", id_col: str = "chunk_id") -> DataFrame:
+    """word, first: each word as written with the first place (chunk, number in it) it stands at. Counted where the chunks lie, then by word."""
+    found = chunks.select(F.col(id_col).alias("chunk_id"), F.posexplode(F.regexp_extract_all(F.col(content), F.lit(r"([\p{L}\p{N}_]+)"), F.lit(1))).alias("pos", "word"))
+    return found.groupBy("word").agg(F.min(F.struct("chunk_id", "pos")).alias("first"))
+
+
+def suggestions(dictionary: DataFrame, prefixes: DataFrame, limit: int, edge: int = 8) -> DataFrame:
+    """prefixes: prefix. prefix, rank, word: its first ``limit`` words in any case, in order of first appearance. Words meet prefixes on the prefix's first ``edge`` letters; an empty prefix has no words."""
+    low = F.lower("word")
+    keyed = dictionary.select("word", "first", F.explode(F.sequence(F.lit(1), F.least(F.length("word"), F.lit(edge)))).alias("n")).select("word", "first", F.substring(low, F.lit(1), F.col("n")).alias("key"))
+    asked = prefixes.select("prefix").distinct().filter("prefix <> ''").withColumn("key", F.substring(F.lower("prefix"), 1, edge))
+    met = keyed.join(asked, "key").filter(low.startswith(F.lower("prefix")))
+    ranked = met.withColumn("rank", F.row_number().over(Window.partitionBy("prefix").orderBy("first", "word"))).filter(F.col("rank") <= limit)
+    return ranked.select("prefix", "rank", "word")
 
 
 def phrases(chunks: DataFrame, prefix: str, content: str = "content") -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from corpusmill.functions.text import strip_lines, words
 from corpusmill.operators import chunking as C
+from corpusmill.operators.embedding import hashed_terms
 from corpusmill.plans.registry import CHUNKS, Tables, chunks, query
 
 
@@ -89,6 +90,14 @@ def c13_raptor_parents(t):
     return rows.select("doc_id", "chunk_index", F.col("children").cast("long").alias("children"), "parent_id", F.md5("content").alias("summary_md5"))
 
 
+@query()
+def c13_summary_tree(t):
+    """Leaves of every document and three levels over them, by k-means of hashed terms."""
+    leaves = C.raptor(t("documents"), "doc_id", "text", size=100)
+    tree = C.raptor_tree(leaves, "doc_id", embed=lambda level: level.withColumn("vec", hashed_terms(F.col("content"), 16)))
+    return tree.select("doc_id", "tree_level", "chunk_index", "children", "parent_id", F.md5("content").alias("content_md5"))
+
+
 @query(r"""SELECT strategy, count(*) AS chunks, sum(length(content)) AS chars FROM (SELECT 'document' AS strategy, text AS content FROM documents WHERE length(text) > 0 UNION ALL SELECT 'fixed', content FROM chunks) GROUP BY 1""", CHUNKS)
 def c14_dispatch(t):
     one = [C.chunk(t("documents"), s, "doc_id", "text").select(F.lit(s).alias("strategy"), "content") for s in ("document", "fixed")]

@@ -174,9 +174,19 @@ def g5_highlights(t):
     return rows.filter(F.size("h") > 0).select("chunk_id", F.array_join("h", "|").alias("highlights"))
 
 
-@query()
+WORDS = r"""words AS (SELECT word, min((chunk_id, pos)) AS first FROM (SELECT chunk_id, unnest(w) AS word, unnest(range(0, len(w))) AS pos FROM (SELECT chunk_id, regexp_extract_all(content, '[\p{L}\p{N}_]+') AS w FROM chunks)) GROUP BY 1)"""
+
+
+@query("SELECT word FROM words WHERE starts_with(lower(word), 'wh') ORDER BY first LIMIT 10", CHUNKS, WORDS)
 def g6_suggestions(t):
-    return R.suggestions(chunks(t), "wh", 10)
+    return R.suggestions(R.term_dictionary(chunks(t)), t.spark.createDataFrame([("wh",)], "prefix string"), 10).select("word")
+
+
+@query("SELECT prefix, rank, word FROM (SELECT prefix, row_number() OVER (PARTITION BY prefix ORDER BY first, word) AS rank, word FROM (SELECT DISTINCT substr(regexp_extract(text, '[\\p{L}\\p{N}_]+'), 1, 3) AS prefix FROM benchmark) JOIN words ON prefix <> '' AND starts_with(lower(word), lower(prefix))) WHERE rank <= 10", CHUNKS, WORDS)
+def g6_prefixes(t):
+    """The first three letters of every benchmark text, completed from all chunks in one job."""
+    prefixes = t("benchmark").select(F.substring(F.regexp_extract("text", r"([\p{L}\p{N}_]+)", 1), 1, 3).alias("prefix"))
+    return R.suggestions(R.term_dictionary(chunks(t)), prefixes, 10)
 
 
 @query("SELECT item_id AS chunk_id, regexp_extract(' ' || text, '(?i)\\s(th\\S*(\\s+\\S+){0,2})', 1) AS phrase FROM benchmark WHERE regexp_extract(' ' || text, '(?i)\\s(th\\S*(\\s+\\S+){0,2})', 1) <> ''")
