@@ -29,7 +29,7 @@ def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents found alike, with a similarity of 0.8 or more in five-word shingles, one stays; README says how surely they are found."""
+    """Of documents found alike, with a similarity of 0.8 or more in five-word shingles, the smallest id of each group stays; candidates come from fingerprints and bands of min-hashes, and README says how surely they are found."""
     return golay_simhash.drop_similar(docs)
 
 
