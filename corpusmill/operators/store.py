@@ -14,6 +14,11 @@ SEGMENT = "store_scope string, store_bucket int, store_epoch long, n long"
 BLOCK_KEYS, PROBES = 3000, 4
 
 
+def buckets_for(rows: int, each: int = 1_000_000, least: int = 4) -> int:
+    """Buckets of about ``each`` rows."""
+    return max(least, -(-rows // each))
+
+
 def _bit(bits: Column, at: Column) -> Column:
     return F.getbit(F.conv(F.hex(F.substring(bits, (at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int"), at % 8) == 1
 

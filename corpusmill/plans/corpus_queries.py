@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from corpusmill.operators import corpus as C
+from corpusmill.operators.store import KeyedStore, buckets_for
 from corpusmill.plans.registry import CHUNKS, FILES, JOBS, chunks, files, jobs, query
+from corpusmill.workspace import Workspace
 
 KIND = "CASE WHEN ext IN ('txt','md','rst','log') THEN 'text' WHEN ext IN ('csv','xls','xlsx') THEN 'excel' WHEN ext = 'pdf' THEN 'pdf' WHEN ext = 'html' THEN 'html' END"
 EXT = "files2 AS (SELECT *, regexp_extract(path, '\\.([a-z]+)$', 1) AS ext FROM files)"
@@ -65,6 +67,36 @@ def a12_store_insert(t):
     return C.insert_new(some, d.unionByName(d.filter("doc_id % 2 = 0")), "doc_id")
 
 
+def _chunk_store(t):
+    """Chunks by document and index in the scope of their configuration: two thirds of the documents come first, then all, then one configuration anew with every other chunk."""
+    rows = chunks(t).join(files(t).select("doc_id", "config_id"), "doc_id").select("config_id", "doc_id", "chunk_index", F.md5("content").alias("content_md5"), F.lit(0).alias("loaded"))
+    store = KeyedStore(t.spark, Workspace(t.spark, "chunk-store").path("store"), ["doc_id", "chunk_index"], rows.schema, part="config_id", buckets=buckets_for(t("documents").count()))
+    store.insert(rows.filter("doc_id % 3 <> 0"), 0)
+    store.insert(rows.withColumn("loaded", F.lit(1)), 1)
+    store.refresh("cfg1", rows.filter("config_id = 'cfg1' and chunk_index % 2 = 0").withColumn("loaded", F.lit(2)), 2)
+    # Again, as after a failure of the caller: nothing is done twice.
+    store.insert(rows.withColumn("loaded", F.lit(9)), 1)
+    return store, rows
+
+
+STORED = "stored AS (SELECT config_id, doc_id, chunk_index, md5(content) AS content_md5, CASE WHEN config_id = 'cfg1' THEN 2 WHEN doc_id % 3 <> 0 THEN 0 ELSE 1 END AS loaded FROM chunks JOIN (SELECT doc_id, config_id FROM files) USING (doc_id) WHERE config_id <> 'cfg1' OR chunk_index % 2 = 0)"
+
+
+@query("SELECT * FROM stored", CHUNKS, FILES, STORED)
+def a12_chunk_store(t):
+    return _chunk_store(t)[0].read()
+
+
+@query("SELECT * REPLACE (CASE WHEN doc_id % 100 = 0 THEN 3 ELSE loaded END AS loaded) FROM stored WHERE doc_id % 100 <> 50", CHUNKS, FILES, STORED)
+def a13_store_merge_delete(t):
+    """The same store after the chunks of some documents are merged and those of others deleted."""
+    store, rows = _chunk_store(t)
+    held = store.read()
+    store.merge(held.filter("doc_id % 100 = 0").withColumn("loaded", F.lit(3)), 3)
+    store.delete(rows.filter("doc_id % 100 = 50"), 4)
+    return store.read()
+
+
 @query("SELECT job_id, config_id, status, total FROM (SELECT *, (SELECT count(*) FROM jobs WHERE config_id = 'cfg3') AS total FROM jobs WHERE config_id = 'cfg3' ORDER BY created_at DESC, job_id LIMIT 20 OFFSET 40)", JOBS)
 def b1_page(t):
     mine = jobs(t).filter("config_id = 'cfg3'")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from corpusmill.operators.chunking import fixed_windows
+from corpusmill.operators.store import buckets_for
 from corpusmill.plans.registry import Tables, query
 from corpusmill.plans.operations_queries import REFS, SUMMARY, VERDICTS, _summary as summary, runs, verdicts
 from corpusmill.sources import files as S
@@ -114,10 +115,25 @@ def n4_stream_ingest(t):
     ws = Workspace(t.spark, "ingest")
     stored = ws.path("chunks")
     docs = _stream(t, "documents").select("doc_id", "text", F.md5("text").alias("content_hash"))
-    N.ingest_stream(docs, lambda b: fixed_windows(b, "doc_id", "text", min_size=0).select("content_hash", "chunk_index", "content"), stored, ws.path("checkpoint"))
+    N.ingest_stream(docs, lambda b: fixed_windows(b, "doc_id", "text", min_size=0).select("content_hash", "chunk_index", "content"), stored, ws.path("checkpoint"), buckets=buckets_for(t("documents").count()))
     return t.spark.read.parquet(stored).groupBy("content_hash").agg(F.count("*").alias("chunks"))
 
 
+@query("SELECT content_hash, chunks, files FROM (SELECT md5(text) AS content_hash, any_value(length(text)) AS n, count(*) AS files FROM documents GROUP BY 1), LATERAL (SELECT len(list_filter(range(0, n, 900), lambda s: true)) AS chunks)")
+def n4_ingest_in_batches(t):
+    """The documents, and all of them once more, as a stream of files in five micro-batches: a text is cut once, whichever batch brings it first. files: how many of the table's documents have it."""
+    ws = Workspace(t.spark, "batches")
+    stored, arriving = ws.path("chunks"), ws.path("files")
+    n = max(5, shuffle_partitions(t.spark))
+    docs = t("documents").select("doc_id", "text", F.md5("text").alias("content_hash"))
+    twice = docs.withColumn("turn", F.lit(0)).unionByName(docs.withColumn("turn", F.lit(1)))
+    twice.repartition(n, F.xxhash64("doc_id", "turn")).drop("turn").write.parquet(arriving)
+    stream = t.spark.readStream.schema(docs.schema).option("maxFilesPerTrigger", -(-n // 5)).parquet(arriving)
+    N.ingest_stream(stream, lambda b: fixed_windows(b, "doc_id", "text", min_size=0).select("content_hash", "chunk_index", "content"), stored, ws.path("checkpoint"), buckets=buckets_for(t("documents").count()))
+    chunks = t.spark.read.parquet(stored).groupBy("content_hash").agg(F.count("*").alias("chunks"))
+    return docs.groupBy("content_hash").agg(F.count("*").alias("files")).join(chunks, "content_hash", "left")
+
+
 @query("SELECT DISTINCT md5(text) AS content_hash, length(text) AS chars FROM documents")
 def n5_stream_dedup(t):
     docs = _stream(t, "documents").select(F.md5("text").alias("content_hash"), F.length("text").alias("chars"), F.timestamp_seconds(F.col("doc_id") + 86400).alias("ts"))

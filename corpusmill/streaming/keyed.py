@@ -14,8 +14,12 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
+from corpusmill.operators.store import KeyedStore
+from corpusmill.workspace import Workspace
+
 OUT = "key string, event_id long, ts timestamp, verdict string"
 
 
@@ -205,21 +209,21 @@ def run_to_end(stream: DataFrame, path: str, checkpoint: str, mode: str = "appen
     stream.writeStream.format("parquet").outputMode(mode).option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
-def ingest_stream(files: DataFrame, chunk: Callable[[DataFrame], DataFrame], stored_path: str, checkpoint: str, key: str = "content_hash") -> None:
-    """Each micro-batch of files, less those whose key an earlier one has stored, goes through ``chunk``. Rows and keys of a batch are written as its own epoch, the keys to a table beside the rows, so that a batch that runs again replaces what it had written and no batch reads the stored rows."""
-    keys_path = stored_path.rstrip("/") + "-keys"
+def ingest_stream(files: DataFrame, chunk: Callable[[DataFrame], DataFrame], stored_path: str, checkpoint: str, key: str = "content_hash", buckets: int = 64) -> None:
+    """Each micro-batch of files, less those whose key an earlier one has stored, goes through ``chunk``. Rows of a batch are written as its own epoch; its keys go to a keyed store beside the rows, which looks into the filters of their buckets only. A batch that runs again before its keys were complete replaces what it had written; after that it does nothing."""
+    schema = T.StructType([files.schema[key]])
 
     def each(batch: DataFrame, epoch: int) -> None:
         spark = batch.sparkSession
-        fresh = batch.dropDuplicates([key])
-        if epoch:
-            try:
-                known = spark.read.parquet(keys_path).filter(F.col("epoch") < epoch)
-                fresh = fresh.join(known.select(key), key, "left_anti")
-            except Exception as e:
-                if "PATH_NOT_FOUND" not in str(e):
-                    raise
+        ws = Workspace(spark, "ingest")
+        keys = KeyedStore(spark, stored_path.rstrip("/") + "-keys", [key], schema, buckets=buckets)
+        if epoch in keys.epochs():
+            return
+        once = ws.keep(batch.dropDuplicates([key]), "batch")
+        new = ws.keep(keys.unseen(once.select(key)), "new")
+        fresh = once.join(new, once[key].eqNullSafe(new[key]), "left_semi")
         chunk(fresh).write.mode("overwrite").parquet(f"{stored_path}/epoch={epoch}")
-        fresh.select(key).write.mode("overwrite").parquet(f"{keys_path}/epoch={epoch}")
+        keys.insert(new, epoch)
+        ws.drop(once, new)
 
     files.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
