@@ -306,12 +306,14 @@ def ann_top_k(chunks: DataFrame, queries: DataFrame, k: int, recall: float = 0.9
     near = np.argsort(-(q @ x.T), axis=1)[:, : k + 1]
     needed = np.sort(place[np.arange(len(q))[:, None], own[near]].ravel())
     probe = int(needed[min(len(needed) - 1, int(np.ceil(recall * len(needed))))]) + 1
+    # At most 2 * sample rows, sent to each executor once.
+    sent = spark.sparkContext.broadcast(centre)
 
     def cell(count: int):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 if len(b):
-                    near = np.argsort(-(unit(np.stack(b.column(1).to_numpy(zero_copy_only=False)).astype("f8")) @ centre.T), axis=1)[:, :count]
+                    near = np.argsort(-(unit(np.stack(b.column(1).to_numpy(zero_copy_only=False)).astype("f8")) @ sent.value.T), axis=1)[:, :count]
                     at = pa.array(np.repeat(np.arange(len(b)), near.shape[1]))
                     yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), pa.array(near.ravel().astype("i4"))], names=[*b.schema.names, "cell"])
 

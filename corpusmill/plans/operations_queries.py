@@ -295,15 +295,15 @@ def l13_pii_scan(t):
 # Contexts and conversations -----------------------------------------------------------------------------------------
 
 
-@query("SELECT q.query_id, coalesce(CASE WHEN length(c) > 4000 THEN substr(c, 1, 4000) || '...' ELSE c END, 'No relevant context found.') AS context FROM (SELECT doc_id AS query_id FROM documents) q LEFT JOIN (SELECT doc_id + 3 AS query_id, string_agg('[' || r || '] ' || content || chr(10) || chr(10) || '    Source: ' || folder, chr(10) || chr(10) ORDER BY r) AS c FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY chunk_index) AS r FROM chunks) WHERE r <= 8 GROUP BY 1) USING (query_id)", CHUNKS)
+@query("SELECT q.query_id, coalesce(CASE WHEN length(c) > 4000 THEN substr(c, 1, 4000) || '...' ELSE c END, 'No relevant context found.') AS context FROM (SELECT doc_id AS query_id FROM documents) q LEFT JOIN (SELECT doc_id + 3 AS query_id, string_agg('[' || r || '] ' || content || chr(10) || chr(10) || '    Source: ' || folder, chr(10) || chr(10) ORDER BY r) AS c FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY chunk_index) AS r FROM chunks) GROUP BY 1) USING (query_id)", CHUNKS)
 def m1_contexts(t):
-    r = chunks(t).select((F.col("doc_id") + 3).alias("query_id"), (F.col("chunk_index") + 1).alias("rank"), "content", F.col("folder").alias("source"), F.lit(0.5).alias("score")).filter("rank <= 8")
+    r = chunks(t).select((F.col("doc_id") + 3).alias("query_id"), (F.col("chunk_index") + 1).alias("rank"), "content", F.col("folder").alias("source"), F.lit(0.5).alias("score"))
     return X.contexts(r, t("documents").select(F.col("doc_id").alias("query_id")))
 
 
-@query("SELECT doc_id AS query_id, style, CASE WHEN length(c) > 300 THEN substr(c, 1, 300) || '...' ELSE c END AS context FROM (SELECT doc_id, 'bullet' AS style, string_agg('• ' || content, chr(10) || chr(10) ORDER BY r) AS c FROM first3 GROUP BY 1 UNION ALL SELECT doc_id, 'plain', string_agg(content, chr(10) || chr(10) ORDER BY r) FROM first3 GROUP BY 1 UNION ALL SELECT doc_id, 'xml', string_agg('<source id=\"' || r || '\" score=\"0.500\">' || chr(10) || content || chr(10) || '</source>', chr(10) || chr(10) ORDER BY r) FROM first3 GROUP BY 1)", CHUNKS, "first3 AS (SELECT doc_id, content, row_number() OVER (PARTITION BY doc_id ORDER BY start_char) AS r FROM chunks QUALIFY r <= 3)")
+@query("SELECT doc_id AS query_id, style, CASE WHEN length(c) > 300 THEN substr(c, 1, 300) || '...' ELSE c END AS context FROM (SELECT doc_id, 'bullet' AS style, string_agg('• ' || content, chr(10) || chr(10) ORDER BY r) AS c FROM ranked GROUP BY 1 UNION ALL SELECT doc_id, 'plain', string_agg(content, chr(10) || chr(10) ORDER BY r) FROM ranked GROUP BY 1 UNION ALL SELECT doc_id, 'xml', string_agg('<source id=\"' || r || '\" score=\"0.500\">' || chr(10) || content || chr(10) || '</source>', chr(10) || chr(10) ORDER BY r) FROM ranked GROUP BY 1)", CHUNKS, "ranked AS (SELECT doc_id, content, row_number() OVER (PARTITION BY doc_id ORDER BY start_char) AS r FROM chunks)")
 def m1_context_styles(t):
-    r = chunks(t).filter("chunk_index < 3").select(F.col("doc_id").alias("query_id"), (F.col("chunk_index") + 1).alias("rank"), "content", F.lit(None).cast("string").alias("source"), F.lit(0.5).alias("score"))
+    r = chunks(t).select(F.col("doc_id").alias("query_id"), (F.col("chunk_index") + 1).alias("rank"), "content", F.lit(None).cast("string").alias("source"), F.lit(0.5).alias("score"))
     one = [X.contexts(r, r.select("query_id").distinct(), style, 300).select("query_id", F.lit(style).alias("style"), "context") for style in ("bullet", "plain", "xml")]
     return one[0].unionByName(one[1]).unionByName(one[2])
 

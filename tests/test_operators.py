@@ -1,6 +1,7 @@
 """Small facts about operators that have no SQL form."""
 
 import datetime as dt
+import os
 
 import numpy as np
 import pytest
@@ -432,3 +433,22 @@ def test_hashed_terms_are_unit(spark):
 
     v = spark.createDataFrame([("alpha beta",), ("",)], "t string").select(hashed_terms(F.col("t"), 16).alias("v")).collect()
     assert abs(sum(x * x for x in v[0]["v"]) - 1) < 1e-9 and set(v[1]["v"]) == {0.0}
+
+
+def test_file_metadata_equal_what_the_system_says(spark, tmp_path):
+    from corpusmill.sources.files import file_metadata, scan_folders
+
+    sizes = {"a.TXT": 0, "deep/b.tar.md": 1023, "deep/er/c.md": 1024, "d e.pdf": 5 * 1024 * 1024 // 2}
+    for name, size in sizes.items():
+        path = tmp_path / name
+        path.parent.mkdir(parents=True, exist_ok=True)
+        path.write_bytes(b"x" * size)
+    got = {r["file_name"]: r for r in file_metadata(scan_folders(spark, [(str(tmp_path), True)])).collect()}
+    assert len(got) == len(sizes)
+    for name in sizes:
+        path = tmp_path / name
+        r = got[path.name]
+        assert r["file_size_bytes"] == os.stat(path).st_size
+        assert r["file_type"] == path.suffix.lower()
+        assert r["folder"].endswith(str(path.parent)) and r["path"].endswith(str(path))
+        assert r["file_size"] == {0: "0.00 B", 1023: "1023.00 B", 1024: "1.00 KB", 2621440: "2.50 MB"}[sizes[name]]
