@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import datetime as dt
+from urllib.parse import unquote
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -10,11 +13,25 @@ from corpusmill.functions.text import human_size
 from corpusmill.operators.corpus import processor_type
 
 
+def _empty_files(spark: SparkSession, read: DataFrame) -> DataFrame:
+    """Files of length 0, which a scan leaves out though its index lists them: the index, less what the scan gives."""
+    local = F.regexp_replace("path", "^file:/+", "file:/")
+    listed = spark.createDataFrame([(unquote(p),) for p in read.inputFiles()], "path string").select(local.alias("path"))
+    Path = spark._jvm.org.apache.hadoop.fs.Path
+    rows = []
+    for (path,) in listed.join(read.select(local.alias("path")), "path", "left_anti").collect():
+        where = Path(path)
+        status = where.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(where)
+        rows.append((path, dt.datetime.fromtimestamp(status.getModificationTime() / 1000), int(status.getLen()), b""))
+    return spark.createDataFrame(rows, "path string, modificationTime timestamp, length long, content binary")
+
+
 def scan_folders(spark: SparkSession, folders: list[tuple[str, bool]], exclude: tuple[str, ...] = (), content: bool = False) -> DataFrame:
-    """Supported files of several (folder, recursive) pairs: path, modificationTime, length and, if asked, content. Paths with an excluded substring are left out."""
+    """Supported files of several (folder, recursive) pairs, empty ones too: path, modificationTime, length and, if asked, content. Paths with an excluded substring are left out."""
     out = None
     for folder, recursive in folders:
-        one = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(folder)
+        read = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(folder)
+        one = read.unionByName(_empty_files(spark, read))
         one = one if content else one.drop("content")
         out = one if out is None else out.unionByName(one)
     out = out.filter(processor_type(F.col("path")).isNotNull())
