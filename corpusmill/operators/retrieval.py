@@ -276,6 +276,7 @@ def relevance(results: DataFrame, queries: DataFrame, needs: float = 0.6) -> Dat
     return rows.withColumns({"grade": grade, "needs_correction": F.col("score") < needs})
 
 
+#: The retriever of each configured method.
 METHODS = {"naive": "vector", "vector": "vector", "keyword": "keyword", "graph": "graph", "hybrid": "hybrid", "advanced": "advanced", "hybrid_graph": "advanced"}
 
 
