@@ -9,9 +9,10 @@ from corpusmill.operators import context as X
 from corpusmill.operators import plugins as P
 from corpusmill.operators import retrieval as R
 from corpusmill.plans.registry import CHUNKS, Tables, chunks, query
-from corpusmill.plans.retrieval_queries import SCORED, bm25_scores, roles, vector_queries, vectors
+from corpusmill.plans.retrieval_queries import SCORED, roles, text_queries, vector_queries, vectors
 from corpusmill.plans.retrieval_queries import TEXT as TEXT_CTES
 from corpusmill.plans.retrieval_queries import ROLES
+from corpusmill.workspace import Workspace
 
 
 @query("SELECT query_id, chunk_id, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM scored) WHERE rank <= 20 AND score >= 0.3", SCORED)
@@ -73,7 +74,10 @@ def o4_custom_chunker(t):
     SELECT query_id, content, folder, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, chunk_id) AS rank FROM bm25 JOIN chunks USING (chunk_id), roles WHERE role = 'user' AND list_contains(folders, folder)) WHERE rank <= 3 GROUP BY 1""", *TEXT_CTES, ROLES)
 def answer_contexts(t):
     """For each benchmark text the chunks that answer it best among those a user may read, as a prompt context."""
-    readable = chunks(t).join(F.broadcast(roles(t).filter("role = 'user'")), A.before_retrieval(F.col("folder"), F.col("folders"))).select("chunk_id", "content", "folder")
-    scored = bm25_scores(t).withColumn("score", F.round("score", 9)).join(readable.select("chunk_id"), "chunk_id", "left_semi")
-    best = R.top_k(scored, 3).join(readable, "chunk_id")
+    user = F.broadcast(roles(t).filter("role = 'user'").select("folders"))
+    every = chunks(t).crossJoin(user)
+    may = A.before_retrieval(F.col("folder"), F.col("folders"))
+    scored = R.bm25(every, R.query_terms(text_queries(t)), readable=may).withColumn("score", F.round("score", 9))
+    top = Workspace(t.spark, "answers").keep(R.top_k(scored, 3), "top")
+    best = top.join(every.select("chunk_id", "content", "folder"), "chunk_id")
     return X.contexts(best.select("query_id", "rank", "content", F.col("folder").alias("source"), "score"), best.select("query_id").distinct(), max_length=1 << 30)

@@ -162,7 +162,7 @@ def g3_fuzzy_terms(t):
 
 @query("SELECT query_id, chunk_id, round(s * 1.5::DOUBLE, 6) AS score FROM (SELECT query_id, chunk_id, score / max(score) OVER (PARTITION BY query_id) AS s FROM bm25) WHERE s >= 0.3", *TEXT)
 def g4_threshold_boost(t):
-    n = R.normalised_by_max(bm25_scores(t)).filter("score >= 0.3")
+    n = R.shares_of_best(bm25_scores(t)).filter("score >= 0.3")
     return n.select("query_id", "chunk_id", F.round(F.col("score") * 1.5, 6).alias("score"))
 
 
