@@ -191,6 +191,10 @@ def raptor_leaves(text: str, size: int) -> list[tuple[str, int, int]]:
     return [(s.strip(), a, b) for s, a, b in located(text, parts)]
 
 
+#: Documents whose pieces a task holds in Python.
+DOCUMENTS_AT_ONCE = 128
+
+
 def per_document(df: DataFrame, id_col: str, text: str, split: Callable[[str], list[tuple]], extra: str = "") -> DataFrame:
     """A row per tuple that ``split`` gives for a document: (content, start_char, end_char, *extra)."""
     id_type = df.schema[id_col].dataType
@@ -198,14 +202,17 @@ def per_document(df: DataFrame, id_col: str, text: str, split: Callable[[str], l
     names = [f.name for f in schema]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids, rows = batch.column(0), []
-            for i, t in enumerate(batch.column(1).to_pylist()):
-                rows += [(i, k, *row) for k, row in enumerate(split(t))] if t else []
-            if rows:
-                at, *columns = zip(*rows)
-                kinds = [pa.int32(), pa.string(), pa.int32(), pa.int32(), pa.int32()]
-                yield pa.RecordBatch.from_arrays([ids.take(pa.array(at)), *(pa.array(c, k) for c, k in zip(columns, kinds))], names=names)
+        for whole in batches:
+            # A few documents at a time, so that not all pieces of a batch are held at once.
+            for first in range(0, len(whole), DOCUMENTS_AT_ONCE):
+                batch = whole.slice(first, DOCUMENTS_AT_ONCE)
+                ids, rows = batch.column(0), []
+                for i, t in enumerate(batch.column(1).to_pylist()):
+                    rows += [(i, k, *row) for k, row in enumerate(split(t))] if t else []
+                if rows:
+                    at, *columns = zip(*rows)
+                    kinds = [pa.int32(), pa.string(), pa.int32(), pa.int32(), pa.int32()]
+                    yield pa.RecordBatch.from_arrays([ids.take(pa.array(at)), *(pa.array(c, k) for c, k in zip(columns, kinds))], names=names)
 
     return df.select(id_col, strip_lines(F.col(text)).alias(text)).mapInArrow(run, schema)
 
