@@ -2,7 +2,8 @@
 
 A level's graph is two tables: weights between different nodes, both ways, and degrees. In a sweep every node learns from one join and two
 aggregations how much weight it has to each community around it and how large these are; half of the nodes, another half each time,
-move to where modularity gains most. When few move, communities become the nodes of the next level. No node's neighbourhood and no
+move to where modularity gains most, and a sweep reads the links of that half only. Nodes are numbers, in the order of their names, so that
+sweeps move and sort no text. When few move, communities become the nodes of the next level. No node's neighbourhood and no
 community's members are gathered: all steps are partial sums, partial maxima and equi-joins, whose skewed keys the engine splits.
 """
 
@@ -15,19 +16,32 @@ from corpusmill.operators.graph import digests, undirected
 from corpusmill.workspace import Workspace
 
 
+#: Halves that are told apart by a bit each; later sweeps take them anew.
+HALVES = 60
+
+
+def _numbered(edges: DataFrame, sweeps: int) -> DataFrame:
+    """name, node, bits: the edges' ends with numbers in the order of their names, and in a bit for each two sweeps the half that a node is in."""
+    names = edges.select(F.col("src").alias("name")).unionByName(edges.select(F.col("dst").alias("name"))).distinct().orderBy("name")
+    bits = F.lit(0).cast("long")
+    for i in range(min(HALVES, (sweeps + 1) // 2)):
+        bits = bits + F.shiftleft(F.pmod(F.xxhash64("name", F.lit(i)), F.lit(2)), i)
+    return names.select("name", F.monotonically_increasing_id().alias("node"), bits.alias("bits"))
+
+
 def _swept(links: DataFrame, state: DataFrame, total: float, resolution: float, turn: int) -> DataFrame:
-    """links: u, v, w. state: node, community, k. The state after one half of the nodes has moved, with ``moved``."""
+    """links: u, v, w, bits (of u). state: node, community, k, bits. The state after one half of the nodes has moved, with ``moved``. Only links of nodes whose turn it is are read."""
+    mine = F.shiftright("bits", turn // 2 % HALVES).bitwiseAND(F.lit(1)) == turn % 2
     sizes = state.groupBy("community").agg(F.sum("k").alias("size"), F.count("*").alias("members"))
     placed = state.join(sizes, "community")
-    around = links.join(placed.select(F.col("node").alias("v"), "community", "size", "members"), "v").groupBy("u", "community").agg(F.sum("w").alias("w"), F.first("size").alias("size"), F.first("members").alias("members"))
-    own = placed.select(F.col("node").alias("u"), F.col("community").alias("now"), "k", F.col("size").alias("now_size"), F.col("members").alias("now_members"))
+    around = links.filter(mine).select("u", "v", "w").join(placed.select(F.col("node").alias("v"), "community", "size", "members"), "v").groupBy("u", "community").agg(F.sum("w").alias("w"), F.first("size").alias("size"), F.first("members").alias("members"))
+    own = placed.filter(mine).select(F.col("node").alias("u"), F.col("community").alias("now"), "k", F.col("size").alias("now_size"), F.col("members").alias("now_members"))
     here = F.col("community") == F.col("now")
     # What a move to the community is worth, less what the node itself adds to its own.
     worth = F.col("w") - resolution * F.col("k") * (F.col("size") - F.when(here, F.col("k")).otherwise(0.0)) / total
     # Of two nodes that stand alone only the one with the larger name moves, so that they don't change places.
     swap = (F.col("now_members") == 1) & (F.col("members") == 1) & (F.col("community") > F.col("now"))
     best = around.join(own, "u").groupBy("u").agg(
-        F.first("now").alias("now"),
         F.first("k").alias("k"),
         F.max(F.when(here, worth)).alias("stay"),
         F.first("now_size").alias("now_size"),
@@ -35,15 +49,18 @@ def _swept(links: DataFrame, state: DataFrame, total: float, resolution: float,
         F.min_by("community", F.when(~here & ~swap, F.struct(-F.round(worth, 9), F.col("community")))).alias("there"),
     )
     stay = F.coalesce("stay", -resolution * F.col("k") * (F.col("now_size") - F.col("k")) / total)
-    moves = (F.pmod(F.xxhash64("u", F.lit(turn // 2)), F.lit(2)) == turn % 2) & (F.col("gain") > stay + 1e-8)
-    return best.select(F.col("u").alias("node"), F.when(F.coalesce(moves, F.lit(False)), F.col("there")).otherwise(F.col("now")).alias("community"), "k", F.coalesce(moves, F.lit(False)).alias("moved"))
+    moves = best.filter(F.col("gain") > stay + 1e-8).select(F.col("u").alias("node"), "there")
+    return state.join(moves, "node", "left").select("node", F.coalesce("there", "community").alias("community"), "k", "bits", F.col("there").isNotNull().alias("moved"))
 
 
-def _quality(links: DataFrame, state: DataFrame, loops: float, total: float, resolution: float) -> float:
+def _contracted(graph: DataFrame, state: DataFrame) -> DataFrame:
+    """u, v, w between communities, both ways, from one direction of the links; a community's inner links are its loop."""
     a, b = (state.select(F.col("node").alias(c), F.col("community").alias(f"c{c}")) for c in "uv")
-    inside = links.join(a, "u").join(b, "v").filter("cu = cv").agg(F.sum("w")).first()[0] or 0.0
-    squares = state.groupBy("community").agg(F.sum("k").alias("k")).agg(F.sum(F.col("k") * F.col("k"))).first()[0] or 0.0
-    return (inside + loops) / total - resolution * squares / (total * total)
+    ends = graph.filter("u <= v").select("u", "v", "w").join(a, "u").join(b, "v")
+    once = ends.groupBy(F.least("cu", "cv").alias("u"), F.greatest("cu", "cv").alias("v")).agg(F.sum(F.col("w") * F.when((F.col("cu") == F.col("cv")) & (F.col("u") != F.col("v")), 2).otherwise(1)).alias("w"))
+    # Each direction of a link between communities is a row.
+    turned = F.when(F.col("u") == F.col("v"), F.array(F.struct("u", "v"))).otherwise(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v"))))
+    return once.select(F.explode(turned).alias("e"), "w").select("e.u", "e.v", "w")
 
 
 def community_levels(edges: DataFrame, resolution: float = 1.0, levels: int = 10, sweeps: int = 12, settled: float = 0.002) -> DataFrame:
@@ -55,17 +72,25 @@ def community_levels(edges: DataFrame, resolution: float = 1.0, levels: int = 10
     """
     ws = Workspace(edges.sparkSession, "communities")
     clean = edges.select("src", "dst", F.col("weight").cast("double").alias("w")).filter("src is not null and dst is not null and w > 0")
-    both = undirected(clean.filter("src <> dst"), "src", "dst").unionByName(clean.filter("src = dst").select(F.col("src").alias("u"), F.col("dst").alias("v"), (F.col("w") * 2).alias("w")))
-    graph = ws.keep(both.groupBy("u", "v").agg(F.sum("w").alias("w")), "graph")
-    degrees = ws.keep(graph.groupBy("u").agg(F.sum("w").alias("k")).withColumnRenamed("u", "node"), "degrees")
+    # Nodes are numbers in the order of their names until a level is told.
+    ids = ws.keep(_numbered(clean, sweeps), "names")
+    ends = [ids.select(F.col("name").alias(c), F.col("node").alias(n)) for c, n in (("src", "a"), ("dst", "b"))]
+    clean = clean.join(ends[0], "src").join(ends[1], "dst").select("a", "b", "w")
+    both = undirected(clean.filter("a <> b"), "a", "b").unionByName(clean.filter("a = b").select(F.col("a").alias("u"), F.col("b").alias("v"), (F.col("w") * 2).alias("w")))
+    graph = both.groupBy("u", "v").agg(F.sum("w").alias("w"))
+    named = lambda rows: rows.join(ids.select("node", F.col("name").alias("__node")), "node").join(ids.select(F.col("node").alias("community"), F.col("name").alias("__community")), "community").select("level", F.col("__node").alias("node"), F.col("__community").alias("community"), "quality")
+    with_bits = lambda rows: rows.join(ids.select(F.col("node").alias("u"), "bits"), "u")
+    graph = ws.keep(with_bits(graph), "graph")
+    degrees = ws.keep(graph.groupBy(F.col("u").alias("node")).agg(F.sum("w").alias("k"), F.first("bits").alias("bits")), "degrees")
     total = degrees.agg(F.sum("k")).first()[0]
-    kind = edges.schema["src"].dataType.simpleString()
     out, best = None, None
     for level in range(1, levels + 1) if total else ():
-        links, loops = graph.filter("u <> v"), graph.filter("u = v").agg(F.sum("w")).first()[0] or 0.0
+        links = graph.filter("u <> v")
         nodes = degrees.count()
-        alone = degrees.join(links.select(F.col("u").alias("node")).distinct(), "node", "left_anti").select("node", F.col("node").alias("community"), "k")
-        state = ws.keep(degrees.join(alone.select("node"), "node", "left_anti").select("node", F.col("node").alias("community"), "k"), "state")
+        start = degrees.select("node", F.col("node").alias("community"), "k", "bits")
+        linked = links.select(F.col("u").alias("node")).distinct()
+        alone = start.join(linked, "node", "left_anti")
+        state = ws.keep(start.join(linked, "node", "left_semi"), "state")
         calm, moved_ever = 0, False
         for i in range(sweeps):
             new = ws.keep(_swept(links, state, total, resolution, i), "state")
@@ -78,18 +103,22 @@ def community_levels(edges: DataFrame, resolution: float = 1.0, levels: int = 10
             if calm == 2:
                 break
         everyone = state.unionByName(alone)
-        quality = _quality(links, everyone, loops, total, resolution)
+        names = everyone.groupBy("community").agg(F.min("node").alias("name"))
+        everyone = ws.keep(everyone.join(names, "community").select("node", F.col("name").alias("community"), "k"), "everyone")
+        above = ws.keep(with_bits(_contracted(graph, everyone)), "graph")
+        sums = ws.keep(everyone.groupBy(F.col("community").alias("u")).agg(F.sum("k").alias("k")), "sums")
+        inside = above.filter("u = v").agg(F.sum("w")).first()[0] or 0.0
+        quality = inside / total - resolution * sums.agg(F.sum(F.col("k") * F.col("k"))).first()[0] / (total * total)
+        told = everyone.select(F.lit(level).alias("level"), "node", "community", F.lit(quality).alias("quality"))
         if not moved_ever or (best is not None and quality <= best + 1e-7):
             if best is None:
-                out = ws.keep(degrees.select(F.lit(level).alias("level"), "node", F.col("node").alias("community"), F.lit(quality).alias("quality")), "level")
+                out = ws.keep(named(told), "level")
             break
         best = quality
-        names = everyone.groupBy("community").agg(F.min("node").alias("name"))
-        named = ws.keep(everyone.join(names, "community").select(F.lit(level).alias("level"), "node", F.col("name").cast(kind).alias("community"), F.lit(quality).alias("quality"), "k"), "level")
-        out = named.drop("k") if out is None else out.unionByName(named.drop("k"))
-        a, b = (named.select(F.col("node").alias(c), F.col("community").alias(f"c{c}")) for c in "uv")
-        graph = ws.keep(graph.join(a, "u").join(b, "v").groupBy(F.col("cu").alias("u"), F.col("cv").alias("v")).agg(F.sum("w").alias("w")), "graph")
-        degrees = ws.keep(named.groupBy("community").agg(F.sum("k").alias("k")).withColumnRenamed("community", "node"), "degrees")
+        told = ws.keep(named(told), "level")
+        out = told if out is None else out.unionByName(told)
+        ws.drop(graph, degrees, state)
+        graph, degrees = above, ws.keep(with_bits(sums).withColumnRenamed("u", "node"), "degrees")
     if out is None:
         out = edges.select(F.lit(1).alias("level"), F.col("src").alias("node"), F.col("src").alias("community"), F.lit(0.0).alias("quality")).limit(0)
     return out

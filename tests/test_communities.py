@@ -137,3 +137,25 @@ def test_registered_levels(spark, sf):
     for level in {r["level"] for r in members}:
         nodes = [r["node"] for r in members if r["level"] == level]
         assert len(nodes) == len(set(nodes)) and {int(x[1:]) for x in nodes if x[0] == "p"} == parts
+
+
+def test_sweeps_move_numbers_and_read_the_links_of_one_half(spark, monkeypatch):
+    seen, swept = [], C._swept
+
+    def spy(links, state, total, resolution, turn):
+        seen.append({c: t for c, t in links.dtypes if c in "uv"} | dict(state.select("node", "community").dtypes))
+        if turn < 2 and links.count():
+            # The two halves of a pair of sweeps have all links between them, none of them both.
+            mine = F.shiftright("bits", 0).bitwiseAND(F.lit(1)) == turn
+            halves.append({(r["u"], r["v"]) for r in links.filter(mine).collect()})
+            every.append({(r["u"], r["v"]) for r in links.collect()})
+        return swept(links, state, total, resolution, turn)
+
+    halves, every = [], []
+    monkeypatch.setattr(C, "_swept", spy)
+    edges = spark.createDataFrame([(f"n{a:03}", f"n{b:03}", 1.0) for a, b in planted(groups=4, across=40)], "src string, dst string, weight double")
+    names = {r[0] for r in edges.select("src").union(edges.select("dst")).collect()}
+    rows = C.community_levels(edges, levels=1).collect()
+    assert seen and all(t == "bigint" for kinds in seen for t in kinds.values())
+    assert halves[0] | halves[1] == every[0] and not halves[0] & halves[1] and halves[0] and halves[1]
+    assert {r["node"] for r in rows} == names and {r["community"] for r in rows} < names
