@@ -20,22 +20,21 @@ def _batched(df: DataFrame, key: str, columns: list[str], make: Callable[[], Cal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fn = make()
         for batch in batches:
-            data = [c.to_pylist() for c in batch.columns[1:]]
-            values, errors = [], []
+            # Only the rows of one call are Python objects, and its results leave before the next.
             for at in range(0, len(batch), batch_size):
-                some = [c[at : at + batch_size] for c in data]
+                part = batch.slice(at, batch_size)
+                some, errors = [c.to_pylist() for c in part.columns[1:]], [None] * len(part)
                 try:
-                    values += list(fn(*some))
-                    errors += [None] * len(some[0])
+                    values = list(fn(*some))
                 except Exception:
-                    for row in zip(*some):
+                    values = []
+                    for i, row in enumerate(zip(*some)):
                         try:
                             values.append(list(fn(*[[x] for x in row]))[0])
-                            errors.append(None)
                         except Exception as e:
                             values.append(None)
-                            errors.append(f"{type(e).__name__}: {e}")
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(values, arrow), pa.array(errors, pa.string())], names=[key, out, "error"])
+                            errors[i] = f"{type(e).__name__}: {e}"
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(values, arrow), pa.array(errors, pa.string())], names=[key, out, "error"])
 
     return df.select(key, *columns).mapInArrow(run, schema)
 
