@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corpusmill.functions.text import strip, strip_lines, words
-from corpusmill.workspace import Workspace
+from corpusmill.workspace import Workspace, shuffle_partitions
 
 DEFAULTS = {
     "document": {},
@@ -320,11 +320,84 @@ def _means(points: DataFrame, id_col: str, block: int) -> DataFrame:
     return every.select(id_col, "cluster", F.transform(total("v"), lambda a: a / F.col("rows")).alias("mean"))
 
 
-def cluster_chunks(chunks: DataFrame, id_col: str, vec_col: str, cluster_size: int = 5, rounds: int = 20, block: int = 256) -> DataFrame:
-    """id, chunk_index, cluster: k-means of the chunk vectors of every document at once, k a ``cluster_size``-th of its chunks. Centres start as the first k chunks; ties go to the lowest cluster, an empty one keeps its centre. Steps go on for documents whose chunks still move, ``rounds`` at most. Vectors of a document have one length and no nulls."""
+#: Chunks, and numbers in their vectors, of a document that one task clusters in all its steps; longer ones go step by step, dealt in blocks.
+WHOLE_CHUNKS, WHOLE_VALUES = 4096, 1 << 19
+
+
+def _settled(x: np.ndarray, k: int, rounds: int, block: int) -> np.ndarray:
+    """The cluster of each row of one document, with the steps and the order of sums of the dealt form."""
+    if k == 1:
+        return np.zeros(len(x), "i8")
+    centres, own, at_once = x[:k], None, max(1, (1 << 18) // max(1, k * x.shape[1]))
+    for _ in range(rounds):
+        new = np.concatenate([((x[a : a + at_once, None] - centres) ** 2).sum(2).argmin(1) for a in range(0, len(x), at_once)])
+        if own is not None and (new == own).all():
+            break
+        own, sums = new, np.zeros(k * x.shape[1])
+        for a in range(0, len(x), block):
+            at = own[a : a + block, None] * x.shape[1] + np.arange(x.shape[1])
+            sums += np.bincount(at.ravel(), x[a : a + block].ravel(), len(sums))
+        rows = np.bincount(own, minlength=k)[:, None]
+        centres = np.where(rows > 0, sums.reshape(k, -1) / np.maximum(rows, 1), centres)
+    return own
+
+
+def _clusters_of_documents(cluster_size: int, rounds: int, block: int):
+    """Rows id, rank, x in the order of id and rank: id, rank, cluster. One document waits at a time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, name, done = [], None, []
+
+        def end() -> None:
+            x = np.concatenate(held)
+            done.append((name, _settled(x, max(1, len(x) // cluster_size), rounds, block)))
+            held.clear()
+
+        def told() -> pa.RecordBatch:
+            ids = pa.concat_arrays([pa.repeat(i, len(own)) for i, own in done])
+            ranks = np.concatenate([np.arange(len(own)) for _, own in done])
+            own = np.concatenate([own for _, own in done])
+            done.clear()
+            return pa.RecordBatch.from_arrays([ids, pa.array(ranks, pa.int64()), pa.array(own, pa.int64())], names=[names[0], "rank", "cluster"])
+
+        for batch in batches:
+            names, ids, vectors = batch.schema.names, batch.column(0), batch.column(2)
+            values, offsets = vectors.values.to_numpy(zero_copy_only=False), vectors.offsets.to_numpy()
+            first = np.flatnonzero(batch.column(1).to_numpy() == 0).tolist()
+            for a, b in zip([0, *first], [*first, len(batch)]):
+                if a in first[:1] or a > 0:
+                    if held:
+                        end()
+                    name = ids[a] if a < len(batch) else None
+                if b > a:
+                    held.append(values[offsets[a] : offsets[b]].reshape(b - a, -1).copy())
+            if done:
+                yield told()
+        if held:
+            end()
+            yield told()
+
+    return run
+
+
+def cluster_chunks(chunks: DataFrame, id_col: str, vec_col: str, cluster_size: int = 5, rounds: int = 20, block: int = 256, whole: int = WHOLE_CHUNKS) -> DataFrame:
+    """id, chunk_index, cluster: k-means of the chunk vectors of every document, k a ``cluster_size``-th of its chunks. Centres start as the first k chunks; ties go to the lowest cluster, an empty one keeps its centre. Steps go on for documents whose chunks still move, ``rounds`` at most. Vectors of a document have one length and no nulls. Documents of up to ``whole`` chunks are dealt by id and take all steps in one task; longer ones are clustered at once, blocks of their chunks over all tasks, with the same results."""
     ws = Workspace(chunks.sparkSession, "clusters")
     points = ranked_chunks(chunks.select(id_col, "chunk_index", F.col(vec_col).cast("array<double>").alias("x")), id_col)
-    moving = points = ws.keep(points, "points")
+    points = ws.keep(points, "points")
+    short = (F.col("n") <= whole) & (F.col("n") * F.size("x") <= WHOLE_VALUES)
+    dealt = points.filter(short).select(id_col, F.col("rank").cast("long").alias("rank"), "x").repartition(shuffle_partitions(chunks.sparkSession), id_col).sortWithinPartitions(id_col, "rank")
+    schema = T.StructType([points.schema[id_col], T.StructField("rank", T.LongType()), T.StructField("cluster", T.LongType())])
+    found = ws.keep(dealt.mapInArrow(_clusters_of_documents(cluster_size, rounds, block), schema), "found")
+    long = points.filter(~short)
+    if not long.isEmpty():
+        found = found.unionByName(_clusters_by_steps(ws, long, id_col, cluster_size, rounds, block))
+    return points.join(found, [id_col, "rank"]).select(id_col, F.col("chunk_index").cast("int").alias("chunk_index"), F.col("cluster").cast("int").alias("cluster"))
+
+
+def _clusters_by_steps(ws: Workspace, points: DataFrame, id_col: str, cluster_size: int, rounds: int, block: int) -> DataFrame:
+    """id, rank, cluster of documents of any length, all at once: a step is a written table."""
+    moving = points
     k = F.greatest(F.lit(1), F.floor(F.col("n") / cluster_size))
     centres = points.filter(F.col("rank") < k).select(id_col, F.col("rank").cast("long").alias("cluster"), "x", "n")
     own, settled = None, []
@@ -344,7 +417,7 @@ def cluster_chunks(chunks: DataFrame, id_col: str, vec_col: str, cluster_size: i
     found = settled[0]
     for more in settled[1:]:
         found = found.unionByName(more)
-    return points.join(found, [id_col, "rank"]).select(id_col, F.col("chunk_index").cast("int").alias("chunk_index"), F.col("cluster").cast("int").alias("cluster"))
+    return found.select(id_col, F.col("rank").cast("long").alias("rank"), "cluster")
 
 
 STRATEGIES: dict[str, Callable[..., DataFrame]] = {"document": whole_documents, "paragraph": paragraphs, "fixed": fixed_windows, "recursive": recursive, "semantic": semantic, "late": late, "raptor": raptor}

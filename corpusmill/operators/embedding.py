@@ -41,11 +41,11 @@ def embed(df: DataFrame, key: str, text: str, make: Callable[[], Callable[[list[
 
 def hashed_terms(c: Column, dims: int = 64) -> Column:
     """A deterministic stand-in for a model: signed counts of hashed terms, of unit length."""
-    from corpusmill.functions.vectors import normalised
+    from corpusmill.functions.vectors import normalised, once
 
     hashes = F.transform(terms(c), lambda x: F.xxhash64(x))
-    slots = F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda i: F.aggregate(F.filter(hashes, lambda h: F.pmod(h, F.lit(dims)) == i), F.lit(0.0), lambda s, h: s + F.when(F.pmod(F.shiftright(h, 32), F.lit(2)) == 0, 1.0).otherwise(-1.0)))
-    return normalised(slots)
+    slots = lambda hs: F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda i: F.aggregate(F.filter(hs, lambda h: F.pmod(h, F.lit(dims)) == i), F.lit(0.0), lambda s, h: s + F.when(F.pmod(F.shiftright(h, 32), F.lit(2)) == 0, 1.0).otherwise(-1.0)))
+    return normalised(once(hashes, slots))
 
 
 def mean_pooled(tokens: DataFrame, key: str, vec: str) -> DataFrame:
