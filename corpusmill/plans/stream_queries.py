@@ -74,7 +74,9 @@ def _audited(t: Tables, name: str, machine):
     files, out = ws.path("files"), ws.path("out")
     n = max(5, shuffle_partitions(t.spark))
     requests(t).repartition(n, F.xxhash64("event_id")).write.parquet(files)
-    N.audit_to_end(t.spark.readStream.schema(requests(t).schema).option("maxFilesPerTrigger", -(-n // 5)).parquet(files), machine, out, ws.path("checkpoint"), ws.path("closing"), "400 days")
+    # All events wait for the end, so a bucket holds about 20,000 of them.
+    buckets = buckets_for(requests(t).count(), 20_000, 4 * n)
+    N.audit_to_end(t.spark.readStream.schema(requests(t).schema).option("maxFilesPerTrigger", -(-n // 5)).parquet(files), machine, out, ws.path("checkpoint"), ws.path("closing"), "400 days", buckets)
     return t.spark.read.parquet(out)
 
 

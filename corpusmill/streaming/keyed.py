@@ -1,8 +1,9 @@
 """Stateful audits of event streams, each with a batch twin that gives the same rows.
 
 A key's events are worked on in (time, id) order with a state of a few numbers. The batch twin sorts by key and time inside partitions and
-carries the state from row to row, so a key of any size streams through. The stream keeps events in a list of state until the watermark has passed them,
-whatever files and batches they came in, and then works them off in order; a key's memory is that of its events within the delay.
+carries the state from row to row, so a key of any size streams through. The stream deals keys into buckets and keeps a bucket's events in a list of state, an
+entry for each batch that brings some, until the watermark has passed them, whatever files and batches they came in; then it works them off in order. A task's memory is that of
+one bucket's events within the delay, so buckets are chosen by the number of events.
 """
 
 from __future__ import annotations
@@ -91,19 +92,19 @@ def batch_audit(events: DataFrame, machine, partitions: int | None = None) -> Da
 
 
 class _Audit(StatefulProcessor):
-    """Events of a key wait in a list; a timer at the earliest of them goes off when the watermark reaches it, and all that the watermark has passed go through the machine."""
+    """Events of a bucket of keys wait in a list; a timer at the earliest of them goes off when the watermark reaches it, and all that the watermark has passed go through the machines of their keys."""
 
     def __init__(self, machine):
         self.machine = machine
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getListState("waiting", "us long, event_id long, ok boolean")
-        self.machine_state = handle.getValueState("machine", "state string")
+        self.waiting = handle.getListState("waiting", "keys array<string>, us array<long>, event_ids array<long>, oks array<boolean>")
+        self.machines = handle.getMapState("machines", "key string", "state string")
         self.due = handle.getValueState("due", "ms long")
 
     def _wake(self, us: int | None) -> None:
-        """One timer a key: at the earliest event that waits."""
+        """One timer a bucket: at the earliest event that waits."""
         if self.due.exists():
             self.handle.deleteTimer(self.due.get()[0])
             self.due.clear()
@@ -113,9 +114,9 @@ class _Audit(StatefulProcessor):
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         least = None
-        for pdf in rows if key[0] else ():
+        for pdf in rows if key[0] >= 0 else ():
             us = pdf["ts"].astype("datetime64[us]").astype("int64")
-            self.waiting.appendList(list(zip(us.tolist(), pdf["event_id"].tolist(), pdf["ok"].tolist())))
+            self.waiting.appendValue((pdf["key"].tolist(), us.tolist(), pdf["event_id"].tolist(), pdf["ok"].tolist()))
             least = min(int(us.min()), least if least is not None else int(us.min()))
         if least is not None and (not self.due.exists() or least // 1000 < self.due.get()[0]):
             self._wake(least)
@@ -124,22 +125,24 @@ class _Audit(StatefulProcessor):
     def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         # A timer goes off in milliseconds; no event up to the watermark can still come.
         passed = timerValues.getCurrentWatermarkInMs() * 1000 + 999
-        events = sorted(tuple(e) for e in self.waiting.get())
-        now, later = [e for e in events if e[0] <= passed], [e for e in events if e[0] > passed]
-        state = _thawed(json.loads(self.machine_state.get()[0])) if self.machine_state.exists() else self.machine.fresh()
+        events = pd.concat([pd.DataFrame(dict(zip(("key", "us", "event_id", "ok"), e))) for e in self.waiting.get()])
+        later = events[events["us"] > passed]
+        now = events[events["us"] <= passed].sort_values(["key", "us", "event_id", "ok"])
         verdicts = []
-        for us, _, ok in now:
-            state, verdict = self.machine.step(state, us / 1e6, ok)
-            verdicts.append(verdict)
-        self.machine_state.update((json.dumps(state),))
+        for name, rows in now.groupby("key", sort=False):
+            state = _thawed(json.loads(self.machines.getValue((name,))[0])) if self.machines.containsKey((name,)) else self.machine.fresh()
+            for us, ok in zip(rows["us"].tolist(), rows["ok"].tolist()):
+                state, verdict = self.machine.step(state, us / 1e6, ok)
+                verdicts.append(verdict)
+            self.machines.updateValue((name,), (json.dumps(state),))
         self.waiting.clear()
-        if later:
-            self.waiting.appendList(later)
+        if len(later):
+            self.waiting.appendValue(tuple(later[c].tolist() for c in ("key", "us", "event_id", "ok")))
         self.due.clear()
-        if later:
-            self._wake(later[0][0])
-        if now:
-            yield pd.DataFrame({"key": [key[0]] * len(now), "event_id": [e[1] for e in now], "ts": pd.to_datetime([e[0] for e in now], unit="us"), "verdict": verdicts})
+        if len(later):
+            self._wake(int(later["us"].min()))
+        if len(now):
+            yield pd.DataFrame({"key": now["key"], "event_id": now["event_id"], "ts": pd.to_datetime(now["us"], unit="us"), "verdict": verdicts})
 
     def close(self) -> None:
         pass
@@ -154,17 +157,17 @@ CLOSING = dt.datetime(2250, 1, 1)
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def stream_audit(events: DataFrame, machine, late: str = "10 minutes") -> DataFrame:
-    """The same over a stream, in whatever order files and micro-batches bring the events: each comes out once the watermark, ``late`` behind the latest event, has passed it. Events that come later than that are dropped. An event without a key advances the watermark and gives no row. Needs the RocksDB state store."""
+def stream_audit(events: DataFrame, machine, late: str = "10 minutes", buckets: int = 256) -> DataFrame:
+    """The same over a stream, in whatever order files and micro-batches bring the events: each comes out once the watermark, ``late`` behind the latest event, has passed it. Events that come later than that are dropped. An event without a key advances the watermark and gives no row. Keys are dealt to ``buckets``, which a checkpoint keeps. Needs the RocksDB state store."""
     key = F.col("key").cast("string")
-    rows = events.select(F.coalesce(F.concat(F.lit("="), key), F.lit("")).alias("key"), F.coalesce("event_id", F.lit(0)).cast("long").alias("event_id"), "ts", F.coalesce("ok", F.lit(False)).alias("ok")).withWatermark("ts", late)
+    bucket = F.when(key.isNull(), -1).otherwise(F.pmod(F.xxhash64(key), F.lit(buckets))).cast("int")
+    rows = events.select(bucket.alias("bucket"), key.alias("key"), F.coalesce("event_id", F.lit(0)).cast("long").alias("event_id"), "ts", F.coalesce("ok", F.lit(False)).alias("ok")).withWatermark("ts", late)
     # A condition on the time stays above the watermark, so that events without a key still move it.
-    kept = rows.filter((F.col("key") != "") | (F.col("ts") >= F.lit(CLOSING - dt.timedelta(days=2))))
-    out = kept.groupBy("key").transformWithStateInPandas(_Audit(machine), OUT, "append", "EventTime")
-    return out.select(F.substring("key", 2, 1 << 30).alias("key"), "event_id", "ts", "verdict")
+    kept = rows.filter((F.col("bucket") >= 0) | (F.col("ts") >= F.lit(CLOSING - dt.timedelta(days=2))))
+    return kept.groupBy("bucket").transformWithStateInPandas(_Audit(machine), OUT, "append", "EventTime")
 
 
-def audit_to_end(events: DataFrame, machine, out: str, checkpoint: str, closing: str, late: str = "10 minutes") -> None:
+def audit_to_end(events: DataFrame, machine, out: str, checkpoint: str, closing: str, late: str = "10 minutes", buckets: int = 256) -> None:
     """Works off all that is there now, to the last event: when the source is used up a closing event, in the folder ``closing``, moves the watermark past all of them. Run again with the same folders it goes on with what is new, except what lies before the end that was declared."""
     spark = events.sparkSession
     schema = "key string, event_id long, ts timestamp, ok boolean"
@@ -173,9 +176,9 @@ def audit_to_end(events: DataFrame, machine, out: str, checkpoint: str, closing:
     name, given = "spark.sql.streaming.stateStore.providerClass", spark.conf.get("spark.sql.streaming.stateStore.providerClass")
     spark.conf.set(name, ROCKSDB)
     try:
-        run_to_end(stream_audit(both, machine, late), out, checkpoint)
+        run_to_end(stream_audit(both, machine, late, buckets), out, checkpoint)
         spark.createDataFrame([(None, None, CLOSING, None)], schema).write.mode("append").parquet(closing)
-        run_to_end(stream_audit(both, machine, late), out, checkpoint)
+        run_to_end(stream_audit(both, machine, late, buckets), out, checkpoint)
     finally:
         spark.conf.set(name, given)
 
