@@ -4,10 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from corpusmill.workspace import Workspace
 
 
+def numbered(ws: Workspace, ends: DataFrame, *columns: str) -> DataFrame:
+    """name, id: a written table of the values of the columns, without null, with numbers in their order, so that rounds over edges move and sort no text."""
+    names = ends.select(F.explode(F.array(*columns)).alias("name")).filter("name is not null").distinct().orderBy("name")
+    return ws.keep(names.select("name", F.monotonically_increasing_id().alias("id")), "names")
+
+
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds: int = 60) -> DataFrame:
     """(node, component) for every node of an edge; a component is named by its smallest node. Null ends and self-loops are left out, unless a loop is the only edge of its node, which then stands alone.
 
@@ -17,6 +24,13 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
     """
     ws = Workspace(edges.sparkSession, "components")
     ends = edges.select(F.col(src).alias("a"), F.col(dst).alias("b")).filter("a is not null and b is not null")
+    if isinstance(ends.schema["a"].dataType, T.StringType) and isinstance(ends.schema["b"].dataType, T.StringType):
+        ends = ws.keep(ends.distinct(), "ends")
+        ids = numbered(ws, ends, "a", "b")
+        a, b = (ids.select(F.col("name").alias(c), F.col("id").alias(n)) for c, n in (("a", "src"), ("b", "dst")))
+        found = connected_components(ends.join(a, "a").join(b, "b").select("src", "dst"), max_rounds=max_rounds)
+        node, component = (ids.select(F.col("id").alias(c), F.col("name").alias(f"{c}_name")) for c in ("node", "component"))
+        return found.join(node, "node").join(component, "component").select(F.col("node_name").alias("node"), F.col("component_name").alias("component"))
     loops = ws.keep(ends.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
     now = loops.filter("u <> v")
     sign = None
