@@ -315,11 +315,11 @@ def _row_keys(id_col: str, text_col: str) -> list[Column]:
 
 
 def _banded(bands: int, rows: int):
-    """A key of ``rows`` min-hashes for each band; a set without shingles has none."""
+    """A key of ``rows`` min-hashes for each band, and the bytes of the set; a set without shingles has none."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            nodes, cells, bands_of, keys = [], [], [], []
+            parts = []
             for node, cell, data in zip(batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2)):
                 own = np.frombuffer(data.as_buffer(), "u8")
                 if not len(own):
@@ -328,9 +328,44 @@ def _banded(bands: int, rows: int):
                 mixed = least[:, 0]
                 for r in range(1, rows):
                     mixed = _mixed(mixed, r) ^ least[:, r]
-                nodes.append(np.full(bands, node)), cells.append(np.full(bands, cell)), bands_of.append(np.arange(bands, dtype="i4")), keys.append(mixed.view("i8"))
-            if nodes:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in (nodes, cells, bands_of, keys)], names=["node", "cell", "band", "key"])
+                parts.append((np.full(bands, node), np.full(bands, cell), np.arange(bands, dtype="i4"), mixed.view("i8"), np.full(bands, own.nbytes)))
+            if parts:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*parts)], names=["node", "cell", "band", "key", "bytes"])
+
+    return run
+
+
+def alike_classes(sets: list[np.ndarray], classes: np.ndarray, similarity: float) -> list[tuple[int, int]]:
+    """Links that connect all classes connected by alike sets of one group. Every set outside the greatest class meets all of other classes at once, by counts over the places of its values; one with too many values of its own is like none."""
+    sizes = np.array([len(x) for x in sets])
+    ends = np.cumsum(sizes)
+    _, value = np.unique(np.concatenate(sets), return_inverse=True)
+    often = np.bincount(value)
+    row = np.repeat(np.arange(len(sets)), sizes)
+    places, starts = row[np.argsort(value, kind="stable")], np.cumsum(often) - often
+    names, root, members = np.unique(classes, return_inverse=True, return_counts=True)
+    shared = np.bincount(row, weights=often[value] > 1, minlength=len(sets))
+    out, left = [], len(names)
+    for x in np.flatnonzero((root != members.argmax()) & (shared >= similarity * sizes)).tolist():
+        if left == 1:
+            break
+        own = value[ends[x] - sizes[x] : ends[x]]
+        n = often[own]
+        at = np.repeat(starts[own] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        both = np.bincount(places[at], minlength=len(sets))
+        good = (root != root[x]) & (np.minimum(sizes, sizes[x]) >= similarity * np.maximum(sizes, sizes[x])) & (both >= similarity * (sizes + sizes[x] - both))
+        for r in np.unique(root[good]).tolist():
+            out.append((int(names[root[x]]), int(names[r])))
+            root[root == r] = root[x]
+            left -= 1
+    return out
+
+
+def _alike_classes(similarity: float):
+    def run(group: pa.Table) -> pa.Table:
+        sets = [np.frombuffer(x.as_buffer(), "u8") for x in group["set"]]
+        found = alike_classes(sets, group["class"].to_numpy(), similarity)
+        return pa.table({c: pa.array([x[i] for x in found], pa.int64()) for i, c in enumerate(("src", "dst"))})
 
     return run
 
@@ -341,6 +376,23 @@ def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame
     return met.mapInArrow(_alike(similarity), "src long, dst long")
 
 
+#: Bytes of the sets of one group that a task holds; greater groups are dealt as pairs of blocks.
+GROUP_BYTES = 16_000_000
+
+
+def class_links(keys: DataFrame, sets: DataFrame, similarity: float, group_bytes: int = GROUP_BYTES) -> DataFrame:
+    """keys: node, cell, band, key, bytes, settled (a written table); sets: node, set. Links (src, dst) that connect all classes ``settled`` connected by alike sets that share a key of a band. A group's sets come once to the task that compares them, so its rows grow with its size and no pair is a row."""
+    # A group with one class has nothing to tell; of groups with the same members one is enough.
+    of = ["cell", "band", "key"]
+    same = [F.bit_xor(F.xxhash64(F.lit(i), "node")).alias(f"x{i}") for i in range(2)]
+    groups = keys.groupBy(*of).agg(F.min("settled").alias("low"), F.max("settled").alias("high"), F.sum("bytes").alias("bytes"), F.count("*").alias("n"), *same).filter("low <> high")
+    groups = groups.groupBy("cell", "n", "x0", "x1").agg(F.min(F.struct("band", "key", "bytes")).alias("one")).select("cell", "one.*")
+    groups = groups.select(*of, F.when(F.col("bytes") <= group_bytes, 1).otherwise(F.ceil(F.col("bytes") * 2 / group_bytes)).cast("long").alias("blocks"))
+    dealt = keys.join(groups, of).withColumn("own", F.pmod(F.xxhash64("node"), "blocks")).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    dealt = dealt.select("node", F.col("settled").alias("class"), F.xxhash64(*of, F.least("own", "other"), F.greatest("own", "other")).alias("group"))
+    return dealt.join(sets.select("node", "set"), "node").select("group", "class", "set").groupBy("group").applyInArrow(_alike_classes(similarity), "src long, dst long").distinct()
+
+
 def _settled(ws: Workspace, sets: DataFrame, pairs: DataFrame, links: DataFrame, similarity: float, bands: int, rows: int) -> DataFrame:
     """node, component over links and over those found among texts whose candidates reach each other but that links leave apart: those that share a band of min-hashes are verified too. Equal sets stand for each other."""
     settled = ws.keep(connected_components(links), "settled")
@@ -349,17 +401,10 @@ def _settled(ws: Workspace, sets: DataFrame, pairs: DataFrame, links: DataFrame,
     named = ws.keep(named, "cells")
     apart = named.groupBy("cell").agg(F.min("settled").alias("low"), F.max("settled").alias("high")).filter("low <> high").select("cell")
     one = sets.filter("node = leader").select("node", "set")
-    keys = one.join(named.join(apart, "cell", "left_semi").select("node", "cell"), "node").select("node", "cell", "set").mapInArrow(_banded(bands, rows), "node long, cell long, band int, key long")
+    keys = one.join(named.join(apart, "cell", "left_semi").select("node", "cell"), "node").select("node", "cell", "set").mapInArrow(_banded(bands, rows), "node long, cell long, band int, key long, bytes long")
     keys = ws.keep(keys.join(named.select("node", "settled"), "node"), "bands")
-    # A band's groups with one class have nothing to tell.
-    mixed = keys.groupBy("cell", "band", "key").agg(F.min("settled").alias("low"), F.max("settled").alias("high")).filter("low <> high").select("cell", "band", "key")
-    keys = ws.keep(keys.join(mixed, ["cell", "band", "key"], "left_semi"), "mixed")
-    x, y = (keys.select("cell", "band", "key", F.col("node").alias(n), F.col("settled").alias(f"{n}_class")) for n in "ab")
-    more = x.join(y, ["cell", "band", "key"]).filter("a < b and a_class <> b_class").select("a", "b").distinct()
-    more = _verified(more, one, similarity)
-    ends = [named.select(F.col("node").alias(c), F.col("settled").alias(f"{c}_class")) for c in ("src", "dst")]
-    joined = more.join(ends[0], "src").join(ends[1], "dst").select(F.col("src_class").alias("src"), F.col("dst_class").alias("dst")).distinct()
-    joined = ws.keep(joined, "joined")
+    joined = ws.keep(class_links(keys, one, similarity), "joined")
+    ws.drop(keys)
     if joined.isEmpty():
         return settled
     classes = connected_components(joined).select(F.col("node").alias("settled"), "component")
@@ -375,7 +420,7 @@ def _few(df: DataFrame, rows: int) -> DataFrame:
 
 
 def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, functions: int = 3, most: int = 4, bands: int = 20, band_rows: int = 4) -> DataFrame:
-    """h, k (keys of a row's id and text), doc_id, rows (of these keys), component and stays: whether it is the smallest id of its component. Components are of verified links between candidates. Texts with equal shingles are linked by their digest; a text is verified against the first one of its own fingerprint and of those that link with it; where that leaves texts apart whose fingerprints reach each other, those that share a band of min-hashes are verified as well. Two texts at the similarity share none of the ``bands`` with a probability of (1 - similarity ** band_rows) ** bands, 3 in 100,000; unlike classes that do share one cost a pair each."""
+    """h, k (keys of a row's id and text), doc_id, rows (of these keys), component and stays: whether it is the smallest id of its component. Components are of verified links between candidates. Texts with equal shingles are linked by their digest; a text is verified against the first one of its own fingerprint and of those that link with it; where that leaves texts apart whose fingerprints reach each other, those that share a band of min-hashes are verified as well. Two texts at the similarity share none of the ``bands`` with a probability of (1 - similarity ** band_rows) ** bands, 3 in 100,000; those that do share one meet in one task, or in pairs of blocks of a large group."""
     ws = Workspace(docs.sparkSession, "similar")
     h, k = _row_keys(id_col, text_col)
     made = docs.select(h, k, F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text")).mapInArrow(_word_fingerprints(functions), "h long, k long, doc_id long, fps array<long>")

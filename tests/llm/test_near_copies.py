@@ -74,3 +74,38 @@ def test_templates_of_which_no_two_are_alike_stay(spark):
     frame = WORDS[:60]
     texts = [" ".join(frame + rng.sample(WORDS[100:400], 60)) for _ in range(60)]
     assert kept(spark, texts) == classes(texts)[0]
+
+
+def test_texts_of_one_frame_in_unlike_orders_make_no_pair_each(spark, monkeypatch):
+    """All have one word set and so share bands; the rows to verify grow with their number, not its square."""
+    rng, words, texts = random.Random(7), WORDS[:100], []
+    for _ in range(200):
+        end = words[75:]
+        rng.shuffle(end)
+        texts.append(" ".join(words[:75] + end))
+    asked, verified = [], golay_simhash._verified
+    monkeypatch.setattr(golay_simhash, "_verified", lambda pairs, *rest: asked.append(pairs.count()) or verified(pairs, *rest))
+    assert kept(spark, texts) == classes(texts)[0]
+    assert sum(asked) <= 2 * len(texts)
+
+
+def test_classes_of_a_group_that_is_dealt_in_blocks_against_all_pairs(spark):
+    rng, rows = random.Random(11), []
+    for i in range(90):
+        base = i // 2 % 12
+        rows.append((i, 100 + i // 2, sorted({*range(base * 1000, base * 1000 + 40)} - set(rng.sample(range(base * 1000, base * 1000 + 40), rng.randrange(8)))) + [10**6 + i]))
+    names = {node: cls for node, cls, _ in rows}
+    links = {(names[a], names[b]) for a, _, x in rows for b, _, y in rows if a != b and jaccard(set(x), set(y)) >= 0.8}
+
+    def parts(links):
+        own = {c: c for c in names.values()}
+        for a, b in links:
+            low, high = sorted((own[a], own[b]))
+            own = {c: low if o == high else o for c, o in own.items()}
+        return own
+
+    sets = spark.createDataFrame([(n, bytearray(golay_simhash.np.array(v, "u8").tobytes())) for n, _, v in rows], "node long, set binary")
+    keys = spark.createDataFrame([(n, 0, b, 5, 8 * len(v), c) for n, c, v in rows for b in range(2)], "node long, cell long, band int, key long, bytes long, settled long")
+    for group_bytes in (1 << 24, 4000):
+        found = golay_simhash.class_links(keys, sets, 0.8, group_bytes).collect()
+        assert parts((r["src"], r["dst"]) for r in found) == parts(links) and len(set(parts(links).values())) > 1
