@@ -222,11 +222,12 @@ def ingest_stream(files: DataFrame, chunk: Callable[[DataFrame], DataFrame], sto
         keys = KeyedStore(spark, stored_path.rstrip("/") + "-keys", [key], schema, buckets=buckets)
         if epoch in keys.epochs():
             return
-        once = ws.keep(batch.dropDuplicates([key]), "batch")
-        new = ws.keep(keys.unseen(once.select(key)), "new")
-        fresh = once.join(new, once[key].eqNullSafe(new[key]), "left_semi")
+        # Keys are looked up alone. Rows move once, to be met with the new keys and made distinct on the same columns, never null.
+        new = ws.keep(keys.unseen(batch.select(key).distinct()), "new")
+        met = {"__key": F.coalesce(F.col(key).cast("string"), F.lit("")), "__none": F.col(key).isNull()}
+        fresh = batch.withColumns(met).join(new.withColumns(met).select(*met), [*met], "left_semi").dropDuplicates([*met]).drop(*met)
         chunk(fresh).write.mode("overwrite").parquet(f"{stored_path}/epoch={epoch}")
         keys.insert(new, epoch)
-        ws.drop(once, new)
+        ws.drop(new)
 
     files.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
