@@ -118,7 +118,14 @@ def n4_stream_ingest(t):
     stored = ws.path("chunks")
     docs = _stream(t, "documents").select("doc_id", "text", F.md5("text").alias("content_hash"))
     N.ingest_stream(docs, lambda b: fixed_windows(b, "doc_id", "text", min_size=0).select("content_hash", "chunk_index", "content"), stored, ws.path("checkpoint"), buckets=buckets_for(t("documents").count()))
-    return t.spark.read.parquet(stored).groupBy("content_hash").agg(F.count("*").alias("chunks"))
+    # A text without characters is stored and gives no chunk.
+    return _chunk_counts(N.ingested_keys(t.spark, stored, docs.schema["content_hash"]), t.spark.read.parquet(stored))
+
+
+def _chunk_counts(keys, chunks):
+    """Keys with how many chunks they have: none for the empty text, null for a missing one."""
+    counts = chunks.groupBy("content_hash").agg(F.count("*").alias("chunks"))
+    return keys.join(counts, "content_hash", "left").withColumn("chunks", F.when(F.col("content_hash").isNotNull(), F.coalesce("chunks", F.lit(0))))
 
 
 @query("SELECT content_hash, chunks, files FROM (SELECT md5(text) AS content_hash, any_value(length(text)) AS n, count(*) AS files FROM documents GROUP BY 1), LATERAL (SELECT len(list_filter(range(0, n, 900), lambda s: true)) AS chunks)")

@@ -13,7 +13,7 @@ import json
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
@@ -212,14 +212,22 @@ def run_to_end(stream: DataFrame, path: str, checkpoint: str, mode: str = "appen
     stream.writeStream.format("parquet").outputMode(mode).option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
+def _key_store(spark: SparkSession, stored_path: str, key: T.StructField, buckets: int = 64) -> KeyedStore:
+    return KeyedStore(spark, stored_path.rstrip("/") + "-keys", [key.name], T.StructType([key]), buckets=buckets)
+
+
+def ingested_keys(spark: SparkSession, stored_path: str, key: T.StructField) -> DataFrame:
+    """The keys that ``ingest_stream`` has stored, those whose rows gave no chunk too."""
+    return _key_store(spark, stored_path, key).read()
+
+
 def ingest_stream(files: DataFrame, chunk: Callable[[DataFrame], DataFrame], stored_path: str, checkpoint: str, key: str = "content_hash", buckets: int = 64) -> None:
     """Each micro-batch of files, less those whose key an earlier one has stored, goes through ``chunk``. Rows of a batch are written as its own epoch; its keys go to a keyed store beside the rows, which looks into the filters of their buckets only. A batch that runs again before its keys were complete replaces what it had written; after that it does nothing."""
-    schema = T.StructType([files.schema[key]])
 
     def each(batch: DataFrame, epoch: int) -> None:
         spark = batch.sparkSession
         ws = Workspace(spark, "ingest")
-        keys = KeyedStore(spark, stored_path.rstrip("/") + "-keys", [key], schema, buckets=buckets)
+        keys = _key_store(spark, stored_path, files.schema[key], buckets)
         if epoch in keys.epochs():
             return
         # Keys are looked up alone. Rows move once, to be met with the new keys and made distinct on the same columns, never null.
