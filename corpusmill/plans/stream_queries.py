@@ -139,8 +139,7 @@ def n4_ingest_in_batches(t):
     twice.repartition(n, F.xxhash64("doc_id", "turn")).drop("turn").write.parquet(arriving)
     stream = t.spark.readStream.schema(docs.schema).option("maxFilesPerTrigger", -(-n // 5)).parquet(arriving)
     N.ingest_stream(stream, lambda b: fixed_windows(b, "doc_id", "text", min_size=0).select("content_hash", "chunk_index", "content"), stored, ws.path("checkpoint"), buckets=buckets_for(t("documents").count()))
-    chunks = t.spark.read.parquet(stored).groupBy("content_hash").agg(F.count("*").alias("chunks"))
-    return docs.groupBy("content_hash").agg(F.count("*").alias("files")).join(chunks, "content_hash", "left")
+    return _chunk_counts(docs.groupBy("content_hash").agg(F.count("*").alias("files")), t.spark.read.parquet(stored))
 
 
 @query("SELECT DISTINCT md5(text) AS content_hash, length(text) AS chars FROM documents")

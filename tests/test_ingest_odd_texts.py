@@ -9,7 +9,7 @@ TEXTS = ["", "", None, None, "x", "y" * 900, "é" * 901, " " * 2000, "x"]
 
 
 @pytest.mark.parametrize("texts", [TEXTS, [], [""], [None]])
-@pytest.mark.parametrize("name", ["n4_stream_ingest"])
+@pytest.mark.parametrize("name", ["n4_stream_ingest", "n4_ingest_in_batches"])
 def test_texts_without_chunks_have_a_row(spark, tmp_path, name, texts):
     spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
     got = QUERIES[name](spark, str(tmp_path))
