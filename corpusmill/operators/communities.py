@@ -145,20 +145,21 @@ def level_digests(tree: DataFrame, nodes: DataFrame, relations: DataFrame, lines
 
     nodes: node, name, type, description. relations: source, target (nodes), type, description. At the first level a community's
     lines are its nodes and the relations between them. Above, they are the communities of the level below, each named by its first member, and how many relations
-    go between them. Pages hold about ``lines`` lines of either kind, so a community of any size is in no single row.
+    go between them. Pages hold about ``lines`` lines of either kind, so a community of any size is in no single row; where relations fill more
+    pages than members, the later ones have relations only. A node outside the tree is a community of its own.
     """
     ws = Workspace(tree.sparkSession, "digests")
     items, links, out = nodes.select("node", "name", "type", "description"), relations.select("source", "target", "type", "description", F.lit(1).cast("long").alias("n")), None
     for level in range(1, (tree.agg(F.max("level")).first()[0] or 0) + 1):
         own = tree.filter(F.col("level") == level).select("node", "community")
-        placed = ws.keep(items.join(own, "node"), "items")
+        placed = ws.keep(items.join(own, "node", "left").withColumn("community", F.coalesce("community", "node")), "items")
         names = placed.select(F.col("node").alias("key"), "name", F.col("community").alias("c"))
         ends = links.join(names.select(F.col("key").alias("source"), F.col("name").alias("source_name"), F.col("c").alias("source_community")), "source").join(names.select(F.col("key").alias("target"), F.col("name").alias("target_name"), F.col("c").alias("target_community")), "target")
         ends = ws.keep(ends, "relations")
         inner = ends.filter("source_community = target_community").select(F.col("source_community").alias("community"), F.col("source_name").alias("source"), "type", F.col("target_name").alias("target"), "description")
         # Pages are keys of their own for the digest.
         key = lambda df: df.withColumn("community", F.struct("community", "page")).drop("page")
-        text = digests(key(_pages(placed, lines, "name")), key(_pages(inner, lines, "source", "type", "target")))
+        text = digests(key(_pages(placed, lines, "name")), key(_pages(inner, lines, "source", "type", "target")), "full")
         size = placed.groupBy("community").agg(F.count("*").alias("members"))
         rows = text.select(F.col("community.community").alias("community"), F.col("community.page").alias("page"), "digest").join(size, "community").select(F.lit(level).alias("level"), "community", "page", "members", "digest")
         out = rows if out is None else out.unionByName(rows)

@@ -159,3 +159,18 @@ def test_sweeps_move_numbers_and_read_the_links_of_one_half(spark, monkeypatch):
     assert seen and all(t == "bigint" for kinds in seen for t in kinds.values())
     assert halves[0] | halves[1] == every[0] and not halves[0] & halves[1] and halves[0] and halves[1]
     assert {r["node"] for r in rows} == names and {r["community"] for r in rows} < names
+
+
+def test_pages_of_relations_beyond_those_of_members(spark):
+    n = 12
+    tree = spark.range(n).select(F.lit(1).alias("level"), F.col("id").alias("node"), F.lit(0).cast("long").alias("community"))
+    nodes = spark.range(n + 1).select(F.col("id").alias("node"), F.concat(F.lit("n"), "id").alias("name"), F.lit("t").alias("type"), F.lit(None).cast("string").alias("description"))
+    pairs = [(a, b) for a in range(n) for b in range(n) if a != b]
+    relations = spark.createDataFrame([(a, b, "R", None) for a, b in pairs], "source long, target long, type string, description string")
+    rows = C.level_digests(tree, nodes, relations, lines=20).collect()
+    lines = [x for r in rows if r["community"] == 0 for x in r["digest"].split("\n")]
+    assert sorted(x for x in lines if "-->" in x) == sorted(f"- n{a} --[R]--> n{b}" for a, b in pairs)
+    assert sorted(x for x in lines if x.endswith("(t)")) == sorted(f"- n{a} (t)" for a in range(n))
+    assert {r["members"] for r in rows if r["community"] == 0} == {n}
+    # A node without a place in the tree stands alone.
+    assert [(r["members"], r["digest"]) for r in rows if r["community"] == n] == [(1, f"Entities:\n- n{n} (t)\n\nRelations:\n(none)")]
