@@ -2,7 +2,7 @@
 
 A level's graph is two tables: weights between different nodes, both ways, and degrees. In a sweep every node learns from one join and two
 aggregations how much weight it has to each community around it and how large these are; half of the nodes, another half each time,
-move to where modularity gains most, and a sweep reads the links of that half only. Nodes are numbers, in the order of their names, so that
+move to where modularity gains most, and a sweep moves the links of that half only, once. Nodes are numbers, in the order of their names, so that
 sweeps move and sort no text. When few move, communities become the nodes of the next level. No node's neighbourhood and no
 community's members are gathered: all steps are partial sums, partial maxima and equi-joins, whose skewed keys the engine splits.
 """
@@ -12,17 +12,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusmill.operators.graph import digests, undirected
+from corpusmill.operators.graph import digests
 from corpusmill.workspace import Workspace
 
 
 #: Halves that are told apart by a bit each; later sweeps take them anew.
 HALVES = 60
+#: Links beyond which a graph is kept in buckets.
+DEALT = 1_000_000
 
 
 def _numbered(edges: DataFrame, sweeps: int) -> DataFrame:
     """name, node, bits: the edges' ends with numbers in the order of their names, and in a bit for each two sweeps the half that a node is in."""
-    names = edges.select(F.col("src").alias("name")).unionByName(edges.select(F.col("dst").alias("name"))).distinct().orderBy("name")
+    names = edges.select(F.explode(F.array("src", "dst")).alias("name")).distinct().orderBy("name")
     bits = F.lit(0).cast("long")
     for i in range(min(HALVES, (sweeps + 1) // 2)):
         bits = bits + F.shiftleft(F.pmod(F.xxhash64("name", F.lit(i)), F.lit(2)), i)
@@ -30,37 +32,59 @@ def _numbered(edges: DataFrame, sweeps: int) -> DataFrame:
 
 
 def _swept(links: DataFrame, state: DataFrame, total: float, resolution: float, turn: int) -> DataFrame:
-    """links: u, v, w, bits (of u). state: node, community, k, bits. The state after one half of the nodes has moved, with ``moved``. Only links of nodes whose turn it is are read."""
+    """links: u, v, w, bits (of u). state: node, community, k, bits. The state after one half of the nodes has moved, with ``moved``. Only links of nodes whose turn it is are read.
+
+    Links meet the communities of their other ends where these lie, in small hash tables, and move once, to the node whose turn it is."""
     mine = F.shiftright("bits", turn // 2 % HALVES).bitwiseAND(F.lit(1)) == turn % 2
-    sizes = state.groupBy("community").agg(F.sum("k").alias("size"), F.count("*").alias("members"))
+    sizes = state.groupBy("community").agg(F.sum("k").alias("size"), (F.count("*") == 1).alias("single"))
     placed = state.join(sizes, "community")
-    around = links.filter(mine).select("u", "v", "w").join(placed.select(F.col("node").alias("v"), "community", "size", "members"), "v").groupBy("u", "community").agg(F.sum("w").alias("w"), F.first("size").alias("size"), F.first("members").alias("members"))
-    own = placed.filter(mine).select(F.col("node").alias("u"), F.col("community").alias("now"), "k", F.col("size").alias("now_size"), F.col("members").alias("now_members"))
+    other = placed.select(F.col("node").alias("v"), "community", "size", "single").hint("shuffle_hash")
+    heard = links.filter(mine).select("u", "v", "w").join(other, "v").select("u", "community", "w", "size", "single").repartition("u")
+    around = heard.groupBy("u", "community").agg(F.sum("w").alias("w"), F.first("size").alias("size"), F.first("single").alias("single"))
+    own = placed.filter(mine).select(F.col("node").alias("u"), F.col("community").alias("now"), "k", F.col("size").alias("now_size"), F.col("single").alias("now_single"))
     here = F.col("community") == F.col("now")
     # What a move to the community is worth, less what the node itself adds to its own.
     worth = F.col("w") - resolution * F.col("k") * (F.col("size") - F.when(here, F.col("k")).otherwise(0.0)) / total
     # Of two nodes that stand alone only the one with the larger name moves, so that they don't change places.
-    swap = (F.col("now_members") == 1) & (F.col("members") == 1) & (F.col("community") > F.col("now"))
-    best = around.join(own, "u").groupBy("u").agg(
-        F.first("k").alias("k"),
-        F.max(F.when(here, worth)).alias("stay"),
-        F.first("now_size").alias("now_size"),
-        F.max(F.when(~here & ~swap, F.round(worth, 9))).alias("gain"),
-        F.min_by("community", F.when(~here & ~swap, F.struct(-F.round(worth, 9), F.col("community")))).alias("there"),
+    swap = F.col("now_single") & F.col("single") & (F.col("community") > F.col("now"))
+    # In billionths, told once for each community around a node.
+    gain = F.when(~here & ~swap, F.rint(worth * 1e9))
+    alone = -resolution * F.col("k") * (F.col("now_size") - F.col("k")) / total
+    told = around.join(own.hint("shuffle_hash"), "u").select("u", "community", alone.alias("alone"), F.when(here, worth).alias("stay"), gain.alias("gain"))
+    best = told.groupBy("u").agg(
+        F.first("alone").alias("alone"),
+        F.max("stay").alias("stay"),
+        F.max("gain").alias("gain"),
+        F.min_by("community", F.when(F.col("gain").isNotNull(), F.struct(-F.col("gain"), F.col("community")))).alias("there"),
     )
-    stay = F.coalesce("stay", -resolution * F.col("k") * (F.col("now_size") - F.col("k")) / total)
-    moves = best.filter(F.col("gain") > stay + 1e-8).select(F.col("u").alias("node"), "there")
+    moves = best.filter(F.col("gain") / 1e9 > F.coalesce("stay", "alone") + 1e-8).select(F.col("u").alias("node"), "there")
     return state.join(moves, "node", "left").select("node", F.coalesce("there", "community").alias("community"), "k", "bits", F.col("there").isNotNull().alias("moved"))
 
 
+def _both_ways(pairs: DataFrame) -> DataFrame:
+    """pairs: u, v, w, u_bits, v_bits; u <= v and pairs may repeat. u, v, w, bits (of u): a row for each direction of a pair, one for a loop."""
+    once = pairs.groupBy("u", "v").agg(F.sum("w").alias("w"), F.first("u_bits").alias("u_bits"), F.first("v_bits").alias("v_bits"))
+    there, back = F.struct("u", "v", F.col("u_bits").alias("bits")), F.struct(F.col("v").alias("u"), F.col("u").alias("v"), F.col("v_bits").alias("bits"))
+    return once.select(F.explode(F.when(F.col("u") == F.col("v"), F.array(there)).otherwise(F.array(there, back))).alias("e"), "w").select("e.u", "e.v", "w", "e.bits")
+
+
+def _ordered(ends: DataFrame) -> DataFrame:
+    """ends: a, b, w, a_bits, b_bits. The same as pairs u <= v."""
+    u, v = (F.when(F.col("a") <= F.col("b"), F.col(x)).otherwise(F.col(y)) for x, y in (("a", "b"), ("b", "a")))
+    u_bits, v_bits = (F.when(F.col("a") <= F.col("b"), F.col(x)).otherwise(F.col(y)) for x, y in (("a_bits", "b_bits"), ("b_bits", "a_bits")))
+    return ends.select(u.alias("u"), v.alias("v"), "w", u_bits.alias("u_bits"), v_bits.alias("v_bits"))
+
+
 def _contracted(graph: DataFrame, state: DataFrame) -> DataFrame:
-    """u, v, w between communities, both ways, from one direction of the links; a community's inner links are its loop."""
-    a, b = (state.select(F.col("node").alias(c), F.col("community").alias(f"c{c}")) for c in "uv")
-    ends = graph.filter("u <= v").select("u", "v", "w").join(a, "u").join(b, "v")
-    once = ends.groupBy(F.least("cu", "cv").alias("u"), F.greatest("cu", "cv").alias("v")).agg(F.sum(F.col("w") * F.when((F.col("cu") == F.col("cv")) & (F.col("u") != F.col("v")), 2).otherwise(1)).alias("w"))
-    # Each direction of a link between communities is a row.
-    turned = F.when(F.col("u") == F.col("v"), F.array(F.struct("u", "v"))).otherwise(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v"))))
-    return once.select(F.explode(turned).alias("e"), "w").select("e.u", "e.v", "w")
+    """state: node, community, bits (of the community). u, v, w, bits between communities, both ways, from one direction of the links; a community's inner links are its loop."""
+    a, b = (state.select(F.col("node").alias(n), F.col("community").alias(c), F.col("bits").alias(f"{c}_bits")).hint("shuffle_hash") for n, c in (("u", "a"), ("v", "b")))
+    w = F.col("w") * F.when((F.col("a") == F.col("b")) & (F.col("u") != F.col("v")), 2).otherwise(1)
+    return _both_ways(_ordered(graph.filter("u <= v").select("u", "v", "w").join(b, "v").join(a, "u").withColumn("w", w)))
+
+
+def _kept(ws: Workspace, graph: DataFrame, rows: int) -> DataFrame:
+    """Large graphs lie in buckets of one end, where sweeps leave them."""
+    return ws.keep_dealt(graph, "v", "graph") if rows > DEALT else ws.keep(graph, "graph")
 
 
 def community_levels(edges: DataFrame, resolution: float = 1.0, levels: int = 10, sweeps: int = 12, settled: float = 0.002) -> DataFrame:
@@ -72,25 +96,25 @@ def community_levels(edges: DataFrame, resolution: float = 1.0, levels: int = 10
     """
     ws = Workspace(edges.sparkSession, "communities")
     clean = edges.select("src", "dst", F.col("weight").cast("double").alias("w")).filter("src is not null and dst is not null and w > 0")
+    clean = ws.keep(clean, "edges")
     # Nodes are numbers in the order of their names until a level is told.
     ids = ws.keep(_numbered(clean, sweeps), "names")
-    ends = [ids.select(F.col("name").alias(c), F.col("node").alias(n)) for c, n in (("src", "a"), ("dst", "b"))]
-    clean = clean.join(ends[0], "src").join(ends[1], "dst").select("a", "b", "w")
-    both = undirected(clean.filter("a <> b"), "a", "b").unionByName(clean.filter("a = b").select(F.col("a").alias("u"), F.col("b").alias("v"), (F.col("w") * 2).alias("w")))
-    graph = both.groupBy("u", "v").agg(F.sum("w").alias("w"))
+    ends = [ids.select(F.col("name").alias(c), F.col("node").alias(n), F.col("bits").alias(f"{n}_bits")).hint("shuffle_hash") for c, n in (("src", "a"), ("dst", "b"))]
+    numbers = clean.join(ends[0], "src").join(ends[1], "dst").withColumn("w", F.col("w") * F.when(F.col("a") == F.col("b"), 2).otherwise(1))
     named = lambda rows: rows.join(ids.select("node", F.col("name").alias("__node")), "node").join(ids.select(F.col("node").alias("community"), F.col("name").alias("__community")), "community").select("level", F.col("__node").alias("node"), F.col("__community").alias("community"), "quality")
-    with_bits = lambda rows: rows.join(ids.select(F.col("node").alias("u"), "bits"), "u")
-    graph = ws.keep(with_bits(graph), "graph")
-    degrees = ws.keep(graph.groupBy(F.col("u").alias("node")).agg(F.sum("w").alias("k"), F.first("bits").alias("bits")), "degrees")
+    graph = _kept(ws, _both_ways(_ordered(numbers)), clean.count())
+    ws.drop(clean)
+    # A link is there both ways, so its weight is summed where the graph lies.
+    summed = lambda graph: graph.groupBy(F.col("v").alias("node")).agg(F.sum("w").alias("k"), F.max(F.col("u") != F.col("v")).alias("linked")).join(ids.select("node", "bits"), "node")
+    degrees = ws.keep(summed(graph), "degrees")
     total = degrees.agg(F.sum("k")).first()[0]
     out, best = None, None
     for level in range(1, levels + 1) if total else ():
         links = graph.filter("u <> v")
         nodes = degrees.count()
-        start = degrees.select("node", F.col("node").alias("community"), "k", "bits")
-        linked = links.select(F.col("u").alias("node")).distinct()
-        alone = start.join(linked, "node", "left_anti")
-        state = ws.keep(start.join(linked, "node", "left_semi"), "state")
+        start = degrees.select("node", F.col("node").alias("community"), "k", "bits", "linked")
+        alone = start.filter("not linked").drop("linked")
+        state = ws.keep(start.filter("linked").drop("linked"), "state")
         calm, moved_ever = 0, False
         for i in range(sweeps):
             new = ws.keep(_swept(links, state, total, resolution, i), "state")
@@ -103,10 +127,10 @@ def community_levels(edges: DataFrame, resolution: float = 1.0, levels: int = 10
             if calm == 2:
                 break
         everyone = state.unionByName(alone)
-        names = everyone.groupBy("community").agg(F.min("node").alias("name"))
-        everyone = ws.keep(everyone.join(names, "community").select("node", F.col("name").alias("community"), "k"), "everyone")
-        above = ws.keep(with_bits(_contracted(graph, everyone)), "graph")
-        sums = ws.keep(everyone.groupBy(F.col("community").alias("u")).agg(F.sum("k").alias("k")), "sums")
+        names = everyone.groupBy("community").agg(F.min("node").alias("node")).join(ids.select("node", "bits"), "node").select("community", F.col("node").alias("name"), F.col("bits").alias("name_bits"))
+        everyone = ws.keep(everyone.join(names, "community").select("node", F.col("name").alias("community"), "k", F.col("name_bits").alias("bits")), "everyone")
+        above = ws.keep(_contracted(graph, everyone), "graph")
+        sums = ws.keep(everyone.groupBy("community").agg(F.sum("k").alias("k")), "sums")
         inside = above.filter("u = v").agg(F.sum("w")).first()[0] or 0.0
         quality = inside / total - resolution * sums.agg(F.sum(F.col("k") * F.col("k"))).first()[0] / (total * total)
         told = everyone.select(F.lit(level).alias("level"), "node", "community", F.lit(quality).alias("quality"))
@@ -118,7 +142,12 @@ def community_levels(edges: DataFrame, resolution: float = 1.0, levels: int = 10
         told = ws.keep(named(told), "level")
         out = told if out is None else out.unionByName(told)
         ws.drop(graph, degrees, state)
-        graph, degrees = above, ws.keep(with_bits(sums).withColumnRenamed("u", "node"), "degrees")
+        graph, rows = above, above.count()
+        if rows > DEALT:
+            graph = _kept(ws, above, rows)
+            ws.drop(above)
+        degrees = ws.keep(summed(graph), "degrees")
+    ws.drop(graph, degrees)
     if out is None:
         out = edges.select(F.lit(1).alias("level"), F.col("src").alias("node"), F.col("src").alias("community"), F.lit(0.0).alias("quality")).limit(0)
     return out

@@ -235,7 +235,8 @@ def i15_label_communities(t):
 
 def supply_weights(t: Tables):
     """Suppliers and parts, joined by how often a part comes from a supplier."""
-    return sparse_rows(t).groupBy("src", "dst").agg(F.count("*").cast("double").alias("weight"))
+    pairs = t("lineitem").groupBy("l_suppkey", "l_partkey").agg(F.count("*").cast("double").alias("weight"))
+    return pairs.select(F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("src"), F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("dst"), "weight")
 
 
 @query()

@@ -174,3 +174,24 @@ def test_pages_of_relations_beyond_those_of_members(spark):
     assert {r["members"] for r in rows if r["community"] == 0} == {n}
     # A node without a place in the tree stands alone.
     assert [(r["members"], r["digest"]) for r in rows if r["community"] == n] == [(1, f"Entities:\n- n{n} (t)\n\nRelations:\n(none)")]
+
+
+def test_large_graphs_lie_in_buckets_where_sweeps_leave_them(spark, graph, monkeypatch):
+    plans, swept = [], C._swept
+
+    def spy(links, state, total, resolution, turn):
+        out = swept(links, state, total, resolution, turn)
+        plans.append(out._jdf.queryExecution().executedPlan().toString())
+        return out
+
+    monkeypatch.setattr(C, "_swept", spy)
+    rows = lambda: sorted((r["level"], r["node"], r["community"], round(r["quality"], 9)) for r in C.community_levels(graph[1]).collect())
+    monkeypatch.setattr(C, "DEALT", 10**9)
+    plain = rows()
+    assert not any("Bucketed: true" in p for p in plans)
+    plans.clear()
+    monkeypatch.setattr(C, "DEALT", 0)
+    assert rows() == plain
+    # Links meet their other ends without a shuffle of their own, and move once.
+    assert plans and all("Bucketed: true" in p and p.count("REPARTITION_BY_COL") == 1 for p in plans)
+    assert not [t.name for t in spark.catalog.listTables() if t.name.startswith("graph_")]
