@@ -182,15 +182,14 @@ def level_digests(tree: DataFrame, nodes: DataFrame, relations: DataFrame, lines
     for level in range(1, (tree.agg(F.max("level")).first()[0] or 0) + 1):
         own = tree.filter(F.col("level") == level).select("node", "community")
         placed = ws.keep(items.join(own, "node", "left").withColumn("community", F.coalesce("community", "node")), "items")
-        names = placed.select(F.col("node").alias("key"), "name", F.col("community").alias("c"))
-        ends = links.join(names.select(F.col("key").alias("source"), F.col("name").alias("source_name"), F.col("c").alias("source_community")), "source").join(names.select(F.col("key").alias("target"), F.col("name").alias("target_name"), F.col("c").alias("target_community")), "target")
+        names = [placed.select(F.col("node").alias(end), F.col("name").alias(f"{end}_name"), F.col("community").alias(f"{end}_community")).hint("shuffle_hash") for end in ("source", "target")]
+        ends = links.join(names[0], "source").join(names[1], "target").select("type", "description", "n", "source_name", "source_community", "target_name", "target_community")
         ends = ws.keep(ends, "relations")
         inner = ends.filter("source_community = target_community").select(F.col("source_community").alias("community"), F.col("source_name").alias("source"), "type", F.col("target_name").alias("target"), "description")
         # Pages are keys of their own for the digest.
-        key = lambda df: df.withColumn("community", F.struct("community", "page")).drop("page")
-        text = digests(key(_pages(placed, lines, "name")), key(_pages(inner, lines, "source", "type", "target")), "full")
+        text = digests(_pages(placed, lines, "name"), _pages(inner, lines, "source", "type", "target"), "full", ("page", "community"))
         size = placed.groupBy("community").agg(F.count("*").alias("members"))
-        rows = text.select(F.col("community.community").alias("community"), F.col("community.page").alias("page"), "digest").join(size, "community").select(F.lit(level).alias("level"), "community", "page", "members", "digest")
+        rows = text.join(size, "community").select(F.lit(level).alias("level"), "community", "page", "members", "digest")
         out = rows if out is None else out.unionByName(rows)
         first = placed.groupBy("community").agg(F.min("name").alias("name"), F.count("*").alias("members"))
         items = first.select(F.col("community").alias("node"), "name", F.lit("community").alias("type"), F.concat(F.col("members").cast("string"), F.lit(" members")).alias("description"))
