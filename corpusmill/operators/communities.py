@@ -169,8 +169,8 @@ def _pages(rows: DataFrame, lines: int, *by: str) -> DataFrame:
     return rows.join(count, "community").withColumn("page", F.pmod(F.xxhash64(*by), "pages")).drop("pages")
 
 
-def level_digests(tree: DataFrame, nodes: DataFrame, relations: DataFrame, lines: int = 200) -> DataFrame:
-    """level, community, page, members, digest: the texts that a summariser reads, from the lowest level up.
+def level_digests(tree: DataFrame, nodes: DataFrame, relations: DataFrame, lines: int = 200, pages: int | None = None) -> DataFrame:
+    """level, community, page, members, digest: the texts that a summariser reads, from the lowest level up; with ``pages`` only that many of each community.
 
     nodes: node, name, type, description. relations: source, target (nodes), type, description. At the first level a community's
     lines are its nodes and the relations between them. Above, they are the communities of the level below, each named by its first member, and how many relations
@@ -187,7 +187,8 @@ def level_digests(tree: DataFrame, nodes: DataFrame, relations: DataFrame, lines
         ends = ws.keep(ends, "relations")
         inner = ends.filter("source_community = target_community").select(F.col("source_community").alias("community"), F.col("source_name").alias("source"), "type", F.col("target_name").alias("target"), "description")
         # Pages are keys of their own for the digest.
-        text = digests(_pages(placed, lines, "name"), _pages(inner, lines, "source", "type", "target"), "full", ("page", "community"))
+        some = [_pages(placed, lines, "name"), _pages(inner, lines, "source", "type", "target")]
+        text = digests(*[p if pages is None else p.filter(F.col("page") < pages) for p in some], "full", ("page", "community"))
         size = placed.groupBy("community").agg(F.count("*").alias("members"))
         rows = text.join(size, "community").select(F.lit(level).alias("level"), "community", "page", "members", "digest")
         out = rows if out is None else out.unionByName(rows)

@@ -256,7 +256,7 @@ def i17_level_context(t):
     from pyspark.sql import Window
 
     tree, nodes, relations = supply_tree(t)
-    pages = M.level_digests(tree, nodes, relations).filter("page = 0")
+    pages = M.level_digests(tree, nodes, relations, pages=1)
     first = M.members_by_level(tree).join(nodes, "node").withColumn("r", F.row_number().over(Window.partitionBy("level", "community").orderBy("name"))).filter("r <= 5")
     entities = first.groupBy("level", "community").agg(F.array_sort(F.collect_list("name")).alias("entities"))
     rows = pages.join(entities, ["level", "community"]).select(F.concat(F.lit("level"), F.col("level").cast("string")).alias("config_id"), "level", "community", "entities", F.concat(F.col("members").cast("string"), F.lit(" members: "), F.substring("digest", 1, 60)).alias("summary"))

@@ -195,3 +195,13 @@ def test_large_graphs_lie_in_buckets_where_sweeps_leave_them(spark, graph, monke
     # Links meet their other ends without a shuffle of their own, and move once.
     assert plans and all("Bucketed: true" in p and p.count("REPARTITION_BY_COL") == 1 for p in plans)
     assert not [t.name for t in spark.catalog.listTables() if t.name.startswith("graph_")]
+
+
+def test_first_pages_alone_are_those_of_all_pages(spark):
+    n = 300
+    tree = spark.range(n).select(F.lit(1).alias("level"), F.col("id").alias("node"), (F.col("id") % 2).alias("community"))
+    nodes = spark.range(n).select(F.col("id").alias("node"), F.concat(F.lit("n"), "id").alias("name"), F.lit("t").alias("type"), F.lit(None).cast("string").alias("description"))
+    relations = spark.range(n - 2).select(F.col("id").alias("source"), (F.col("id") + 2).alias("target"), F.lit("R").alias("type"), F.lit(None).cast("string").alias("description"))
+    rows = lambda df: sorted(map(tuple, df.select("level", "community", "page", "members", "digest").collect()))
+    every = rows(C.level_digests(tree, nodes, relations, lines=20))
+    assert len(every) > 10 and rows(C.level_digests(tree, nodes, relations, lines=20, pages=1)) == [r for r in every if r[2] == 0]
