@@ -9,6 +9,8 @@ community's members are gathered: all steps are partial sums, partial maxima and
 
 from __future__ import annotations
 
+from itertools import accumulate
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,17 +33,29 @@ def _numbered(edges: DataFrame, sweeps: int) -> DataFrame:
     return names.select("name", F.monotonically_increasing_id().alias("node"), bits.alias("bits"))
 
 
-def _swept(links: DataFrame, state: DataFrame, total: float, resolution: float, turn: int) -> DataFrame:
+def _gapless(ids: DataFrame) -> DataFrame:
+    """The same with numbers from 0 that leave none out between partitions."""
+    part = F.shiftright("node", 33)
+    counts = sorted(map(tuple, ids.groupBy(part.alias("part")).agg(F.count("*").alias("n")).collect()))
+    before = list(accumulate((n for _, n in counts), initial=0))
+    firsts = ids.sparkSession.createDataFrame([(p, b) for (p, _), b in zip(counts, before)], "part long, before long")
+    within = F.col("node").bitwiseAND(F.lit((1 << 33) - 1))
+    return ids.withColumn("part", part.cast("long")).join(F.broadcast(firsts), "part").select("name", (within + F.col("before")).alias("node"), "bits")
+
+
+def _swept(links: DataFrame, state: DataFrame, total: float, resolution: float, turn: int, wide: int = 0) -> DataFrame:
     """links: u, v, w, bits (of u). state: node, community, k, bits. The state after one half of the nodes has moved, with ``moved``. Only links of nodes whose turn it is are read.
 
-    Links meet the communities of their other ends where these lie, in small hash tables, and move once, to the node whose turn it is."""
+    Links meet the communities of their other ends where these lie, in small hash tables, and move once, to the node whose turn it is.
+    wide: bits of a number, if gains in billionths fit into a long beside one; the best community is then a maximum of longs, without a sort."""
     mine = F.shiftright("bits", turn // 2 % HALVES).bitwiseAND(F.lit(1)) == turn % 2
-    sizes = state.groupBy("community").agg(F.sum("k").alias("size"), (F.count("*") == 1).alias("single"))
+    # The size of a community of one node is negative.
+    sizes = state.groupBy("community").agg((F.sum("k") * F.when(F.count("*") == 1, -1.0).otherwise(1.0)).alias("signed"))
     placed = state.join(sizes, "community")
-    other = placed.select(F.col("node").alias("v"), "community", "size", "single").hint("shuffle_hash")
-    heard = links.filter(mine).select("u", "v", "w").join(other, "v").select("u", "community", "w", "size", "single").repartition("u")
-    around = heard.groupBy("u", "community").agg(F.sum("w").alias("w"), F.first("size").alias("size"), F.first("single").alias("single"))
-    own = placed.filter(mine).select(F.col("node").alias("u"), F.col("community").alias("now"), "k", F.col("size").alias("now_size"), F.col("single").alias("now_single"))
+    other = placed.select(F.col("node").alias("v"), "community", "signed").hint("shuffle_hash")
+    heard = links.filter(mine).select("u", "v", "w").join(other, "v").select("u", "community", "w", "signed").repartition("u")
+    around = heard.groupBy("u", "community").agg(F.sum("w").alias("w"), F.max("signed").alias("signed")).select("u", "community", "w", F.abs("signed").alias("size"), (F.col("signed") < 0).alias("single"))
+    own = placed.filter(mine).select(F.col("node").alias("u"), F.col("community").alias("now"), "k", F.abs("signed").alias("now_size"), (F.col("signed") < 0).alias("now_single"))
     here = F.col("community") == F.col("now")
     # What a move to the community is worth, less what the node itself adds to its own.
     worth = F.col("w") - resolution * F.col("k") * (F.col("size") - F.when(here, F.col("k")).otherwise(0.0)) / total
@@ -51,12 +65,14 @@ def _swept(links: DataFrame, state: DataFrame, total: float, resolution: float,
     gain = F.when(~here & ~swap, F.rint(worth * 1e9))
     alone = -resolution * F.col("k") * (F.col("now_size") - F.col("k")) / total
     told = around.join(own.hint("shuffle_hash"), "u").select("u", "community", alone.alias("alone"), F.when(here, worth).alias("stay"), gain.alias("gain"))
-    best = told.groupBy("u").agg(
-        F.first("alone").alias("alone"),
-        F.max("stay").alias("stay"),
-        F.max("gain").alias("gain"),
-        F.min_by("community", F.when(F.col("gain").isNotNull(), F.struct(-F.col("gain"), F.col("community")))).alias("there"),
-    )
+    here_or_alone = [F.max("alone").alias("alone"), F.max("stay").alias("stay")]
+    if wide:
+        last = F.lit((1 << wide) - 1)
+        top = told.groupBy("u").agg(*here_or_alone, F.max(F.col("gain").cast("long") * F.lit(1 << wide) + last - F.col("community")).alias("top"))
+        best = top.select("u", "alone", "stay", F.shiftright("top", wide).alias("gain"), (last - F.col("top").bitwiseAND(last)).alias("there"))
+    else:
+        least = F.min_by("community", F.when(F.col("gain").isNotNull(), F.struct(-F.col("gain"), F.col("community"))))
+        best = told.groupBy("u").agg(*here_or_alone, F.max("gain").alias("gain"), least.alias("there"))
     moves = best.filter(F.col("gain") / 1e9 > F.coalesce("stay", "alone") + 1e-8).select(F.col("u").alias("node"), "there")
     return state.join(moves, "node", "left").select("node", F.coalesce("there", "community").alias("community"), "k", "bits", F.col("there").isNotNull().alias("moved"))
 
@@ -99,10 +115,13 @@ def community_levels(edges: DataFrame, resolution: float = 1.0, levels: int = 10
     clean = ws.keep(clean, "edges")
     # Nodes are numbers in the order of their names until a level is told.
     ids = ws.keep(_numbered(clean, sweeps), "names")
+    ids = ws.keep(_gapless(ids), "numbers")
+    wide = ids.count().bit_length()
     ends = [ids.select(F.col("name").alias(c), F.col("node").alias(n), F.col("bits").alias(f"{n}_bits")).hint("shuffle_hash") for c, n in (("src", "a"), ("dst", "b"))]
     numbers = clean.join(ends[0], "src").join(ends[1], "dst").withColumn("w", F.col("w") * F.when(F.col("a") == F.col("b"), 2).otherwise(1))
     named = lambda rows: rows.join(ids.select("node", F.col("name").alias("__node")), "node").join(ids.select(F.col("node").alias("community"), F.col("name").alias("__community")), "community").select("level", F.col("__node").alias("node"), F.col("__community").alias("community"), "quality")
-    graph = _kept(ws, _both_ways(_ordered(numbers)), clean.count())
+    rows = clean.count()
+    graph = _kept(ws, _both_ways(_ordered(numbers)), rows)
     ws.drop(clean)
     # A link is there both ways, so its weight is summed where the graph lies.
     summed = lambda graph: graph.groupBy(F.col("v").alias("node")).agg(F.sum("w").alias("k"), F.max(F.col("u") != F.col("v")).alias("linked")).join(ids.select("node", "bits"), "node")
@@ -111,13 +130,15 @@ def community_levels(edges: DataFrame, resolution: float = 1.0, levels: int = 10
     out, best = None, None
     for level in range(1, levels + 1) if total else ():
         links = graph.filter("u <> v")
-        nodes = degrees.count()
+        nodes, most = degrees.agg(F.count("*"), F.max("k")).first()
+        # A gain is at most a node's degree, and so is a loss at a resolution of 1.
+        fits = rows > DEALT and most * max(1.0, resolution) * 1e9 < 2.0 ** (62 - wide)
         start = degrees.select("node", F.col("node").alias("community"), "k", "bits", "linked")
         alone = start.filter("not linked").drop("linked")
         state = ws.keep(start.filter("linked").drop("linked"), "state")
         calm, moved_ever = 0, False
         for i in range(sweeps):
-            new = ws.keep(_swept(links, state, total, resolution, i), "state")
+            new = ws.keep(_swept(links, state, total, resolution, i, *([wide] if fits else [])), "state")
             moved = new.filter("moved").count()
             moved_ever = moved_ever or moved > 0
             ws.drop(state)

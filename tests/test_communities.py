@@ -179,21 +179,26 @@ def test_pages_of_relations_beyond_those_of_members(spark):
 def test_large_graphs_lie_in_buckets_where_sweeps_leave_them(spark, graph, monkeypatch):
     plans, swept = [], C._swept
 
-    def spy(links, state, total, resolution, turn):
-        out = swept(links, state, total, resolution, turn)
+    def spy(links, state, total, resolution, turn, *wide):
+        out = swept(links, state, total, resolution, turn, *wide)
+        wides.append(wide)
         plans.append(out._jdf.queryExecution().executedPlan().toString())
         return out
 
+    wides = []
     monkeypatch.setattr(C, "_swept", spy)
     rows = lambda: sorted((r["level"], r["node"], r["community"], round(r["quality"], 9)) for r in C.community_levels(graph[1]).collect())
     monkeypatch.setattr(C, "DEALT", 10**9)
     plain = rows()
-    assert not any("Bucketed: true" in p for p in plans)
+    assert not any("Bucketed: true" in p for p in plans) and not any(wides)
     plans.clear()
+    wides.clear()
     monkeypatch.setattr(C, "DEALT", 0)
     assert rows() == plain
     # Links meet their other ends without a shuffle of their own, and move once.
     assert plans and all("Bucketed: true" in p and p.count("REPARTITION_BY_COL") == 1 for p in plans)
+    # The best community around a node is found without a sort of what is around it.
+    assert all(wides) and not any("SortAggregate" in p for p in plans)
     assert not [t.name for t in spark.catalog.listTables() if t.name.startswith("graph_")]
 
 
